@@ -1,4 +1,4 @@
 """The registered queries."""
 
-from phasemill.catalog import frames, scalars  # noqa: F401
+from phasemill.catalog import frames, projection, scalars  # noqa: F401
 from phasemill.catalog.registry import ORACLES, QUERIES  # noqa: F401

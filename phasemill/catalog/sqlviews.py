@@ -95,3 +95,151 @@ view(
         (p_partkey % 97) / CAST(97 AS DOUBLE) AS v
       FROM part""",
 )
+
+# ---- shared intermediate results -------------------------------------------------------------
+
+view("v_f0", "SELECT rec_id, y, x, avg(v) AS f0 FROM v_trace GROUP BY ALL", "v_trace")
+view(
+    "v_floor",
+    """SELECT rec_id, greatest(0.5 * list_extract(list_sort(list(f0)), CAST(ceil((count(*) - 1) / 2.0) AS BIGINT) + 1), CAST(1 AS DOUBLE)) AS floor
+        FROM v_f0 GROUP BY rec_id""",
+    "v_f0",
+)
+view(
+    "v_samples",
+    """SELECT t.* EXCLUDE (v), (v - f0) / greatest(f0, floor) AS v FROM v_trace t JOIN v_f0 USING (rec_id, y, x) JOIN v_floor USING (rec_id)""",
+    "v_trace v_f0 v_floor",
+)
+view(
+    "v_cyc",
+    """SELECT rec_id, direction, cycle, height, width, y, x, sum(v * cos(-2 * pi() * k / 16)) AS re, sum(v * sin(-2 * pi() * k / 16)) AS im
+        FROM v_samples GROUP BY ALL""",
+    "v_samples",
+)
+view(
+    "v_cm",
+    "SELECT rec_id, direction, height, width, y, x, avg(re) AS re, avg(im) AS im FROM v_cyc GROUP BY ALL",
+    "v_cyc",
+)
+view(
+    "v_avgmovie",
+    "SELECT rec_id, direction, height, width, y, x, k, avg(v) AS v FROM v_samples GROUP BY ALL",
+    "v_samples",
+)
+view(
+    "v_spectrum",
+    """SELECT rec_id, direction, y, x, bin, sqrt(power(sum(v * cos(-2 * pi() * bin * k / 16)), 2) + power(sum(v * sin(-2 * pi() * bin * k / 16)), 2)) * 2 / 16 AS power
+        FROM v_avgmovie, (SELECT CAST(b AS INTEGER) AS bin FROM range(16) t(b)) GROUP BY ALL""",
+    "v_avgmovie",
+)
+view(
+    "v_pairs",
+    """SELECT rec_id, height, width, y, x, """
+    + ", ".join(
+        f"max(CASE WHEN direction = '{o}_{d}' THEN {c} END) AS {o}_{d}_{c}"
+        for o in ("azi", "alt") for d in ("fwd", "rev") for c in ("re", "im")
+    )
+    + " FROM v_cm GROUP BY ALL",
+    "v_cm",
+)
+def _combined(o: str) -> str:
+    return (
+        f"atan2(sin({o}_f) + sin({o}_r), cos({o}_f) + cos({o}_r)) AS {o}_d0"
+    )
+
+
+view(
+    "v_position",
+    """SELECT rec_id, height, width, y, x, """
+    + ", ".join(
+        f"cos({o}_h) AS {o}_re, sin({o}_h) AS {o}_im, {o}_delay, {o}_amp" for o in ("azi", "alt")
+    )
+    + " FROM (SELECT *, "
+    + ", ".join(
+        f"(atan2(sin({o}_f - {o}_delay), cos({o}_f - {o}_delay)) - atan2(sin({o}_r - {o}_delay), cos({o}_r - {o}_delay))) / 2 AS {o}_h"
+        for o in ("azi", "alt")
+    )
+    + " FROM (SELECT *, "
+    + ", ".join(f"{o}_d0 + pi() / 2 * (1 - sign({o}_d0)) AS {o}_delay" for o in ("azi", "alt"))
+    + " FROM (SELECT *, "
+    + ", ".join(_combined(o) for o in ("azi", "alt"))
+    + " FROM (SELECT *, "
+    + ", ".join(
+        f"atan2({o}_fwd_im, {o}_fwd_re) AS {o}_f, atan2({o}_rev_im, {o}_rev_re) AS {o}_r, "
+        f"(sqrt({o}_fwd_re*{o}_fwd_re + {o}_fwd_im*{o}_fwd_im) + sqrt({o}_rev_re*{o}_rev_re + {o}_rev_im*{o}_rev_im)) / 2 AS {o}_amp"
+        for o in ("azi", "alt")
+    )
+    + " FROM v_pairs))))",
+    "v_pairs",
+)
+
+
+def gradient_sql(source: str, cols: list[str], keys: str = "rec_id") -> str:
+    """Central differences with one-sided edges, as `<c>_dx` and `<c>_dy`."""
+    out = []
+    for c in cols:
+        out.append(
+            f"CASE WHEN x = 0 THEN lead({c}) OVER wx - {c} WHEN x = width - 1 THEN {c} - lag({c}) OVER wx "
+            f"ELSE (lead({c}) OVER wx - lag({c}) OVER wx) / 2 END AS {c}_dx"
+        )
+        out.append(
+            f"CASE WHEN y = 0 THEN lead({c}) OVER wy - {c} WHEN y = height - 1 THEN {c} - lag({c}) OVER wy "
+            f"ELSE (lead({c}) OVER wy - lag({c}) OVER wy) / 2 END AS {c}_dy"
+        )
+    return (
+        f"SELECT *, {', '.join(out)} FROM {source} WINDOW wx AS (PARTITION BY {keys}, y ORDER BY x), "
+        f"wy AS (PARTITION BY {keys}, x ORDER BY y)"
+    )
+
+
+def phase_gradient_sql(source: str) -> str:
+    inner = gradient_sql(source, ["azi_re", "azi_im", "alt_re", "alt_im"])
+    parts = [
+        f"({o}_re * {o}_im_{a} - {o}_im * {o}_re_{a}) / greatest({o}_re * {o}_re + {o}_im * {o}_im, 1e-12) AS d_{o}_{a}"
+        for o in ("azi", "alt") for a in ("dx", "dy")
+    ]
+    return f"SELECT *, {', '.join(parts)} FROM ({inner})"
+
+
+view("v_grad", phase_gradient_sql("v_position"), "v_position")
+
+
+def _reflect(i: str, n: str) -> str:
+    """Mirror an index into 0..n-1 with the edge doubled, for any overshoot."""
+    m = f"((({i}) % (2 * {n}) + 2 * {n}) % (2 * {n}))"
+    return f"(CASE WHEN {m} < {n} THEN {m} ELSE 2 * {n} - 1 - {m} END)"
+
+
+def pass_sql(source: str, cols: list[str], axis: str, kernel: list[tuple[int, float]], border: str, keys: str = "rec_id") -> str:
+    """Gather form of one weighted pass: a join of each pixel with its kernel offsets."""
+    size = "width" if axis == "x" else "height"
+    other = "y" if axis == "x" else "x"
+    rows = ", ".join(f"({o}, CAST({w!r} AS DOUBLE))" for o, w in kernel)
+    at = f"p.{axis} + k.o"
+    if border == "reflect":
+        cond = f"q.{axis} = {_reflect(at, 'p.' + size)}"
+    elif border == "wrap":
+        cond = f"q.{axis} = (({at}) % p.{size} + p.{size}) % p.{size}"
+    else:
+        cond = f"q.{axis} = {at}"
+    same = " AND ".join(f"p.{c} = q.{c}" for c in [*keys.replace(" ", "").split(","), other])
+    ks = ", ".join(f"p.{c}" for c in keys.replace(" ", "").split(","))
+    return (
+        f"SELECT {ks}, p.height, p.width, p.y, p.x, "
+        + ", ".join(f"sum(q.{c} * k.w) AS {c}" for c in cols)
+        + f" FROM {source} p, (VALUES {rows}) k(o, w), {source} q WHERE {same} AND {cond} GROUP BY ALL"
+    )
+
+
+def separable_sql(source: str, cols: list[str], kernel, border: str, keys: str = "rec_id") -> str:
+    one = pass_sql("s0", cols, "y", kernel, border, keys)
+    two = pass_sql("s1", cols, "x", kernel, border, keys)
+    return f"WITH s0 AS MATERIALIZED (SELECT * FROM {source}), s1 AS MATERIALIZED ({one}) {two}"
+
+
+def gaussian_sql(source: str, cols: list[str], sigma: float, keys: str = "rec_id") -> str:
+    import math
+
+    r = int(4 * sigma + 0.5)
+    w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
+    return separable_sql(source, cols, [(i - r, v / sum(w)) for i, v in enumerate(w)], "reflect", keys)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasemill.functions.columns import col, finite, safe_div
+from phasemill.functions.columns import finite
 from phasemill.operators import quantiles
 from phasemill.operators.stencil import frame_stats
 
@@ -36,74 +36,82 @@ def minmax_normalize(df: DataFrame, value: str, exponent: float, keys: Sequence[
 
 
 def circular_stats(df: DataFrame, phase: str, weight: str, keys: Sequence[str] = REC) -> DataFrame:
-    """Weighted circular mean and standard deviation."""
-    w, t = F.col(weight), F.col(phase)
+    """Weighted circular mean and standard deviation in degrees; (0, 0) without a positive weight."""
+    w = F.when(finite(weight) & (F.col(weight) > 0), F.col(weight))
     g = df.groupBy(*keys).agg(
-        F.sum(w * F.cos(t)).alias("_c"), F.sum(w * F.sin(t)).alias("_s"), F.sum(w).alias("_w")
+        F.sum(w * F.cos(phase)).alias("_c"), F.sum(w * F.sin(phase)).alias("_s"), F.sum(w).alias("_w")
     )
-    r = F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / F.greatest(F.col("_w"), F.lit(1e-12))
-    r = F.least(F.greatest(r, F.lit(1e-12)), F.lit(1.0))
-    return g.select(*keys, F.atan2("_s", "_c").alias("circ_mean"), F.sqrt(F.log(r) * -2.0).alias("circ_std"))
+    std = F.sqrt(F.log(resultant(F.col("_c"), F.col("_s"), F.col("_w"))) * -2.0)
+    return g.select(
+        *keys, F.coalesce(F.degrees(F.atan2("_s", "_c")), F.lit(0.0)).alias("circ_mean"),
+        F.coalesce(F.degrees(std), F.lit(0.0)).alias("circ_std"),
+    )
+
+
+def resultant(c: Column, s: Column, w: Column) -> Column:
+    """Resultant length clamped to [1e-12, 1]."""
+    r = F.try_divide(F.sqrt(c * c + s * s), w)
+    return F.least(F.greatest(r, F.lit(1e-12)), F.lit(1.0))
+
+
+def _det3(rows) -> Column:
+    (a1, a2, a3), (b1, b2, b3), (c1, c2, c3) = [[F.col(v) for v in row] for row in rows]
+    return a1 * (b2 * c3 - b3 * c2) - a2 * (b1 * c3 - b3 * c1) + a3 * (b1 * c2 - b2 * c1)
 
 
 def phase_plane_fit(df: DataFrame, re: str, im: str, keys: Sequence[str] = REC) -> DataFrame:
-    """Amplitude-weighted plane a+bx+cy through the phase around its mean phasor.
+    """Is the phase a smooth plane? Amplitude-weighted fit a + b·x + c·y to the residual phase.
 
-    Pixels above 0.2 of the largest amplitude. Returns spread, r2, phase_range, n_px per key.
+    Uses pixels above 0.2 of the largest amplitude, with the mean phasor subtracted. The 3x3 normal
+    equations are sums, so the fit is two aggregations. Returns spread, r2, phase_range, n_px.
     """
+    keys = list(keys)
     amp = F.sqrt(F.col(re) * F.col(re) + F.col(im) * F.col(im))
     j = frame_stats(df.withColumn("_a", amp), {"_top": F.max("_a")}, keys)
-    s = j.filter(F.col("_a") > F.col("_top") * 0.2)
-    s = frame_stats(s, {"_mr": F.sum(re), "_mi": F.sum(im)}, keys)
-    base = F.atan2("_mi", "_mr")
-    c, sn = F.cos(base), F.sin(base)
-    res = F.atan2(F.col(im) * c - F.col(re) * sn, F.col(re) * c + F.col(im) * sn)
-    s = s.withColumns({"_r": res, "_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")})
-    w = F.col("_a")
-
-    def m(*cs):
-        e = w
-        for q in cs:
-            e = e * F.col(q)
-        return F.sum(e)
+    s = frame_stats(j.filter(F.col("_a") > F.col("_top") * 0.2), {"_gr": F.avg(re), "_gi": F.avg(im)}, keys)
+    s = s.withColumns(
+        {
+            "_r": F.atan2(F.col(im) - F.col("_gi"), F.col(re) - F.col("_gr")),
+            "_x": F.col("x").cast("double"), "_y": F.col("y").cast("double"),
+        }
+    )
+
+    def m(*cols):
+        term = F.col("_a")
+        for c in cols:
+            term = term * F.col(c)
+        return F.sum(term)
 
     fit = s.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(w).alias("s1"), m("_x").alias("sx"), m("_y").alias("sy"),
+        F.count(F.lit(1)).alias("n"), F.max("height").alias("h"), F.max("width").alias("w"),
+        F.sum(re).alias("zr"), F.sum(im).alias("zi"), m().alias("s1"), m("_x").alias("sx"), m("_y").alias("sy"),
         m("_x", "_x").alias("sxx"), m("_x", "_y").alias("sxy"), m("_y", "_y").alias("syy"),
-        m("_r").alias("sr"), m("_x", "_r").alias("sxr"), m("_y", "_r").alias("syr"), m("_r", "_r").alias("srr"),
+        m("_r").alias("sr"), m("_x", "_r").alias("sxr"), m("_y", "_r").alias("syr"),
     )
-
-    def det(a):
-        (a1, a2, a3), (b1, b2, b3), (c1, c2, c3) = [[F.col(v) for v in row] for row in a]
-        return a1 * (b2 * c3 - b3 * c2) - a2 * (b1 * c3 - b3 * c1) + a3 * (b1 * c2 - b2 * c1)
-
-    d = det([["s1", "sx", "sy"], ["sx", "sxx", "sxy"], ["sy", "sxy", "syy"]])
     fit = fit.withColumns(
         {
-            "_d": d,
-            "_da": det([["sr", "sx", "sy"], ["sxr", "sxx", "sxy"], ["syr", "sxy", "syy"]]),
-            "_db": det([["s1", "sr", "sy"], ["sx", "sxr", "sxy"], ["sy", "syr", "syy"]]),
-            "_dc": det([["s1", "sx", "sr"], ["sx", "sxx", "sxr"], ["sy", "sxy", "syr"]]),
+            "d": _det3([["s1", "sx", "sy"], ["sx", "sxx", "sxy"], ["sy", "sxy", "syy"]]),
+            "da": _det3([["sr", "sx", "sy"], ["sxr", "sxx", "sxy"], ["syr", "sxy", "syy"]]),
+            "db": _det3([["s1", "sr", "sy"], ["sx", "sxr", "sxy"], ["sy", "syr", "syy"]]),
+            "dc": _det3([["s1", "sx", "sr"], ["sx", "sxx", "sxr"], ["sy", "sxy", "syr"]]),
         }
     )
-    good = (F.col("n") >= 8) & (F.abs(F.col("_d")) >= 1e-9)
-    for k in ("a", "b", "c"):
-        fit = fit.withColumn(f"_k{k}", F.when(good, F.try_divide(f"_d{k}", "_d")))
-    second = s.join(fit.select(*keys, "n", "_ka", "_kb", "_kc", "s1", "sr", "srr"), list(keys))
-    plane = F.col("_ka") + F.col("_kb") * F.col("_x") + F.col("_kc") * F.col("_y")
-    out = second.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.max("_ka").alias("_ka"), F.max("s1").alias("s1"), F.max("sr").alias("sr"), F.max("srr").alias("srr"),
-        F.sum(w * (F.col("_r") - plane) * (F.col("_r") - plane)).alias("_sse"),
-        F.max(plane).alias("_hi"), F.min(plane).alias("_lo"),
+    solvable = (F.col("n") >= 8) & (F.abs("d") >= 1e-9)
+    fit = fit.withColumns({k: F.when(solvable, F.try_divide(f"d{k}", "d")) for k in ("a", "b", "c")})
+    second = s.join(fit.select(*keys, "a", "b", "c", (F.col("sr") / F.col("s1")).alias("rbar")), keys)
+    off = F.col("_r") - (F.col("a") + F.col("b") * F.col("_x") + F.col("c") * F.col("_y"))
+    dev = F.col("_r") - F.col("rbar")
+    err = second.groupBy(*keys).agg(
+        F.sum(F.col("_a") * off * off).alias("ssr"), F.sum(F.col("_a") * dev * dev).alias("sst")
     )
-    var = F.col("srr") - F.col("sr") * F.col("sr") / F.col("s1")
     few = F.col("n") < 8
-    spread = F.when(few, 0.0).otherwise(F.sqrt(F.greatest(var / F.col("s1"), F.lit(0.0))))
-    r2 = F.when(F.col("_ka").isNull() | (var <= 0), F.lit(0.0)).otherwise(F.lit(1.0) - F.col("_sse") / var)
-    return out.select(
-        *keys, spread.alias("spread"), r2.alias("r2"),
-        F.coalesce(F.col("_hi") - F.col("_lo"), F.lit(0.0)).alias("phase_range"),
-        F.when(few, F.lit(0)).otherwise(F.col("n")).cast("bigint").alias("n_px"),
+    spread = F.sqrt(F.log(resultant(F.col("zr"), F.col("zi"), F.col("s1"))) * -2.0)
+    r2 = F.greatest(F.lit(1.0) - F.try_divide("ssr", F.when(F.col("sst") > 0, F.col("sst"))), F.lit(0.0))
+    reach = F.abs("b") * (F.col("w") - 1.0) + F.abs("c") * (F.col("h") - 1.0)
+    return fit.join(err, keys).select(
+        *keys, F.when(few, 0.0).otherwise(spread).alias("spread"),
+        F.coalesce(r2, F.lit(0.0)).alias("r2"), F.coalesce(reach, F.lit(0.0)).alias("phase_range"),
+        F.col("n").alias("n_px"),
     )
 
 
