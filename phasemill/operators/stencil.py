@@ -58,11 +58,11 @@ def scatter_spans(
     k = [*keys, *SIZE]
     rows = df.select(*k, "y", "x", *values, F.explode(_span_array(spans)).alias("_s")).select(
         *k, (F.col("y") + F.col("_s.dy")).cast("int").alias("y"),
-        F.greatest(F.col("x") + F.col("_s.lo"), F.lit(0)).alias("_lo"),
-        F.least(F.col("x") + F.col("_s.hi"), F.col("width") - 1).alias("_hi"), *values,
+        F.greatest(F.col("x") + F.col("_s.lo"), F.lit(0)).cast("int").alias("_lo"),
+        F.least(F.col("x") + F.col("_s.hi"), F.col("width") - 1).cast("int").alias("_hi"), *values,
     )
     rows = rows.filter("y >= 0 AND y < height AND _lo <= _hi").repartition(*keys, "y")
-    return rows.select(*k, "y", F.explode(F.sequence("_lo", "_hi")).cast("int").alias("x"), *values)
+    return rows.select(*k, "y", F.explode(F.sequence("_lo", "_hi")).alias("x"), *values)
 
 
 def in_frame_count(spans: Sequence[Span]) -> Column:
