@@ -1,34 +1,77 @@
 """Connected components of pixel masks, for all recordings at once.
 
-Pixels are first merged into horizontal runs with one window per image row, so the graph that is
-iterated has one node per run. The graph is contracted by alternating large-star and small-star
-steps (min-label joins); the rounds needed grow with the logarithm of a component's size.
+Pixels are first merged into horizontal runs with one window per image row, so the graph has one node
+per run. Keys whose run graph is of a checked, bounded size are resolved in one grouped pass; larger
+ones are contracted by alternating large-star and small-star steps (min-label joins), whose rounds
+grow with the logarithm of a component's size. Both give the same roots.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phasemill.operators.blocks import index_rows
 from phasemill.operators.stencil import SIZE
 from phasemill.session import cut
 
 REC = ["rec_id"]
-
-
-def star_roots(edges: DataFrame, keys: Sequence[str], max_rounds: int = 64) -> DataFrame:
+GROUP_EDGES = 500_000  # run-graph edges one task may hold for a key
+
+
+def _merge_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Node ids and the smallest id each is connected to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ia, ib = at[: len(a)], at[len(a):]
+    lab = np.arange(len(nodes))
+    while True:
+        low = np.minimum(lab[ia], lab[ib])
+        new = lab.copy()
+        np.minimum.at(new, lab[ia], low)
+        np.minimum.at(new, lab[ib], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, lab):
+            return nodes, nodes[lab]
+        lab = new
+
+
+def graph_roots(edges: DataFrame, keys: Sequence[str], group_edges: int = GROUP_EDGES) -> DataFrame:
     """Smallest node id of the component of every node that has an edge.
 
     `edges` has the key columns and two BIGINT node ids `a`, `b`. Returns (keys, node, root).
     """
     keys = list(keys)
+    e = cut(edges.filter("a <> b").select(*keys, "a", "b"))
+    sizes = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    big = sizes.filter(F.col("_n") > group_edges).select(*keys)
+    any_big = bool(big.limit(1).take(1))
+    small = e.join(big, keys, "left_anti") if any_big else e
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, root = _merge_labels(pdf["a"].to_numpy(), pdf["b"].to_numpy())
+        out = {k: [pdf[k].iloc[0]] * len(node) for k in keys}
+        return pd.DataFrame({**out, "node": node, "root": root})
+
+    schema = T.StructType(
+        [e.schema[k] for k in keys] + [T.StructField("node", T.LongType()), T.StructField("root", T.LongType())]
+    )
+    out = small.groupBy(*keys).applyInPandas(resolve, schema)
+    if any_big:
+        out = out.unionByName(star_roots(e.join(big, keys, "left_semi"), keys))
+    return out
+
+
+def star_roots(edges: DataFrame, keys: Sequence[str], max_rounds: int = 64) -> DataFrame:
+    """`graph_roots` for keys of any size, by joins alone."""
+    keys = list(keys)
     e = cut(
-        edges.filter("a <> b")
-        .select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
+        edges.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
 
     def tips(df, node, other):
@@ -85,7 +128,8 @@ def _runs(mask: DataFrame, keys: Sequence[str], same: Sequence[str] = ()) -> Dat
 
 
 def component_roots(
-    mask: DataFrame, conn: int = 4, keys: Sequence[str] = REC, same: Sequence[str] = ()
+    mask: DataFrame, conn: int = 4, keys: Sequence[str] = REC, same: Sequence[str] = (),
+    group_edges: int = GROUP_EDGES,
 ) -> DataFrame:
     """Every set pixel with `root`, the scan position of the first pixel of its component.
 
@@ -115,18 +159,18 @@ def component_roots(
             .select(*[F.col(f"p.{c}").alias(c) for c in keys], "a", "b").distinct()
         )
         edges = edges.union(diag)
-    roots = star_roots(edges, keys)
+    roots = graph_roots(edges, keys, group_edges)
     out = runs.join(roots, [*keys, "node"], "left")
     return out.withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
 def label_components(
     mask: DataFrame, conn: int = 4, keys: Sequence[str] = REC, order: str = "row",
-    same: Sequence[str] = (), name: str = "label",
+    same: Sequence[str] = (), name: str = "label", group_edges: int = GROUP_EDGES,
 ) -> DataFrame:
     """Labels 1..N per key in first-encounter order of a row-wise or column-wise scan."""
     keys = list(keys)
-    px = component_roots(mask, conn, keys, same)
+    px = component_roots(mask, conn, keys, same, group_edges)
     first = (
         F.min(F.struct(F.col("y").alias("_a"), F.col("x").alias("_b")))
         if order == "row"
