@@ -1,4 +1,4 @@
 """The registered queries."""
 
-from phasemill.catalog import frames, projection, rasters, scalars  # noqa: F401
+from phasemill.catalog import frames, lakes, projection, quality, rasters, scalars  # noqa: F401
 from phasemill.catalog.registry import ORACLES, QUERIES  # noqa: F401

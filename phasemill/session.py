@@ -20,6 +20,7 @@ def local_session(cores: str | int = "8", partitions: int = 8, memory: str = "12
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
