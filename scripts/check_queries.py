@@ -1,10 +1,13 @@
-"""Run registered queries against their SQL twins: python tools_check.py [name-prefix ...]"""
+"""Run registered queries against their SQL twins: python scripts/check_queries.py [name-prefix ...]"""
 
 import math
 import sys
 import time
+from pathlib import Path
 
-import duckdb
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+import duckdb  # noqa: E402
 
 from phasemill.catalog import ORACLES, QUERIES
 from phasemill.session import local_session
