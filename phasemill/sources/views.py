@@ -26,8 +26,12 @@ def direction_name(number: Column) -> Column:
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples: one pixel row per (direction, cycle, frame in cycle)."""
+    return trace_of(table(spark, sf_dir, "embeddings"))
+
+
+def trace_of(embeddings: DataFrame) -> DataFrame:
     px = F.expr("vec_id div 4")
-    e = table(spark, sf_dir, "embeddings").select(
+    e = embeddings.select(
         F.expr("(vec_id div 4) div 125").alias("rec_id"),
         direction_name(F.col("vec_id") % 4).alias("direction"),
         F.floor((px % 125) / 25).cast("int").alias("y"),
@@ -44,13 +48,17 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def movie_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A camera movie, one image row per record, laid out as 16 blocks of 16 frames at 10 Hz."""
-    t = trace(spark, sf_dir)
+def movie_frame_index() -> Column:
     d = F.when(F.col("direction") == "azi_fwd", 0)
     for i in (1, 2, 3):
         d = d.when(F.col("direction") == DIRECTIONS[i], i)
-    idx = (d * 64 + F.col("cycle") * 16 + F.col("k")).cast("bigint")
+    return (d * 64 + F.col("cycle") * 16 + F.col("k")).cast("bigint")
+
+
+def movie_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A camera movie, one image row per record, laid out as 16 blocks of 16 frames at 10 Hz."""
+    t = trace(spark, sf_dir)
+    idx = movie_frame_index()
     cell = F.struct("x", F.round("v").cast("int").alias("p"))
     rows = t.groupBy("rec_id", idx.alias("frame_idx"), "y", "height", "width").agg(
         F.array_sort(F.collect_list(cell)).alias("c")  # one image row: bounded by the sensor width
