@@ -7,7 +7,7 @@ from phasemill.catalog.registry import query
 from phasemill.catalog.regions import smooth
 from phasemill.functions.columns import r6
 from phasemill.operators import areas, refine
-from phasemill.operators.stencil import box3, cross
+from phasemill.operators.stencil import box3
 from phasemill.sources import views
 
 PX = ["rec_id", "y", "x"]
@@ -91,18 +91,6 @@ def _(spark, d):
     return refine.impose_minima(r, "v", "at").select(*PX, F.col("level"))
 
 
-def _cov_sql():
-    k = "rec_id, label"
-    fill = sm.fill
-    return f"""WITH s AS (SELECT rec_id, label, alt, azi, v AS j, avg(v) OVER (PARTITION BY rec_id, label) AS mj FROM v_raster WHERE label > 0),
-      k AS (SELECT * FROM s WHERE sign(j) = sign(mj) AND j <> 0),
-      c AS MATERIALIZED (SELECT DISTINCT rec_id, label, 181 AS height, 181 AS width, CAST(round(alt) + 90 AS INTEGER) AS y, CAST(round(azi) + 90 AS INTEGER) AS x FROM k),
-      f AS MATERIALIZED (SELECT * FROM {fill("c", k)}), g AS MATERIALIZED (SELECT * FROM {sm.erode(sm.dilate("f", cross(1), k), cross(1), False, k)}),
-      h AS MATERIALIZED (SELECT * FROM {fill("g", k)})
-      SELECT a.rec_id, a.label AS patch, round(a.jc, 6) + 0.0 AS jac_coverage, CAST(count(*) AS DOUBLE) AS actual_coverage
-      FROM (SELECT rec_id, label, sum(abs(j)) / 4.0 AS jc FROM k GROUP BY ALL) a JOIN h USING (rec_id, label) GROUP BY a.rec_id, a.label, a.jc"""
-
-
 @query("coverage")
 def _(spark, d):
     p = views.raster(spark, d).filter("label > 0").withColumnRenamed("label", "patch")
@@ -132,3 +120,12 @@ def _(spark, d):
         close_n=1, box=3, min_px=4,
     )
     return out.select(*PX, "patch", "sign")
+
+
+@query("split_fuse")
+def _(spark, d):
+    s = smooth(spark, d)
+    frame = views.raster(spark, d)
+    mask = s.filter("abs(vfs_smooth) > 0.02").select("rec_id", "height", "width", "y", "x")
+    p = areas.extract_patches(mask, s, open_n=0, close_n=1, dilation=1, min_px=4)
+    return refine.split_fuse(p, frame, azi="azi", alt="alt", um_per_pixel=500.0, opening_radius=1, smooth_sigma=1.0).select(*PX, "patch", "sign")

@@ -70,7 +70,7 @@ def patch_threshold(
 # ---- patches ------------------------------------------------------------------------------------------
 
 
-def _pairs_on(rows: DataFrame, at: Sequence[str], patch: str) -> DataFrame:
+def pairs_on(rows: DataFrame, at: Sequence[str], patch: str) -> DataFrame:
     """(rec_id, a, b) for each place covered by two patches; few patches meet at one place."""
     met = rows.groupBy("rec_id", *at).agg(F.collect_set(patch).alias("_p")).filter(F.size("_p") > 1)
     return met.select("rec_id", F.explode("_p").alias("a"), "_p").select(
@@ -86,12 +86,12 @@ def adjacent_patches(patches: DataFrame, width: int, patch: str = "patch") -> Da
     if width < 2:
         raise ValueError("width must be at least 2")
     wide = mo.dilate(patches, "cross", width - 1, ["rec_id", patch])
-    return _pairs_on(wide, ["y", "x"], patch).distinct()
+    return pairs_on(wide, ["y", "x"], patch).distinct()
 
 
 def patch_overlap(projected: DataFrame, patch: str = "patch") -> DataFrame:
     """Number of visual-space cells each pair of patches shares."""
-    return _pairs_on(projected, ["y", "x"], patch).groupBy("rec_id", "a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
+    return pairs_on(projected, ["y", "x"], patch).groupBy("rec_id", "a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 def raw_patch_mask(mask: DataFrame, open_n: int, close_n: int) -> DataFrame:

@@ -85,12 +85,22 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, fractions: dict
 
 def hazen(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str = "q") -> DataFrame:
     """Linear interpolation through the points ((k−½)/n, x_k), clamped at both ends."""
+    return hazen_many(df, keys, value, {name: p})
 
-    def pos(n):  # 0-based fractional position
+
+def hazen_many(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float]) -> DataFrame:
+    def pos(n, p):  # 0-based fractional position
         return F.greatest(F.lit(0.0), F.least(n - 1.0, n * p - 0.5))
 
-    s = order_statistics(
-        df, keys, value, {"_a": (p, lambda n: F.floor(pos(n))), "_b": (p, lambda n: F.ceil(pos(n)))}
-    )
-    t = pos(F.col("n")) - F.floor(pos(F.col("n")))
-    return s.select(*keys, "n", (F.col("_a") + (F.col("_b") - F.col("_a")) * t).alias(name))
+    picks: dict[str, Rank] = {}
+    for name, p in fractions.items():
+        picks[f"_a_{name}"] = (p, lambda n, p=p: F.floor(pos(n, p)))
+        picks[f"_b_{name}"] = (p, lambda n, p=p: F.ceil(pos(n, p)))
+    s = order_statistics(df, keys, value, picks)
+
+    def between(name, p):
+        t = pos(F.col("n"), p) - F.floor(pos(F.col("n"), p))
+        a, b = F.col(f"_a_{name}"), F.col(f"_b_{name}")
+        return (a + (b - a) * t).alias(name)
+
+    return s.select(*keys, "n", *[between(n, p) for n, p in fractions.items()])

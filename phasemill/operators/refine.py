@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.functions.columns import ecc_alt, finite
-from phasemill.operators import areas, stencil
+from phasemill.operators import areas, maps, quantiles, stats, stencil
 from phasemill.operators import components as cc
 from phasemill.operators import morphology as mo
 from phasemill.operators.stencil import REC, SIZE, box3, cross, scatter_spans
@@ -132,12 +132,17 @@ def basin_lines(df: DataFrame, elevation: str, conn: int = 4, keys: Sequence[str
     keys = list(keys)
     minima = cc.label_components(regional_minima(df, elevation, conn, keys), conn, keys, "col", name="_m")
     seeded = df.join(minima.select(*keys, "y", "x", "_m"), [*keys, "y", "x"], "left")
-    b = basin_assign(seeded, elevation, "_m", conn, keys)
+    b = cut(basin_assign(seeded, elevation, "_m", conn, keys))
+    return mark_divides(b, conn, keys)
+
+
+def mark_divides(basins: DataFrame, conn: int, keys: Sequence[str]) -> DataFrame:
+    """Set `basin` to 0 where two basins had arrived next to a pixel before its own turn."""
     turn = F.struct("level", "hops", "y", "x")
-    near = scatter_spans(b.withColumn("_t", turn), _ring(conn), keys, ["_t", "basin"])
-    j = near.join(b.select(*keys, "y", "x", turn.alias("_own")), [*keys, "y", "x"]).filter("_t < _own")
+    near = scatter_spans(basins.withColumn("_t", turn), _ring(conn), keys, ["_t", "basin"])
+    j = near.join(basins.select(*keys, "y", "x", turn.alias("_own")), [*keys, "y", "x"]).filter("_t < _own")
     line = j.groupBy(*keys, "y", "x").agg(F.min("basin").alias("_a"), F.max("basin").alias("_b")).filter("_a <> _b")
-    out = b.join(line.select(*keys, "y", "x", F.lit(True).alias("_line")), [*keys, "y", "x"], "left")
+    out = basins.join(line.select(*keys, "y", "x", F.lit(True).alias("_line")), [*keys, "y", "x"], "left")
     return out.withColumn("basin", F.when(F.col("_line"), F.lit(0)).otherwise(F.col("basin"))).drop("_line")
 
 
@@ -359,3 +364,173 @@ def split_merge(
     big = two.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_px).select(*pk)
     kept = two.join(big, pk, "left_semi")
     return kept.unionByName(patches.select(*_px(pk), "sign").join(noisy, REC, "left_semi"))
+
+
+# ---- split and fuse ------------------------------------------------------------------------------------
+
+# Fixed values of the procedure
+SPLIT_RADIUS, KEEP_RADIUS = 30.0, 35.0
+OVER_SPLIT, OVER_DROP, NEGLIGIBLE, FUSE_OVERLAP = 0.999, 1.05, 0.01, 0.1
+LEVEL_FRACTIONS = {f"q{p}": p / 100.0 for p in range(2, 91, 10)}
+
+
+def _fracture(patches: DataFrame, centre: DataFrame) -> DataFrame:
+    """Replace each patch whose centre part falls into pieces by the basins of those pieces."""
+    pk = ["rec_id", "patch"]
+    core = cut(mo.opening(centre.select(*_px(pk)), "cross", 1, pk))
+    seeds = cut(cc.label_components(core, 4, pk, name="_seed"))
+    torn = seeds.groupBy(*pk).agg(F.max("_seed").alias("_k")).filter("_k >= 2").select(*pk)
+    todo = cut(patches.select(*_px(pk)).join(torn, pk, "left_semi"))
+    if not todo.take(1):
+        return patches.select(*_px(pk))
+    dims = todo.select(*pk, *SIZE).distinct()
+    dist = mo.distance_to(core.join(torn, pk, "left_semi"), dims, pk)
+    room = mo.dilate(todo, "cross", 1, pk)
+    field = room.join(dist.select(*pk, "y", "x", "dist"), [*pk, "y", "x"]).join(
+        seeds.select(*pk, "y", "x", "_seed"), [*pk, "y", "x"], "left"
+    )
+    basins = cut(basin_assign(field, "dist", "_seed", 4, pk).filter("basin IS NOT NULL"))
+    inner = mark_divides(basins, 4, pk).filter("basin > 0").select(*_px(pk))
+    return patches.select(*_px(pk)).join(torn, pk, "left_anti").union(mo.erode(inner, "cross", 1, pk))
+
+
+def _relabel(px: DataFrame) -> DataFrame:
+    return cut(cc.label_components(cut(px.select(*_px(REC)).distinct()), 4, REC, "col", name="patch"))
+
+
+def local_minimum_centres(patches: DataFrame, distance: str, far: float) -> DataFrame:
+    """Parts of each patch around the separate minima of a terraced distance map."""
+    pk = ["rec_id", "patch"]
+    q = quantiles.hazen_many(patches, pk, distance, LEVEL_FRACTIONS)
+    j = patches.join(q, pk)
+    names = list(LEVEL_FRACTIONS)
+    v = F.col(distance)
+    level = F.lit(0)
+    on_edge = F.lit(False)
+    for n in names:
+        level = level + F.when(v > F.col(n), 1).otherwise(0)
+        on_edge = on_edge | (v == F.col(n))
+    j = j.withColumn("_bin", F.when(~on_edge, level))
+    mean = j.filter("_bin IS NOT NULL").groupBy(*pk, "_bin").agg(F.avg(distance).alias("_m"))
+    terr = j.join(mean, [*pk, "_bin"], "left").select(*_px(pk), F.coalesce("_m", distance).alias("_d"))
+    top = terr.groupBy(*pk).agg(F.max("_d").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    ring = mo.dilate(terr, "disk", 7, pk)  # as far as the opening and the median can look
+    wide = ring.join(terr.select(*pk, "y", "x", "_d"), [*pk, "y", "x"], "left").join(top, pk)
+    flat = stencil.grey_open(wide.withColumn("_d", F.coalesce("_d", "_top")), "_d", 3, pk)
+    inside = terr.select(*pk, "y", "x", F.lit(True).alias("_in"))
+    rad = flat.join(inside, [*pk, "y", "x"], "left").select(
+        *_px(pk), F.when(F.col("_in"), F.col("_d")).otherwise(F.lit(far)).alias("_d")
+    )
+    rad = cut(stencil.median3x3_grey(rad, "_d", pk).join(inside, [*pk, "y", "x"], "left"))
+    low = mo.mask_and(regional_minima(rad.drop("_in"), "_d", 8, pk), rad.filter("_in"), pk)
+    # the radius of the dilation grows with the patch, so patches are widened class by class
+    low = cut(low.join(top.select(*pk, F.round(F.sqrt("_n") / 20.0).cast("int").alias("_r")), pk))
+    marks = low.filter("_r = 0").select(*_px(pk))
+    for (r,) in low.filter("_r > 0").select("_r").distinct().orderBy("_r").collect():  # a few radii
+        marks = marks.union(mo.dilate(low.filter(F.col("_r") == r), "disk", r, pk))
+    marks = mo.mask_and(marks.distinct(), terr, pk)
+    seeds = cut(cc.label_components(cut(marks), 4, pk, name="_seed"))
+    field = rad.filter("_in").join(seeds.select(*pk, "y", "x", "_seed"), [*pk, "y", "x"], "left")
+    basins = cut(basin_assign(field, "_d", "_seed", 8, pk).filter("basin IS NOT NULL"))
+    return mark_divides(basins, 8, pk).filter("basin > 0").select(*_px(pk))
+
+
+def split_fuse(
+    patches: DataFrame, frame: DataFrame, *, azi: str = "azi_deg", alt: str = "alt_deg", um_per_pixel: float = 20.0,
+    opening_radius: int = 10, smooth_sigma: float = 2.0, max_rounds: int = 100,
+) -> DataFrame:
+    """Limit areas to the central field, split those that represent it twice, drop redundant ones, fuse fragments.
+
+    Works at the native resolution, with a wrapped Gaussian for the smoothed position maps.
+    """
+    pk, ppm = ["rec_id", "patch"], 1000.0 / um_per_pixel
+    guard = cc.patch_count_guard(patches.select(*pk).distinct(), areas.NOISE_PATCHES)
+    noisy = guard.filter("noisy").select("rec_id").distinct()
+    calm = patches.join(noisy, REC, "left_anti")
+    pos = frame.select(*_px(REC), azi, alt)
+    im = cut(calm.select(*_px(REC)).distinct())
+    labelled = pos.join(im.select("rec_id", "y", "x", F.lit(1).alias("_on")), ["rec_id", "y", "x"], "left").withColumn(
+        "_on", F.coalesce("_on", F.lit(0))
+    )
+    ref = areas.v1_center_pixel_sample(labelled, alt, azi, "_on", opening_radius)
+    soft = stencil.gaussian_smooth(pos, [azi, alt], smooth_sigma, border="wrap")
+    g = stencil.gradient(soft, [azi, alt])
+    jac = (F.col(f"{azi}_dx") * F.col(f"{alt}_dy") - F.col(f"{alt}_dx") * F.col(f"{azi}_dy")) * (ppm * ppm)
+    info = g.select("rec_id", "y", "x", F.col(azi).alias("_z"), F.col(alt).alias("_a"), jac.alias("_j")).join(
+        pos.select("rec_id", "y", "x", azi, alt), ["rec_id", "y", "x"]
+    ).join(ref, REC, "left")
+    ecc = F.coalesce(ecc_alt(alt, azi, "alt_c", "azi_c"), F.lit(0.0))
+    info = cut(info.select("rec_id", "y", "x", "_z", "_a", "_j", azi, alt, ecc.alias("_ecc")))
+
+    def placed(px):
+        return px.join(info, ["rec_id", "y", "x"])
+
+    cur = _relabel(mo.erode(mo.opening(im, "cross", 1), "cross", 1))
+    # pass 1: the part within 30 degrees
+    cur = _relabel(_fracture(cur, placed(cur).filter(F.col("_ecc") < SPLIT_RADIUS)))
+    # pass 2: patches that cover their field more than once
+    near = cut(placed(cur).filter(F.col("_ecc") < SPLIT_RADIUS))
+    stats_, _ = coverage(near, "_z", "_a", "_j", ppm)
+    twice = stats_.filter(F.col("jac_coverage") > F.col("actual_coverage") * OVER_SPLIT).select(*pk)
+    over = cut(near.join(twice, pk, "left_semi"))
+    if over.take(1):
+        mz = quantiles.median(over, pk, azi, "_hc").drop("n")
+        ma = quantiles.median(over, pk, alt, "_vc").drop("n")
+        away = over.join(mz, pk).join(ma, pk)
+        dz, da = F.col(azi) - F.col("_hc"), F.col(alt) - F.col("_vc")
+        away = cut(away.select(*_px(pk), F.sqrt(dz * dz + da * da).alias("_far")))
+        cur = _relabel(_fracture(cur, local_minimum_centres(away, "_far", SPLIT_RADIUS)))
+    # pass 3: redundant or negligible patches
+    wide = cut(placed(cur).filter(F.col("_ecc") < KEEP_RADIUS))
+    stats_, _ = coverage(wide, "_z", "_a", "_j", ppm)
+    whole = 3.141592653589793 * KEEP_RADIUS * KEEP_RADIUS
+    keep = stats_.filter(
+        (F.col("jac_coverage") <= F.col("actual_coverage") * OVER_DROP) & (F.col("jac_coverage") / whole >= NEGLIGIBLE)
+    ).select(*pk)
+    cur = cut(cur.join(keep, pk, "left_semi"))
+    cur = _fuse(cur, info, azi, alt, frame, ppm, max_rounds)
+    sign = maps.field_sign_from_positions(pos, azi, alt)
+    out = areas.sign_patches(cur.select(*_px(REC)), sign, "sign").select(*_px(pk), "sign")
+    return out.unionByName(patches.select(*_px(pk), "sign").join(noisy, REC, "left_semi"))
+
+
+def _fuse(cur: DataFrame, info: DataFrame, azi: str, alt: str, frame: DataFrame, ppm: float, max_rounds: int) -> DataFrame:
+    """Unite touching patches of one sign that share little of the visual field, least overlap first."""
+    pk, ab = ["rec_id", "patch"], ["rec_id", "a", "b"]
+    sign = cut(maps.field_sign_from_positions(frame.select(*_px(REC), azi, alt), azi, alt).select("rec_id", "y", "x", "sign"))
+    for _ in range(max_rounds):
+        if not cur.take(1):
+            return cur
+        s = cut(stats.area_stats(cur.join(sign.withColumnRenamed("sign", "_v"), ["rec_id", "y", "x"]), "_v", "patch"))
+        wide = mo.dilate(cur, "disk", 1, pk).join(info, ["rec_id", "y", "x"])
+        _, cells = coverage(wide, "_z", "_a", "_j", ppm)
+        n = cells.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n"))
+        touch = areas.pairs_on(mo.dilate(cur, "disk", 3, pk), ["y", "x"], "patch").distinct()
+        shared = areas.patch_overlap(cells)
+
+        def end(df, side, col):
+            return df.select("rec_id", F.col("patch").alias(side), F.col(col).alias(f"_{col}_{side}"))
+
+        c = touch.join(shared, ab, "left")
+        for side in ("a", "b"):
+            c = c.join(end(s, side, "sign"), ["rec_id", side]).join(end(n, side, "_n"), ["rec_id", side], "left")
+        small = F.least(F.coalesce("__n_a", F.lit(0)), F.coalesce("__n_b", F.lit(0)))
+        ratio = F.when(small > 0, F.coalesce("n_shared", F.lit(0)) / small).otherwise(0.0)
+        c = c.filter("_sign_a = _sign_b").select(*ab, ratio.alias("ratio"), (-small).alias("neg_area"))
+        chosen = cut(greedy_pairs(c.filter(F.col("ratio") < FUSE_OVERLAP)))
+        if not chosen.take(1):
+            return cur
+        ends = chosen.select(*ab, F.explode(F.array("a", "b")).alias("patch"))
+        pair = cur.join(ends, pk)
+        union = cut(mo.closing(pair.select(*ab, *SIZE, "y", "x"), "disk", 5, ab))
+        # keep clear of every other patch: a pixel within reach of a patch that is not one of the two
+        guard = mo.dilate(cur, "disk", 1, pk).select("rec_id", "y", "x", "patch")
+        clash = union.join(guard, ["rec_id", "y", "x"]).filter("patch <> a AND patch <> b").select(*ab, "y", "x").distinct()
+        fused = union.join(clash, [*ab, "y", "x"], "left_anti").select(*_px(REC))
+        rest = cur.join(ends.select(*pk), pk, "left_anti").select(*_px(REC))
+        before = cur.select(*pk).distinct().count()
+        new = _relabel(mo.opening(cut(rest.union(fused).distinct()), "cross", 1))
+        if new.select(*pk).distinct().count() >= before:
+            return new  # nothing grew together, so another round would choose the same pairs
+        cur = new
+    raise RuntimeError("fusing did not settle")
