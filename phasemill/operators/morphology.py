@@ -136,19 +136,20 @@ def _thin_once(mask: DataFrame, removable: Sequence[int], keys: Sequence[str]) -
     rows = []
     for dy in (-1, 0, 1):
         # a pixel at offset (dy, dx) from the centre reaches that centre by the opposite step
-        cells = [F.struct(F.lit(-dx).alias("dx"), F.lit(w).alias("w")) for y, dx, w in RING_WEIGHTS if y == dy]
-        if dy == 0:
-            cells.append(F.struct(F.lit(0).alias("dx"), F.lit(256).alias("w")))
-        rows.append(F.struct(F.lit(-dy).alias("dy"), F.array(*cells).alias("c")))
+        cells = [(-dx, w) for y, dx, w in RING_WEIGHTS if y == dy] + ([(0, 256)] if dy == 0 else [])
+        inner = ", ".join(f"named_struct('dx', {dx}, 'w', {w})" for dx, w in cells)
+        rows.append(f"named_struct('dy', {-dy}, 'c', array({inner}))")
+    k = [*keys, *SIZE]
     spread = (
-        mask.select(*keys, *SIZE, "y", "x", F.explode(F.array(*rows)).alias("_r"))
-        .select(*keys, *SIZE, (F.col("y") + F.col("_r.dy")).cast("int").alias("y"), "x", F.col("_r.c").alias("_c"))
+        mask.selectExpr(*k, "y", "x", f"explode(array({', '.join(rows)})) AS _r")
+        .selectExpr(*k, "CAST(y + _r.dy AS INT) AS y", "x", "_r.c AS _c")
         .repartition(*keys, "y")
-        .select(*keys, *SIZE, "y", "x", F.explode("_c").alias("_c"))
-        .select(*keys, *SIZE, "y", (F.col("x") + F.col("_c.dx")).cast("int").alias("x"), F.col("_c.w").alias("_w"))
+        .selectExpr(*k, "y", "x", "explode(_c) AS _c")
+        .selectExpr(*k, "y", "CAST(x + _c.dx AS INT) AS x", "_c.w AS _w")
     )
-    code = spread.groupBy(*_px(keys)).agg(F.sum("_w").alias("_code"))
-    return code.filter((F.col("_code") >= 256) & ~(F.col("_code") - 256).isin(list(removable))).drop("_code")
+    code = spread.groupBy(*_px(keys)).agg(F.expr("sum(_w) AS _code"))
+    gone = ", ".join(str(c) for c in removable)
+    return code.filter(f"_code >= 256 AND (_code - 256) NOT IN ({gone})").drop("_code")
 
 
 def skeletonize(

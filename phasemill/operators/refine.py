@@ -99,26 +99,37 @@ def basin_assign(df: DataFrame, elevation: str, marker: str, conn: int = 8, keys
     cost = F.struct(
         F.col(elevation).cast("double").alias("level"), F.lit(0).alias("hops"), F.col(marker).cast("bigint").alias("basin")
     )
-    start = df.select(*_px(keys), F.col(elevation).cast("double").alias("_e"), F.when(seeded, cost).alias("_c"))
+    start = df.select(
+        *_px(keys), F.coalesce(F.col(elevation).cast("double"), F.lit(float("nan"))).alias("_e"),
+        F.when(seeded, cost).alias("_c"),
+    )
+
+    offsets = "array(" + ", ".join(f"named_struct('dy', {a}, 'lo', {b}, 'hi', {c})" for a, b, c in _ring(conn)) + ")"
+    # a pixel without a front stays where it is; one with a front also offers it to its neighbours
+    reach = f"explode(if(_c IS NULL, array(named_struct('dy', 0, 'lo', 0, 'hi', 0)), {offsets})) AS _s"
+
+    k = [*keys, *SIZE]
+    rises = "_e > _o.level"
+    taken = (
+        f"named_struct('level', greatest(_o.level, _e), 'hops', if({rises}, 0, _o.hops + 1), 'basin', _o.basin)"
+    )
+    open_ = "_o IS NOT NULL AND NOT isnan(_e) AND abs(_e) < double('inf')"
+    best = f"CASE WHEN {open_} AND _c IS NOT NULL THEN least(_c, {taken}) WHEN {open_} THEN {taken} ELSE _c END AS _c"
 
     def step(cur: DataFrame) -> DataFrame:
-        own = cur.select(*_px(keys), "_e", "_c", F.lit(None).cast(cur.schema["_c"].dataType).alias("_o"))
-        offers = scatter_spans(cur.filter("_c IS NOT NULL").select(*_px(keys), "_c"), _ring(conn), keys, ["_c"])
-        offers = offers.select(
-            *_px(keys), F.lit(None).cast("double").alias("_e"), F.lit(None).cast(cur.schema["_c"].dataType).alias("_c"),
-            F.col("_c").alias("_o"),
-        )
-        g = own.unionByName(offers).groupBy(*_px(keys)).agg(
-            F.max("_e").alias("_e"), F.max("_c").alias("_c"), F.min("_o").alias("_o"), F.count("_e").alias("_in")
-        ).filter("_in > 0")  # offers outside the mask have no elevation row
-        rises = F.col("_e") > F.col("_o.level")
-        taken = F.struct(
-            F.greatest(F.col("_o.level"), F.col("_e")).alias("level"),
-            F.when(rises, 0).otherwise(F.col("_o.hops") + 1).alias("hops"), F.col("_o.basin").alias("basin"),
+        return (
+            cur.selectExpr(*k, "y", "x", "_e", "_c", reach)
+            .selectExpr(*k, "y + _s.dy AS y", "x", "_s", "_e", "_c").filter("y >= 0 AND y < height")
+            .repartition(*keys, "y")
+            .selectExpr(*k, "y", "x", "_s.dy AS _dy", "_e", "_c", "explode(sequence(x + _s.lo, x + _s.hi)) AS _x")
+            .selectExpr(
+                *k, "y", "_x AS x", "if(_dy = 0 AND _x = x, _e, NULL) AS _e", "if(_dy = 0 AND _x = x, _c, NULL) AS _c",
+                "if(_dy = 0 AND _x = x, NULL, _c) AS _o",
+            )
+            .groupBy(*_px(keys)).agg(F.expr("max(_e) AS _e"), F.expr("max(_c) AS _c"), F.expr("min(_o) AS _o"))
+            .filter("_e IS NOT NULL")  # offers outside the mask meet no elevation
+            .selectExpr(*_px(keys), "_e", best)
         )
-        ok = F.col("_o").isNotNull() & finite("_e")
-        best = F.when(ok & F.col("_c").isNotNull(), F.least("_c", taken)).when(ok, taken).otherwise(F.col("_c"))
-        return g.select(*_px(keys), "_e", best.alias("_c"))
 
     done = _fixpoint(start, step, F.xxhash64(*keys, "y", "x", "_c.level", "_c.hops", "_c.basin"))
     return done.select(*_px(keys), F.col("_e").alias(elevation), "_c.basin", "_c.level", "_c.hops")

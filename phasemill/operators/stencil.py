@@ -45,24 +45,24 @@ N8 = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 # ---- the two scatter forms ---------------------------------------------------------------------
 
 
-def _span_array(spans: Sequence[Span]) -> Column:
-    return F.array(
-        *[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("lo"), F.lit(c).alias("hi")) for a, b, c in spans]
-    )
+def _span_array(spans: Sequence[Span]) -> str:
+    return "array(" + ", ".join(f"named_struct('dy', {a}, 'lo', {b}, 'hi', {c})" for a, b, c in spans) + ")"
 
 
 def scatter_spans(
     df: DataFrame, spans: Sequence[Span], keys: Sequence[str], values: Sequence[str] = ()
 ) -> DataFrame:
-    """Every pixel copied to its in-frame targets; rows stay partitioned by (keys, y)."""
+    """Every pixel copied to its in-frame targets; rows stay partitioned by (keys, y).
+
+    Written as SQL expressions because iterative operators build it many times over.
+    """
     k = [*keys, *SIZE]
-    rows = df.select(*k, "y", "x", *values, F.explode(_span_array(spans)).alias("_s")).select(
-        *k, (F.col("y") + F.col("_s.dy")).cast("int").alias("y"),
-        F.greatest(F.col("x") + F.col("_s.lo"), F.lit(0)).cast("int").alias("_lo"),
-        F.least(F.col("x") + F.col("_s.hi"), F.col("width") - 1).cast("int").alias("_hi"), *values,
+    rows = df.selectExpr(*k, "y", "x", *values, f"explode({_span_array(spans)}) AS _s").selectExpr(
+        *k, "CAST(y + _s.dy AS INT) AS y", "CAST(greatest(x + _s.lo, 0) AS INT) AS _lo",
+        "CAST(least(x + _s.hi, width - 1) AS INT) AS _hi", *values,
     )
     rows = rows.filter("y >= 0 AND y < height AND _lo <= _hi").repartition(*keys, "y")
-    return rows.select(*k, "y", F.explode(F.sequence("_lo", "_hi")).alias("x"), *values)
+    return rows.selectExpr(*k, "y", "explode(sequence(_lo, _hi)) AS x", *values)
 
 
 def in_frame_count(spans: Sequence[Span]) -> Column:
@@ -76,7 +76,7 @@ def in_frame_count(spans: Sequence[Span]) -> Column:
 
 
 def kernel_array(offsets: Sequence[tuple[int, float]]) -> Column:
-    return F.array(*[F.struct(F.lit(o).alias("o"), F.lit(float(w)).alias("w")) for o, w in offsets])
+    return F.expr("array(" + ", ".join(f"named_struct('o', {o}, 'w', {float(w)!r}D)" for o, w in offsets) + ")")
 
 
 def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
