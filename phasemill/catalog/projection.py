@@ -216,7 +216,7 @@ _MOVIE = """WITH w AS (SELECT rec_id, direction, sweep_idx, CAST(row_number() OV
     "v_movie v_movie_sweeps",
 )
 def _(spark, d):
-    m, _ = project.complex_maps(views.movie_rows(spark, d), views.movie_sweeps(spark, d))
+    m, _ = project.complex_maps(views.stored_movie(spark, d), views.movie_sweeps(spark, d))
     return rounded(m, ["rec_id", "direction", "y", "x"], ["re", "im"])
 
 
@@ -227,7 +227,7 @@ def _(spark, d):
 )
 def _(spark, d):
     m, _ = project.complex_maps(
-        views.movie_rows(spark, d), views.movie_sweeps(spark, d), baseline="rest_median", rectification="half_wave"
+        views.stored_movie(spark, d), views.movie_sweeps(spark, d), baseline="rest_median", rectification="half_wave"
     )
     return rounded(m, ["rec_id", "direction", "y", "x"], ["re", "im"])
 

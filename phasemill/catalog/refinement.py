@@ -125,7 +125,10 @@ def _(spark, d):
 @query("split_fuse")
 def _(spark, d):
     s = smooth(spark, d)
-    frame = views.raster(spark, d)
+    # positions that vary smoothly over the frame, jittered by the data
+    frame = views.raster(spark, d).withColumns(
+        {"azi": F.col("x") * 1.4 + F.col("azi") * 0.02, "alt": F.col("y") * 1.4 + F.col("alt") * 0.02}
+    )
     mask = s.filter("abs(vfs_smooth) > 0.02").select("rec_id", "height", "width", "y", "x")
     p = areas.extract_patches(mask, s, open_n=0, close_n=1, dilation=1, min_px=4)
     return refine.split_fuse(p, frame, azi="azi", alt="alt", um_per_pixel=500.0, opening_radius=1, smooth_sigma=1.0).select(*PX, "patch", "sign")

@@ -97,7 +97,7 @@ def _(spark, d):
 def _(spark, d):
     from phasemill.operators import project
 
-    heads = project.frame_headers(views.movie_rows(spark, d))
+    heads = project.frame_headers(views.stored_movie(spark, d))
     w = tb.number_cycles(tb.cycle_windows(views.movie_sweeps(spark, d), heads))
     px = views.trace_of(st.stream_table(spark, d, "embeddings"))
     px = px.select(

@@ -6,7 +6,6 @@ per cycle in `chunk`. They exist only inside a plan; what is shuffled are partia
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from phasemill.functions.columns import TWO_PI, col, finite, normalize, rectify, safe_div
 from phasemill.operators import quantiles, timebase
 from phasemill.operators.blocks import block_of
+from phasemill.session import cut
 
 REC = ["rec_id"]
 PIX = ["rec_id", "height", "width", "y", "x"]
@@ -306,9 +306,10 @@ def cycle_maps_linear(
     """Per-cycle complex maps without materialising the normalised movie.
 
     Normalisation is affine in v, so it commutes with the Fourier sum:
-    Σ((v−f0)/d)·e = (Σv·e − f0·Σe)/d.
+    Σ((v−f0)/d)·e = (Σv·e − f0·Σe)/d. The sums are written out once, since the baseline, its floor and
+    the maps all read them: the movie itself is scanned a single time.
     """
-    sums = one_scan_sums(rows, sweeps)
+    sums = cut(one_scan_sums(rows, sweeps))
     f0col = F.coalesce("mean_rest", "mean_all") if baseline == "rest_mean" else F.col("mean_all")
     f0 = sums.filter("direction IS NULL").select(*PIX, f0col.alias("f0"))
     base = f0.join(dff_floor(f0), REC).select("rec_id", "y", "x", "f0", "floor")

@@ -69,6 +69,13 @@ def movie_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The movie as a lake holds it: a table, so that headers and pixels are separate pruned scans."""
+    from phasemill.session import cut
+
+    return cut(movie_rows(spark, sf_dir))
+
+
 def movie_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule of `movie_rows`: 12 of every 16 frames are stimulus, the rest is rest."""
     labels = F.array(*[F.lit(s) for s in ("LR", "RL", "TB", "BT")])
