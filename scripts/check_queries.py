@@ -9,9 +9,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import duckdb  # noqa: E402
 
-from phasemill.catalog import ORACLES, QUERIES
-from phasemill.session import local_session
-
 SF = "/root/testdata/sf0.01"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -24,7 +21,7 @@ def cell(v):
     return v
 
 
-def compare(spark, con, name, sf):
+def compare(spark, con, QUERIES, ORACLES, name, sf):
     t0 = time.time()
     df = QUERIES[name](spark, sf)
     cols = sorted(df.columns)
@@ -38,7 +35,10 @@ def compare(spark, con, name, sf):
         return f"COLUMNS {cols} vs {sorted(names)}", dt, False
     at = [names.index(c) for c in cols]
     want = [tuple(cell(r[i]) for i in at) for r in cur.fetchall()]
-    key = lambda r: tuple((x is None, str(type(x)) if x is None else "", x if not isinstance(x, (list, dict)) else str(x)) for x in r)
+
+    def key(r):
+        return tuple((x is None, "" if x is None else x if not isinstance(x, (list, dict)) else str(x)) for x in r)
+
     try:
         a, b = sorted(rows, key=key), sorted(want, key=key)
     except TypeError:
@@ -51,18 +51,26 @@ def compare(spark, con, name, sf):
     return f"DIFF {len(bad)}/{len(a)} cols {cols}: {bad[:3]}", dt, False
 
 
+def connect(folder):
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return con
+
+
 def main():
+    from phasemill.catalog import ORACLES, QUERIES
+    from phasemill.session import local_session
+
     want = sys.argv[1:]
     names = [n for n in QUERIES if not want or any(n.startswith(w) for w in want)]
     spark = local_session()
-    con = duckdb.connect()
-    con.execute("SET TimeZone='UTC'")
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    con = connect(SF)
     bad = 0
     for n in names:
         try:
-            msg, dt, ok = compare(spark, con, n, SF)
+            msg, dt, ok = compare(spark, con, QUERIES, ORACLES, n, SF)
         except Exception as e:  # noqa: BLE001
             msg, dt, ok = "ERROR " + str(e)[:700], 0, False
         bad += not ok
@@ -70,4 +78,5 @@ def main():
     print(f"{len(names)} queries, {bad} bad")
 
 
-main()
+if __name__ == "__main__":
+    main()
