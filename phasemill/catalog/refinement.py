@@ -6,7 +6,7 @@ from phasemill.catalog import sqlmask as sm
 from phasemill.catalog.registry import query
 from phasemill.catalog.regions import smooth
 from phasemill.functions.columns import r6
-from phasemill.operators import areas, refine
+from phasemill.operators import areas, refine, stencil
 from phasemill.operators.stencil import box3
 from phasemill.sources import views
 
@@ -124,11 +124,11 @@ def _(spark, d):
 
 @query("split_fuse")
 def _(spark, d):
-    s = smooth(spark, d)
+    s = stencil.gaussian_smooth(views.raster(spark, d), ["v"], 4.0).withColumnRenamed("v", "vfs_smooth")
     # positions that vary smoothly over the frame, jittered by the data
     frame = views.raster(spark, d).withColumns(
-        {"azi": F.col("x") * 1.4 + F.col("azi") * 0.02, "alt": F.col("y") * 1.4 + F.col("alt") * 0.02}
+        {"azi": F.col("x") + F.col("azi") * 0.005, "alt": F.col("y") + F.col("alt") * 0.005}
     )
-    mask = s.filter("abs(vfs_smooth) > 0.02").select("rec_id", "height", "width", "y", "x")
-    p = areas.extract_patches(mask, s, open_n=0, close_n=1, dilation=1, min_px=4)
+    mask = s.filter("abs(vfs_smooth) > 0.005").select("rec_id", "height", "width", "y", "x")
+    p = areas.sign_patches(mask, s, "vfs_smooth")
     return refine.split_fuse(p, frame, azi="azi", alt="alt", um_per_pixel=500.0, opening_radius=1, smooth_sigma=1.0).select(*PX, "patch", "sign")

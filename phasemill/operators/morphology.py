@@ -87,12 +87,14 @@ def fill_holes(mask: DataFrame, keys: Sequence[str] = REC) -> DataFrame:
     """Background components that do not reach the frame edge become set."""
     keys = list(keys)
     mask = mask.select(*_px(keys))
-    dims = mask.select(*keys, *SIZE).distinct()
-    back = mask_minus(components.frame_pixels(dims, keys), mask, keys)
-    roots = components.component_roots(back, 4, keys)
-    edge = (
-        roots.filter("y = 0 OR x = 0 OR y = height - 1 OR x = width - 1").select(*keys, "root").distinct()
+    # beyond the mask's bounding box nothing blocks the way to the frame edge, so the box is enough
+    box = mask.groupBy(*keys, *SIZE).agg(
+        F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1")
     )
+    rows = box.withColumn("y", F.explode(F.sequence("_y0", "_y1"))).repartition(*keys, "y")
+    cells = rows.withColumn("x", F.explode(F.sequence("_x0", "_x1")))
+    roots = components.component_roots(mask_minus(cells, mask, keys), 4, keys)
+    edge = roots.filter("y = _y0 OR x = _x0 OR y = _y1 OR x = _x1").select(*keys, "root").distinct()
     holes = roots.join(edge, [*keys, "root"], "left_anti").select(*_px(keys))
     return mask.union(holes)
 

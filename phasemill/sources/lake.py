@@ -239,12 +239,17 @@ def schema_check(observed: DataFrame, contract: DataFrame) -> DataFrame:
 
     `observed` is (rec_id, entity, dtype); `contract` is (entity, dtype, required).
     """
-    # required entities per recording: a set difference against what was seen (the contract is a fixed list)
-    seen = observed.groupBy("rec_id").agg(F.collect_set("entity").alias("_seen"))
-    must = contract.filter("required").groupBy().agg(F.collect_set("entity").alias("_must"))
+    required = contract.filter("required").select("entity")
+    # per recording only declared entities are gathered, so the set is bounded by the contract
+    seen = observed.select("rec_id").distinct().join(
+        observed.join(required, "entity", "left_semi").groupBy("rec_id").agg(F.collect_set("entity").alias("_seen")),
+        "rec_id", "left",
+    )
+    must = required.agg(F.collect_set("entity").alias("m")).scalar()
+    none = F.array().cast("array<string>")
     absent = (
-        seen.withColumn("_one", F.lit(1)).join(must.withColumn("_one", F.lit(1)), "_one")
-        .select("rec_id", F.explode(F.array_except("_must", "_seen")).alias("entity"))
+        seen.withColumn("_absent", F.array_except(must, F.coalesce("_seen", none)))
+        .select("rec_id", F.explode("_absent").alias("entity"))
         .withColumn("violation", F.lit("missing"))
     )
     extra = observed.join(contract, ["entity"], "left_anti").select("rec_id", "entity", F.lit("undeclared").alias("violation"))

@@ -22,8 +22,8 @@ from phasemill.session import ensure_checkpoint_dir
 def stream_drops(frames: DataFrame, warmup: int = 30, watermark: str = "10 minutes") -> DataFrame:
     """Running loss per recording, one row per recording and micro-batch.
 
-    `frames` has rec_id, ts, frame_idx, seq. State is five numbers per recording; a recording's rate is
-    bounded by its camera.
+    `frames` has rec_id, ts, frame_idx, seq. State is five numbers per recording. A micro-batch holds what
+    its camera sent since the last trigger; when draining a backlog, bound it with maxFilesPerTrigger.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
