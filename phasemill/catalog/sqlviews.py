@@ -22,7 +22,7 @@ def with_views(names: list[str], body: str) -> str:
         visit(n)
     if not order:
         return body
-    head = ",\n".join(f"{n} AS ({VIEWS[n][0]})" if "(" not in n else f"{n} AS ({VIEWS[n][0]})" for n in order)
+    head = ",\n".join(f"{n} AS ({VIEWS[n][0]})" for n in order)
     if body.lstrip().upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {head},\n{body.lstrip()[len('WITH RECURSIVE'):]}"
     if body.lstrip().upper().startswith("WITH"):

@@ -52,17 +52,25 @@ def stale_stages(new: DataFrame, stored: DataFrame, artifacts: DataFrame) -> Dat
     A stored stage runs if its key changed or its result is missing; an unstored one if its key changed
     or a stage that reads it runs.
     """
-    a = artifacts.select("rec_id", "stage", F.lit(True).alias("_have")).distinct()
-    s = stored.select("rec_id", "stage", F.col("fp").alias("_old"))
-    j = new.join(s, ["rec_id", "stage"], "left").join(a, ["rec_id", "stage"], "left")
-    same = F.col("fp").eqNullSafe(F.col("_old"))
-    per = j.groupBy("rec_id").agg(
+    none = F.lit(None).cast("string")
+    rows = (
+        new.select("rec_id", "stage", F.col("fp").alias("_new"), none.alias("_old"), F.lit(False).alias("_have"))
+        .unionByName(stored.select("rec_id", "stage", none.alias("_new"), F.col("fp").alias("_old"), F.lit(False).alias("_have")))
+        .unionByName(artifacts.select("rec_id", "stage", none.alias("_new"), none.alias("_old"), F.lit(True).alias("_have")))
+        .repartition("rec_id")  # one exchange serves both aggregations, and nothing is broadcast
+    )
+    per_stage = rows.groupBy("rec_id", "stage").agg(
+        F.max("_new").alias("_new"), F.max("_old").alias("_old"), F.max("_have").alias("_have")
+    )
+    same = F.col("_new").eqNullSafe(F.col("_old"))
+    per = per_stage.groupBy("rec_id").agg(
+        F.count("_new").alias("_known"),
         *[F.max(F.when(F.col("stage") == st, same)).alias(f"same_{st}") for st in STAGES],
         *[
             F.coalesce(F.max(F.when(F.col("stage") == st, F.col("_have"))), F.lit(False)).alias(f"have_{st}")
             for st in STAGES
         ],
-    )
+    ).filter("_known > 0")
     for st in reversed(STAGES):  # readers before what they read
         if st in UPSTREAM:
             runs = ~F.col("same_projection")

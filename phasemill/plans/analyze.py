@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.operators import areas, maps, project, refine, stencil
-from phasemill.session import cut
+from phasemill.session import cut, size_broadcasts_at_runtime
 
 PIX = ["rec_id", "height", "width", "y", "x"]
 
@@ -49,6 +49,7 @@ class Analysis:
 def analyze(recordings: DataFrame, rows: DataFrame, sweeps: DataFrame, s: Settings | None = None) -> Analysis:
     """`recordings` carries the geometry columns of `sources.lake.parse_acquisition` under their short names."""
     s = s or Settings()
+    size_broadcasts_at_runtime(rows.sparkSession)
     directions, cycles = project.complex_maps(rows, sweeps, s.baseline, s.normalization, s.rectification, s.cycle_average)
     rel = project.reliability(cycles)
     return analyze_maps(recordings, cut(directions), s, rel)

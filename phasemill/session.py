@@ -27,6 +27,17 @@ def local_session(cores: str | int = "8", partitions: int = 8, memory: str = "12
     return spark
 
 
+def size_broadcasts_at_runtime(spark: SparkSession, limit: str = "32MB") -> None:
+    """Let only measured sizes decide on broadcasts.
+
+    The planner's estimate ignores how much `explode` multiplies rows, so a side that looks small may not
+    be. With adaptive execution the shuffled size is known before a join is turned into a broadcast.
+    """
+    if spark.conf.get("spark.sql.adaptive.enabled", "true") == "true":
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", limit)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder: the session's own, else the one the cluster names, else a test folder."""
     sc = spark.sparkContext
