@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasemill.llm import decontaminate, linededup, mixing, repetition, sql, superminhash, urls
-from phasemill.llm.texts import table
+from phasemill.llm import decontaminate, langid, linededup, mixing, quality, repetition, sql, superminhash, toxicity, urls
+from phasemill.llm.texts import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,45 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
+def _remainder(n: int):
+    """crc32 of the doc_id as text, modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@_query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; two thirds of them are learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(_remainder(3) != 1))
+    out = langid.identify(docs.select("doc_id", "text", (_remainder(3) == 1).alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, keep, most: int) -> DataFrame:
+    """Texts and labels of about `most` labelled documents at most, chosen by a hash of the id on both sides
+    of the join, so that only their texts are moved."""
+    labels = table(spark, sf_dir, "labels").filter(keep).filter(F.col(label).isNotNull())
+    share = quality.sample_share(labels, most)
+    chosen = quality.in_share(share, "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter(chosen)
+    return cut(docs.join(labels.filter(chosen).select("doc_id", F.col(label).alias("label")), "doc_id").select("text", "label"))
+
+
+@_query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of three quarters of the ids are learned from."""
+    model = quality.fit(_labelled(spark, sf_dir, "quality", _remainder(4) != 2, quality.SAMPLE))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(4) == 2).alias("held_out"))
+    return quality.score(docs, model, threshold=0.7).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of four fifths of the ids are learned from."""
+    model = toxicity.fit(_labelled(spark, sf_dir, "toxic", _remainder(5) != 0, toxicity.SAMPLE))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(5) == 0).alias("held_out"))
+    return toxicity.score(docs, model, threshold=0.5).select("doc_id", "held_out", "score", "predicted")
+
 
 ORACLES["op1_decontaminate"] = sql.decontaminate(13, 5)
 ORACLES["op2_url_filter"] = sql.url_filter(RULES, urls.MANY, urls.RARE, urls.SIMILAR, urls.PRIOR, urls.REJECT)
