@@ -20,8 +20,8 @@ from phasemill.llm.texts import CACHED_WORDS, as_bytes, mix, plain_words, put_co
 BITS = 18
 SAMPLE = 20_000  # labelled rows a model is fitted on, at most
 SHARDS = 4
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.005, 0.0
 
 _SHAPE = bytes(
     88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasemill.llm import decontaminate, langid, linededup, mixing, quality, repetition, sql, superminhash, toxicity, urls
+from phasemill.llm import decontaminate, langid, linededup, mixing, quality, repetition, sql, superminhash, toolcalls, toxicity, urls
 from phasemill.llm.texts import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,41 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(5) == 0).alias("held_out"))
     return toxicity.score(docs, model, threshold=0.5).select("doc_id", "held_out", "score", "predicted")
 
+# a reply quotes the turn before it, so its length is bounded
+TOOLS = {
+    "reply": {
+        "type": "object", "required": ["text", "chars"], "additionalProperties": False,
+        "properties": {"text": {"type": "string"}, "chars": {"type": "integer", "minimum": 1, "maximum": 1000}},
+    }
+}
+
+
+def as_tool_log(conversations: DataFrame) -> DataFrame:
+    """Conversations as a tool log: an assistant turn is a call that follows the one two turns before, the
+    user turn after it is its result; other roles stay as they are."""
+    own = F.concat_ws("-", "conv_id", "turn")
+    call = F.to_json(F.struct(
+        own.alias("id"), F.lit("reply").alias("name"), F.struct("text", F.length("text").alias("chars")).alias("arguments"),
+        F.array(F.concat_ws("-", "conv_id", F.col("turn") - 2)).alias("after"),
+    ))
+    result = F.to_json(F.struct(F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("id"), F.col("text").alias("content")))
+    asks = F.col("role") == "assistant"
+    return conversations.select(
+        "conv_id", "turn", F.when(F.col("role") == "user", "tool").otherwise(F.col("role")).alias("role"),
+        F.when(asks, F.concat(F.lit("<tool_call>"), call, F.lit("</tool_call>")))
+        .when(F.col("role") == "user", result).otherwise(F.col("text")).alias("text"),
+    )
+
+
+@_query
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a tool log, linked, ordered, validated and written as canonical JSON."""
+    out = toolcalls.link_calls(as_tool_log(table(spark, sf_dir, "conversations")), TOOLS)
+    return out.select(
+        F.col("conv").cast("bigint").alias("conv_id"), F.coalesce("level", F.lit(-1)).alias("level"), "turn", "id", "status", "valid",
+        F.sha2("line", 256).alias("line_sha256"),
+    )
+
 
 ORACLES["op1_decontaminate"] = sql.decontaminate(13, 5)
 ORACLES["op2_url_filter"] = sql.url_filter(RULES, urls.MANY, urls.RARE, urls.SIMILAR, urls.PRIOR, urls.REJECT)
@@ -121,3 +156,4 @@ ORACLES["op7_line_dedup"] = sql.line_dedup(10)
 ORACLES["op8_repetition"] = sql.repetition(
     repetition.NGRAM_LIMITS, repetition.LINE_LIMIT, repetition.LEAST_WORDS, repetition.REPEAT_PERCENT
 )
+ORACLES["op3_tool_calls"] = sql.tool_calls(1000)

@@ -202,3 +202,23 @@ SELECT t.doc_id, n_words, word_chars, n_symbols, coalesce(dup.n, 0) AS n_dup_lin
        coalesce(g5.words, 0) AS n_repeat_words, {failed} AS base_failed,
        NOT {failed} AND {within} AND coalesce(dup.chars, 0) / greatest(word_chars, 1) <= {line_limit} AS kept
 FROM t LEFT JOIN dup ON dup.doc_id = t.doc_id {joins}"""
+
+
+def tool_calls(most_chars: int) -> str:
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, text, conv_id || '-' || turn AS id FROM conversations WHERE role = 'assistant'
+),
+r AS (SELECT conv_id, turn AS r_turn, text AS content, conv_id || '-' || (turn - 1) AS id FROM conversations WHERE role = 'user'),
+e AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.r_turn) AS turn, id, c.text, content, c.turn IS NOT NULL AS called,
+         CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+  FROM c FULL JOIN r USING (id)
+)
+SELECT conv_id, CASE WHEN called THEN 0 ELSE -1 END AS level, turn, id, status,
+       CASE WHEN called THEN length(text) BETWEEN 1 AND {most_chars} END AS valid,
+       sha256('{{' || CASE WHEN called THEN '"arguments":{{"chars":' || length(text) || ',"text":' || to_json(text) || '}},' ELSE '' END
+         || '"id":' || to_json(id) || CASE WHEN called THEN ',"name":"reply"' ELSE '' END
+         || CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content) ELSE '' END
+         || ',"status":"' || status || '"}}') AS line_sha256
+FROM e"""
