@@ -200,7 +200,7 @@ def search(index: DataFrame, queries: DataFrame, reach: int | None = None) -> Da
                 out["n_hit"].append(int((np.cumsum(hit) > 0).sum()))
                 out["items"].append(sorted({i for *_, q in spans for i in right["items"].iloc[q]}))
                 out["spans"].append([(right["phrase"].iloc[q], s - first, e - first) for s, e, q in sorted(spans)])
-        return pd.DataFrame(out)
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
 
     return held.groupBy("segment").cogroup(visits.groupBy("segment")).applyInPandas(
         intersect,

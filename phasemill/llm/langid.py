@@ -122,7 +122,7 @@ def fit(
         texts = [t.encode() for t in pdf["text"]]
         texts = [t for t in texts if has_letter(t)]
         if not texts:
-            return pd.DataFrame({"lang": [], "reach": [], "center": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("lang", "reach", "center")})
         centers, reach = _cluster(vectors(texts, idf), centroids)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "reach": reach.astype(float), "center": list(centers.astype(np.float32))})
 

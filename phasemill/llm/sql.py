@@ -95,10 +95,7 @@ t AS (
   SELECT host, shape, n.b, n.l, string_agg(name, '/' ORDER BY pos) AS template
   FROM n JOIN names USING (host, pos, parent, segment) GROUP BY host, shape, n.b, n.l
 ),
-z AS (SELECT coalesce(sum(b) / nullif(sum(l), 0), 0) AS p FROM t),
-v AS (
-  SELECT host, template, (sum(b) + {prior} * any_value(p)) / (sum(l) + {prior}) AS purity FROM t, z GROUP BY host, template
-)
+v AS (SELECT host, template, sum(b) / (sum(l) + {prior}) AS purity FROM t GROUP BY host, template)
 SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN purity >= {reject} THEN 'block' ELSE 'allow' END) AS verdict
 FROM r JOIN t USING (host, shape) JOIN v USING (host, template)"""
 

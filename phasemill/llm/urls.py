@@ -4,7 +4,7 @@ Built-in column functions throughout. Paths are reduced to shapes (digits and lo
 placeholders) and counted per host before anything else, so a hot host is a few rows per shape. In the tree
 of a host, a level with many rare children becomes a wildcard, and siblings whose subtrees have the same
 depth and whose block rates do not differ significantly are merged. A template whose labelled pages are
-block to a smoothed share of at least `reject` is blocked.
+block to a smoothed share of at least `reject` is blocked; one without labelled pages never is.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ Rule = tuple[str, str, str]  # verdict, host, path prefix
 MANY = 10  # children from which a level may be variable
 RARE = 3  # mean pages per child below which it is
 SIMILAR = 1.96  # standard errors within which block rates count as equal
-PRIOR = 2.0  # weight of the global block rate in a template's purity
+PRIOR = 2.0  # allowed pages that smoothing adds to every template
 REJECT = 0.7
 
 
@@ -88,8 +88,8 @@ def path_templates(shapes: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", reject: float = REJECT) -> DataFrame:
     """`pages` with `host`, `path`, `rule`, `template`, `purity` and `verdict` (allow or block).
 
-    A url that no rule fits gets its template's verdict: block if `(blocked + 2 p) / (labelled + 2)`
-    reaches `reject`, p being the block rate of all labelled pages (0 if there are none). Null urls and
+    A url that no rule fits gets its template's verdict: block if `blocked / (labelled + 2)` reaches
+    `reject`, both counted over the template's pages that a rule fits. Null urls and
     urls without `://` have empty host and path and are judged like others of that host and path. Result
     columns replace input columns of the same name.
     """
@@ -104,9 +104,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", rejec
         F.count(F.when(F.col(ruled) == "allow", 1)).alias("n_allow"),
     )
     made = cut(path_templates(cut(counts)))
-    blocked, seen = made.agg(F.sum("n_block"), F.sum(F.col("n_block") + F.col("n_allow"))).first()
-    prior = blocked / seen if seen else 0.0
-    purity = (F.sum("n_block") + PRIOR * prior) / (F.sum(F.col("n_block") + F.col("n_allow")) + PRIOR)
+    purity = F.sum("n_block") / (F.sum(F.col("n_block") + F.col("n_allow")) + PRIOR)
     judged = made.join(made.groupBy("host", "template").agg(purity.alias("purity")), ["host", "template"]).select(
         F.col("host").alias("_host"), F.col("shape").alias("_of"), "template", "purity"
     )
