@@ -212,7 +212,7 @@ def _labelled(name, conn, order):
 
 
 query("label_components_star", LAB.format(sm.labels("v_mask")), "v_mask")(
-    lambda spark, d: cc.label_components(_m(spark, d), group_edges=0).select(*PX, "label")
+    lambda spark, d: cc.label_components(_m(spark, d), tile_rows=1).select(*PX, "label")
 )
 _labelled("label_components_4", 4, "row")
 _labelled("label_components_8", 8, "row")

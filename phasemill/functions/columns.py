@@ -171,7 +171,7 @@ def label_roi(value, label) -> Column:
 
 
 def magnification_factor(det, label) -> Column:
-    inv = F.lit(1.0) / F.greatest(col(det), F.lit(1e-12))
+    inv = F.lit(1.0) / F.greatest(F.nanvl(col(det).cast("double"), F.lit(1e-12)), F.lit(1e-12))
     return F.when(col(label) > 0, inv).otherwise(F.lit(0.0))
 
 

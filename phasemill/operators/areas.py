@@ -11,11 +11,10 @@ from phasemill.functions.columns import ecc_alt, ecc_azi, finite, label_roi, mag
 from phasemill.operators import components as cc
 from phasemill.operators import morphology as mo
 from phasemill.operators import stats, stencil
-from phasemill.session import cut
+from phasemill.session import cut, join_small
 
 REC = ["rec_id"]
 PIX = ["rec_id", "height", "width", "y", "x"]
-NOISE_PATCHES = 100  # above this a recording is noise: adjacency and refinement are skipped for it
 
 
 # ---- cortex and threshold ---------------------------------------------------------------------------
@@ -38,7 +37,7 @@ def cortex_mask(
         return stats.minmax_normalize(df, magnitude, exponent).filter(F.col("norm") >= threshold).select(*PIX)
     if method == "sigma_bound":
         sigma = stats.sample_std(df, sign)
-        strong = df.join(sigma, REC).filter(finite(sign) & (F.abs(F.col(sign)) > F.col("sigma") * k * 0.5))
+        strong = join_small(df, sigma, REC).filter(finite(sign) & (F.abs(F.col(sign)) > F.col("sigma") * k * 0.5))
         body = mo.closing(mo.opening(strong.select(*PIX), "disk", 2), "disk", close)
         filled = mo.fill_holes(cut(body))
         grown = mo.fill_holes(cut(mo.dilate(filled, "disk", dilate)))
@@ -63,7 +62,7 @@ def patch_threshold(
         hit = F.abs(F.col(sign)) > F.col("threshold")
     else:
         raise ValueError(f"unknown threshold method {method!r}")
-    mask = inside.join(thr, REC).filter(finite(sign) & hit).select(*PIX)
+    mask = join_small(inside, thr, REC).filter(finite(sign) & hit).select(*PIX)
     return mask, thr
 
 
@@ -121,27 +120,37 @@ def sign_patches(mask: DataFrame, signal: DataFrame, value: str) -> DataFrame:
     return lab.join(s.select("rec_id", "patch", "sign", "area_px"), ["rec_id", "patch"])
 
 
+def calm_recordings(patches: DataFrame, noise_limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """(patches to work on, patches to pass through): a limit on patches per recording, if one is given."""
+    if noise_limit is None:
+        return patches, patches.limit(0)
+    guard = cc.patch_count_guard(patches.select("rec_id", "patch").distinct(), noise_limit)
+    noisy = guard.filter("noisy").select("rec_id").distinct()
+    return patches.join(noisy, REC, "left_anti"), patches.join(noisy, REC, "left_semi")
+
+
 def extract_patches(
     mask: DataFrame, signal: DataFrame, value: str = "vfs_smooth", *, open_n: int = 3, close_n: int = 3,
-    dilation: int = 15, border_width: int = 1, min_px: int = 50, codes=None,
+    dilation: int = 15, border_width: int = 1, min_px: int = 50, codes=None, noise_limit: int | None = None,
 ) -> DataFrame:
-    """Patch pixels (rec_id, patch, sign, area_px, y, x …) from the thresholded mask."""
+    """Patch pixels (rec_id, patch, sign, area_px, y, x …) from the thresholded mask.
+
+    Patches without a neighbour are dropped. With `noise_limit`, recordings of more patches keep them all.
+    """
     raw = cut(raw_patch_mask(mask, open_n, close_n))
     px = sign_patches(separate_patches(raw, dilation, border_width, codes), signal, value)
     px = cut(px.filter(F.col("area_px") >= min_px))
     per = px.select("rec_id", "patch").distinct()
-    guard = cc.patch_count_guard(per, NOISE_PATCHES)
-    calm = px.join(guard.filter("NOT noisy").select("rec_id", "patch"), ["rec_id", "patch"], "left_semi")
+    calm, _ = calm_recordings(px, noise_limit)
     width = max(2 * border_width, 1)
     if width >= 2:
         pairs = adjacent_patches(calm, width)
         near = pairs.select("rec_id", F.explode(F.array("a", "b")).alias("patch")).distinct()
     else:  # any other patch at all counts as a neighbour
-        near = guard.filter("n_patches > 1").select("rec_id", "patch")
-    keep = guard.join(near.withColumn("_near", F.lit(True)), ["rec_id", "patch"], "left").filter(
-        "noisy OR _near"
-    )
-    return px.join(keep.select("rec_id", "patch"), ["rec_id", "patch"], "left_semi")
+        near = cc.patch_count_guard(per).filter("n_patches > 1").select("rec_id", "patch")
+    if noise_limit is not None:
+        near = near.union(cc.patch_count_guard(per, noise_limit).filter("noisy").select("rec_id", "patch"))
+    return px.join(near, ["rec_id", "patch"], "left_semi")
 
 
 def label_by_area(patches: DataFrame) -> DataFrame:
@@ -149,7 +158,7 @@ def label_by_area(patches: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     per = patches.groupBy("rec_id", "patch").agg(F.count(F.lit(1)).alias("area_px"), F.max("sign").alias("sign"))
-    # patches per recording are few: the noise guard and the size filter come first
+    # one row per patch; a frame bounds how many of at least the smallest size it can hold
     w = Window.partitionBy("rec_id").orderBy(F.col("area_px").desc(), "patch")
     return per.withColumn("label", F.row_number().over(w))
 
@@ -181,13 +190,13 @@ def v1_center_pixel_sample(df: DataFrame, alt: str, azi: str, label: str = "labe
 def eccentricity(df: DataFrame, alt: str, azi: str, method: str = "visual_mean", label: str = "label", radius: int = 10) -> DataFrame:
     """Adds `eccentricity` and `polar`, 0 outside areas (and everywhere when there is no reference point)."""
     mean = stats.v1_center_visual_mean(df, alt, azi, label)
-    out = df.join(mean, REC)
+    out = join_small(df, mean, REC)
     out = out.withColumn("polar", label_roi(polar_angle(alt, azi, "alt_c", "azi_c"), label))
     if method == "visual_mean":
         e = ecc_alt(alt, azi, "alt_c", "azi_c")
     elif method == "pixel_sample":
         c = v1_center_pixel_sample(df, alt, azi, label, radius)
-        out = out.drop("alt_c", "azi_c").join(c, REC, "left")
+        out = join_small(out.drop("alt_c", "azi_c"), c, REC, "left")
         e = F.coalesce(ecc_azi(alt, azi, "alt_c", "azi_c"), F.lit(0.0))
     else:
         raise ValueError(f"unknown eccentricity method {method!r}")
@@ -202,7 +211,7 @@ def derived_maps(
     inside = cortex.select("rec_id", "y", "x", F.lit(True).alias("_in"))
     d = stencil.contours(df, azi, label, interval, name="contours_azi")
     d = stencil.contours(d, alt, label, interval, name="contours_alt")
-    d = d.join(threshold, REC, "left").join(inside, ["rec_id", "y", "x"], "left")
+    d = join_small(d, threshold, REC, "left").join(inside, ["rec_id", "y", "x"], "left")
     strong = finite(sign) & (F.abs(F.col(sign)) >= F.col("threshold"))
     kept = F.when(F.col("_in").isNull(), F.lit(float("nan"))).when(strong, F.col(sign)).otherwise(0.0)
     return d.withColumns({"magnification": magnification_factor(det, label), "vfs_thresholded": kept}).drop("_in", "threshold")
@@ -233,7 +242,7 @@ def threshold_sweep(df: DataFrame, cortex: DataFrame, sign: str = "vfs_smooth",
     )
     plan = s.select("rec_id", F.explode(grid).alias("_e")).select("rec_id", "_e.*")
     keys = ["rec_id", "family", "parameter"]
-    hit = inside.join(plan, REC).filter(F.abs(F.col(sign)) >= F.col("threshold")).select(*keys, "height", "width", "y", "x")
+    hit = join_small(inside, plan, REC).filter(F.abs(F.col(sign)) >= F.col("threshold")).select(*keys, "height", "width", "y", "x")
     comps = cc.component_roots(mo.opening(hit, "cross", open_n, keys), 4, keys)
     sized = comps.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_px)
     n = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_patches"))
@@ -261,7 +270,8 @@ def project_visual(
     patches: DataFrame, grid: DataFrame, alt: str, azi: str, size: float, close_n: int = 0, patch: str = "patch"
 ) -> DataFrame:
     """Patch pixels as cells of the visual grid (rec_id, patch, height, width, y, x), closed by a cross."""
-    j = patches.filter(finite(alt) & finite(azi)).select("rec_id", patch, F.col(alt).alias("_a"), F.col(azi).alias("_z")).join(grid, REC)
+    j = patches.filter(finite(alt) & finite(azi)).select("rec_id", patch, F.col(alt).alias("_a"), F.col(azi).alias("_z"))
+    j = join_small(j, grid, REC)
     cell = j.select(
         "rec_id", patch, "height", "width",
         F.floor((F.col("_a") - F.col("alt0")) / size).cast("int").alias("y"),

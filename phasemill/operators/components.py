@@ -1,9 +1,9 @@
 """Connected components of pixel masks, for all recordings at once.
 
 Pixels are first merged into horizontal runs with one window per image row, so the graph has one node
-per run. Keys whose run graph is of a checked, bounded size are resolved in one grouped pass; larger
-ones are contracted by alternating large-star and small-star steps (min-label joins), whose rounds
-grow with the logarithm of a component's size. Both give the same roots.
+per run. Runs are resolved inside tiles of rows, one task's work of bounded size; what touches across tile
+borders is contracted by alternating large-star and small-star steps (min-label joins), whose rounds grow
+with the logarithm of the number of tiles that a component crosses.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from phasemill.operators.stencil import SIZE
 from phasemill.session import cut
 
 REC = ["rec_id"]
-GROUP_EDGES = 500_000  # run-graph edges one task may hold for a key
+TILE_ROWS = 64  # image rows whose runs are resolved in one task
 
 
 def _merge_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,17 +41,15 @@ def _merge_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         lab = new
 
 
-def graph_roots(edges: DataFrame, keys: Sequence[str], group_edges: int = GROUP_EDGES) -> DataFrame:
+def tile_roots(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest node id of the component of every node that has an edge.
 
-    `edges` has the key columns and two BIGINT node ids `a`, `b`. Returns (keys, node, root).
+    `edges` has the key columns, two BIGINT node ids `a`, `b` and their tiles `ta`, `tb`. Edges inside a tile
+    are resolved in its task; the roots of tiles are then joined along the edges between tiles. Returns
+    (keys, node, root).
     """
     keys = list(keys)
-    e = cut(edges.filter("a <> b").select(*keys, "a", "b"))
-    sizes = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.filter(F.col("_n") > group_edges).select(*keys)
-    any_big = bool(big.limit(1).take(1))
-    small = e.join(big, keys, "left_anti") if any_big else e
+    e = cut(edges.filter("a <> b").select(*keys, "a", "b", "ta", "tb"))
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         node, root = _merge_labels(pdf["a"].to_numpy(), pdf["b"].to_numpy())
@@ -61,14 +59,25 @@ def graph_roots(edges: DataFrame, keys: Sequence[str], group_edges: int = GROUP_
     schema = T.StructType(
         [e.schema[k] for k in keys] + [T.StructField("node", T.LongType()), T.StructField("root", T.LongType())]
     )
-    out = small.groupBy(*keys).applyInPandas(resolve, schema)
-    if any_big:
-        out = out.unionByName(star_roots(e.join(big, keys, "left_semi"), keys))
-    return out
-
-
-def star_roots(edges: DataFrame, keys: Sequence[str], max_rounds: int = 64) -> DataFrame:
-    """`graph_roots` for keys of any size, by joins alone."""
+    inside = e.filter("ta = tb").select(*keys, "ta", "a", "b")
+    local = cut(inside.groupBy(*keys, "ta").applyInPandas(resolve, schema))
+    across = e.filter("ta <> tb").select(*keys, "a", "b").distinct()
+    if across.isEmpty():
+        return local
+    for end in ("a", "b"):  # a run without an edge in its own tile is its own root
+        known = local.select(*keys, F.col("node").alias(end), F.col("root").alias("_r"))
+        across = across.join(known, [*keys, end], "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+    top = cut(star_roots(across, keys)).select(*keys, F.col("node").alias("root"), F.col("root").alias("_top"))
+    lifted = local.join(top, [*keys, "root"], "left").select(*keys, "node", F.coalesce("_top", "root").alias("root"))
+    alone = top.select(*keys, F.col("root").alias("node"), F.col("_top").alias("root"))
+    return lifted.unionByName(alone.join(local.select(*keys, "node"), [*keys, "node"], "left_anti"))
+
+
+def star_roots(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Smallest node id of the component of every node of edges (keys, a, b), by joins alone.
+
+    Every round but the last lowers a label, so the rounds end by themselves.
+    """
     keys = list(keys)
     e = cut(
         edges.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -78,9 +87,7 @@ def star_roots(edges: DataFrame, keys: Sequence[str], max_rounds: int = 64) -> D
         return df.groupBy(*keys, node).agg(F.min(other).alias("m"))
 
     mark = _fingerprint(e, keys)
-    for _ in range(max_rounds):
-        if mark[0] == 0:
-            break
+    while mark[0]:
         both = e.select(*keys, "u", "v").union(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         m = tips(both, "u", "v").withColumn("m", F.least("m", "u"))
         # large star: every larger neighbour points at the smallest one
@@ -100,8 +107,6 @@ def star_roots(edges: DataFrame, keys: Sequence[str], max_rounds: int = 64) -> D
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError("connected components did not settle")
     nodes = e.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
     roots = e.select(*keys, F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return nodes.unionByName(roots)
@@ -129,7 +134,7 @@ def _runs(mask: DataFrame, keys: Sequence[str], same: Sequence[str] = ()) -> Dat
 
 def component_roots(
     mask: DataFrame, conn: int = 4, keys: Sequence[str] = REC, same: Sequence[str] = (),
-    group_edges: int = GROUP_EDGES,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Every set pixel with `root`, the scan position of the first pixel of its component.
 
@@ -144,33 +149,34 @@ def component_roots(
     above = F.lag("node").over(up)
     edges = (
         runs.withColumn("_up", F.when(touch, above)).filter("_up IS NOT NULL")
-        .select(*keys, F.col("node").alias("a"), F.col("_up").alias("b")).distinct()
+        .select(*keys, F.col("node").alias("a"), F.col("_up").alias("b"), "y", (F.col("y") - 1).alias("_y2")).distinct()
     )
     if conn == 8:
         sel = [*keys, "y", "x", *same]
         down = runs.select(
             *keys, (F.col("y") + 1).alias("y"), F.explode(F.array(F.col("x") - 1, F.col("x") + 1)).alias("x"),
-            *same, F.col("node").alias("b"),
+            *same, F.col("node").alias("b"), F.col("y").alias("_y2"),
         )
         on = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in (*keys, "y", "x")]
         on += [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in same]
         diag = (
             runs.select(*sel, F.col("node").alias("a")).alias("p").join(down.alias("q"), on)
-            .select(*[F.col(f"p.{c}").alias(c) for c in keys], "a", "b").distinct()
+            .select(*[F.col(f"p.{c}").alias(c) for c in keys], "a", "b", F.col("p.y").alias("y"), F.col("q._y2").alias("_y2")).distinct()
         )
         edges = edges.union(diag)
-    roots = graph_roots(edges, keys, group_edges)
+    tiled = edges.select(*keys, "a", "b", *[F.floor(F.col(y) / tile_rows).alias(t) for y, t in (("y", "ta"), ("_y2", "tb"))])
+    roots = tile_roots(tiled, keys)
     out = runs.join(roots, [*keys, "node"], "left")
     return out.withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
 def label_components(
     mask: DataFrame, conn: int = 4, keys: Sequence[str] = REC, order: str = "row",
-    same: Sequence[str] = (), name: str = "label", group_edges: int = GROUP_EDGES,
+    same: Sequence[str] = (), name: str = "label", tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Labels 1..N per key in first-encounter order of a row-wise or column-wise scan."""
     keys = list(keys)
-    px = component_roots(mask, conn, keys, same, group_edges)
+    px = component_roots(mask, conn, keys, same, tile_rows)
     first = (
         F.min(F.struct(F.col("y").alias("_a"), F.col("x").alias("_b")))
         if order == "row"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phasemill.functions.columns import phase_to_degrees, safe_div, wrap_principal
 from phasemill.operators import stencil
+from phasemill.session import join_small
 
 REC = ["rec_id"]
 PIX = ["rec_id", "height", "width", "y", "x"]
@@ -157,7 +158,7 @@ def retinotopy(
     geo = ["azi_range", "alt_range", "offset_azi", "offset_alt"]
     if recordings is not None:
         g = recordings.select("rec_id", *geo, "rotation_k")
-        maps = rot90(maps.join(g.select("rec_id", "rotation_k"), REC), "rotation_k").drop("rotation_k")
+        maps = rot90(join_small(maps, g.select("rec_id", "rotation_k"), REC), "rotation_k").drop("rotation_k")
     elif rotation_k % 4:
         maps = rot90(maps, rotation_k)
     maps = smooth_directions(maps, direction_smoothing, direction_sigma)
@@ -171,7 +172,7 @@ def retinotopy(
             pos = pos.drop(f"{o}_re", f"{o}_im").join(sm, PIX)
     out = phase_gradients(pos)
     if recordings is not None:
-        out = out.join(g.drop("rotation_k"), REC)
+        out = join_small(out, g.drop("rotation_k"), REC)
     else:
         for n, v in zip(geo, (azi_range, alt_range, offset_azi, offset_alt)):
             out = out.withColumn(n, F.lit(float(v)))

@@ -156,24 +156,28 @@ def _thin_once(mask: DataFrame, removable: Sequence[int], keys: Sequence[str]) -
 
 def skeletonize(
     mask: DataFrame, keys: Sequence[str] = REC, codes: tuple[Sequence[int], Sequence[int]] | None = None,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Two-sub-pass thinning until nothing changes.
 
-    `codes` gives the neighbour codes removed in each sub-pass; the default is the Zhang-Suen rule.
+    `codes` gives the neighbour codes removed in each sub-pass; the default is the Zhang-Suen rule. Every
+    round takes pixels away from the keys it still works on, and keys that stand still leave the loop.
     """
+    keys = list(keys)
     first, second = codes or thinning_codes()
     cur = cut(mask.select(*_px(keys)).distinct())
-    size = cur.count()
-    for _ in range(max_rounds):
+    sizes = cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("_before"))
+    done = cur.limit(0)
+    while True:
         for _ in range(2):  # two full iterations per lineage cut
             cur = _thin_once(_thin_once(cur, first, keys), second, keys)
         cur = cut(cur)
-        left = cur.count()
-        if left == size:
-            return cur
-        size = left
-    raise RuntimeError("thinning did not settle")
+        now = cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("_after"))
+        moving = cut(now.join(sizes, keys).filter("_after < _before").select(*keys, F.col("_after").alias("_before")))
+        if moving.isEmpty():
+            return done.unionByName(cur)
+        settled = cur.join(moving.select(*keys), keys, "left_anti")
+        done = done.unionByName(settled)
+        cur, sizes = cut(cur.join(moving.select(*keys), keys, "left_semi")), moving
 
 
 # ---- distance ------------------------------------------------------------------------------------

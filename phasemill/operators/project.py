@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from phasemill.functions.columns import TWO_PI, col, finite, normalize, rectify, safe_div
 from phasemill.operators import quantiles, timebase
 from phasemill.operators.blocks import block_of
-from phasemill.session import cut
+from phasemill.session import cut, join_small
 
 REC = ["rec_id"]
+FRAME_BLOCK = "frame_block"  # stored column of bucketed movies: frame_idx div 64
 PIX = ["rec_id", "height", "width", "y", "x"]
 MAP = ["rec_id", "direction", "height", "width", "y", "x"]
 
@@ -74,7 +75,7 @@ def dff_floor(f0: DataFrame, value: str = "f0", keys: Sequence[str] = REC) -> Da
 
 def attach_baseline(samples: DataFrame, f0: DataFrame, floor: DataFrame) -> DataFrame:
     """Join the baseline (per pixel) and its floor (per recording) to the samples."""
-    base = f0.join(floor, REC).select("rec_id", "y", "x", "f0", "floor")
+    base = join_small(f0, floor, REC).select("rec_id", "y", "x", "f0", "floor")
     return samples.join(base, ["rec_id", "y", "x"])
 
 
@@ -130,15 +131,18 @@ def cycle_average(cycle_maps: DataFrame, method: str = "simple") -> DataFrame:
 
 
 def reliability(cycle_maps: DataFrame) -> DataFrame:
-    """|ΣZ| / max(Σ|Z|, 1e-20); null for a whole recording if any direction has fewer than two cycles."""
+    """|ΣZ| / max(Σ|Z|, 1e-20); null for a whole recording if any of the four directions has fewer than two cycles."""
     z = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
     per = cycle_maps.groupBy(*MAP).agg(
         F.sum("re").alias("_r"), F.sum("im").alias("_i"), F.sum(z).alias("_a"),
         F.count(F.lit(1)).alias("n_cycles"),
     )
-    gate = per.groupBy("rec_id").agg(F.min("n_cycles").alias("_min"))
+    # one row per recording; a recording without one of the four directions has no reliability at all
+    gate = per.groupBy("rec_id").agg(
+        F.when(F.size(F.collect_set("direction")) == 4, F.min("n_cycles")).otherwise(0).alias("_min")
+    )
     coherent = F.sqrt(F.col("_r") * F.col("_r") + F.col("_i") * F.col("_i")) / F.greatest(F.col("_a"), F.lit(1e-20))
-    return per.join(gate, REC).select(*MAP, F.when(F.col("_min") >= 2, coherent).alias("reliability"))
+    return join_small(per, gate, REC).select(*MAP, F.when(F.col("_min") >= 2, coherent).alias("reliability"))
 
 
 # ---- response quality --------------------------------------------------------------------------------
@@ -198,19 +202,21 @@ def power_mask(spectrum: DataFrame, bin: int = 1, sigma: float = 3.0) -> DataFra
     )
 
 
-def noise_bins(n: Column) -> Column:
-    """Bins 5..max_bin, thinned evenly to 20 when there are more; the period is (n−1) steps."""
+def noise_bins(n: Column, most: int | None = 20) -> Column:
+    """Bins 5..max_bin, thinned evenly to `most` when there are more (None keeps all); the period is (n−1) steps."""
     # nyquist / stimulus frequency is (n−1)/2, so its floor never exceeds n/2
     top = F.greatest(F.lit(2), F.least(F.floor((n - 1) / 2), F.floor(n / 2))).cast("int")
     count = F.greatest(top - 4, F.lit(0))
+    allbins = F.when(count > 0, F.sequence(F.lit(5), F.greatest(top, F.lit(5)))).otherwise(F.array().cast("array<int>"))
+    if most is None:
+        return allbins
     pick = F.transform(
-        F.sequence(F.lit(0), F.lit(19)), lambda i: (F.floor(i * (count / 20.0)) + 5).cast("int")
+        F.sequence(F.lit(0), F.lit(most - 1)), lambda i: (F.floor(i * (count / float(most))) + 5).cast("int")
     )
-    allbins = F.when(count > 0, F.sequence(F.lit(5), F.greatest(top, F.lit(5)))).otherwise(F.array().cast("array<int>"))
-    return F.when(count > 20, pick).otherwise(allbins)
+    return F.when(count > most, pick).otherwise(allbins)
 
 
-def spectral_snr(movie: DataFrame) -> DataFrame:
+def spectral_snr(movie: DataFrame, most_bins: int | None = 20) -> DataFrame:
     """Power at the stimulus frequency over mean power of the noise bins; 0 for traces under four frames."""
     t = _trace(movie).withColumn("_n", F.size("_t"))
     step = F.when(F.col("_n") > 1, F.lit(1.0) / (F.col("_n") - 1)).otherwise(0.0)
@@ -219,7 +225,7 @@ def spectral_snr(movie: DataFrame) -> DataFrame:
         re, im = _dft(b, step)
         return re * re + im * im
 
-    bins = noise_bins(F.col("_n"))
+    bins = noise_bins(F.col("_n"), most_bins)
     t = t.withColumn("_b", bins).withColumn("_sig", power(F.lit(1)))
     t = t.withColumn("_noise", F.transform("_b", power))
     # with no noise bin at all the reference quantity is an all-zero kernel, hence zero power
@@ -263,7 +269,10 @@ def one_scan_sums(rows: DataFrame, sweeps: DataFrame, block: int = 64) -> DataFr
         F.collect_set("frame_idx").alias("_calm")
     )
     plan = by_block.join(calm_block, ["rec_id", "_blk"], "full_outer")
-    j = rows.withColumn("_blk", block_of("frame_idx", block)).join(plan, ["rec_id", "_blk"], "left")
+    # a row per 64 frames: broadcast while small; beyond that a movie stored in buckets of
+    # (rec_id, frame_block) is joined where it lies
+    placed = rows if FRAME_BLOCK in rows.columns else rows.withColumn(FRAME_BLOCK, block_of("frame_idx", block))
+    j = join_small(placed, plan.withColumnRenamed("_blk", FRAME_BLOCK), ["rec_id", FRAME_BLOCK], "left")
     inside = F.filter(
         F.coalesce("_w", F.array().cast("array<struct<direction:string,cycle:int,onset_idx:bigint,chunk:bigint>>")),
         lambda w: (F.col("frame_idx") >= w["onset_idx"]) & (F.col("frame_idx") < w["onset_idx"] + w["chunk"]),
@@ -312,7 +321,7 @@ def cycle_maps_linear(
     sums = cut(one_scan_sums(rows, sweeps))
     f0col = F.coalesce("mean_rest", "mean_all") if baseline == "rest_mean" else F.col("mean_all")
     f0 = sums.filter("direction IS NULL").select(*PIX, f0col.alias("f0"))
-    base = f0.join(dff_floor(f0), REC).select("rec_id", "y", "x", "f0", "floor")
+    base = join_small(f0, dff_floor(f0), REC).select("rec_id", "y", "x", "f0", "floor")
     den = F.greatest("f0", "floor") if normalization == "fractional" else F.lit(1.0)
     return sums.filter("direction IS NOT NULL").join(base, ["rec_id", "y", "x"]).select(
         "rec_id", "direction", "cycle", "height", "width", "y", "x",
@@ -345,6 +354,16 @@ def movie_baseline(rows: DataFrame, sweeps: DataFrame, method: str = "rest_mean"
     return baseline_rest(pixels_long(flagged), "_rest", method.removeprefix("rest_"))
 
 
+def movie_responsiveness(
+    rows: DataFrame, sweeps: DataFrame, baseline: str = "rest_mean", normalization: str = "fractional",
+    rectification: str = "none",
+) -> DataFrame:
+    """z-score and spectral SNR per orientation of whole movies."""
+    f0 = movie_baseline(rows, sweeps, baseline)
+    samples = attach_baseline(movie_samples(rows, sweeps), f0, dff_floor(f0))
+    return responsiveness(normalize_samples(samples, normalization, rectification))
+
+
 def complex_maps(
     rows: DataFrame, sweeps: DataFrame, baseline: str = "rest_mean", normalization: str = "fractional",
     rectification: str = "none", average: str = "simple",

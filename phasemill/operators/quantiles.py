@@ -1,7 +1,8 @@
 """Exact order statistics per key without sorting a whole key in one task.
 
-A mergeable sketch brackets the wanted ranks; one more pass counts what lies below the bracket and
-tallies the distinct values inside it; only that tally is ordered.
+Each wanted rank has a bracket of values with the number of rows below it. Histogram passes narrow the
+brackets, one partial aggregation a pass, until each holds few rows; only the distinct values inside a
+bracket are then ordered. Counts are exact throughout, so a bracket holds its rank by construction.
 """
 
 from __future__ import annotations
@@ -11,56 +12,74 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 100_000  # keys up to this many rows are ranked whole
-ACCURACY = 10_000
-SLACK = 4.0 / ACCURACY  # the sketch is off by at most 1/ACCURACY
+from phasemill.session import cut, join_small
+
+TALLY = 65_536  # rows inside a bracket that are tallied value by value
+BINS = 1024
 
 Rank = tuple[float, Callable[[Column], Column]]  # (fraction, 0-based rank as a function of n)
 
 
+def _bin(v: Column, lo: Column, hi: Column) -> Column:
+    """0 below the finite range, 1..BINS inside, then infinity, then NaN: monotone in Spark's order."""
+    width = hi / 2 - lo / 2  # halved, so that it cannot overflow
+    inside = F.when(width > 0, F.least(F.floor((v / 2 - lo / 2) / width * BINS), F.lit(BINS - 1)) + 1).otherwise(F.lit(1))
+    return F.when(F.isnan(v), BINS + 2).when(v > hi, BINS + 1).when(v < lo, 0).otherwise(inside).cast("int")
+
+
 def order_statistics(
     df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Rank]
 ) -> DataFrame:
-    """One row per key: `n` and, for each pick, the value at that 0-based rank. NULLs are ignored."""
+    """One row per key: `n` and, for each pick, the value at that 0-based rank. NULLs are ignored, NaN is last."""
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     names = list(picks)
-    cuts = []
-    for n in names:
-        p = picks[n][0]
-        cuts += [max(0.0, p - SLACK), min(1.0, p + SLACK)]
-    bounds = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", cuts, ACCURACY).alias("_q"),
+    fine = F.when(~F.isnan("_v") & (F.abs("_v") < float("inf")), F.col("_v"))
+    whole = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"),
+        F.min(fine).alias("flo"), F.max(fine).alias("fhi"),
     )
-    n = F.col("n")
-    small = n <= SMALL
     entries = F.array(
         *[
-            F.struct(
-                F.lit(i).alias("i"), picks[name][1](n).cast("bigint").alias("rank"),
-                F.when(small, F.col("_min")).otherwise(F.col("_q")[2 * i]).alias("lo"),
-                F.when(small, F.col("_max")).otherwise(F.col("_q")[2 * i + 1]).alias("hi"),
-            )
+            F.struct(F.lit(i).alias("i"), picks[name][1](F.col("n")).cast("bigint").alias("rank"))
             for i, name in enumerate(names)
         ]
     )
-    wanted = bounds.select(*keys, "n", entries.alias("_e"))
-    tally = (
-        rows.join(wanted, keys)
-        .withColumn("_e", F.explode("_e"))
-        .filter(F.col("_v") <= F.col("_e.hi"))
-        .groupBy(*keys, "n", F.col("_e.i").alias("_i"), F.col("_e.rank").alias("_rank"),
-                 F.when(F.col("_v") >= F.col("_e.lo"), F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+    state = ["i", "rank", "lo", "hi", "flo", "fhi", "inside"]
+    wanted = cut(
+        whole.select(*keys, "n", "lo", "hi", "flo", "fhi", F.col("n").alias("inside"), F.explode(entries).alias("_e"))
+        .select(*keys, "n", "_e.i", "_e.rank", "lo", "hi", "flo", "fhi", "inside")
     )
-    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
-    hit = tally.withColumn("_cum", F.sum("_c").over(w)).filter(
-        "_v IS NOT NULL AND _cum > _rank AND _cum - _c <= _rank"
+    ready = wanted.filter(f"inside <= {TALLY} OR lo = hi")
+    wide = cut(wanted.filter(f"inside > {TALLY} AND NOT lo = hi"))
+    while not wide.isEmpty():
+        hist = (
+            join_small(rows, wide, keys).filter("_v >= lo AND _v <= hi")
+            .groupBy(*keys, "n", "i", "rank", _bin(F.col("_v"), F.coalesce("flo", F.lit(0.0)), F.coalesce("fhi", F.lit(0.0))).alias("_b"))
+            .agg(
+                F.count(F.lit(1)).alias("inside"), F.min("_v").alias("lo"), F.max("_v").alias("hi"),
+                F.min(fine).alias("flo"), F.max(fine).alias("fhi"),
+            )
+        )
+        upto = F.sum("inside").over(Window.partitionBy(*keys, "i").orderBy("_b"))  # at most BINS + 3 rows
+        narrowed = cut(
+            hist.withColumn("_cum", upto).filter("_cum > rank AND _cum - inside <= rank")
+            .withColumn("rank", F.col("rank") - (F.col("_cum") - F.col("inside"))).select(*keys, "n", *state)
+        )
+        ready = ready.unionByName(narrowed.filter(f"inside <= {TALLY} OR lo = hi"))
+        wide = cut(narrowed.filter(f"inside > {TALLY} AND NOT lo = hi"))
+    # a bracket of one value is its own answer; the others are tallied
+    single = ready.filter("lo = hi").select(*keys, "n", "i", F.col("lo").alias("_v"))
+    open_ = ready.filter("NOT lo = hi")
+    tally = (
+        join_small(rows, open_, keys).filter("_v >= lo AND _v <= hi")
+        .groupBy(*keys, "n", "i", "rank", "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
-    return hit.groupBy(*keys).agg(
+    w = Window.partitionBy(*keys, "i").orderBy("_v")  # at most TALLY rows
+    hit = tally.withColumn("_cum", F.sum("_c").over(w)).filter("_cum > rank AND _cum - _c <= rank")
+    return single.unionByName(hit.select(*keys, "n", "i", "_v")).groupBy(*keys).agg(
         F.max("n").alias("n"),
-        *[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)],
+        *[F.max(F.when(F.col("i") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)],
     )
 
 

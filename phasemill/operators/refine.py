@@ -1,8 +1,7 @@
 """Splitting and merging of areas: minima, flooding, reconstruction, coverage.
 
-The flooding operators are fixpoints over neighbour offers rather than an ordered queue: a pixel takes
-the front that reaches it at the lowest flood level, then in the fewest steps at that level, then of the
-lowest label. All patches of all recordings advance together.
+Flood levels are a fixpoint over neighbour offers rather than an ordered queue; a pixel then belongs to the
+neighbour whose turn came first. All patches of all recordings advance together, and leave when settled.
 """
 
 from __future__ import annotations
@@ -17,24 +16,36 @@ from phasemill.operators import areas, maps, quantiles, stats, stencil
 from phasemill.operators import components as cc
 from phasemill.operators import morphology as mo
 from phasemill.operators.stencil import REC, SIZE, box3, cross, scatter_spans
-from phasemill.session import cut
+from phasemill.session import cut, join_small
 
 STEPS_PER_CUT = 4
 
 
-def _fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], mark: Column, max_rounds: int = 20_000) -> DataFrame:
-    """Repeat `step` until the fingerprint of the rows stands still; a few steps per lineage cut."""
+def _fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], mark: Column, keys: Sequence[str]) -> DataFrame:
+    """Repeat `step` until every key's fingerprint stands still; a few steps per lineage cut.
+
+    Keys that stand still leave the loop, so one long key does not rewrite the others. Every user lowers (or
+    raises) values monotonically towards a bound, which ends the loop.
+    """
+    keys = list(keys)
+
+    def prints(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(mark).alias("_h"))
+
     cur = cut(start)
-    seen = cur.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("h")).first()
-    for _ in range(max_rounds):
+    seen, done = cut(prints(cur)), None
+    while True:
         for _ in range(STEPS_PER_CUT):
             cur = step(cur)
         cur = cut(cur)
-        now = cur.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("h")).first()
-        if now == seen:
-            return cur
+        now = cut(prints(cur))
+        moving = cut(now.join(seen, [*keys, "_n", "_h"], "left_anti").select(*keys))
+        settled = cur.join(moving, keys, "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        if moving.isEmpty():
+            return done
+        cur = cut(cur.join(moving, keys, "left_semi"))
         seen = now
-    raise RuntimeError("fixpoint not reached")
 
 
 def _ring(conn: int) -> list[stencil.Span]:
@@ -93,26 +104,29 @@ def basin_assign(df: DataFrame, elevation: str, marker: str, conn: int = 8, keys
 
     `df` holds the mask's pixels with the elevation and the marker label (0 or null for none). Returns the
     pixels with `basin` (null if unreachable), `level` and `hops`.
+
+    Levels are exact minimax levels, `hops` the steps taken since the level last rose. Fronts advance in the
+    order (level, hops, y, x); a pixel belongs to the neighbour whose turn came first, and through it to a
+    marker. These parents form trees, so every basin is connected to its marker; their roots are found by
+    pointer doubling.
     """
     keys = list(keys)
     seeded = (F.coalesce(F.col(marker), F.lit(0)) > 0) & finite(elevation)
-    cost = F.struct(
-        F.col(elevation).cast("double").alias("level"), F.lit(0).alias("hops"), F.col(marker).cast("bigint").alias("basin")
-    )
-    start = df.select(
-        *_px(keys), F.coalesce(F.col(elevation).cast("double"), F.lit(float("nan"))).alias("_e"),
-        F.when(seeded, cost).alias("_c"),
+    cost = F.struct(F.col(elevation).cast("double").alias("level"), F.lit(0).alias("hops"))
+    base = cut(
+        df.select(
+            *_px(keys), F.coalesce(F.col(elevation).cast("double"), F.lit(float("nan"))).alias("_e"),
+            F.when(seeded, F.col(marker).cast("bigint")).alias("_seed"), F.when(seeded, cost).alias("_c"),
+        )
     )
+    start = base.drop("_seed")
 
     offsets = "array(" + ", ".join(f"named_struct('dy', {a}, 'lo', {b}, 'hi', {c})" for a, b, c in _ring(conn)) + ")"
     # a pixel without a front stays where it is; one with a front also offers it to its neighbours
     reach = f"explode(if(_c IS NULL, array(named_struct('dy', 0, 'lo', 0, 'hi', 0)), {offsets})) AS _s"
 
     k = [*keys, *SIZE]
-    rises = "_e > _o.level"
-    taken = (
-        f"named_struct('level', greatest(_o.level, _e), 'hops', if({rises}, 0, _o.hops + 1), 'basin', _o.basin)"
-    )
+    taken = "named_struct('level', greatest(_o.level, _e), 'hops', if(_e > _o.level, 0, _o.hops + 1))"
     open_ = "_o IS NOT NULL AND NOT isnan(_e) AND abs(_e) < double('inf')"
     best = f"CASE WHEN {open_} AND _c IS NOT NULL THEN least(_c, {taken}) WHEN {open_} THEN {taken} ELSE _c END AS _c"
 
@@ -131,8 +145,35 @@ def basin_assign(df: DataFrame, elevation: str, marker: str, conn: int = 8, keys
             .selectExpr(*_px(keys), "_e", best)
         )
 
-    done = _fixpoint(start, step, F.xxhash64(*keys, "y", "x", "_c.level", "_c.hops", "_c.basin"))
-    return done.select(*_px(keys), F.col("_e").alias(elevation), "_c.basin", "_c.level", "_c.hops")
+    costs = _fixpoint(start, step, F.xxhash64(*keys, "y", "x", "_c.level", "_c.hops"), keys)
+    flooded = cut(
+        costs.join(base.select(*keys, "y", "x", "_seed"), [*keys, "y", "x"])
+        .withColumn("_at", F.col("y").cast("bigint") * F.col("width") + F.col("x"))
+    )
+    done = _owners(flooded, conn, keys)
+    return flooded.join(done, [*keys, "_at"], "left").select(
+        *_px(keys), F.col("_e").alias(elevation), "basin", "_c.level", "_c.hops"
+    )
+
+
+def _owners(flooded: DataFrame, conn: int, keys: list[str]) -> DataFrame:
+    """(keys, _at, basin): each reached pixel follows its first neighbour's turn until a marker."""
+    live = flooded.filter("_c IS NOT NULL")
+    turn = F.struct(F.col("_c.level").alias("level"), F.col("_c.hops").alias("hops"), "y", "x", "_at")
+    near = scatter_spans(live.withColumn("_t", turn), _ring(conn), keys, ["_t"])
+    own = live.filter("_seed IS NULL").select(*keys, "y", "x", "_at")
+    first = near.join(own, [*keys, "y", "x"]).filter("_t._at <> _at").groupBy(*keys, "_at").agg(F.min("_t").alias("_t"))
+    links = cut(first.select(*keys, "_at", F.col("_t._at").alias("_up")))
+    out = live.filter("_seed IS NOT NULL").select(*keys, "_at", F.col("_seed").alias("basin"))
+    while not links.isEmpty():
+        # pixels that point at a settled one are settled; the others point twice as far
+        settled = out.select(*keys, F.col("_at").alias("_up"), "basin")
+        new = cut(links.join(settled, [*keys, "_up"]).select(*keys, "_at", "basin"))
+        rest = links.join(settled, [*keys, "_up"], "left_anti")
+        jump = links.select(*keys, F.col("_at").alias("_up"), F.col("_up").alias("_next"))
+        links = cut(rest.join(jump, [*keys, "_up"]).select(*keys, "_at", F.col("_next").alias("_up")))
+        out = out.unionByName(new)
+    return out
 
 
 def basin_lines(df: DataFrame, elevation: str, conn: int = 4, keys: Sequence[str] = REC) -> DataFrame:
@@ -166,7 +207,7 @@ def reconstruct_erosion(df: DataFrame, marker: str, mask: str, conn: int = 8, ke
         near = scatter_spans(cur, _ring(conn), keys, ["level"]).groupBy(*_px(keys)).agg(F.min("level").alias("_low"))
         return cur.join(near, _px(keys)).select(*_px(keys), "_m", F.greatest("_low", "_m").alias("level"))
 
-    return _fixpoint(start, step, F.xxhash64(*keys, "y", "x", "level")).drop("_m")
+    return _fixpoint(start, step, F.xxhash64(*keys, "y", "x", "level"), keys).drop("_m")
 
 
 def impose_minima(df: DataFrame, value: str, at: str, keys: Sequence[str] = REC) -> DataFrame:
@@ -186,17 +227,18 @@ SPHERE_MIN, SPHERE_CELLS = -90, 181
 
 
 def coverage(
-    df: DataFrame, azi: str, alt: str, jac: str, px_per_mm: float, keys: Sequence[str] = ("rec_id", "patch")
+    df: DataFrame, azi: str, alt: str, jac: str, px_per_mm: float | Column, keys: Sequence[str] = ("rec_id", "patch")
 ) -> tuple[DataFrame, DataFrame]:
     """(statistics, cells) of the visual field each patch covers on a 1° grid.
 
     Only pixels whose Jacobian has the sign of the patch's mean Jacobian count.
     """
     keys = list(keys)
+    scale = px_per_mm if isinstance(px_per_mm, Column) else F.lit(float(px_per_mm))
     p = stencil.frame_stats(df, {"_mj": F.avg(jac)}, keys)
     kept = p.filter((F.signum(jac) == F.signum("_mj")) & (F.col(jac) != 0))
     s = kept.groupBy(*keys).agg(
-        (F.sum(F.abs(jac)) / F.lit(float(px_per_mm) ** 2)).alias("jac_coverage"), F.count(F.lit(1)).alias("_kept")
+        F.sum(F.abs(jac) / (scale * scale)).alias("jac_coverage"), F.count(F.lit(1)).alias("_kept")
     )
     cell = kept.select(
         *keys, F.lit(SPHERE_CELLS).alias("height"), F.lit(SPHERE_CELLS).alias("width"),
@@ -306,13 +348,13 @@ def _renumber(px: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def merge_patches(
     patches: DataFrame, frame: DataFrame, grid: DataFrame, *, azi: str, alt: str, overlap: float = 0.01,
-    size: float = 0.5, close_n: int = 15, border_width: int = 1, max_rounds: int = 200,
+    size: float = 0.5, close_n: int = 15, border_width: int = 1,
 ) -> DataFrame:
     """Join adjacent patches of one sign whose visual fields hardly overlap, best pairs first, until none is left."""
     pk = ["rec_id", "patch"]
     pos = frame.select("rec_id", "y", "x", azi, alt)
     cur = cut(patches.select(*_px(pk), "sign"))
-    for _ in range(max_rounds):
+    while True:  # every round but the last takes at least one patch away
         near = areas.adjacent_patches(cur, max(border_width + 1, 2))
         sign = cur.select("rec_id", "patch", "sign").distinct()
         near = near.join(sign.select("rec_id", F.col("patch").alias("a"), F.col("sign").alias("_sa")), ["rec_id", "a"])
@@ -342,28 +384,32 @@ def merge_patches(
         chosen = cut(greedy_pairs(c.select("rec_id", "a", "b", "ratio", "neg_area")))
         if not chosen.take(1):
             return cur
-        fresh = merged.join(chosen, ab, "left_semi").join(near.select(*ab, "sign"), ab).select(
-            *_px(["rec_id"]), F.col("a").alias("patch"), "sign"
-        )
+        # merged patches come first, in the order in which they were accepted, then the others
+        rank = F.struct(F.lit(0).alias("_late"), "ratio", "neg_area", "a", "b")
+        order = chosen.join(c.select(*ab, "ratio", "neg_area"), ab).select(*ab, rank.alias("_order"))
+        fresh = merged.join(order, ab).join(near.select(*ab, "sign"), ab).select(*_px(["rec_id"]), "_order", "sign")
         used = chosen.select("rec_id", F.explode(F.array("a", "b")).alias("patch"))
-        rest = cur.join(used, pk, "left_anti")
-        cur = cut(rest.unionByName(fresh.select(*_px(pk), "sign")))
-    raise RuntimeError("merging did not settle")
+        late = F.struct(
+            F.lit(1).alias("_late"), F.lit(0.0).alias("ratio"), F.lit(0.0).alias("neg_area"),
+            F.col("patch").alias("a"), F.col("patch").alias("b"),
+        )
+        rest = cur.join(used, pk, "left_anti").select(*_px(["rec_id"]), late.alias("_order"), "sign")
+        cur = cut(_renumber(rest.unionByName(fresh), ["_order"]))
 
 
 def split_merge(
     patches: DataFrame, frame: DataFrame, *, azi: str = "azi_deg", alt: str = "alt_deg", det: str = "determinant",
     split_overlap: float = 1.1, cut_step: float = 5.0, merge_overlap: float = 0.01, size: float = 0.5,
     close_n: int = 15, box: int = 10, border_width: int = 1, min_px: int = 100, codes=None,
+    noise_limit: int | None = None,
 ) -> DataFrame:
     """Split over-representing patches, merge fragments, drop small rests.
 
-    Recordings with more than a hundred patches are noise and pass through unchanged.
+    With `noise_limit`, recordings of more patches pass through unchanged.
     """
     pk = ["rec_id", "patch"]
-    guard = cc.patch_count_guard(patches.select(*pk).distinct(), areas.NOISE_PATCHES)
-    noisy = guard.filter("noisy").select("rec_id").distinct()
-    calm = cut(patches.select(*_px(pk), "sign").join(noisy, REC, "left_anti"))
+    calm, noisy = areas.calm_recordings(patches.select(*_px(pk), "sign"), noise_limit)
+    calm = cut(calm)
     grid = cut(areas.visual_grid(frame, alt, azi, size))
     one = split_patches(
         calm, frame, grid, azi=azi, alt=alt, det=det, overlap=split_overlap, cut_step=cut_step, size=size,
@@ -374,7 +420,7 @@ def split_merge(
     )
     big = two.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_px).select(*pk)
     kept = two.join(big, pk, "left_semi")
-    return kept.unionByName(patches.select(*_px(pk), "sign").join(noisy, REC, "left_semi"))
+    return kept.unionByName(noisy)
 
 
 # ---- split and fuse ------------------------------------------------------------------------------------
@@ -447,17 +493,17 @@ def local_minimum_centres(patches: DataFrame, distance: str, far: float) -> Data
 
 
 def split_fuse(
-    patches: DataFrame, frame: DataFrame, *, azi: str = "azi_deg", alt: str = "alt_deg", um_per_pixel: float = 20.0,
-    opening_radius: int = 10, smooth_sigma: float = 2.0, max_rounds: int = 100,
+    patches: DataFrame, frame: DataFrame, *, azi: str = "azi_deg", alt: str = "alt_deg", um_per_pixel: float | DataFrame = 20.0,
+    opening_radius: int = 10, smooth_sigma: float = 2.0, noise_limit: int | None = None,
 ) -> DataFrame:
     """Limit areas to the central field, split those that represent it twice, drop redundant ones, fuse fragments.
 
-    Works at the native resolution, with a wrapped Gaussian for the smoothed position maps.
+    Works at the native resolution, with a wrapped Gaussian for the smoothed position maps. `um_per_pixel` is
+    one number or a table (rec_id, um_per_pixel); recordings without one take 20. With `noise_limit`,
+    recordings of more patches pass through unchanged.
     """
-    pk, ppm = ["rec_id", "patch"], 1000.0 / um_per_pixel
-    guard = cc.patch_count_guard(patches.select(*pk).distinct(), areas.NOISE_PATCHES)
-    noisy = guard.filter("noisy").select("rec_id").distinct()
-    calm = patches.join(noisy, REC, "left_anti")
+    pk = ["rec_id", "patch"]
+    calm, noisy = areas.calm_recordings(patches, noise_limit)
     pos = frame.select(*_px(REC), azi, alt)
     im = cut(calm.select(*_px(REC)).distinct())
     labelled = pos.join(im.select("rec_id", "y", "x", F.lit(1).alias("_on")), ["rec_id", "y", "x"], "left").withColumn(
@@ -466,12 +512,18 @@ def split_fuse(
     ref = areas.v1_center_pixel_sample(labelled, alt, azi, "_on", opening_radius)
     soft = stencil.gaussian_smooth(pos, [azi, alt], smooth_sigma, border="wrap")
     g = stencil.gradient(soft, [azi, alt])
-    jac = (F.col(f"{azi}_dx") * F.col(f"{alt}_dy") - F.col(f"{alt}_dx") * F.col(f"{azi}_dy")) * (ppm * ppm)
-    info = g.select("rec_id", "y", "x", F.col(azi).alias("_z"), F.col(alt).alias("_a"), jac.alias("_j")).join(
+    if isinstance(um_per_pixel, DataFrame):
+        scale = um_per_pixel.select("rec_id", F.col("um_per_pixel").cast("double").alias("_um"))
+        g = join_small(g, scale, REC, "left").withColumn("_ppm", 1000.0 / F.coalesce("_um", F.lit(20.0)))
+    else:
+        g = g.withColumn("_ppm", F.lit(1000.0 / um_per_pixel))
+    ppm = F.col("_ppm")
+    jac = (F.col(f"{azi}_dx") * F.col(f"{alt}_dy") - F.col(f"{alt}_dx") * F.col(f"{azi}_dy")) * ppm * ppm
+    info = g.select("rec_id", "y", "x", F.col(azi).alias("_z"), F.col(alt).alias("_a"), jac.alias("_j"), "_ppm").join(
         pos.select("rec_id", "y", "x", azi, alt), ["rec_id", "y", "x"]
     ).join(ref, REC, "left")
     ecc = F.coalesce(ecc_alt(alt, azi, "alt_c", "azi_c"), F.lit(0.0))
-    info = cut(info.select("rec_id", "y", "x", "_z", "_a", "_j", azi, alt, ecc.alias("_ecc")))
+    info = cut(info.select("rec_id", "y", "x", "_z", "_a", "_j", "_ppm", azi, alt, ecc.alias("_ecc")))
 
     def placed(px):
         return px.join(info, ["rec_id", "y", "x"])
@@ -499,17 +551,17 @@ def split_fuse(
         (F.col("jac_coverage") <= F.col("actual_coverage") * OVER_DROP) & (F.col("jac_coverage") / whole >= NEGLIGIBLE)
     ).select(*pk)
     cur = cut(cur.join(keep, pk, "left_semi"))
-    cur = _fuse(cur, info, azi, alt, frame, ppm, max_rounds)
+    cur = _fuse(cur, info, azi, alt, frame, ppm)
     sign = maps.field_sign_from_positions(pos, azi, alt)
     out = areas.sign_patches(cur.select(*_px(REC)), sign, "sign").select(*_px(pk), "sign")
-    return out.unionByName(patches.select(*_px(pk), "sign").join(noisy, REC, "left_semi"))
+    return out.unionByName(noisy.select(*_px(pk), "sign"))
 
 
-def _fuse(cur: DataFrame, info: DataFrame, azi: str, alt: str, frame: DataFrame, ppm: float, max_rounds: int) -> DataFrame:
+def _fuse(cur: DataFrame, info: DataFrame, azi: str, alt: str, frame: DataFrame, ppm: Column) -> DataFrame:
     """Unite touching patches of one sign that share little of the visual field, least overlap first."""
     pk, ab = ["rec_id", "patch"], ["rec_id", "a", "b"]
     sign = cut(maps.field_sign_from_positions(frame.select(*_px(REC), azi, alt), azi, alt).select("rec_id", "y", "x", "sign"))
-    for _ in range(max_rounds):
+    while True:  # every round but the last leaves fewer patches
         if not cur.take(1):
             return cur
         s = cut(stats.area_stats(cur.join(sign.withColumnRenamed("sign", "_v"), ["rec_id", "y", "x"]), "_v", "patch"))
@@ -544,4 +596,3 @@ def _fuse(cur: DataFrame, info: DataFrame, azi: str, alt: str, frame: DataFrame,
         if new.select(*pk).distinct().count() >= before:
             return new  # nothing grew together, so another round would choose the same pairs
         cur = new
-    raise RuntimeError("fusing did not settle")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasemill.functions.columns import finite, safe_div
+from phasemill.session import join_small
 
 REC = ["rec_id"]
 SIZE = ["height", "width"]
@@ -202,7 +203,7 @@ def adaptive_smooth(
         *[(F.col(q) - F.col(c) * F.col(c)).alias(f"_v_{c}") for c, q in zip(columns, sq)],
     )
     noise = local.groupBy(*keys).agg(*[F.avg(f"_v_{c}").alias(f"_n_{c}") for c in columns])
-    j = df.select(*keys, *SIZE, "y", "x", *columns).join(local, [*keys, "y", "x"]).join(noise, list(keys))
+    j = join_small(df.select(*keys, *SIZE, "y", "x", *columns).join(local, [*keys, "y", "x"]), noise, list(keys))
 
     def wiener(c):
         m, v, n = F.col(f"_m_{c}"), F.col(f"_v_{c}"), F.col(f"_n_{c}")
@@ -362,7 +363,7 @@ def label_borders(df: DataFrame, label: str = "label", keys: Sequence[str] = REC
 def frame_stats(df: DataFrame, aggs: dict[str, Column], keys: Sequence[str] = REC) -> DataFrame:
     """Attach per-key aggregates to every row: partial aggregation plus a one-row-per-key join."""
     stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return df.join(stats, list(keys))
+    return join_small(df, stats, list(keys))
 
 
 def where_finite(c: str) -> Column:

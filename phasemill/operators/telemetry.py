@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from phasemill.functions.columns import safe_div
 from phasemill.operators import quantiles
 from phasemill.operators.blocks import BLOCK_ROWS, block_of, index_rows, neighbour_rows, running_sum
-from phasemill.operators.timebase import dropped_frames, frame_deltas, sequence_drops, with_sequence_gap
+from phasemill.operators.timebase import bucket_of, dropped_frames, frame_deltas, sequence_drops, with_sequence_gap
+from phasemill.session import join_small
 
 REC = ["rec_id"]
 # Loss that ends an acquisition
@@ -26,7 +27,7 @@ def capture_quality(
     """Counts, rates, jitter, drops and anomalies with a verdict and the reasons for a failure."""
     d = with_sequence_gap(frames)
     med = quantiles.median(d.filter("delta IS NOT NULL"), REC, "delta", "median_us").select("rec_id", "median_us")
-    j = d.join(med, REC, "left")
+    j = join_small(d, med, REC, "left")
     late = (F.col("frame_idx") - 1 >= warmup) & (F.col("delta") > F.col("median_us") * float(anomaly_factor))
     g = j.groupBy("rec_id").agg(
         F.count(F.lit(1)).alias("n_frames"),
@@ -137,12 +138,15 @@ def quality_summary(
     )
 
 
-def sweep_intervals(events: DataFrame, bucket_us: int = 86_400_000_000) -> DataFrame:
+def sweep_intervals(events: DataFrame, bucket_us: float | None = None) -> DataFrame:
     """Realised intervals from started/completed events (rec_id, ts_us, kind, ord).
 
-    A start is closed by the very next event of the two kinds if that is a completion.
+    A start is closed by the very next event of the two kinds if that is a completion. Events are ordered in
+    buckets of `bucket_us`; by default a bucket holds some thousand events.
     """
-    e = events.filter(F.col("kind").isin("started", "completed")).withColumn("_b", block_of("ts_us", bucket_us))
+    e = events.filter(F.col("kind").isin("started", "completed"))
+    bucket_us = bucket_of(e, "ts_us") if bucket_us is None else bucket_us
+    e = e.withColumn("_b", block_of("ts_us", bucket_us))
     e = index_rows(e, REC, "_b", ["ts_us", "ord"], "frame_idx").drop("_b")
     e = neighbour_rows(
         e, REC, "frame_idx",

@@ -16,6 +16,7 @@ from phasemill.operators.blocks import (
     neighbour_rows,
     running_sum,
 )
+from phasemill.session import join_small
 
 DAY_US = 86_400_000_000
 REC = ["rec_id"]
@@ -27,7 +28,7 @@ REC = ["rec_id"]
 def unify_timebase(df: DataFrame, frames: DataFrame, us: str, name: str, sys_us: str = "sys_us") -> DataFrame:
     """Seconds since the first camera frame's system stamp of the same recording."""
     t0 = frames.groupBy("rec_id").agg(F.min_by(sys_us, "frame_idx").alias("_t0"))
-    return df.join(t0, REC).withColumn(name, (F.col(us) - F.col("_t0")) / 1e6).drop("_t0")
+    return join_small(df, t0, REC).withColumn(name, (F.col(us) - F.col("_t0")) / 1e6).drop("_t0")
 
 
 def unwrap_midnight(df: DataFrame, hw: str = "hw_us", name: str = "hw_unwrapped") -> DataFrame:
@@ -49,7 +50,7 @@ def clock_drift(df: DataFrame) -> DataFrame:
         # offsets are taken relative to the first one, which keeps the sums small
         F.min_by(F.col("sys_us") - F.col("hw_unwrapped"), "frame_idx").alias("_o0"),
     )
-    j = u.join(ends, REC).select(
+    j = join_small(u, ends, REC).select(
         "rec_id", "_s0", "_s1", "_o0", (F.col("sys_us") - F.col("_s0")).cast("double").alias("t"),
         (F.col("sys_us") - F.col("hw_unwrapped") - F.col("_o0")).cast("double").alias("o"),
     )
@@ -83,7 +84,7 @@ def sweep_plan(conditions: DataFrame, reps: str | int, order: str, seed: int = 0
     if order == "interleaved":
         return trials.withColumn("trial", (F.col("rep") * F.col("_nc") + F.col("cond_idx")).cast("int")).drop("_nc")
     if order == "randomized":
-        key = F.xxhash64(F.lit(seed), "rec_id", "cond_idx", "rep")
+        key = F.sha2(F.concat_ws("|", F.lit(str(seed)), "rec_id", "cond_idx", "rep"), 256)
         w = Window.partitionBy("rec_id").orderBy(key, "cond_idx", "rep")  # a plan: bounded by the protocol
         return trials.withColumn("trial", (F.row_number().over(w) - 1).cast("int")).drop("_nc")
     raise ValueError(f"unknown order {order!r}")
@@ -96,11 +97,25 @@ def with_direction(sweeps: DataFrame) -> DataFrame:
     return sweeps.withColumn("direction", classify_direction("label"))
 
 
+FRAMES_PER_BUCKET = 4096
+
+
+def bucket_of(frames: DataFrame, time: str, per_bucket: int = FRAMES_PER_BUCKET) -> float:
+    """Length of a time bucket that holds about `per_bucket` frames of the fastest recording."""
+    span = frames.groupBy("rec_id").agg((F.max(time) - F.min(time)).alias("s"), (F.count(F.lit(1)) - 1).alias("n"))
+    step = span.filter("n > 0 AND s > 0").agg(F.min(F.col("s") / F.col("n"))).first()[0]
+    return float(step) * per_bucket if step else 1.0
+
+
 def nearest_frame(
-    sweeps: DataFrame, frames: DataFrame, bucket_sec: float = 86_400.0, name: str = "onset_idx"
+    sweeps: DataFrame, frames: DataFrame, bucket_sec: float | None = None, name: str = "onset_idx"
 ) -> DataFrame:
-    """As-of nearest frame of each sweep onset; a tie goes to the earlier frame."""
-    return asof_nearest(sweeps, frames, REC, "start_sec", "ts_sec", "frame_idx", bucket_sec, name)
+    """As-of nearest frame of each sweep onset; a tie goes to the earlier frame.
+
+    Both sides meet in time buckets of `bucket_sec`; by default a bucket holds some thousand frames.
+    """
+    bucket = bucket_of(frames, "ts_sec") if bucket_sec is None else bucket_sec
+    return asof_nearest(sweeps, frames, REC, "start_sec", "ts_sec", "frame_idx", bucket, name)
 
 
 def frame_summary(frames: DataFrame) -> DataFrame:
@@ -113,7 +128,7 @@ def frame_summary(frames: DataFrame) -> DataFrame:
     )
 
 
-def cycle_windows(sweeps: DataFrame, frames: DataFrame, bucket_sec: float = 86_400.0) -> DataFrame:
+def cycle_windows(sweeps: DataFrame, frames: DataFrame, bucket_sec: float | None = None) -> DataFrame:
     """Chunk length and onset frame of every sweep of a known direction, and whether it is usable."""
     known = with_direction(sweeps).filter("direction IS NOT NULL")
     dur = known.groupBy("rec_id", "direction").agg(
@@ -142,7 +157,8 @@ def attach_cycle(frames: DataFrame, windows: DataFrame, block: int = 64) -> Data
     """Frames inside each window with `direction`, `cycle`, `k`; a frame may serve several cycles.
 
     The interval join is an equi-join on (rec_id, frame block): each window is copied only to the
-    blocks it touches, so neither side meets a whole recording.
+    blocks it touches, so neither side meets a whole recording. There is one window per block and cycle;
+    while that list is small it goes to the frames, which then stay where they are.
     """
     last = F.col("onset_idx") + F.col("chunk") - 1
     spans = windows.filter("chunk > 0").select(
@@ -150,16 +166,16 @@ def attach_cycle(frames: DataFrame, windows: DataFrame, block: int = 64) -> Data
         F.explode(F.sequence(block_of("onset_idx", block), block_of(last, block))).alias("_blk"),
     )
     return (
-        frames.withColumn("_blk", block_of("frame_idx", block))
-        .join(spans, ["rec_id", "_blk"])
+        join_small(frames.withColumn("_blk", block_of("frame_idx", block)), spans, ["rec_id", "_blk"])
         .filter("frame_idx >= onset_idx AND frame_idx < onset_idx + chunk")
         .withColumn("k", (F.col("frame_idx") - F.col("onset_idx")).cast("int"))
         .drop("_blk", "onset_idx")
     )
 
 
-def rest_frames(frames: DataFrame, sweeps: DataFrame, bucket_sec: float = 3600.0) -> DataFrame:
-    """Frames in no closed sweep interval (anti interval join through time buckets)."""
+def rest_frames(frames: DataFrame, sweeps: DataFrame, bucket_sec: float | None = None) -> DataFrame:
+    """Frames in no closed sweep interval (anti interval join through buckets of some thousand frames)."""
+    bucket_sec = bucket_of(frames, "ts_sec") if bucket_sec is None else bucket_sec
     busy = sweeps.filter("start_sec <= end_sec").select(
         "rec_id", "start_sec", "end_sec",
         F.explode(F.sequence(block_of("start_sec", bucket_sec), block_of("end_sec", bucket_sec))).alias("_b"),
@@ -174,7 +190,7 @@ def rest_frames(frames: DataFrame, sweeps: DataFrame, bucket_sec: float = 3600.0
 
 
 def condition_lookup(stim: DataFrame, conditions: DataFrame) -> DataFrame:
-    return stim.join(conditions, ["rec_id", "condition_idx"], "left")
+    return join_small(stim, conditions, ["rec_id", "condition_idx"], "left")
 
 
 # ---- frame order -------------------------------------------------------------------------------
@@ -241,6 +257,6 @@ def timing_anomalies(df: DataFrame, factor: float, warmup: int, ts: str = "hw_us
     """Deltas beyond median × factor, counted from delta number `warmup`."""
     d = frame_deltas(df, ts).filter("delta IS NOT NULL")
     med = quantiles.median(d, REC, "delta", "median_us").select("rec_id", "median_us")
-    j = d.join(med, REC)
+    j = join_small(d, med, REC)
     late = (F.col("frame_idx") - 1 >= warmup) & (F.col("delta") > F.col("median_us") * F.lit(float(factor)))
     return j.filter(late).select("rec_id", "frame_idx", "delta", "median_us")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.operators import areas, maps, project, refine, stencil
-from phasemill.session import cut, size_broadcasts_at_runtime
+from phasemill.session import cut, join_small, size_broadcasts_at_runtime
 
 PIX = ["rec_id", "height", "width", "y", "x"]
 
@@ -39,11 +39,12 @@ class Settings:
 
 @dataclass
 class Analysis:
-    """The stored results: direction maps, per-pixel leaves, patch pixels."""
+    """The stored results: direction maps, per-pixel leaves, patch pixels, response quality."""
 
     direction_maps: DataFrame
     pixel_maps: DataFrame
     patches: DataFrame
+    responsiveness: DataFrame | None = None  # z-score and SNR per orientation, where a movie was given
 
 
 def analyze(recordings: DataFrame, rows: DataFrame, sweeps: DataFrame, s: Settings | None = None) -> Analysis:
@@ -52,7 +53,9 @@ def analyze(recordings: DataFrame, rows: DataFrame, sweeps: DataFrame, s: Settin
     size_broadcasts_at_runtime(rows.sparkSession)
     directions, cycles = project.complex_maps(rows, sweeps, s.baseline, s.normalization, s.rectification, s.cycle_average)
     rel = project.reliability(cycles)
-    return analyze_maps(recordings, cut(directions), s, rel)
+    out = analyze_maps(recordings, cut(directions), s, rel)
+    out.responsiveness = project.movie_responsiveness(rows, sweeps, s.baseline, s.normalization, s.rectification)
+    return out
 
 
 def analyze_maps(
@@ -65,7 +68,7 @@ def analyze_maps(
         combine=s.combine, position_smoothing=s.position_smoothing, position_sigma=s.position_sigma,
     ).drop("vfs_smooth")
     if reliability is not None:
-        turned = maps.rot90(reliability.join(recordings.select("rec_id", "rotation_k"), "rec_id"), "rotation_k")
+        turned = maps.rot90(join_small(reliability, recordings.select("rec_id", "rotation_k"), "rec_id"), "rotation_k")
         wide = turned.groupBy("rec_id", "y", "x").agg(
             *[
                 F.max(F.when(F.col("direction") == d, F.col("reliability"))).alias(f"rel_{d}")
@@ -74,7 +77,7 @@ def analyze_maps(
         )
         retino = retino.join(wide, ["rec_id", "y", "x"], "left")
     retino = cut(retino.withColumn("magnitude", (F.col("azi_amp") + F.col("alt_amp")) / 2.0))
-    sized = retino.select(*PIX, F.col("vfs").alias("vfs_smooth")).join(recordings.select("rec_id", "um_per_pixel"), "rec_id")
+    sized = join_small(retino.select(*PIX, F.col("vfs").alias("vfs_smooth")), recordings.select("rec_id", "um_per_pixel"), "rec_id")
     soft = stencil.smooth_um(sized, ["vfs_smooth"], s.sign_sigma_um)
     leaves = cut(retino.join(soft, PIX))
     cortex = cut(areas.cortex_mask(leaves, s.cortex, **s.cortex_params))
@@ -83,7 +86,8 @@ def analyze_maps(
     if s.refinement == "split_merge":
         patches = refine.split_merge(patches, leaves, **s.refinement_params)
     elif s.refinement == "split_fuse":
-        patches = refine.split_fuse(patches, leaves, **s.refinement_params)
+        scale = {"um_per_pixel": recordings.select("rec_id", "um_per_pixel")} | s.refinement_params
+        patches = refine.split_fuse(patches, leaves, **scale)
     elif s.refinement != "none":
         raise ValueError(f"unknown refinement {s.refinement!r}")
     patches = cut(patches)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasemill.functions.columns import c_from_polar, classify_direction
+from phasemill.operators.blocks import block_of
+from phasemill.operators.project import FRAME_BLOCK
 
 REC = ["rec_id"]
 
@@ -116,6 +118,13 @@ def polar_import(df: DataFrame, mag: str = "mag", phase: str = "phase", directio
 # ---- writers ---------------------------------------------------------------------------------------
 
 
+def write_movie(rows: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Store movie rows in buckets of (rec_id, frame block): schedules are then joined without moving a pixel."""
+    placed = rows.withColumn(FRAME_BLOCK, block_of("frame_idx", 64))
+    placed.write.bucketBy(buckets, "rec_id", FRAME_BLOCK).mode("overwrite").saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def write_maps(df: DataFrame, path: str) -> None:
     """One folder per recording; writing a recording again replaces it and nothing else."""
     (
@@ -239,23 +248,19 @@ def schema_check(observed: DataFrame, contract: DataFrame) -> DataFrame:
 
     `observed` is (rec_id, entity, dtype); `contract` is (entity, dtype, required).
     """
-    required = contract.filter("required").select("entity")
-    # per recording only declared entities are gathered, so the set is bounded by the contract
-    seen = observed.select("rec_id").distinct().join(
-        observed.join(required, "entity", "left_semi").groupBy("rec_id").agg(F.collect_set("entity").alias("_seen")),
-        "rec_id", "left",
+    # the contract is one row: a map of declared types, a list of required entities
+    must = contract.filter("required").agg(F.collect_set("entity").alias("m")).scalar()
+    declared = contract.agg(F.map_from_entries(F.collect_set(F.struct("entity", "dtype"))).alias("m")).scalar()
+    # per recording only required entities are gathered, so the set is bounded by the contract
+    seen = observed.groupBy("rec_id").agg(
+        F.collect_set(F.when(F.array_contains(must, F.col("entity")), F.col("entity"))).alias("_seen")
     )
-    must = required.agg(F.collect_set("entity").alias("m")).scalar()
-    none = F.array().cast("array<string>")
     absent = (
-        seen.withColumn("_absent", F.array_except(must, F.coalesce("_seen", none)))
+        seen.withColumn("_absent", F.array_except(must, "_seen"))
         .select("rec_id", F.explode("_absent").alias("entity"))
         .withColumn("violation", F.lit("missing"))
     )
-    extra = observed.join(contract, ["entity"], "left_anti").select("rec_id", "entity", F.lit("undeclared").alias("violation"))
-    wrong = (
-        observed.alias("o").join(contract.alias("c"), F.col("o.entity") == F.col("c.entity"))
-        .filter(F.col("o.dtype") != F.col("c.dtype"))
-        .select("o.rec_id", "o.entity", F.lit("dtype").alias("violation"))
-    )
+    known = F.try_element_at(declared, F.col("entity"))
+    extra = observed.filter(known.isNull()).select("rec_id", "entity", F.lit("undeclared").alias("violation"))
+    wrong = observed.filter(known != F.col("dtype")).select("rec_id", "entity", F.lit("dtype").alias("violation"))
     return absent.unionByName(extra).unionByName(wrong)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,28 +20,48 @@ from phasemill.session import ensure_checkpoint_dir
 # ---- frame loss ---------------------------------------------------------------------------------------
 
 
-def stream_drops(frames: DataFrame, warmup: int = 30, watermark: str = "10 minutes") -> DataFrame:
+def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values(order)
+
+
+def _until(state: GroupState, last_ms: int, give_up_ms: int) -> None:
+    """Event time at which the state of a silent key ends; never behind the watermark."""
+    state.setTimeoutTimestamp(max(last_ms + give_up_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def stream_drops(
+    frames: DataFrame, warmup: int = 30, watermark: str = "10 minutes", give_up_ms: int = 86_400_000
+) -> DataFrame:
     """Running loss per recording, one row per recording and micro-batch.
 
-    `frames` has rec_id, ts, frame_idx, seq. State is five numbers per recording. A micro-batch holds what
-    its camera sent since the last trigger; when draining a backlog, bound it with maxFilesPerTrigger.
+    `frames` has rec_id, ts, frame_idx, seq. State is six numbers per recording and ends `give_up_ms` after
+    its last frame. A frame that arrives behind a later one counts as seen and leaves the gaps alone. A
+    micro-batch holds what its camera sent since the last trigger; when draining a backlog, bound it with
+    maxFilesPerTrigger.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev, seen, lost, worst, ended = state.get if state.exists else (0, 0, 0, 0, -1)
-        parts = list(batches)
-        pdf = pd.concat(parts).sort_values("frame_idx")
-        for idx, seq in zip(pdf["frame_idx"].to_numpy(), pdf["seq"].to_numpy()):
-            seen += 1
-            gap = 0 if prev == 0 or seq <= prev + 1 else int(seq - prev - 1)
-            prev = int(seq)
-            if seen <= warmup:
-                gap = 0
-            lost += gap
-            worst = max(worst, gap)
-            if ended < 0 and (gap >= CATASTROPHIC_GAP or lost / seen >= CATASTROPHIC_FRACTION):
-                ended = int(idx)
-        state.update((prev, seen, lost, worst, ended))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        prev, seen, lost, worst, ended, at = state.get if state.exists else (0, 0, 0, 0, -1, -1)
+        pdf = _rows(batches, ["frame_idx", "seq"])
+        last_ms = int(pdf["ts"].max().timestamp() * 1000)
+        fresh = pdf[pdf["frame_idx"] > at]
+        seen += len(pdf) - len(fresh)
+        if len(fresh):
+            seq = fresh["seq"].to_numpy(np.int64)
+            before = np.concatenate([[prev], seq[:-1]])
+            count = seen + np.arange(1, len(seq) + 1)
+            gap = np.where((before == 0) | (seq <= before + 1) | (count <= warmup), 0, seq - before - 1)
+            total = lost + np.cumsum(gap)
+            bad = np.flatnonzero((gap >= CATASTROPHIC_GAP) | (total / count >= CATASTROPHIC_FRACTION))
+            if ended < 0 and len(bad):
+                ended = int(fresh["frame_idx"].iloc[bad[0]])
+            prev, seen, lost = int(seq[-1]), int(count[-1]), int(total[-1])
+            worst, at = max(worst, int(gap.max())), int(fresh["frame_idx"].iloc[-1])
+        state.update((prev, seen, lost, worst, ended, at))
+        _until(state, last_ms, give_up_ms)
         yield pd.DataFrame(
             {"rec_id": [key[0]], "observed": [seen], "lost_total": [lost], "largest_gap": [worst],
              "ended_at": pd.array([ended if ended >= 0 else None], dtype="Int64")}
@@ -52,8 +73,8 @@ def stream_drops(frames: DataFrame, warmup: int = 30, watermark: str = "10 minut
         .applyInPandasWithState(
             advance,
             f"rec_id {key_type}, observed bigint, lost_total bigint, largest_gap bigint, ended_at bigint",
-            "prev bigint, seen bigint, lost bigint, worst bigint, ended bigint",
-            "update", GroupStateTimeout.NoTimeout,
+            "prev bigint, seen bigint, lost bigint, worst bigint, ended bigint, at bigint",
+            "update", GroupStateTimeout.EventTimeTimeout,
         )
     )
 
@@ -83,20 +104,14 @@ def stream_sweeps(events: DataFrame, watermark: str = "10 minutes", give_up_ms:
             state.remove()
             return
         (open_us,) = state.get if state.exists else (-1,)
-        pdf = pd.concat(list(batches)).sort_values(["ts_us", "ord"])
-        start, end = [], []
-        for us, kind in zip(pdf["ts_us"].to_numpy(), pdf["kind"].to_numpy()):
-            if kind == "started":
-                open_us = int(us)
-            elif open_us >= 0:
-                start.append(open_us)
-                end.append(int(us))
-                open_us = -1
-        state.update((open_us,))
-        deadline = int(pdf["ts_us"].max() // 1000) + give_up_ms
-        if deadline > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(deadline)
-        out = pd.DataFrame({"start_us": start, "end_us": end}, dtype="int64")
+        pdf = _rows(batches, ["ts_us", "ord"])
+        us, started = pdf["ts_us"].to_numpy(np.int64), (pdf["kind"] == "started").to_numpy()
+        if open_us >= 0:  # the sweep left open by the batch before
+            us, started = np.concatenate([[open_us], us]), np.concatenate([[True], started])
+        closes = np.flatnonzero(started[:-1] & ~started[1:])
+        state.update((int(us[-1]) if started[-1] else -1,))
+        _until(state, int(pdf["ts_us"].max() // 1000), give_up_ms)
+        out = pd.DataFrame({"start_us": us[closes], "end_us": us[closes + 1]}, dtype="int64")
         out.insert(0, "rec_id", key[0])
         out["duration_us"] = out["end_us"] - out["start_us"]
         yield out
@@ -115,14 +130,26 @@ def stream_sweeps(events: DataFrame, watermark: str = "10 minutes", give_up_ms:
 # ---- online projection -------------------------------------------------------------------------------------
 
 
-def stream_bin1(pixels: DataFrame, windows: DataFrame, value: str = "v") -> DataFrame:
-    """Running first Fourier bin per (recording, direction, cycle, pixel) as frames arrive.
+def stream_bin1(
+    pixels: DataFrame, windows: DataFrame, value: str = "v", width: str | None = None, watermark: str = "10 minutes"
+) -> DataFrame:
+    """First Fourier bin per (recording, direction, cycle, pixel) as frames arrive.
 
     `pixels` is a stream of (rec_id, frame_idx, height, width, y, x, value); `windows` a static table of
-    cycle windows. The sums merge, so late frames simply add to them.
+    cycle windows. The sums merge, so late frames simply add to them. Without `width` the sums run for ever
+    (update mode, for a session that is watched). With it, `pixels` also has `ts`: partial sums per window of
+    that length are given out once the watermark has passed (append mode) and their state is dropped; a cycle
+    is the sum of its partial sums.
     """
-    s = timebase.attach_cycle(pixels, windows.select("rec_id", "direction", "cycle", "onset_idx", "chunk"))
-    return project.bin1_projection(s, "chunk", value)
+    src = pixels.withWatermark("ts", watermark) if width else pixels
+    s = timebase.attach_cycle(src, windows.select("rec_id", "direction", "cycle", "onset_idx", "chunk"))
+    if not width:
+        return project.bin1_projection(s, "chunk", value)
+    c, n = project.kernel("k", "chunk")
+    g = s.groupBy(F.window("ts", width).alias("_w"), "rec_id", "direction", "cycle", "height", "width", "y", "x").agg(
+        F.sum(F.col(value) * c).alias("re"), F.sum(F.col(value) * n).alias("im")
+    )
+    return g.withColumn("start_us", F.unix_micros("_w.start")).drop("_w")
 
 
 # ---- running ---------------------------------------------------------------------------------------------

@@ -44,8 +44,16 @@ def late_rows(frames: DataFrame, arrival: str, time_us: str, delay_us: int, bloc
     """
     b = frames.withColumn("_blk", block_of(arrival, block))
     tops = b.groupBy("_blk").agg(F.max(time_us).alias("_top"))
-    before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    carry = tops.select("_blk", F.max("_top").over(before).alias("_carry"))
+    # the carry itself goes in two levels: blocks within a group of blocks, then groups
+    past = Window.unboundedPreceding
+    tops = tops.withColumn("_grp", block_of("_blk", block))
+    groups = tops.groupBy("_grp").agg(F.max("_top").alias("_gtop"))
+    across = Window.orderBy("_grp").rowsBetween(past, -1)  # one row per block² arrivals
+    groups = groups.select("_grp", F.max("_gtop").over(across).alias("_gcarry"))
+    inside = Window.partitionBy("_grp").orderBy("_blk").rowsBetween(past, -1)
+    carry = tops.withColumn("_in", F.max("_top").over(inside)).join(groups, "_grp").select(
+        "_blk", F.greatest("_in", "_gcarry").alias("_carry")
+    )
     within = Window.partitionBy("_blk").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     j = b.withColumn("_seen", F.max(time_us).over(within)).join(carry, "_blk")
     seen = F.greatest("_seen", "_carry")

@@ -58,12 +58,12 @@ def brute_labels(m, conn):
     return lab
 
 
-@pytest.mark.parametrize("conn,limit", [(4, 500_000), (8, 500_000), (4, 0), (8, 3)])
-def test_components_grouped_and_star(spark, conn, limit):
+@pytest.mark.parametrize("conn,limit", [(4, 64), (8, 64), (4, 1), (8, 3)])
+def test_components_in_one_tile_and_across_tiles(spark, conn, limit):
     m = rand_mask(conn + limit % 7)
     want = brute_labels(m, conn)
     got = np.zeros(m.shape, int)
-    for r in cc.label_components(mask_df(spark, m), conn, group_edges=limit).collect():
+    for r in cc.label_components(mask_df(spark, m), conn, tile_rows=limit).collect():
         got[r.y, r.x] = r.label
     assert (got == want).all()
 
@@ -71,7 +71,7 @@ def test_components_grouped_and_star(spark, conn, limit):
 def test_spiral_is_one_component(spark):
     m = np.zeros((9, 9), bool)
     m[0, :] = m[:, 8] = m[8, :] = m[2:, 0] = m[2, :7] = m[2:7, 6] = m[6, 2:7] = m[4:7, 2] = True
-    n = cc.label_components(mask_df(spark, m), 4, group_edges=0).agg(F.max("label")).first()[0]
+    n = cc.label_components(mask_df(spark, m), 4, tile_rows=1).agg(F.max("label")).first()[0]
     assert n == brute_labels(m, 4).max()
 
 
@@ -168,8 +168,9 @@ def test_smoothing_stays_whole_under_repartitioning(spark):
     assert a[1] == b[1] == H * W and a[0] == pytest.approx(b[0])
 
 
-def test_order_statistics_through_the_sketch(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "SMALL", 10)  # every key takes the bracketed path
+def test_order_statistics_by_narrowing(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "TALLY", 10)  # brackets are narrowed until they hold ten rows
+    monkeypatch.setattr(quantiles, "BINS", 7)
     rng = random.Random(4)
     data = {"hot": [rng.gauss(0, 1) for _ in range(30_000)], "ties": [float(rng.randrange(3)) for _ in range(999)], "one": [5.0]}
     df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "rec_id string, v double")
@@ -286,6 +287,90 @@ def test_flooding_covers_the_mask_and_keeps_minimax_levels(spark):
         assert brute_labels(m, 8).max() == 1
 
 
+def queue_flood(v, seeds, conn):
+    """Ordered flooding with a queue: (level, age) decides whose turn it is."""
+    import heapq
+
+    label, level, age = {}, {}, 0
+    heap = []
+    for (y, x), lab in seeds.items():
+        label[y, x], level[y, x] = lab, v[y, x]
+        heapq.heappush(heap, (v[y, x], age, y, x))
+        age += 1
+    ring = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (conn == 8 or not (a and b))]
+    while heap:
+        at, _, y, x = heapq.heappop(heap)
+        for a, b in ring:
+            c, d = y + a, x + b
+            if 0 <= c < v.shape[0] and 0 <= d < v.shape[1] and (c, d) not in label:
+                label[c, d], level[c, d] = label[y, x], max(at, v[c, d])
+                heapq.heappush(heap, (level[c, d], age, c, d))
+                age += 1
+    return label, level
+
+
+@pytest.mark.parametrize("conn", [4, 8])
+def test_flooding_equals_an_ordered_queue_on_sloped_ground(spark, conn):
+    v = np.random.default_rng(conn).permutation(H * W).reshape(H, W).astype(float)  # no two equal heights
+    seeds = {(1, 1): 1, (9, 12): 2, (4, 7): 3}
+    cases = " ".join(f"WHEN y = {y} AND x = {x} THEN {k}" for (y, x), k in seeds.items())
+    df = grid_df(spark, v).withColumn("m", F.expr(f"CASE {cases} ELSE 0 END"))
+    got = {(r.y, r.x): r for r in refine.basin_assign(df, "v", "m", conn).collect()}
+    label, level = queue_flood(v, seeds, conn)
+    assert {k: r.level for k, r in got.items()} == level
+    for k in (1, 2, 3):  # every basin hangs together
+        m = np.array([[got[y, x].basin == k for x in range(W)] for y in range(H)])
+        assert brute_labels(m, conn).max() == 1
+    # pixels flooded below the level of their basin's rim follow a turn order that counts steps, not pushes;
+    # everywhere else the first front owns the pixel
+    same = np.mean([got[k].basin == label[k] for k in label])
+    assert same > 0.97
+
+
+def test_a_front_that_was_given_up_owns_nothing(spark):
+    v = np.full((6, 4), np.nan)
+    v[0] = [0, 9, 1, 10]
+    v[1:5, 2] = 5
+    v[5, 2] = 0
+    df = grid_df(spark, v).filter("NOT isnan(v)")
+    df = df.withColumn("m", F.expr("CASE WHEN y = 0 AND x = 0 THEN 1 WHEN y = 5 THEN 2 ELSE 0 END"))
+    got = {(r.y, r.x): r.basin for r in refine.basin_assign(df, "v", "m", 4).collect()}
+    assert got[0, 2] == 2 and got[0, 3] == 2 and got[0, 0] == 1
+
+
+def test_a_recording_of_many_patches_is_refined(spark):
+    m = np.zeros((45, 60), bool)
+    m[::3, ::4] = m[::3, 1::4] = m[1::3, ::4] = True  # 225 patches of three pixels
+    sig = grid_df(spark, np.where(m, 1.0, 0.0), name="vfs_smooth")
+    px = areas.extract_patches(mask_df(spark, m), sig, open_n=0, close_n=0, dilation=0, min_px=4)
+    assert px.count() == 0
+    px = areas.extract_patches(mask_df(spark, m), sig, open_n=0, close_n=0, dilation=0, min_px=1, border_width=2)
+    assert px.select("patch").distinct().count() == 225
+    few = areas.extract_patches(mask_df(spark, m), sig, open_n=0, close_n=0, dilation=0, min_px=1, border_width=1)
+    kept = areas.extract_patches(mask_df(spark, m), sig, open_n=0, close_n=0, dilation=0, min_px=1, border_width=1, noise_limit=100)
+    assert few.count() <= kept.count() == 3 * 225
+
+
+def test_cluster_without_a_shared_folder_is_refused():
+    from phasemill.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
+
+
 def test_flooding_meets_a_wall(spark):
     v = np.zeros((5, 9))
     v[:, 4] = 3.0

@@ -56,6 +56,48 @@ def test_movie_pixels_are_scanned_once(spark, tmp_path):
     assert sum("pixels" in r for r in reads) == 1 and len(reads) > 1
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
     assert "PushedFilters: [IsNotNull(y), EqualTo(y,0)" in p
+    # from the pixel scan up to the partial sums nothing is exchanged: the schedule comes to the movie
+    assert exchanges_above_pixels(project.one_scan_sums(rows, sweeps)) == 1
+    general, _ = project.complex_maps(rows, sweeps, rectification="half")
+    assert exchanges_above_pixels(general) >= 1
+
+
+def exchanges_above_pixels(df):
+    """Exchanges that the pixels' own rows pass on their way to the first aggregate, that one included."""
+    lines = plan(df).split("\n")
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and "pixels" in line.split("ReadSchema")[-1])
+    depth, n, first = len(lines[at]) - len(lines[at].lstrip(" :+-")), 0, None
+    for line in reversed(lines[:at]):
+        d = len(line) - len(line.lstrip(" :+-"))
+        if d < depth:
+            depth = d
+            if "Exchange" in line:
+                n += 1
+            if "Aggregate" in line:
+                first = "partial" in line
+                return n + 1 if first else n
+    return n
+
+
+def test_bucketed_movie_is_joined_in_place(spark, tmp_path, monkeypatch):
+    import phasemill.session as session
+    from phasemill.sources import lake
+
+    size_broadcasts_at_runtime(spark)
+    rows = spark.range(1024).selectExpr(
+        "'a' AS rec_id", "id div 4 AS frame_idx", "(id div 4) * 0.1D AS ts_sec", "CAST(id % 4 AS INT) AS y", "4 AS height", "3 AS width",
+        "array(1, 2, CAST(id AS INT)) AS pixels",
+    )
+    sweeps = spark.createDataFrame([("a", 0, "LR", 1.0, 2.0)], "rec_id string, sweep_idx int, label string, start_sec double, end_sec double")
+    want = {tuple(r) for r in project.one_scan_sums(rows, sweeps).collect()}
+    monkeypatch.setattr(session.join_small, "__defaults__", ("inner", -1))  # as if the schedule were large
+    movie = lake.write_movie(rows, "movie_in_buckets", 4)
+    try:
+        df = project.one_scan_sums(movie, sweeps)
+        assert exchanges_above_pixels(df) == 1
+        assert {tuple(r) for r in df.collect()} == want
+    finally:
+        spark.sql("DROP TABLE movie_in_buckets")
 
 
 def test_hot_recording_is_spread(spark):
