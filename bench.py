@@ -15,7 +15,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "cycle_average", "complex_maps", "retinotopy", "gaussian_smooth", "label_components_4", "capture_quality",
-    "agreement", "attach_cycle", "threshold_sweep", "stale_stages",
+    "agreement", "attach_cycle", "threshold_sweep", "stale_stages", "complex_maps_rectified", "skeletonize", "basin_assign",
 ]
 
 

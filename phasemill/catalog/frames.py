@@ -71,7 +71,11 @@ def _(spark, d):
     return a.join(b, ["rec_id", "cond_idx", "rep"])
 
 
-@query("sweep_plan_randomized")
+@query(
+    "sweep_plan_randomized",
+    """SELECT rec_id, cond_idx, rep, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY sha256('7|' || rec_id || '|' || cond_idx || '|' || rep), cond_idx, rep) - 1 AS INTEGER) AS trial
+       FROM (SELECT n_regionkey AS rec_id, n_nationkey AS cond_idx, CAST(unnest(range(4)) AS INTEGER) AS rep FROM nation)""",
+)
 def _(spark, d):
     cond = views.table(spark, d, "nation").select(F.col("n_regionkey").alias("rec_id"), F.col("n_nationkey").alias("cond_idx"))
     return tb.sweep_plan(cond, 4, "randomized", seed=7)

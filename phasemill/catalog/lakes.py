@@ -250,6 +250,20 @@ def _(spark, d):
     return manifest.stale_stages(new, old, have)
 
 
+@query(
+    "refresh",
+    """SELECT n_nationkey AS rec_id, CAST(0 AS INTEGER) AS y, CASE WHEN n_regionkey = 2 THEN 2.0 ELSE 1.0 END AS v FROM nation""",
+)
+def _(spark, d):
+    n = views.table(spark, d, "nation")
+    data = n.select(F.col("n_nationkey").alias("rec_id"), F.lit(0).alias("y"), F.lit(1.0).alias("v"))
+    runs = n.select(F.col("n_nationkey").alias("rec_id"), F.lit("labels").alias("stage"), (F.col("n_regionkey") == 2).alias("runs"))
+    path = f"{ensure_checkpoint_dir(spark)}/refreshed-{uuid.uuid4().hex}"
+    manifest.refresh(runs.withColumn("runs", F.lit(True)), data, lambda df: df, path)
+    manifest.refresh(runs, data, lambda df: df.withColumn("v", F.lit(2.0)), path)
+    return spark.read.parquet(path).select(F.col("rec_id").cast(data.schema["rec_id"].dataType).alias("rec_id"), "y", "v")
+
+
 # ---- agreement ---------------------------------------------------------------------------------------------
 
 

@@ -60,7 +60,27 @@ def _(spark, d):
     return b.select(*PX, r6("level").alias("level"))
 
 
-@query("basin_assign")
+# levels, then steps since the level last rose, then the neighbour whose turn came first
+_BASINS = """WITH RECURSIVE e AS MATERIALIZED (SELECT rec_id, y, x, v, CASE WHEN w > 0.2 THEN y * 25 + x + 1 END AS seed FROM v_raster),
+       f(rec_id, y, x, l) AS (SELECT rec_id, y, x, v FROM e WHERE seed IS NOT NULL
+         UNION SELECT q.rec_id, q.y, q.x, greatest(f.l, q.v) FROM f JOIN e q ON q.rec_id = f.rec_id AND abs(q.y - f.y) <= 1 AND abs(q.x - f.x) <= 1),
+       p AS MATERIALIZED (SELECT e.*, l FROM e JOIN (SELECT rec_id, y, x, min(l) AS l FROM f GROUP BY ALL) USING (rec_id, y, x)),
+       n AS MATERIALIZED (SELECT a.rec_id, a.y, a.x, a.seed, a.v, a.l, b.y AS ny, b.x AS nx, b.l AS nl FROM p a JOIN p b
+         ON a.rec_id = b.rec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x)),
+       z AS MATERIALIZED (SELECT rec_id, y, x FROM n GROUP BY rec_id, y, x, seed, v HAVING seed IS NOT NULL OR min(nl) < v),
+       size AS (SELECT rec_id, count(*) AS n FROM e GROUP BY rec_id),
+       h(rec_id, y, x, l, h) AS (SELECT rec_id, y, x, l, 0 FROM p SEMI JOIN z USING (rec_id, y, x)
+         UNION SELECT n.rec_id, n.y, n.x, n.l, h.h + 1 FROM h JOIN n ON n.rec_id = h.rec_id AND n.ny = h.y AND n.nx = h.x AND n.l = h.l JOIN size ON size.rec_id = h.rec_id
+         ANTI JOIN z ON z.rec_id = n.rec_id AND z.y = n.y AND z.x = n.x WHERE h.h < size.n),
+       t AS MATERIALIZED (SELECT rec_id, y, x, l, min(h) AS h FROM h GROUP BY ALL),
+       up AS MATERIALIZED (SELECT n.rec_id, n.y, n.x, arg_min(struct_pack(y := t.y, x := t.x), struct_pack(l := t.l, h := t.h, y := t.y, x := t.x)) AS u FROM n
+         JOIN t ON t.rec_id = n.rec_id AND t.y = n.ny AND t.x = n.nx WHERE n.seed IS NULL GROUP BY ALL),
+       b(rec_id, y, x, basin) AS (SELECT rec_id, y, x, seed FROM e WHERE seed IS NOT NULL
+         UNION ALL SELECT up.rec_id, up.y, up.x, b.basin FROM b JOIN up ON up.rec_id = b.rec_id AND up.u.y = b.y AND up.u.x = b.x)
+       SELECT rec_id, y, x, CAST(basin AS BIGINT) AS basin FROM b"""
+
+
+@query("basin_assign", _BASINS, "v_raster")
 def _(spark, d):
     r = views.raster(spark, d).withColumn("m", F.when(F.col("w") > 0.2, F.col("y") * 25 + F.col("x") + 1).otherwise(0))
     return refine.basin_assign(r, "v", "m").select(*PX, "basin")
@@ -85,7 +105,15 @@ def _(spark, d):
     return refine.reconstruct_erosion(r, "k", "m").select(*PX, r6("level").alias("level"))
 
 
-@query("impose_minima")
+@query(
+    "impose_minima",
+    """WITH RECURSIVE d AS (SELECT rec_id, (max(v) - min(v)) / 1000.0 AS d FROM v_raster GROUP BY rec_id),
+       e AS MATERIALIZED (SELECT rec_id, y, x, w > 0.25 AS seed, CASE WHEN w > 0.25 THEN CAST('-inf' AS DOUBLE) ELSE v + d END AS m FROM v_raster JOIN d USING (rec_id)),
+       f(rec_id, y, x, l) AS (SELECT rec_id, y, x, m FROM e WHERE seed
+         UNION SELECT q.rec_id, q.y, q.x, greatest(f.l, q.m) FROM f JOIN e q ON q.rec_id = f.rec_id AND abs(q.y - f.y) <= 1 AND abs(q.x - f.x) <= 1)
+       SELECT rec_id, y, x, min(l) AS level FROM f GROUP BY rec_id, y, x""",
+    "v_raster",
+)
 def _(spark, d):
     r = views.raster(spark, d).withColumn("at", F.col("w") > 0.25)
     return refine.impose_minima(r, "v", "at").select(*PX, F.col("level"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VERSION = "1"
@@ -52,25 +52,26 @@ def stale_stages(new: DataFrame, stored: DataFrame, artifacts: DataFrame) -> Dat
     A stored stage runs if its key changed or its result is missing; an unstored one if its key changed
     or a stage that reads it runs.
     """
-    none = F.lit(None).cast("string")
-    rows = (
-        new.select("rec_id", "stage", F.col("fp").alias("_new"), none.alias("_old"), F.lit(False).alias("_have"))
-        .unionByName(stored.select("rec_id", "stage", none.alias("_new"), F.col("fp").alias("_old"), F.lit(False).alias("_have")))
-        .unionByName(artifacts.select("rec_id", "stage", none.alias("_new"), none.alias("_old"), F.lit(True).alias("_have")))
-        .repartition("rec_id")  # one exchange serves both aggregations, and nothing is broadcast
+    def gathered(df: DataFrame, name: str, item: Column) -> DataFrame:
+        # a recording's few rows meet in the partial aggregation, so one row each is exchanged
+        return df.groupBy("rec_id").agg(F.collect_set(item).alias(name))
+
+    key = F.struct("stage", "fp")
+    per = (
+        gathered(new, "_new", key).join(gathered(stored, "_old", key), "rec_id", "left")
+        .join(gathered(artifacts, "_have", F.col("stage")), "rec_id", "left")
     )
-    per_stage = rows.groupBy("rec_id", "stage").agg(
-        F.max("_new").alias("_new"), F.max("_old").alias("_old"), F.max("_have").alias("_have")
-    )
-    same = F.col("_new").eqNullSafe(F.col("_old"))
-    per = per_stage.groupBy("rec_id").agg(
-        F.count("_new").alias("_known"),
-        *[F.max(F.when(F.col("stage") == st, same)).alias(f"same_{st}") for st in STAGES],
-        *[
-            F.coalesce(F.max(F.when(F.col("stage") == st, F.col("_have"))), F.lit(False)).alias(f"have_{st}")
-            for st in STAGES
-        ],
-    ).filter("_known > 0")
+
+    def fp(side: str, st: str) -> Column:
+        return F.array_max(F.transform(F.filter(side, lambda x: x["stage"] == st), lambda x: x["fp"]))
+
+    for st in STAGES:
+        per = per.withColumns(
+            {
+                f"same_{st}": fp("_new", st).eqNullSafe(fp("_old", st)),
+                f"have_{st}": F.coalesce(F.array_contains("_have", st), F.lit(False)),
+            }
+        )
     for st in reversed(STAGES):  # readers before what they read
         if st in UPSTREAM:
             runs = ~F.col("same_projection")
@@ -96,8 +97,9 @@ def refresh(
         todo = todo.filter(F.col("stage").isin(list(stages)))
     recs = todo.select("rec_id").distinct()
     fresh = compute(inputs.join(recs, ["rec_id"], "left_semi"))
+    # ranges keep a recording's rows together: few files each, and a large recording still gets several
     (
-        fresh.repartition("rec_id", "y") if "y" in fresh.columns else fresh
+        fresh.repartitionByRange("rec_id", "y") if "y" in fresh.columns else fresh.repartitionByRange("rec_id")
     ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rec_id").parquet(path)
 
 
@@ -112,4 +114,8 @@ def register_method(stage: str, name: str, fn: Callable[..., DataFrame]) -> None
 
 
 def method(stage: str, name: str) -> Callable[..., DataFrame]:
+    """The method of a stage; `plans.analyze` looks methods up here, so registered ones take part."""
+    if (stage, name) not in _METHODS:
+        known = sorted(n for s, n in _METHODS if s == stage)
+        raise ValueError(f"unknown method {name!r} of {stage!r}; known: {', '.join(known)}")
     return _METHODS[stage, name]

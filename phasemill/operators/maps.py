@@ -148,6 +148,28 @@ def smooth_directions(maps: DataFrame, method: str = "none", sigma: float = 0.0)
     raise ValueError(f"unknown direction smoothing {method!r}")
 
 
+def smooth_positions(pos: DataFrame, method: str, sigma: float) -> DataFrame:
+    """Both orientations in one filter: two exchanges and one join for all their planes."""
+    planes = {}
+    for o in ORIENTATIONS:
+        re, im = F.col(f"{o}_re"), F.col(f"{o}_im")
+        if method == "amplitude":
+            a = F.col(f"{o}_amp")
+            planes |= {f"_{o}_re": re * a, f"_{o}_im": im * a, f"_{o}_a": a}
+        else:
+            planes |= {f"_{o}_t": F.atan2(im, re)}
+    soft = stencil.gaussian_smooth(pos.select(*PIX, *[c.alias(n) for n, c in planes.items()]), list(planes), sigma)
+    out = {}
+    for o in ORIENTATIONS:
+        if method == "amplitude":
+            den = F.greatest(F.col(f"_{o}_a"), F.lit(1e-10))
+            out |= {f"{o}_re": F.col(f"_{o}_re") / den, f"{o}_im": F.col(f"_{o}_im") / den}
+        else:
+            out |= {f"{o}_re": F.cos(f"_{o}_t"), f"{o}_im": F.sin(f"_{o}_t")}
+    rest = pos.drop(*out)
+    return rest.join(soft.select(*PIX, *[c.alias(n) for n, c in out.items()]), PIX)
+
+
 def retinotopy(
     maps: DataFrame, recordings: DataFrame | None = None, *, azi_range: float = 100.0, alt_range: float = 100.0,
     offset_azi: float = 0.0, offset_alt: float = 0.0, rotation_k: int = 0, direction_smoothing: str = "none",
@@ -164,12 +186,7 @@ def retinotopy(
     maps = smooth_directions(maps, direction_smoothing, direction_sigma)
     pos = combine_directions(pair_directions(maps), combine)
     if position_sigma > 0:
-        for o in ORIENTATIONS:
-            if position_smoothing == "amplitude":
-                sm = stencil.amp_weighted_smooth(pos, f"{o}_re", f"{o}_im", f"{o}_amp", position_sigma)
-            else:
-                sm = stencil.phase_gaussian(pos, f"{o}_re", f"{o}_im", position_sigma)
-            pos = pos.drop(f"{o}_re", f"{o}_im").join(sm, PIX)
+        pos = smooth_positions(pos, position_smoothing, position_sigma)
     out = phase_gradients(pos)
     if recordings is not None:
         out = join_small(out, g.drop("rotation_k"), REC)

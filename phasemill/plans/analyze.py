@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasemill.operators import areas, maps, project, refine, stencil
+from phasemill.operators import areas, manifest, maps, project, refine, stencil
 from phasemill.session import cut, join_small, size_broadcasts_at_runtime
 
 PIX = ["rec_id", "height", "width", "y", "x"]
 
 
+def _split_fuse(patches: DataFrame, leaves: DataFrame, recordings: DataFrame, **params) -> DataFrame:
+    scale = {"um_per_pixel": recordings.select("rec_id", "um_per_pixel")}
+    return refine.split_fuse(patches, leaves, **(scale | params))
+
+
+manifest.register_method("patch_refinement", "none", lambda patches, leaves, recordings: patches)
+manifest.register_method(
+    "patch_refinement", "split_merge", lambda patches, leaves, recordings, **p: refine.split_merge(patches, leaves, **p)
+)
+manifest.register_method("patch_refinement", "split_fuse", _split_fuse)
+for _name in ("none", "reliability", "magnitude", "sigma_bound"):
+    manifest.register_method("cortex_source", _name, partial(areas.cortex_mask, method=_name))
+
+
 @dataclass
 class Settings:
     """One method and its tunables per stage."""
@@ -58,6 +73,24 @@ def analyze(recordings: DataFrame, rows: DataFrame, sweeps: DataFrame, s: Settin
     return out
 
 
+def analyze_stale(
+    recordings: DataFrame, rows: DataFrame, sweeps: DataFrame, params: DataFrame, stored: DataFrame,
+    artifacts: DataFrame, s: Settings | None = None,
+) -> tuple[Analysis, DataFrame]:
+    """`analyze` for the recordings with a stage to run only, and the fingerprints to store with the results.
+
+    `params` has the parameter strings per recording, `stored` the fingerprints of the last run and
+    `artifacts` the (rec_id, stage) results that exist.
+    """
+    keys = cut(manifest.stage_fingerprints(params))
+    stale = cut(manifest.stale_stages(keys, stored, artifacts).filter("runs").select("rec_id").distinct())
+
+    def only(df: DataFrame) -> DataFrame:
+        return join_small(df, stale, "rec_id", "left_semi")
+
+    return analyze(only(recordings), only(rows), only(sweeps), s), keys.join(stale, "rec_id", "left_semi")
+
+
 def analyze_maps(
     recordings: DataFrame, directions: DataFrame, s: Settings | None = None, reliability: DataFrame | None = None
 ) -> Analysis:
@@ -80,17 +113,10 @@ def analyze_maps(
     sized = join_small(retino.select(*PIX, F.col("vfs").alias("vfs_smooth")), recordings.select("rec_id", "um_per_pixel"), "rec_id")
     soft = stencil.smooth_um(sized, ["vfs_smooth"], s.sign_sigma_um)
     leaves = cut(retino.join(soft, PIX))
-    cortex = cut(areas.cortex_mask(leaves, s.cortex, **s.cortex_params))
+    cortex = cut(manifest.method("cortex_source", s.cortex)(leaves, **s.cortex_params))
     mask, threshold = areas.patch_threshold(leaves, cortex, s.threshold, **s.threshold_params)
     patches = cut(areas.extract_patches(cut(mask), leaves, **s.extraction).select(*PIX, "patch", "sign"))
-    if s.refinement == "split_merge":
-        patches = refine.split_merge(patches, leaves, **s.refinement_params)
-    elif s.refinement == "split_fuse":
-        scale = {"um_per_pixel": recordings.select("rec_id", "um_per_pixel")} | s.refinement_params
-        patches = refine.split_fuse(patches, leaves, **scale)
-    elif s.refinement != "none":
-        raise ValueError(f"unknown refinement {s.refinement!r}")
-    patches = cut(patches)
+    patches = cut(manifest.method("patch_refinement", s.refinement)(patches, leaves, recordings, **s.refinement_params))
     labelled = areas.assemble_labels(leaves, patches)
     full = leaves.join(labelled.select("rec_id", "y", "x", "label", "sign", "border"), ["rec_id", "y", "x"])
     full = areas.eccentricity(cut(full), "alt_deg", "azi_deg", s.eccentricity)
