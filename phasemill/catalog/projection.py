@@ -412,7 +412,7 @@ def _(spark, d):
          FROM (SELECT *, s1*(sxx*syy - sxy*sxy) - sx*(sx*syy - sxy*sy) + sy*(sx*sxy - sxx*sy) AS d FROM m))
        SELECT rec_id, direction, any_value(n) AS n_px, round(any_value(spread), 6) + 0.0 AS spread,
          round(greatest(0, 1 - sum(a * power(p - a0 - b0*x - c0*y, 2)) / sum(a * power(p - sr/s1, 2))), 5) + 0.0 AS r2,
-         round(any_value(abs(b0)*24 + abs(c0)*4), 5) + 0.0 AS phase_range FROM r JOIN k USING (rec_id, direction) GROUP BY rec_id, direction""",
+         round(any_value(abs(b0) * (width - 1) + abs(c0) * (height - 1)), 5) + 0.0 AS phase_range FROM r JOIN k USING (rec_id, direction) GROUP BY rec_id, direction""",
     "v_cm",
 )
 def _(spark, d):

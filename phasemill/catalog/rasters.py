@@ -99,8 +99,8 @@ def _(spark, d):
     "neighbours_reflect",
     f"""SELECT r.rec_id, r.y, r.x, round(sum(q.v * o.w), 6) + 0.0 AS n_sum
         FROM v_raster r CROSS JOIN (VALUES {_VAL}) o(dy, dx, w) JOIN v_raster q ON q.rec_id = r.rec_id
-          AND q.y = CASE WHEN r.y + o.dy < 0 THEN -1 - r.y - o.dy WHEN r.y + o.dy > 19 THEN 39 - r.y - o.dy ELSE r.y + o.dy END
-          AND q.x = CASE WHEN r.x + o.dx < 0 THEN -1 - r.x - o.dx WHEN r.x + o.dx > 24 THEN 49 - r.x - o.dx ELSE r.x + o.dx END GROUP BY r.rec_id, r.y, r.x""",
+          AND q.y = CASE WHEN r.y + o.dy < 0 THEN -1 - r.y - o.dy WHEN r.y + o.dy >= r.height THEN 2 * r.height - 1 - r.y - o.dy ELSE r.y + o.dy END
+          AND q.x = CASE WHEN r.x + o.dx < 0 THEN -1 - r.x - o.dx WHEN r.x + o.dx >= r.width THEN 2 * r.width - 1 - r.x - o.dx ELSE r.x + o.dx END GROUP BY r.rec_id, r.y, r.x""",
     "v_raster",
 )
 def _(spark, d):

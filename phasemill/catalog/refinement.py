@@ -111,7 +111,7 @@ def _(spark, d):
        e AS MATERIALIZED (SELECT rec_id, y, x, w > 0.25 AS seed, CASE WHEN w > 0.25 THEN CAST('-inf' AS DOUBLE) ELSE v + d END AS m FROM v_raster JOIN d USING (rec_id)),
        f(rec_id, y, x, l) AS (SELECT rec_id, y, x, m FROM e WHERE seed
          UNION SELECT q.rec_id, q.y, q.x, greatest(f.l, q.m) FROM f JOIN e q ON q.rec_id = f.rec_id AND abs(q.y - f.y) <= 1 AND abs(q.x - f.x) <= 1)
-       SELECT rec_id, y, x, min(l) AS level FROM f GROUP BY rec_id, y, x""",
+       SELECT rec_id, e.y, e.x, coalesce(min(l), CAST('inf' AS DOUBLE)) AS level FROM e LEFT JOIN f USING (rec_id, y, x) GROUP BY rec_id, e.y, e.x""",
     "v_raster",
 )
 def _(spark, d):

@@ -140,7 +140,7 @@ def _(spark, d):
 
 @query(
     "assemble_labels",
-    f"""WITH o AS (SELECT rec_id, y, x, label AS patch FROM v_raster WHERE label > 0 UNION ALL SELECT rec_id, y, x + 1, label FROM v_raster WHERE label > 0 AND x < 24),
+    f"""WITH o AS (SELECT rec_id, y, x, label AS patch FROM v_raster WHERE label > 0 UNION ALL SELECT rec_id, y, x + 1, label FROM v_raster WHERE label > 0 AND x < width - 1),
         n AS (SELECT rec_id, patch, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY count(*) DESC, patch) AS INTEGER) AS label FROM o GROUP BY rec_id, patch),
         t AS (SELECT r.rec_id, r.y, r.x, coalesce(max(n.label), 0) AS label FROM v_raster r LEFT JOIN o ON o.rec_id = r.rec_id AND o.y = r.y AND o.x = r.x
               LEFT JOIN n ON n.rec_id = o.rec_id AND n.patch = o.patch GROUP BY r.rec_id, r.y, r.x)

@@ -32,13 +32,13 @@ def with_views(names: list[str], body: str) -> str:
 
 view(
     "v_trace",
-    """SELECT vec_id // 4 // 125 AS rec_id,
+    """SELECT p // 125 * 8 + part AS rec_id,
         CASE vec_id % 4 WHEN 0 THEN 'azi_fwd' WHEN 1 THEN 'azi_rev' WHEN 2 THEN 'alt_fwd' ELSE 'alt_rev' END AS direction,
-        CAST((vec_id // 4) % 125 // 25 AS INTEGER) AS y, CAST((vec_id // 4) % 25 AS INTEGER) AS x,
-        5 AS height, 25 AS width,
+        CAST((p % 125 - part * 15) // 5 AS INTEGER) AS y, CAST((p % 125 - part * 15) % 5 AS INTEGER) AS x,
+        CAST(CASE part WHEN 7 THEN 4 ELSE 3 END AS INTEGER) AS height, 5 AS width,
         CAST(i // 16 AS INTEGER) AS cycle, CAST(i % 16 AS INTEGER) AS k,
         CAST(1000 AS DOUBLE) * (1 + CAST(embedding[i + 1] AS DOUBLE)) AS v
-      FROM embeddings, range(64) t(i)""",
+      FROM (SELECT *, vec_id // 4 AS p, least(vec_id // 4 % 125 // 15, 7) AS part FROM embeddings), range(64) t(i)""",
 )
 view(
     "v_movie",
@@ -51,17 +51,17 @@ view(
     "v_movie_sweeps",
     """SELECT rec_id, CAST(s AS INTEGER) AS sweep_idx, list_extract(['LR','RL','TB','BT'], s // 4 + 1) AS label,
           s * 16 * CAST(0.1 AS DOUBLE) AS start_sec, s * 16 * CAST(0.1 AS DOUBLE) + CAST(1.15 AS DOUBLE) AS end_sec
-        FROM (SELECT DISTINCT vec_id // 4 // 125 AS rec_id FROM embeddings), range(16) t(s)""",
+        FROM (SELECT DISTINCT vec_id // 4 // 125 * 8 + least(vec_id // 4 % 125 // 15, 7) AS rec_id FROM embeddings), range(16) t(s)""",
 )
 view(
     "v_raster",
-    """SELECT vec_id // 500 AS rec_id, 20 AS height, 25 AS width,
-        CAST(vec_id % 500 // 25 AS INTEGER) AS y, CAST(vec_id % 25 AS INTEGER) AS x,
-        CAST(embedding[1] AS DOUBLE) AS v, CAST(embedding[2] AS DOUBLE) AS w,
-        CAST(embedding[3] AS DOUBLE) * 100 AS alt, CAST(embedding[4] AS DOUBLE) * 100 AS azi,
-        abs(CAST(embedding[5] AS DOUBLE)) AS det, 1 - abs(CAST(embedding[6] AS DOUBLE)) AS q,
+    """SELECT vec_id // 500 * 8 + part AS rec_id, CAST(CASE part WHEN 7 THEN 8 ELSE 6 END AS INTEGER) AS height, 10 AS width,
+        CAST((vec_id % 500 - part * 60) // 10 AS INTEGER) AS y, CAST((vec_id % 500 - part * 60) % 10 AS INTEGER) AS x,
+        CAST(embedding[o + 1] AS DOUBLE) AS v, CAST(embedding[o + 2] AS DOUBLE) AS w,
+        CAST(embedding[o + 3] AS DOUBLE) * 100 AS alt, CAST(embedding[o + 4] AS DOUBLE) * 100 AS azi,
+        abs(CAST(embedding[o + 5] AS DOUBLE)) AS det, 1 - abs(CAST(embedding[o + 6] AS DOUBLE)) AS q,
         label
-      FROM embeddings""",
+      FROM (SELECT *, least(vec_id % 500 // 60, 7) AS part, least(vec_id % 500 // 60, 7) * 8 AS o FROM embeddings)""",
 )
 view("v_mask", "SELECT rec_id, height, width, y, x FROM v_raster WHERE v > 0", "v_raster")
 view(

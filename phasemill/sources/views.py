@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIRECTIONS = ["azi_fwd", "azi_rev", "alt_fwd", "alt_rev"]
-TRACE_H, TRACE_W = 5, 25
-RASTER_H, RASTER_W = 20, 25
+# A block of pixels makes eight recordings: seven frames of one size and a taller one from what is left.
+PER_BLOCK = 8
+TRACE_BLOCK, TRACE_PX, TRACE_W = 125, 15, 5  # frames of 3 x 5 and 4 x 5
+RASTER_BLOCK, RASTER_PX, RASTER_W = 500, 60, 10  # frames of 6 x 10 and 8 x 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,20 +26,31 @@ def direction_name(number: Column) -> Column:
     return out
 
 
+def _frames(pixel: Column, block: int, px: int, width: int) -> dict[str, Column]:
+    """Recording, frame size and place of a running pixel number."""
+    at = pixel % block
+    part = F.least(F.floor(at / px), F.lit(PER_BLOCK - 1)).cast("bigint")
+    left = at - part * px
+    tall = (block - px * (PER_BLOCK - 1)) // width
+    return {
+        "rec_id": F.floor(pixel / block) * PER_BLOCK + part,
+        "height": F.when(part == PER_BLOCK - 1, tall).otherwise(px // width).cast("int"),
+        "width": F.lit(width),
+        "y": F.floor(left / width).cast("int"),
+        "x": (left % width).cast("int"),
+    }
+
+
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples: one pixel row per (direction, cycle, frame in cycle)."""
     return trace_of(table(spark, sf_dir, "embeddings"))
 
 
 def trace_of(embeddings: DataFrame) -> DataFrame:
-    px = F.expr("vec_id div 4")
+    place = _frames(F.expr("vec_id div 4"), TRACE_BLOCK, TRACE_PX, TRACE_W)
     e = embeddings.select(
-        F.expr("(vec_id div 4) div 125").alias("rec_id"),
+        *[c.alias(n) for n, c in place.items()],
         direction_name(F.col("vec_id") % 4).alias("direction"),
-        F.floor((px % 125) / 25).cast("int").alias("y"),
-        (px % 25).cast("int").alias("x"),
-        F.lit(TRACE_H).alias("height"),
-        F.lit(TRACE_W).alias("width"),
         F.posexplode("embedding").alias("i", "e"),
     )
     return e.select(
@@ -80,7 +93,7 @@ def movie_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule of `movie_rows`: 12 of every 16 frames are stimulus, the rest is rest."""
     labels = F.array(*[F.lit(s) for s in ("LR", "RL", "TB", "BT")])
     recs = table(spark, sf_dir, "embeddings").select(
-        F.expr("(vec_id div 4) div 125").alias("rec_id")
+        _frames(F.expr("vec_id div 4"), TRACE_BLOCK, TRACE_PX, TRACE_W)["rec_id"].alias("rec_id")
     ).distinct()
     s = recs.select("rec_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("sweep_idx"))
     start = F.col("sweep_idx") * 16 * 0.1
@@ -92,18 +105,18 @@ def movie_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """20x25 rasters with two signal planes, two position planes and a given area label."""
+    """Rasters with two signal planes, two position planes and a given area label.
+
+    Each recording of a block reads its own eight elements of the vectors.
+    """
     e = table(spark, sf_dir, "embeddings")
+    place = _frames(F.col("vec_id"), RASTER_BLOCK, RASTER_PX, RASTER_W)
 
     def plane(i):
-        return F.col("embedding")[i].cast("double")
+        return F.element_at("embedding", ((place["rec_id"] % PER_BLOCK) * 8 + i + 1).cast("int")).cast("double")
 
     return e.select(
-        F.expr("vec_id div 500").alias("rec_id"),
-        F.lit(RASTER_H).alias("height"),
-        F.lit(RASTER_W).alias("width"),
-        F.expr("CAST((vec_id % 500) div 25 AS INT)").alias("y"),
-        (F.col("vec_id") % 25).cast("int").alias("x"),
+        *[c.alias(n) for n, c in place.items()],
         plane(0).alias("v"), plane(1).alias("w"),
         (plane(2) * 100.0).alias("alt"), (plane(3) * 100.0).alias("azi"),
         F.abs(plane(4)).alias("det"), (F.lit(1.0) - F.abs(plane(5))).alias("q"),
