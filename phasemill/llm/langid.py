@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasemill.llm.texts import as_bytes, cut, put_columns, with_fields
+from phasemill.session import join_small
 
 DIMS = 4096
 SAMPLE_PER_LANG = 1000  # rows per language that its centroids are fitted on
 CENTROIDS = 4
 ROUNDS = 10
-SLACK = 0.5  # share of a centroid's reach below which a text is rejected
+SLACK = 0.2  # share of a centroid's reach below which a text is rejected
 MOST_LANGS = 1000  # bound of what the driver gathers: languages x centroids x DIMS
 BLOCK = 256  # texts that are vectors at once
 UNDETERMINED = "und"
@@ -111,7 +112,7 @@ def fit(
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # thin by a hash of the text before the ordered choice, so that the window meets a bounded number of rows
     order = F.xxhash64("text")
-    thin = rows.join(counts, "lang").withColumn("o", order).filter(
+    thin = join_small(rows, counts, "lang").withColumn("o", order).filter(
         F.pmod("o", F.lit(1_000_000)) < F.lit(1_500_000.0) * sample_per_lang / F.col("n")
     )
     chosen = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).filter(

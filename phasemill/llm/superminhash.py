@@ -2,12 +2,15 @@
 
 * Documents of equal shingle sets are one class, found by a 128-bit hash of the set, before anything is
   paired; classes of any size cost one row from there on.
-* Signatures are banded; a bucket's members are compared with hubs, not with each other: first with the
-  member that shares most buckets, then with further members by hash. Members already in one component are
-  never compared again, and what hubs leave open in the end is compared pair by pair. So a group of n near
-  copies costs about n comparisons, and no candidate is left out.
+* Signatures are banded; the members of a bucket are first compared with a hub, the member that shares most
+  buckets, then with further hubs while that still joins components. So a group of n near copies costs
+  about n comparisons. Members already in one component are never compared again.
+* What hubs leave open is finished exactly, from each member's difference to its hub: two members can be
+  linked only if both share a shingle that the hub lacks, or if a bound on sizes alone allows it. Members too
+  far from their hub for this argument are compared pair by pair.
 * Every link is confirmed on the full sets, rebuilt from the texts of the candidates only.
-* Components come from the alternating star contraction of the library, on Spark, with lineage cut to files.
+* Components are found by union-find in chunks of links; what chunks leave is contracted by the library's
+  alternating star joins.
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.llm.texts import WordHashes, as_bytes, cut, lists, lower_words, mix, ngram_hashes, signed, unused, word_chunks
@@ -25,7 +29,9 @@ from phasemill.operators.components import star_roots
 
 BAND_ROWS = 4
 MISSED = 1e-5  # chance that a pair at the threshold shares no band
-PAIRS_PER_MEMBER = 8  # open pairs per bucket member above which another round of hubs comes first
+PROGRESS = 0.05  # links per open bucket member below which no further round of hubs is made
+NEAR = 0.5  # similarity to the hub from which a member's difference to it is looked at
+CHUNK_LINKS = 500_000  # links that one task joins by union-find
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -175,74 +181,163 @@ def _star_pairs(members: DataFrame, hubs: DataFrame) -> DataFrame:
     )
 
 
+def _union(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Smallest connected node of every node of a chunk of links."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    return pd.DataFrame({"node": nodes, "root": [find(x) for x in nodes]})
+
+
+def link_roots(links: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that every node of the links (a, b) is connected to."""
+    links = cut(links)
+    chunks = max(1, math.ceil(links.count() / CHUNK_LINKS))
+    dealt = links.withColumn("chunk", F.pmod(F.xxhash64("a"), F.lit(chunks)))
+    local = cut(dealt.groupBy("chunk").applyInPandas(_union, "node bigint, root bigint"))
+    if chunks == 1:
+        return local
+    return cut(star_roots(local.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), []))
+
+
 def near_links(
-    reps: DataFrame, texts: DataFrame, shingle: int, percent: int, agree: int, split: Split = lower_words
+    reps: DataFrame, texts: DataFrame, shingle: int, percent: int, m: int, split: Split = lower_words
 ) -> DataFrame:
     """Components (node, root) of the links `100 * |A n B| >= percent * |A u B|` between representatives.
 
-    `reps` has one row per class (doc_id, n_shingles, bands, sig), `texts` its texts (doc_id, text).
+    `reps` has one row per class (doc_id, n_shingles, bands, sig of m values), `texts` its texts (doc_id, text).
     """
     placed = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(placed.join(shared, "bucket"))
     score = members.groupBy("doc_id").agg(F.sum("n").alias("score"))
     sigs = reps.select("doc_id", "n_shingles", "sig")
+    agree = least_agreement(m, percent / 100)
+    equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
+    alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (equal >= agree)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """The pairs that are links; each pair's own sizes and signatures are looked at first."""
-        left = sigs.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-        right = sigs.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-        equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-        likely = cut(
-            pairs.join(left, "a").join(right, "b")
-            .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).filter(equal >= agree)
-            .select("a", "b", "na", "nb")
-        )
-        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+    def side(x: str) -> DataFrame:
+        return sigs.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+
+    def meet(pairs: DataFrame, likely: Column) -> DataFrame:
+        """(a, b, na, nb, xa, xb, both): the full sets of the pairs whose sizes and signatures are `likely`."""
+        few = cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(likely).select("a", "b", "na", "nb"))
+        wanted = few.select(F.col("a").alias("doc_id")).union(few.select("b")).distinct()
         sets = cut(full_sets(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), shingle, split))
-        both = F.size(F.array_intersect("xa", "xb"))
-        return (
-            likely.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("xa")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("xb")), "b")
-            .withColumn("both", both).filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
-            .select("a", "b")
-        )
+        out = few.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("xa")), "a")
+        out = out.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("xb")), "b")
+        return out.withColumn("both", F.size(F.array_intersect("xa", "xb")))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        linked = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
+        return cut(meet(pairs, alike).filter(linked).select("a", "b"))
 
     best = F.max(F.struct("score", (-F.col("doc_id")).alias("minus")))
-    hubs = members.join(score, "doc_id").groupBy("bucket").agg(best.alias("h")).select(
-        "bucket", (-F.col("h.minus")).alias("hub"), F.lit(None).cast("bigint").alias("hub_root")
+    first = cut(
+        members.join(score, "doc_id").groupBy("bucket").agg(best.alias("h")).select("bucket", (-F.col("h.minus")).alias("hub"))
     )
-    open_members = members.withColumn("root", F.col("doc_id"))
-    links, turn = None, 0
+    hubs = first.withColumn("hub_root", F.lit(None).cast("bigint"))
+    open_members, links, turn = members.select("bucket", "doc_id", F.col("doc_id").alias("root")), None, 0
     while True:
-        found = cut(confirm(_star_pairs(open_members, hubs)))
+        found = confirm(_star_pairs(open_members, hubs))
         links = found if links is None else links.unionByName(found)
-        roots = cut(star_roots(links, []))
-        labelled = members.select("bucket", "doc_id").join(
-            roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left"
-        ).withColumn("root", F.coalesce("root", "doc_id"))
-        # a bucket stays open while it holds several components; pairs = (n^2 - sum of n_c^2) / 2
-        parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        buckets = parts.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("parts"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq")
-        ).filter("parts > 1")
-        open_members = cut(labelled.join(buckets.select("bucket"), "bucket", "left_semi"))
-        pairs, n = buckets.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.sum("n")).first()
-        if not pairs:
+        roots = link_roots(links)
+        labelled = cut(
+            open_members.select("bucket", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+            .withColumn("root", F.coalesce("root", "doc_id"))
+        )
+        mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        open_members = cut(labelled.join(mixed.select("bucket"), "bucket", "left_semi"))
+        n = open_members.count()
+        if n == 0:
             return roots
-        stuck = turn > 0 and found.isEmpty()
-        if stuck or pairs <= PAIRS_PER_MEMBER * n:
+        if found.count() < PROGRESS * n:
             break
         turn += 1
         pick = F.min(F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn)).alias("o"), "doc_id", "root"))
         hubs = open_members.groupBy("bucket").agg(pick.alias("h")).select(
             "bucket", F.col("h.doc_id").alias("hub"), F.col("h.root").alias("hub_root")
         )
-    one, two = open_members.alias("p"), open_members.alias("q")
-    rest = one.join(two, F.expr("p.bucket = q.bucket AND p.doc_id < q.doc_id AND p.root <> q.root")).select(
-        F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")
-    ).distinct()
-    return star_roots(links.unionByName(cut(confirm(rest))), [])
+    more, rest = _open_links(open_members, first, meet, side, alike, equal >= least_agreement(m, NEAR), percent)
+    return link_roots(links.unionByName(more).unionByName(confirm(rest)))
+
+
+def _open_links(
+    open_members: DataFrame, hubs: DataFrame, meet: Callable, side: Callable, alike: Column, within: Column, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs to confirm) between different components in open buckets; all links are among them.
+
+    With A = hub - lack + extra, |A n B| = |hub| - |lack of A or B| + |extra of both|, so members within NEAR of
+    their hub are compared exactly by their small differences to it. Only pairs are looked at that share an extra
+    shingle, or whose sizes alone allow a link: |A n B| <= |hub| - the larger lack, which for a member that is not
+    linked to the hub asks for a partner smaller than the hub. By the triangle inequality, every link of a
+    member of similarity NEAR + (1 - threshold) or more to the hub has its other end within NEAR; such members
+    are settled by this, the others are paired inside their bucket.
+    """
+    at_hub = open_members.join(hubs, "bucket")
+    toward = at_hub.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    either = F.col("na") + F.col("nb") - F.col("both")
+    seen = cut(
+        meet(toward, within).filter(F.col("both") >= either * NEAR).select(
+            F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.col("nb").alias("n_hub"),
+            (F.col("nb") - F.col("both")).alias("lacks"), (F.col("na") - F.col("both")).alias("more"),
+            F.array_except("xb", "xa").alias("lack"), F.array_except("xa", "xb").alias("extra"),
+            (F.col("both") * 100 >= either * (100 * NEAR + 100 - percent)).alias("settled"),
+            (F.col("both") * 100 >= either * percent).alias("linked"),
+        )
+    )
+    group = cut(seen.join(open_members.select("doc_id", "root").distinct(), "doc_id"))
+    t = percent
+    sizes = "(2 * p.n_hub - p.lacks - q.lacks + p.more + q.more)"
+    differ = "p.hub = q.hub AND p.root <> q.root AND (p.settled OR q.settled)"
+
+    def reaches(shared: str) -> str:
+        """The sizes allow a link if `shared` extra shingles are common."""
+        return f"{100 + t} * (p.n_hub - greatest(p.lacks, q.lacks) + {shared}) >= {t} * {sizes}"
+
+    scalars = group.drop("lack", "extra")
+    items = group.drop("lack").withColumn("item", F.explode("extra")).drop("extra")
+    common = items.alias("p").join(
+        items.alias("q"),
+        F.expr(f"{differ} AND p.item = q.item AND p.doc_id < q.doc_id AND {reaches('least(p.more, q.more)')}"),
+    )
+    short = scalars.filter("lacks > more")
+    sized = scalars.filter("NOT linked").alias("p").join(
+        short.alias("q"), F.expr(f"{differ} AND p.doc_id <> q.doc_id AND {reaches('0')}")
+    )
+
+    def ends(df: DataFrame, shared: Column) -> DataFrame:
+        pair = [F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")]
+        need = F.expr(f"ceil({t} * {sizes} / {100 + t}) - p.n_hub + p.lacks + q.lacks").alias("need")
+        top = F.expr("least(p.lacks, q.lacks)").alias("most")
+        return df.groupBy(F.col("p.hub").alias("hub"), *pair, need, top).agg(shared.alias("shared"))
+
+    # |A n B| = |hub| - lacks - lacks + common lack + common extra, so `need` counts what must be common
+    tallied = ends(common, F.count(F.lit(1))).unionByName(ends(sized, F.lit(0).cast("bigint")))
+    tallied = tallied.groupBy("hub", "a", "b", "need", "most").agg(F.max("shared").alias("shared"))
+    narrow = cut(tallied.filter("most + shared >= need"))
+    lack = group.select("hub", "doc_id", "lack")
+    exact = narrow.join(lack.withColumnsRenamed({"doc_id": "a", "lack": "la"}), ["hub", "a"]).join(
+        lack.withColumnsRenamed({"doc_id": "b", "lack": "lb"}), ["hub", "b"]
+    ).filter(F.size(F.array_intersect("la", "lb")) + F.col("shared") >= F.col("need"))
+    loose = at_hub.filter("doc_id <> hub").join(group.filter("settled").select("hub", "doc_id"), ["hub", "doc_id"], "left_anti")
+    loose = loose.select("bucket", "doc_id", "root")
+    a = loose.select("bucket", F.col("doc_id").alias("a"), F.col("root").alias("ra")).join(side("a"), "a")
+    b = loose.select(F.col("bucket").alias("bucket_b"), F.col("doc_id").alias("b"), F.col("root").alias("rb")).join(side("b"), "b")
+    pairs = a.join(b, (F.col("bucket") == F.col("bucket_b")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike)
+
+    return exact.select("a", "b").distinct(), pairs.select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -269,7 +364,7 @@ def near_duplicates(
         whole.join(first, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
         .select("doc_id", "n_shingles", "bands", "sig")
     )
-    roots = near_links(reps, source, shingle, percent, least_agreement(m, percent / 100), split)
+    roots = near_links(reps, source, shingle, percent, m, split)
     classes = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         "k1", "k2", F.coalesce("root", "rep").alias("root")
     )

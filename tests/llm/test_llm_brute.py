@@ -55,10 +55,10 @@ def brute_components(rows, shingle, percent):
 
 
 @pytest.mark.parametrize("shingle, percent", [(3, 85), (5, 80)])
-@pytest.mark.parametrize("eager", [False, True])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, shingle, percent, eager):
-    if eager:  # pair by pair only after hubs have nothing left to find
-        monkeypatch.setattr(superminhash, "PAIRS_PER_MEMBER", 0)
+@pytest.mark.parametrize("progress, chunk", [(0.05, 500_000), (1e9, 7)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, shingle, percent, progress, chunk):
+    monkeypatch.setattr(superminhash, "PROGRESS", progress)  # a huge value leaves all but one round to the exact rest
+    monkeypatch.setattr(superminhash, "CHUNK_LINKS", chunk)
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in superminhash.near_duplicates(df, shingle, percent).collect()}
