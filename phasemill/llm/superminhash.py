@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from phasemill.llm.texts import WordHashes, as_bytes, cut, lists, lower_words, mix, ngram_hashes, signed, unused, word_chunks
 from phasemill.operators.components import star_roots
+from phasemill.session import join_small
 
 BAND_ROWS = 4
 MISSED = 1e-5  # chance that a pair at the threshold shares no band
@@ -234,7 +235,9 @@ def near_links(
         """(a, b, na, nb, xa, xb, both): the full sets of the pairs whose sizes and signatures are `likely`."""
         few = cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(likely).select("a", "b", "na", "nb"))
         wanted = few.select(F.col("a").alias("doc_id")).union(few.select("b")).distinct()
-        sets = cut(full_sets(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), shingle, split))
+        # ids are measured first: while they are few they go to the texts, which then stay where they are
+        mine = join_small(texts, wanted, "doc_id", "left_semi").select("doc_id", "text")
+        sets = cut(full_sets(mine, shingle, split))
         out = few.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("xa")), "a")
         out = out.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("xb")), "b")
         return out.withColumn("both", F.size(F.array_intersect("xa", "xb")))
