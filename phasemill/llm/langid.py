@@ -2,7 +2,7 @@
 
 A text is a normalised TF-IDF vector of hashed byte n-grams of its ASCII-lower-cased letters. Document
 frequencies come from all training rows; every language's centroids come from spherical k-means over a
-bounded sample of its rows, one task per language. A text gets the language of the centroid of highest
+bounded sample of its distinct texts, one task per language. A text gets the language of the centroid of highest
 cosine and is rejected when it lies far outside what that centroid's own members reach.
 """
 
@@ -21,7 +21,7 @@ from phasemill.llm.texts import as_bytes, cut, put_columns, with_fields
 from phasemill.session import join_small
 
 DIMS = 4096
-SAMPLE_PER_LANG = 1000  # rows per language that its centroids are fitted on
+SAMPLE_PER_LANG = 1000  # distinct texts per language that its centroids are fitted on
 CENTROIDS = 4
 ROUNDS = 10
 SLACK = 0.2  # share of a centroid's reach below which a text is rejected
@@ -109,28 +109,35 @@ def fit(
     for r in found:  # DIMS rows, whatever the input
         df[r["at"]] = r["n"]
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # thin by a hash of the text before the ordered choice, so that the window meets a bounded number of rows
-    order = F.xxhash64("text")
-    thin = join_small(rows, counts, "lang").withColumn("o", order).filter(
+    # a language's sample is drawn from its distinct texts, so that copies neither stand in for each other nor
+    # are all in or out together; only keys are counted and ranked, texts are fetched for the chosen keys
+    told = rows.filter(F.col("text").rlike(r"\p{L}")).withColumn("o", F.xxhash64("text"))
+    keys = cut(told.select("lang", "o").distinct())
+    counts = cut(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    # thin before the ordered choice, so that the window meets a bounded number of rows
+    thin = join_small(keys, counts, "lang").filter(
         F.pmod("o", F.lit(1_000_000)) < F.lit(1_500_000.0) * sample_per_lang / F.col("n")
     )
-    chosen = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).filter(
-        F.col("k") <= sample_per_lang
-    )
+    ranked = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o")))
+    chosen = ranked.filter(F.col("k") <= sample_per_lang).select("lang", "o")
+    sample = join_small(told, chosen, ["lang", "o"]).groupBy("lang", "o").agg(F.min("text").alias("text"))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = [t.encode() for t in pdf["text"]]
+        texts = [t.encode() for t in pdf.sort_values("o")["text"]]
         texts = [t for t in texts if has_letter(t)]
         if not texts:
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("lang", "reach", "center")})
         centers, reach = _cluster(vectors(texts, idf), centroids)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "reach": reach.astype(float), "center": list(centers.astype(np.float32))})
 
-    got = chosen.select("lang", "text").groupBy("lang").applyInPandas(group, "lang string, reach double, center array<float>")
+    got = sample.groupBy("lang").applyInPandas(group, "lang string, reach double, center array<float>")
     got = got.limit(MOST_LANGS * centroids + 1).collect()
     if len(got) > MOST_LANGS * centroids:
         raise ValueError(f"more than {MOST_LANGS} languages: raise the bound or check the label column")
+    # counts has a row per language, as many as gave centroids at most
+    without = {r["lang"] for r in counts.select("lang").limit(MOST_LANGS + 1).collect()} - {r["lang"] for r in got}
+    if without:
+        raise ValueError(f"no centroid for languages with letters: {sorted(without)[:5]}")
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], r["reach"]))
