@@ -3,7 +3,7 @@
 A text is a normalised TF-IDF vector of hashed byte n-grams of its ASCII-lower-cased letters. Document
 frequencies come from all training rows; every language's centroids come from spherical k-means over a
 bounded sample of its distinct texts, one task per language. A text gets the language of the centroid of highest
-cosine and is rejected when it lies far outside what that centroid's own members reach.
+cosine and is rejected when it lies far below what texts of that language reach that were not learned from.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ DIMS = 4096
 SAMPLE_PER_LANG = 1000  # distinct texts per language that its centroids are fitted on
 CENTROIDS = 4
 ROUNDS = 10
-SLACK = 0.2  # share of a centroid's reach below which a text is rejected
+LOW = 0.02  # share of a language's own texts that may lie below its reach
+SLACK = 0.55  # share of a language's reach below which a text is rejected
 MOST_LANGS = 1000  # bound of what the driver gathers: languages x centroids x DIMS
 BLOCK = 256  # texts that are vectors at once
 UNDETERMINED = "und"
@@ -63,7 +64,7 @@ def vectors(texts: list[bytes], idf: np.ndarray) -> np.ndarray:
 class Model:
     langs: list[str]  # of each centroid
     centroids: np.ndarray
-    reach: np.ndarray  # smallest cosine of a centroid's own training rows
+    reach: np.ndarray  # cosine that all but the share LOW of unseen texts of the centroid's language reach
     idf: np.ndarray
 
 
@@ -77,22 +78,31 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([df], pa.list_(pa.int64()))], ["total", "df"])
 
 
-def _cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from mutually distant rows: (centroids, member cosine minima)."""
-    seeds = [0]
-    near = x @ x[0]
-    while len(seeds) < min(k, len(x)):
-        seeds.append(int(np.argmin(near)))
-        near = np.maximum(near, x @ x[seeds[-1]])
-    centers = x[seeds]
-    for _ in range(ROUNDS):
-        own = np.argmax(x @ centers.T, axis=1)
-        sums = np.stack([x[own == c].sum(axis=0) if (own == c).any() else centers[c] for c in range(len(centers))])
-        centers = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    cos = x @ centers.T
-    own = np.argmax(cos, axis=1)
-    used = [c for c in range(len(centers)) if (own == c).any()]
-    return centers[used], np.array([cos[own == c, c].min() for c in used])
+def _cluster(x: np.ndarray, k: int) -> np.ndarray:
+    """Centroids of spherical k-means that starts from the first rows; rows come in random order.
+
+    A centroid of less than the share LOW of the rows is given up and its rows go to the others, so that an
+    odd row, such as one of hexadecimal digits, does not attract texts like it.
+    """
+    centers = x[:k]
+    while True:
+        for _ in range(ROUNDS):
+            own = np.argmax(x @ centers.T, axis=1)
+            sums = np.stack([x[own == c].sum(axis=0) if (own == c).any() else centers[c] for c in range(len(centers))])
+            centers = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        n = np.bincount(np.argmax(x @ centers.T, axis=1), minlength=len(centers))
+        large = n >= max(1, min(LOW * len(x), n.max()))
+        if large.all():
+            return centers
+        centers = centers[large]
+
+
+def _reach(x: np.ndarray, k: int) -> float:
+    """Low quantile of the cosines of each half of the rows to the centroids of the other; NaN for one row."""
+    if len(x) < 2:
+        return float("nan")
+    cos = [(x[i::2] @ _cluster(x[1 - i :: 2], k).T).max(axis=1) for i in (0, 1)]
+    return float(np.quantile(np.concatenate(cos), LOW))
 
 
 def fit(
@@ -127,8 +137,9 @@ def fit(
         texts = [t for t in texts if has_letter(t)]
         if not texts:
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("lang", "reach", "center")})
-        centers, reach = _cluster(vectors(texts, idf), centroids)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "reach": reach.astype(float), "center": list(centers.astype(np.float32))})
+        x = vectors(texts, idf)
+        centers = _cluster(x, centroids).astype(np.float32)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "reach": _reach(x, centroids), "center": list(centers)})
 
     got = sample.groupBy("lang").applyInPandas(group, "lang string, reach double, center array<float>")
     got = got.limit(MOST_LANGS * centroids + 1).collect()
@@ -140,10 +151,12 @@ def fit(
         raise ValueError(f"no centroid for languages with letters: {sorted(without)[:5]}")
     if not got:
         return None
-    got.sort(key=lambda r: (r["lang"], r["reach"]))
-    return Model(
-        [r["lang"] for r in got], np.array([r["center"] for r in got], np.float32), np.array([r["reach"] for r in got]), idf
-    )
+    got.sort(key=lambda r: (r["lang"], r["center"]))
+    reach = np.array([np.nan if r["reach"] is None else r["reach"] for r in got])
+    # a language of a single text takes the smallest reach of the others
+    known = reach[~np.isnan(reach)]
+    reach[np.isnan(reach)] = known.min() if len(known) else 0.0
+    return Model([r["lang"] for r in got], np.array([r["center"] for r in got], np.float32), reach, idf)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

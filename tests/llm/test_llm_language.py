@@ -1,9 +1,14 @@
 """What the language model learns from: distinct texts, whatever their number of copies."""
 
 import random
+from pathlib import Path
+
+import pytest
 
 from phasemill.llm import langid
+from phasemill.llm.texts import table
 
+SF = "/root/testdata/sf0.01"
 LETTERS = {"aa": "abcdefg", "bb": "mnopqrst"}
 
 
@@ -20,3 +25,31 @@ def test_a_language_of_copies_keeps_all_its_texts(spark):
     assert model.langs.count("aa") == 5 and model.langs.count("bb") == 5
     got = langid.identify(df.filter("lang = 'aa'").distinct(), model).collect()
     assert {r.text for r in got if r.lang_pred == "aa" and r.score > 0.999 and not r.rejected} == set(few)
+
+
+def foreign():
+    r = random.Random(3)
+    out = {
+        "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+        "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i "
+        "sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "turkish": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve "
+        "birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+        "russian": "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "chinese": "人人生而自由，在尊严和权利上一律平等。",
+    }
+    for n in (5, 50):
+        out[f"hex {n}"] = " ".join(f"{r.getrandbits(64):016x}" for _ in range(n))
+        out[f"letters {n}"] = " ".join("".join(chr(97 + r.randrange(26)) for _ in range(r.randrange(2, 10))) for _ in range(3 * n))
+    return out
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
+def test_foreign_and_junk_texts_are_rejected_and_own_held_out_texts_are_kept(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang").filter("lang IS NOT NULL")
+    model = langid.fit(docs.filter("doc_id % 3 <> 1"))
+    own = langid.identify(docs.filter("doc_id % 3 = 1 AND text RLIKE '\\\\p{L}'"), model).collect()
+    assert len(own) > 200 and sum(r.rejected for r in own) <= 0.01 * len(own)
+    df = spark.createDataFrame(list(foreign().items()), "name string, text string")
+    assert [r.name for r in langid.identify(df, model).collect() if not r.rejected] == []
