@@ -136,27 +136,35 @@ def _exact(lists_of: dict[bytes, np.ndarray], terms: list[bytes]) -> np.ndarray:
 
 
 def _near(lists_of: dict[bytes, np.ndarray], terms: list[bytes], reach: int) -> np.ndarray:
-    """Positions of the rarest term that have every other term at most `reach` words away."""
+    """Positions of any of the terms that have every other term at most `reach` words away."""
     distinct = sorted(set(terms), key=lambda t: len(lists_of.get(t, ())))
     if any(t not in lists_of for t in distinct):
         return np.zeros(0, np.int64)
-    found = lists_of[distinct[0]]
-    for t in distinct[1:]:
-        at = lists_of[t]
-        found = found[np.searchsorted(at, found - reach) < np.searchsorted(at, found + reach, side="right")]
-        if len(found) == 0:
-            break
-    return found
-
-
-def search(index: DataFrame, queries: DataFrame, reach: int | None = None) -> DataFrame:
+    parts = []
+    for own in distinct:
+        found = lists_of[own]
+        for t in distinct:
+            if t == own:
+                continue
+            at = lists_of[t]
+            found = found[np.searchsorted(at, found - reach) < np.searchsorted(at, found + reach, side="right")]
+            if len(found) == 0:
+                break
+        parts.append(found)
+    return np.sort(np.concatenate(parts))
+
+
+def search(index: DataFrame, queries: DataFrame, reach: int | None = None, gap: int = GAP) -> DataFrame:
     """Matches of `queries` (phrase, terms, items) per document of a written index that has any.
 
     Returns (segment, slot, n_hit, items, spans): the document's place in the segment, the number of its
     words inside exact matches, the sorted ids of the matching items, and a row (phrase, start, end) per
-    match. With `reach` (at most the index's gap) a match is a word of the rarest term that has all other
-    terms within that many words instead.
+    match. With `reach` a match is a word of the phrase that has all other terms of the phrase within that many
+    words instead; it depends on the document alone. A `reach` above the index's `gap` would span documents and
+    is refused.
     """
+    if reach is not None and not 0 <= reach <= gap:
+        raise ValueError(f"reach {reach} is not within 0 and the index's gap of {gap}")
     queries = cut(queries)
     terms = queries.select("phrase", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = cut(terms.select("term").distinct())  # from its files the planner knows the size
