@@ -202,10 +202,13 @@ def _union(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def link_roots(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that every node of the links (a, b) is connected to."""
+    """(node, root): the smallest node that every node of the links (a, b) is connected to.
+
+    Chunks are dealt by both ends, so that the links of one hub fill as many chunks as their number asks for.
+    """
     links = cut(links)
     chunks = max(1, math.ceil(links.count() / CHUNK_LINKS))
-    dealt = links.withColumn("chunk", F.pmod(F.xxhash64("a"), F.lit(chunks)))
+    dealt = links.withColumn("chunk", F.pmod(F.xxhash64("a", "b"), F.lit(chunks)))
     local = cut(dealt.groupBy("chunk").applyInPandas(_union, "node bigint, root bigint"))
     if chunks == 1:
         return local
