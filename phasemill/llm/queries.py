@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasemill.llm import decontaminate, langid, linededup, mixing, quality, repetition, sql, superminhash, toolcalls, toxicity, urls
+from phasemill.llm import (
+    alignment, decontaminate, langid, linededup, mixing, prefixtrie, quality, repetition, secrets, sql, superminhash, toolcalls, toxicity,
+    urls,
+)
 from phasemill.llm.texts import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +152,53 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def graft(turns: DataFrame) -> DataFrame:
+    """Conversations of shared beginnings: c starts with the first crc32(c) % 9 turns of c - c % 5, then goes on with its own."""
+    conv = F.col("conv_id")
+    begin = (F.crc32(conv.cast("string").cast("binary")) % 9).cast("int")
+    heads = turns.select(conv.alias("_base"), F.slice("turns", 1, 8).alias("_head"))
+    head = F.coalesce(F.slice("_head", F.lit(1), begin), F.array().cast(prefixtrie.TURNS))
+    rest = F.slice("turns", begin + 1, F.greatest(F.size("turns") - begin, F.lit(0)))
+    return turns.withColumn("_base", conv - conv % 5).join(heads, "_base", "left").select("conv_id", F.concat(head, rest).alias("turns"))
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of grafted conversations."""
+    out = prefixtrie.prefix_trie(graft(cut(prefixtrie.turn_lists(table(spark, sf_dir, "conversations")))))
+    return out.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+def _equals(value: str, column: Column) -> Column:
+    return column == value
+
+
+@_query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. The ledger grows in two scans: the base rules, then all rules, of which only the new ones run."""
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text")
+    ledger = secrets.Ledger(spark)
+    held = secrets.scan(versions, ledger, secrets.BASE)
+    secrets.scan(versions, ledger, secrets.BASE + secrets.MORE, held)
+    out = secrets.findings(held, ledger)
+    base = F.filter("spans", lambda s: s["place"] <= len(secrets.BASE))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [
+        F.size(F.filter(kinds, partial(_equals, rule.kind))).cast("bigint").alias(f"n_{rule.kind}") for rule in secrets.BASE
+    ]
+    return out.select(
+        F.col("path").alias("doc_id"), *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans")
+    )
+
+
+@_query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token alignment of every document between the byte-level and the piece vocabulary."""
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+
+
 ORACLES["op1_decontaminate"] = sql.decontaminate(13, 5)
 ORACLES["op2_url_filter"] = sql.url_filter(RULES, urls.MANY, urls.RARE, urls.SIMILAR, urls.PRIOR, urls.REJECT)
 ORACLES["op4_superminhash"] = sql.near_duplicates(3, 85)
@@ -157,3 +208,5 @@ ORACLES["op8_repetition"] = sql.repetition(
     repetition.NGRAM_LIMITS, repetition.LINE_LIMIT, repetition.LEAST_WORDS, repetition.REPEAT_PERCENT
 )
 ORACLES["op3_tool_calls"] = sql.tool_calls(1000)
+ORACLES["op11_prefix_trie"] = sql.prefix_trie()
+ORACLES["op12_secret_scan"] = sql.secret_scan([(r.kind, r.pattern, r.value, r.least) for r in secrets.BASE + secrets.MORE], len(secrets.BASE))

@@ -219,3 +219,59 @@ SELECT conv_id, CASE WHEN called THEN 0 ELSE -1 END AS level, turn, id, status,
          || CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content) ELSE '' END
          || ',"status":"' || status || '"}}') AS line_sha256
 FROM e"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string of ASCII characters, bit by bit."""
+    step = "list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {step}), 4294967295::BIGINT)"
+
+
+def prefix_trie() -> str:
+    role, text = "coalesce(role, '')", "coalesce(text, '')"
+    return f"""
+WITH t AS MATERIALIZED (
+  SELECT conv_id, list({{'r': {role}, 'x': {text}}} ORDER BY turn NULLS FIRST, md5(strlen({role}) || ':' || {role} || {text})) AS w
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+h AS (SELECT conv_id, w, {_crc32('conv_id::VARCHAR')} % 9 AS h FROM t),
+r AS MATERIALIZED (
+  SELECT h.conv_id, list_concat(coalesce(b.w, [])[1:h], h.w[h + 1:len(h.w)]) AS w
+  FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5
+),
+p AS MATERIALIZED (SELECT conv_id, w, d, w[1:d] AS p FROM (SELECT conv_id, w, unnest(range(len(w) + 1)) AS d FROM r)),
+n AS MATERIALIZED (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE strlen(any_value(w[d].x)) END AS size,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(w) = d), '') AS ends
+  FROM p GROUP BY d, p
+),
+k AS MATERIALIZED (
+  SELECT n.*, coalesce(c.n, 0) AS n_children
+  FROM n LEFT JOIN (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM n WHERE d > 0 GROUP BY 1, 2) c USING (d, p)
+),
+s AS (
+  SELECT a AS d, p[1:a] AS p, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM k) GROUP BY 1, 2
+)
+SELECT k.conv_id, k.d AS depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM k JOIN s USING (d, p) LEFT JOIN n u ON u.d = k.d - 1 AND u.p = k.p[1:k.d - 1] AND k.d > 0"""
+
+
+def secret_scan(rules: list[tuple[str, str, int, int]], n_base: int) -> str:
+    matches = " UNION ALL ".join(
+        f"""SELECT doc_id, {place} AS place, '{kind}' AS kind, unnest(range(1, len(m) + 1)) AS i,
+         list_sum(list_transform(list_concat(m[1:i], g[1:i]), lambda x: length(x)))::BIGINT AS stop, length(m[i]) AS size, length(v[i]) >= {least} AS holds
+  FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS m, regexp_split_to_array(text, {p}) AS g, regexp_extract_all(text, {p}, {value}) AS v FROM d)"""
+        for place, (kind, pattern, value, least) in enumerate(rules, 1)
+        for p in ["'" + pattern.replace("'", "''") + "'"]
+    )
+    listed = "string_agg(kind || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, place)"
+    counts = ", ".join(f"count(s.kind) FILTER (WHERE s.kind = '{kind}') AS n_{kind}" for kind, *_ in rules[:n_base])
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS MATERIALIZED (SELECT * FROM ({matches}) WHERE holds)
+SELECT d.doc_id, {counts}, sha256(coalesce({listed} FILTER (WHERE place <= {n_base}), '')) AS base_sha256,
+       coalesce({listed}, '') AS spans
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""

@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phasemill.session import cut  # noqa: F401  (re-exported for the operators)
+from phasemill.session import BROADCAST_BYTES, cut  # noqa: F401  (re-exported for the operators)
 
 CHUNK_WORDS = 200_000  # words of short documents handled together; a longer document is a chunk of its own
 CACHED_WORDS = 200_000  # distinct words whose hash a task remembers
@@ -102,6 +103,22 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
 
+def join_spread(left: DataFrame, right: DataFrame, on: str, by: str, how: str, row_bytes: int | Column = 64, salts: int = 16) -> DataFrame:
+    """Join many rows of `left` with the unique keys of `right`, whatever share of `left` one key holds.
+
+    The right side is written and measured by `row_bytes`, an upper bound for a row of it: up to 32 MB it is
+    broadcast; beyond that, it is copied to `salts` salts and the rows of a key are dealt over them by a hash
+    of the column `by`.
+    """
+    small = cut(right)
+    size = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    if (small.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(small), on, how)
+    salt = unused(left, "_salt")
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [on, salt], how).drop(salt)
+
 
 def unused(df: DataFrame, name: str) -> str:
     """A column name that `df` does not have."""
