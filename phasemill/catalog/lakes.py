@@ -1,7 +1,9 @@
 """Queries over the lake: readers, checks, migration, manifests, agreement."""
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.catalog.registry import query
@@ -250,6 +252,44 @@ def _(spark, d):
     return manifest.stale_stages(new, old, have)
 
 
+_AGAIN = "CASE WHEN o_orderkey % 11 = 0 THEN 2 ELSE 1 END"
+_AGAIN_TAIL = "CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 7 = 0 THEN 2 ELSE 1 END"
+
+
+def _restored_sql():
+    inner = f"(SELECT o_orderkey AS rec_id, {_AGAIN} AS g, {_AGAIN_TAIL} AS t FROM orders)"
+    for stage, (_, deps) in list(manifest.STAGES.items())[1:]:
+        terms = [f"v_{x}" for x in deps if x != "baseline"] + ["t" if stage in _TAIL else "g"]
+        inner = f"(SELECT *, {' + '.join(terms)} AS v_{stage} FROM {inner})"
+    kept = [st for st in manifest.STAGES if st != "baseline" and st not in manifest.NOT_STORED]
+    rows = [f"SELECT rec_id, '{st}' AS stage, {'t' if st in _TAIL else 'g'} AS made_in, v_{st} AS v FROM k" for st in kept]
+    return f"WITH k AS MATERIALIZED {inner} " + " UNION ALL ".join(rows)
+
+
+@query("restored_results", _restored_sql())
+def _(spark, d):
+    """Two runs into a store, the second with edited parameters: each result says which run made it, and sums what it read."""
+    def stages(run):
+        def stage(name, deps):
+            def fn(of):
+                out, total = of.recs, F.lit(run)
+                for dep in deps:
+                    out = out.join(of(dep, dep).select("rec_id", F.col("v").alias(f"_{dep}")), "rec_id")
+                    total = total + F.col(f"_{dep}")
+                return {name: out.select("rec_id", F.lit(run).alias("made_in"), total.alias("v"))}
+
+            return fn
+
+        return {name: stage(name, [x for x in deps if x != "baseline"]) for name, (_, deps) in manifest.STAGES.items() if name != "baseline"}
+
+    store = manifest.StageStore(spark, f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}")
+    for run, edited in ((1, True), (2, False)):
+        manifest.restore(store, manifest.stage_fingerprints(_params(spark, d, edited)), stages(run))
+    kept = [st for st in manifest.STAGES if st != "baseline" and st not in manifest.NOT_STORED]
+    parts = [store.read(st, st).select("rec_id", F.lit(st).alias("stage"), "made_in", "v") for st in kept]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "refresh",
     """SELECT n_nationkey AS rec_id, CAST(0 AS INTEGER) AS y, CASE WHEN n_regionkey = 2 THEN 2.0 ELSE 1.0 END AS v FROM nation""",

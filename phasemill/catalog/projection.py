@@ -232,6 +232,38 @@ def _(spark, d):
     return rounded(m, ["rec_id", "direction", "y", "x"], ["re", "im"])
 
 
+@query(
+    "movie_baseline_median",
+    """SELECT rec_id, y, x, median(p) FILTER (WHERE frame_idx % 16 >= 12) + 0.0 AS rest_median, median(p) + 0.0 AS all_median FROM v_movie GROUP BY ALL""",
+    "v_movie",
+)
+def _(spark, d):
+    rows, sweeps, at = views.stored_movie(spark, d), views.movie_sweeps(spark, d), ["rec_id", "y", "x"]
+    rest = project.movie_baseline(rows, sweeps, "rest_median").select(*at, F.col("f0").alias("rest_median"))
+    return rest.join(project.movie_baseline(rows, sweeps, "all_median").select(*at, F.col("f0").alias("all_median")), at)
+
+
+@query(
+    "movie_responsiveness",
+    _MOVIE + """, av AS (SELECT rec_id, direction, y, x, k, avg(v) AS v, avg(v_rect) AS vr FROM smp WHERE direction LIKE '%_fwd' GROUP BY ALL),
+  sp AS (SELECT rec_id, direction, y, x, bin, sqrt(power(sum(v * cos(-2*pi()*bin*k/12)), 2) + power(sum(v * sin(-2*pi()*bin*k/12)), 2)) * 2 / 12 AS pw,
+      sqrt(power(sum(vr * cos(-2*pi()*bin*k/12)), 2) + power(sum(vr * sin(-2*pi()*bin*k/12)), 2)) * 2 / 12 AS pr
+    FROM av, range(12) t(bin) GROUP BY ALL),
+  sn AS (SELECT rec_id, direction, y, x, bin, power(sum(v * cos(-2*pi()*bin*k/11)), 2) + power(sum(v * sin(-2*pi()*bin*k/11)), 2) AS e FROM av, (VALUES (1), (5)) t(bin) GROUP BY ALL)
+  SELECT rec_id, left(direction, 3) AS orientation, y, x, round((max(pw) FILTER (WHERE bin = 1) - avg(pw)) / stddev_pop(pw), 5) + 0.0 AS zscore,
+    round((max(pr) FILTER (WHERE bin = 1) - avg(pr)) / stddev_pop(pr), 5) + 0.0 AS zscore_rectified, round(max(snr), 4) + 0.0 AS snr
+  FROM sp JOIN (SELECT rec_id, direction, y, x, max(e) FILTER (WHERE bin = 1) / greatest(max(e) FILTER (WHERE bin = 5), 1e-20) AS snr FROM sn GROUP BY ALL) USING (rec_id, direction, y, x)
+  GROUP BY rec_id, direction, y, x""",
+    "v_movie v_movie_sweeps",
+)
+def _(spark, d):
+    rows, sweeps, at = views.stored_movie(spark, d), views.movie_sweeps(spark, d), ["rec_id", "orientation", "y", "x"]
+    plain = project.movie_responsiveness(rows, sweeps)
+    cut_off = project.movie_responsiveness(rows, sweeps, "rest_median", rectification="half_wave")
+    both = plain.join(cut_off.select(*at, F.col("zscore").alias("zscore_rectified")), at)
+    return both.select(*at, r6("zscore", 5).alias("zscore"), r6("zscore_rectified", 5).alias("zscore_rectified"), r6("snr", 4).alias("snr"))
+
+
 @query(
     "frame_intensity",
     "SELECT rec_id, frame_idx, round(avg(p), 6) + 0.0 AS mean_intensity FROM v_movie GROUP BY ALL",

@@ -7,7 +7,7 @@ from phasemill.catalog.registry import query
 from phasemill.catalog.regions import smooth
 from phasemill.functions.columns import r6
 from phasemill.operators import areas, refine, stencil
-from phasemill.operators.stencil import box3
+from phasemill.operators.stencil import box3, cross
 from phasemill.sources import views
 
 PX = ["rec_id", "y", "x"]
@@ -60,13 +60,18 @@ def _(spark, d):
     return b.select(*PX, r6("level").alias("level"))
 
 
-# levels, then steps since the level last rose, then the neighbour whose turn came first
-_BASINS = """WITH RECURSIVE e AS MATERIALIZED (SELECT rec_id, y, x, v, CASE WHEN w > 0.2 THEN y * 25 + x + 1 END AS seed FROM v_raster),
+def _basins(source: str, conn: int) -> str:
+    """Tables t (level, steps) and b (basin): levels, then steps since the level last rose, then the neighbour whose turn came first."""
+    def near(p: str, q: str) -> str:
+        dy, dx = f"abs({p}.y - {q}.y)", f"abs({p}.x - {q}.x)"
+        return f"{dy} <= 1 AND {dx} <= 1" if conn == 8 else f"{dy} + {dx} <= 1"
+
+    return f"""e AS MATERIALIZED ({source}),
        f(rec_id, y, x, l) AS (SELECT rec_id, y, x, v FROM e WHERE seed IS NOT NULL
-         UNION SELECT q.rec_id, q.y, q.x, greatest(f.l, q.v) FROM f JOIN e q ON q.rec_id = f.rec_id AND abs(q.y - f.y) <= 1 AND abs(q.x - f.x) <= 1),
+         UNION SELECT q.rec_id, q.y, q.x, greatest(f.l, q.v) FROM f JOIN e q ON q.rec_id = f.rec_id AND {near('q', 'f')}),
        p AS MATERIALIZED (SELECT e.*, l FROM e JOIN (SELECT rec_id, y, x, min(l) AS l FROM f GROUP BY ALL) USING (rec_id, y, x)),
        n AS MATERIALIZED (SELECT a.rec_id, a.y, a.x, a.seed, a.v, a.l, b.y AS ny, b.x AS nx, b.l AS nl FROM p a JOIN p b
-         ON a.rec_id = b.rec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x)),
+         ON a.rec_id = b.rec_id AND {near('a', 'b')} AND (a.y <> b.y OR a.x <> b.x)),
        z AS MATERIALIZED (SELECT rec_id, y, x FROM n GROUP BY rec_id, y, x, seed, v HAVING seed IS NOT NULL OR min(nl) < v),
        size AS (SELECT rec_id, count(*) AS n FROM e GROUP BY rec_id),
        h(rec_id, y, x, l, h) AS (SELECT rec_id, y, x, l, 0 FROM p SEMI JOIN z USING (rec_id, y, x)
@@ -76,8 +81,11 @@ _BASINS = """WITH RECURSIVE e AS MATERIALIZED (SELECT rec_id, y, x, v, CASE WHEN
        up AS MATERIALIZED (SELECT n.rec_id, n.y, n.x, arg_min(struct_pack(y := t.y, x := t.x), struct_pack(l := t.l, h := t.h, y := t.y, x := t.x)) AS u FROM n
          JOIN t ON t.rec_id = n.rec_id AND t.y = n.ny AND t.x = n.nx WHERE n.seed IS NULL GROUP BY ALL),
        b(rec_id, y, x, basin) AS (SELECT rec_id, y, x, seed FROM e WHERE seed IS NOT NULL
-         UNION ALL SELECT up.rec_id, up.y, up.x, b.basin FROM b JOIN up ON up.rec_id = b.rec_id AND up.u.y = b.y AND up.u.x = b.x)
-       SELECT rec_id, y, x, CAST(basin AS BIGINT) AS basin FROM b"""
+         UNION ALL SELECT up.rec_id, up.y, up.x, b.basin FROM b JOIN up ON up.rec_id = b.rec_id AND up.u.y = b.y AND up.u.x = b.x)"""
+
+
+_SEEDED = "SELECT rec_id, y, x, v, CASE WHEN w > 0.2 THEN y * 25 + x + 1 END AS seed FROM v_raster"
+_BASINS = f"WITH RECURSIVE {_basins(_SEEDED, 8)} SELECT rec_id, y, x, CAST(basin AS BIGINT) AS basin FROM b"
 
 
 @query("basin_assign", _BASINS, "v_raster")
@@ -86,6 +94,25 @@ def _(spark, d):
     return refine.basin_assign(r, "v", "m").select(*PX, "basin")
 
 
+_MINIMA_4 = f"""s AS MATERIALIZED {_STEP}, zone AS MATERIALIZED (SELECT * FROM {sm.roots("s", 4, "rec_id", "e")}),
+        low AS (SELECT rec_id, y, x, min(e) AS low FROM ({sm.scatter("s", cross(1), "p.e")}) GROUP BY ALL),
+        mins AS MATERIALIZED (SELECT rec_id, height, width, y, x FROM
+          (SELECT zone.*, bool_or(low < e) OVER (PARTITION BY zone.rec_id, root) AS down FROM zone JOIN low USING (rec_id, y, x)) WHERE NOT down)"""
+
+
+@query(
+    "basin_divides",
+    f"""WITH RECURSIVE {_MINIMA_4}, {_basins(f'SELECT s.rec_id, s.y, s.x, s.e AS v, m.label AS seed FROM s LEFT JOIN {sm.labels("mins", 4, "col")} m USING (rec_id, y, x)', 4)},
+       d AS MATERIALIZED (SELECT t.*, b.basin FROM t JOIN b USING (rec_id, y, x)),
+       line AS (SELECT q.rec_id, q.y, q.x FROM d q JOIN d o ON o.rec_id = q.rec_id AND abs(o.y - q.y) + abs(o.x - q.x) = 1
+         WHERE (o.l, o.h, o.y, o.x) < (q.l, q.h, q.y, q.x) GROUP BY ALL HAVING min(o.basin) <> max(o.basin))
+       SELECT rec_id, y, x, CASE WHEN line.rec_id IS NULL THEN CAST(basin AS BIGINT) ELSE 0 END AS basin FROM d LEFT JOIN line USING (rec_id, y, x)""",
+    "v_raster",
+)
+def _(spark, d):
+    return refine.basin_lines(_stepped(spark, d), "e").select(*PX, F.col("basin").cast("bigint").alias("basin"))
+
+
 @query("basin_lines")
 def _(spark, d):
     return refine.basin_lines(smooth(spark, d), "vfs_smooth").select(*PX, "basin")

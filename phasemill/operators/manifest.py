@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phasemill.session import cut, join_small
+
 VERSION = "1"
 
 # Stage -> (parameters it reads, stages it reads)
@@ -103,6 +108,105 @@ def refresh(
     ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rec_id").parquet(path)
 
 
+class StageStore:
+    """Results of stages in a folder: a Parquet table per result, and the keys they were computed for.
+
+    Both are only appended to. A result row carries the name of its run, and a key (rec_id, stage, fp, run) is
+    written after the results it stands for; readers see the rows of the run that holds the last key of their
+    recording. A run that is lost half-way leaves rows that nobody sees. One run at a time writes to a store.
+    """
+
+    LISTED = 1_000  # recordings named in a filter, so that files without them are skipped; more are joined
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _stored(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def current(self) -> DataFrame | None:
+        """(rec_id, stage, fp, run): the last key of every recording and stage."""
+        keys = self._stored("keys")
+        if keys is None:
+            return None
+        last = keys.groupBy("rec_id", "stage").agg(F.max(F.struct("run", "fp")).alias("_k"))
+        return last.select("rec_id", "stage", "_k.fp", "_k.run")
+
+    def next_run(self) -> str:
+        """A name that sorts behind all recorded runs and that no lost run has used."""
+        keys = self._stored("keys")
+        last = None if keys is None else keys.agg(F.max("run")).first()[0]
+        return f"{(int(last.split('-')[0]) if last else 0) + 1:012d}-{uuid.uuid4().hex}"
+
+    def write(self, run: str, name: str, df: DataFrame) -> None:
+        ranges = ["rec_id", "y"] if "y" in df.columns else ["rec_id"]
+        df.withColumn("run", F.lit(run)).repartitionByRange(*ranges).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def record(self, run: str, keys: DataFrame) -> None:
+        rows = keys.select("rec_id", "stage", "fp", F.lit(run).alias("run"))
+        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/keys")  # a row per recording
+
+    def read(self, stage: str, name: str, recs: DataFrame | None = None) -> DataFrame:
+        """The current rows of a result, for all recordings or the given ones."""
+        rows, keys = self._stored(name), self.current()
+        if rows is None or keys is None:
+            raise ValueError(f"the store holds no {name!r}")
+        keys = keys.filter(F.col("stage") == stage).select("rec_id", "run")
+        if recs is not None:
+            named = [r[0] for r in recs.limit(self.LISTED + 1).collect()]
+            if len(named) <= self.LISTED:
+                rows, keys = rows.filter(F.col("rec_id").isin(named)), keys.filter(F.col("rec_id").isin(named))
+            else:
+                keys = keys.join(recs, "rec_id", "left_semi")
+        return join_small(rows, keys, ["rec_id", "run"]).drop("run")
+
+
+@dataclass(frozen=True)
+class Reader:
+    """What a running stage reads: `recs`, the recordings it is stale for, and the results of earlier stages for them."""
+
+    store: StageStore
+    recs: DataFrame
+    passing: dict[str, DataFrame]
+
+    def __call__(self, stage: str, name: str) -> DataFrame:
+        if name in self.passing:
+            return join_small(self.passing[name], self.recs, "rec_id", "left_semi")
+        return self.store.read(stage, name, self.recs)
+
+
+def restore(store: StageStore, keys: DataFrame, compute: dict[str, Callable[[Reader], dict[str, DataFrame]]]) -> DataFrame:
+    """Bring a store up to date: every stage runs for its stale recordings only and reads the others' results.
+
+    `keys` comes from `stage_fingerprints`. `compute[stage](of)` returns the results of the stage by name;
+    `of(stage, name)` gives the result of an earlier stage for the recordings that the running stage is stale for, be it
+    computed in this run or restored. A stage that no recording needs is not called at all. Results of `NOT_STORED`
+    stages live as long as the run. Returns (rec_id, stage) of what ran.
+    """
+    keys = cut(keys)
+    held = store.current()
+    empty = keys.limit(0).select("rec_id", "stage", "fp")
+    stored = empty if held is None else cut(held.select("rec_id", "stage", "fp"))
+    runs = cut(stale_stages(keys, stored, stored.select("rec_id", "stage")).filter("runs").select("rec_id", "stage"))
+    todo = {r.stage for r in runs.select("stage").distinct().collect()}
+    run, passing = store.next_run(), {}
+    for stage in (st for st in STAGES if st in todo):
+        recs = runs.filter(F.col("stage") == stage).select("rec_id")
+        found = compute[stage](Reader(store, recs, passing)) if stage in compute else {}
+        for name, df in found.items():
+            if stage in NOT_STORED:
+                passing[name] = cut(df)
+            else:
+                store.write(run, name, df)
+        store.record(run, keys.filter(F.col("stage") == stage).join(recs, "rec_id", "left_semi"))
+    return runs
+
+
 _METHODS: dict[tuple[str, str], Callable[..., DataFrame]] = {}
 
 
@@ -114,7 +218,7 @@ def register_method(stage: str, name: str, fn: Callable[..., DataFrame]) -> None
 
 
 def method(stage: str, name: str) -> Callable[..., DataFrame]:
-    """The method of a stage; `plans.analyze` looks methods up here, so registered ones take part."""
+    """The method of a stage; `plans.analyze` looks the methods of all stages up here, so registered ones take part."""
     if (stage, name) not in _METHODS:
         known = sorted(n for s, n in _METHODS if s == stage)
         raise ValueError(f"unknown method {name!r} of {stage!r}; known: {', '.join(known)}")

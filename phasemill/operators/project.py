@@ -1,7 +1,8 @@
 """From movies to per-direction complex maps: baselines, bin-1 sums, cycle averages, response quality.
 
 `samples` are rows (rec_id, direction, cycle, k, y, x, v) with the frame size and the number of frames
-per cycle in `chunk`. They exist only inside a plan; what is shuffled are partial sums per pixel.
+per cycle in `chunk`: the form of small tables and of checks. Whole movies take the path of image-row vectors
+in `rowsums`, which explodes no sample and exchanges partial sums only.
 """
 
 from __future__ import annotations
@@ -12,12 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.functions.columns import TWO_PI, col, finite, normalize, rectify, safe_div
-from phasemill.operators import quantiles, timebase
-from phasemill.operators.blocks import block_of
-from phasemill.session import cut, join_small
+from phasemill.operators import quantiles, rowsums, timebase
+from phasemill.operators.rowsums import FRAME_BLOCK  # noqa: F401  (the writers of movies use it)
+from phasemill.session import BROADCAST_BYTES, cut, join_small
 
 REC = ["rec_id"]
-FRAME_BLOCK = "frame_block"  # stored column of bucketed movies: frame_idx div 64
 PIX = ["rec_id", "height", "width", "y", "x"]
 MAP = ["rec_id", "direction", "height", "width", "y", "x"]
 
@@ -246,122 +246,82 @@ def responsiveness(samples: DataFrame) -> DataFrame:
 # ---- whole movie --------------------------------------------------------------------------------------
 
 
-def one_scan_sums(rows: DataFrame, sweeps: DataFrame, block: int = 64) -> DataFrame:
-    """Everything the linear path needs from the movie, in one scan and one exchange.
+def one_scan_sums(rows: DataFrame, sweeps: DataFrame, quality: bool = False, histogram: str | None = None) -> DataFrame:
+    """Everything an affine analysis needs from the movie, in one scan and one exchange of partial sums."""
+    return rowsums.merge_sums(rowsums.partial_sums(rowsums.scheduled(rows, frame_headers(rows), sweeps), quality, histogram))
 
-    Per pixel: the all-frame mean, the rest-frame mean, and for each (direction, cycle) the sums
-    Σv·e, Σe. Baseline entries have a null direction.
+
+def normalized_sums(
+    rows: DataFrame, sweeps: DataFrame, base: DataFrame, normalization: str, rectification: str, quality: bool = False
+) -> DataFrame:
+    """Sums of normalised and rectified values: a scan in which the baseline, one array per image row, comes to the movie.
+
+    It is broadcast while its measured size allows; beyond that the image rows are exchanged, as arrays.
     """
-    heads = frame_headers(rows)
-    windows = timebase.number_cycles(timebase.cycle_windows(sweeps, heads))
-    calm = timebase.rest_frames(heads, sweeps).select("rec_id", "frame_idx", F.lit(True).alias("_rest"))
-    # per frame block: the windows that touch it and the resting frames in it (both bounded by the block)
-    last = F.col("onset_idx") + F.col("chunk") - 1
-    by_block = (
-        windows.select(
-            "rec_id", "direction", "cycle", "onset_idx", "chunk",
-            F.explode(F.sequence(block_of("onset_idx", block), block_of(last, block))).alias("_blk"),
-        )
-        .groupBy("rec_id", "_blk")
-        .agg(F.collect_list(F.struct("direction", "cycle", "onset_idx", "chunk")).alias("_w"))
-    )
-    calm_block = calm.groupBy("rec_id", block_of("frame_idx", block).alias("_blk")).agg(
-        F.collect_set("frame_idx").alias("_calm")
-    )
-    plan = by_block.join(calm_block, ["rec_id", "_blk"], "full_outer")
-    # a row per 64 frames: broadcast while small; beyond that a movie stored in buckets of
-    # (rec_id, frame_block) is joined where it lies
-    placed = rows if FRAME_BLOCK in rows.columns else rows.withColumn(FRAME_BLOCK, block_of("frame_idx", block))
-    j = join_small(placed, plan.withColumnRenamed("_blk", FRAME_BLOCK), ["rec_id", FRAME_BLOCK], "left")
-    inside = F.filter(
-        F.coalesce("_w", F.array().cast("array<struct<direction:string,cycle:int,onset_idx:bigint,chunk:bigint>>")),
-        lambda w: (F.col("frame_idx") >= w["onset_idx"]) & (F.col("frame_idx") < w["onset_idx"] + w["chunk"]),
-    )
-    angle = F.transform(
-        inside,
-        lambda w: F.struct(
-            w["direction"].alias("direction"), w["cycle"].alias("cycle"),
-            (F.lit(-TWO_PI) * (F.col("frame_idx") - w["onset_idx"]) / w["chunk"]).alias("a"),
-            F.lit(False).alias("rest"),
-        ),
-    )
-    none = F.lit(None)
-    base = F.array(
-        F.struct(
-            none.cast("string").alias("direction"), none.cast("int").alias("cycle"), F.lit(0.0).alias("a"),
-            F.coalesce(F.array_contains("_calm", F.col("frame_idx")), F.lit(False)).alias("rest"),
-        )
-    )
-    px = j.select(
-        "rec_id", "height", "width", "y", "pixels", F.explode(F.concat(base, angle)).alias("_e")
-    ).select(
-        "rec_id", "height", "width", "y", "pixels", "_e.direction", "_e.cycle",
-        F.cos("_e.a").alias("_c"), F.sin("_e.a").alias("_s"), "_e.rest",
-    ).select(
-        "rec_id", "height", "width", "y", "direction", "cycle", "_c", "_s", "rest",
-        F.posexplode("pixels").alias("x", "v"),
-    )
-    v = F.col("v").cast("double")
-    return px.groupBy("rec_id", "height", "width", "y", "x", "direction", "cycle").agg(
-        F.sum(v * F.col("_c")).alias("vre"), F.sum(v * F.col("_s")).alias("vim"),
-        F.sum("_c").alias("ere"), F.sum("_s").alias("eim"),
-        F.avg(v).alias("mean_all"), F.avg(F.when(F.col("rest"), v)).alias("mean_rest"),
-    )
+    placed = rowsums.scheduled(rows, frame_headers(rows), sweeps)
+    widest = base.agg(F.max("width")).first()[0] or 0
+    limit = BROADCAST_BYTES * 1024 // (8 * widest + 1024)  # join_small takes 1,024 bytes for an array
+    joined = join_small(placed, base.select("rec_id", "y", "f0", "floor"), ["rec_id", "y"], limit=limit)
+    return rowsums.merge_sums(rowsums.partial_sums(joined, quality, None, normalization, rectification))
 
 
-def cycle_maps_linear(
-    rows: DataFrame, sweeps: DataFrame, baseline: str = "rest_mean", normalization: str = "fractional"
-) -> DataFrame:
-    """Per-cycle complex maps without materialising the normalised movie.
+def with_floor(base: DataFrame) -> DataFrame:
+    """Image-row baselines with the denominator floor of their recording."""
+    pixels = base.select("rec_id", F.explode("f0").alias("f0"))
+    return join_small(base, dff_floor(pixels), REC)
+
+
+def movie_baseline(rows: DataFrame, sweeps: DataFrame, method: str = "rest_mean") -> DataFrame:
+    """Baseline per pixel: all_mean, all_median, rest_mean or rest_median."""
+    base = rowsums.row_baseline(_baseline_sums(rows, sweeps, method), method)
+    return base.select("rec_id", "height", "width", "y", F.posexplode("f0").alias("x", "f0"))
+
+
+def _baseline_sums(rows: DataFrame, sweeps: DataFrame, method: str, quality: bool = False) -> DataFrame:
+    histogram = method.removesuffix("_median") if method.endswith("_median") else None
+    return cut(one_scan_sums(rows, sweeps, quality, histogram))
+
 
-    Normalisation is affine in v, so it commutes with the Fourier sum:
-    Σ((v−f0)/d)·e = (Σv·e − f0·Σe)/d. The sums are written out once, since the baseline, its floor and
-    the maps all read them: the movie itself is scanned a single time.
+def movie_maps(
+    rows: DataFrame, sweeps: DataFrame, baseline: str | DataFrame = "rest_mean", normalization: str = "fractional",
+    rectification: str = "none", quality: bool = True, most_bins: int | None = 20,
+) -> tuple[DataFrame, DataFrame | None]:
+    """(per-cycle complex maps, z-score and SNR per orientation) of whole movies.
+
+    `baseline` is a name or a table of one array `f0` per (rec_id, height, width, y).
+
+    Without rectification, one scan: the written sums give the baseline, its floor, the maps and the quality. With it, a
+    second scan normalises image rows before they are summed. No sample is exploded in either.
     """
-    sums = cut(one_scan_sums(rows, sweeps))
-    f0col = F.coalesce("mean_rest", "mean_all") if baseline == "rest_mean" else F.col("mean_all")
-    f0 = sums.filter("direction IS NULL").select(*PIX, f0col.alias("f0"))
-    base = join_small(f0, dff_floor(f0), REC).select("rec_id", "y", "x", "f0", "floor")
-    den = F.greatest("f0", "floor") if normalization == "fractional" else F.lit(1.0)
-    return sums.filter("direction IS NOT NULL").join(base, ["rec_id", "y", "x"]).select(
-        "rec_id", "direction", "cycle", "height", "width", "y", "x",
-        ((F.col("vre") - F.col("f0") * F.col("ere")) / den).alias("re"),
-        ((F.col("vim") - F.col("f0") * F.col("eim")) / den).alias("im"),
-    )
+    affine = rectification == "none"
+    if isinstance(baseline, str):
+        sums = _baseline_sums(rows, sweeps, baseline, quality and affine)
+        base = cut(with_floor(rowsums.row_baseline(sums, baseline)))
+    else:
+        sums = cut(one_scan_sums(rows, sweeps, quality)) if affine else None
+        base = cut(with_floor(baseline))
+    if not affine:
+        sums, given = cut(normalized_sums(rows, sweeps, base, normalization, rectification, quality)), None
+    else:
+        given = base
+    scored = rowsums.response_quality(sums, given, normalization, most_bins) if quality else None
+    return rowsums.cycle_maps(sums, given, normalization), scored
 
 
 def movie_samples(rows: DataFrame, sweeps: DataFrame) -> DataFrame:
-    """Samples of all usable cycles with `chunk` (needed for rectification and response quality)."""
+    """Samples of all usable cycles with `chunk`: the exploded form, for checks and small movies."""
     windows = timebase.number_cycles(timebase.cycle_windows(sweeps, frame_headers(rows)))
     return pixels_long(
         timebase.attach_cycle(rows, windows.select("rec_id", "direction", "cycle", "onset_idx", "chunk"))
     )
 
 
-def movie_baseline(rows: DataFrame, sweeps: DataFrame, method: str = "rest_mean") -> DataFrame:
-    """Baseline map: all_mean, all_median, rest_mean or rest_median."""
-    px = pixels_long(rows)
-    if method == "all_mean":
-        return baseline_mean(px)
-    if method == "all_median":
-        return baseline_median(px)
-    calm = timebase.rest_frames(frame_headers(rows), sweeps).select(
-        "rec_id", "frame_idx", F.lit(True).alias("_rest")
-    )
-    flagged = rows.join(calm, ["rec_id", "frame_idx"], "left").withColumn(
-        "_rest", F.coalesce("_rest", F.lit(False))
-    )
-    return baseline_rest(pixels_long(flagged), "_rest", method.removeprefix("rest_"))
-
-
 def movie_responsiveness(
     rows: DataFrame, sweeps: DataFrame, baseline: str = "rest_mean", normalization: str = "fractional",
-    rectification: str = "none",
+    rectification: str = "none", most_bins: int | None = 20,
 ) -> DataFrame:
     """z-score and spectral SNR per orientation of whole movies."""
-    f0 = movie_baseline(rows, sweeps, baseline)
-    samples = attach_baseline(movie_samples(rows, sweeps), f0, dff_floor(f0))
-    return responsiveness(normalize_samples(samples, normalization, rectification))
+    return movie_maps(rows, sweeps, baseline, normalization, rectification, True, most_bins)[1]
 
 
 def complex_maps(
@@ -369,10 +329,5 @@ def complex_maps(
     rectification: str = "none", average: str = "simple",
 ) -> tuple[DataFrame, DataFrame]:
     """(direction maps, per-cycle maps) of whole movies."""
-    if rectification == "none" and baseline in ("rest_mean", "all_mean"):
-        cycles = cycle_maps_linear(rows, sweeps, baseline, normalization)
-    else:
-        f0 = movie_baseline(rows, sweeps, baseline)
-        s = attach_baseline(movie_samples(rows, sweeps), f0, dff_floor(f0))
-        cycles = bin1_projection(normalize_samples(s, normalization, rectification))
+    cycles, _ = movie_maps(rows, sweeps, baseline, normalization, rectification, quality=False)
     return cycle_average(cycles, average), cycles

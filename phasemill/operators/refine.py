@@ -1,53 +1,24 @@
 """Splitting and merging of areas: minima, flooding, reconstruction, coverage.
 
-Flood levels are a fixpoint over neighbour offers rather than an ordered queue; a pixel then belongs to the
-neighbour whose turn came first. All patches of all recordings advance together, and leave when settled.
+Flood levels and reconstructions are spread inside bands of image rows, which exchange their border rows; a pixel
+then belongs to the neighbour whose turn came first. All patches of all recordings advance together, and leave
+when settled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.functions.columns import ecc_alt, finite
-from phasemill.operators import areas, maps, quantiles, stats, stencil
+from phasemill.operators import areas, maps, quantiles, stats, stencil, tileflood
 from phasemill.operators import components as cc
 from phasemill.operators import morphology as mo
 from phasemill.operators.stencil import REC, SIZE, box3, cross, scatter_spans
 from phasemill.session import cut, join_small
 
-STEPS_PER_CUT = 4
-
-
-def _fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], mark: Column, keys: Sequence[str]) -> DataFrame:
-    """Repeat `step` until every key's fingerprint stands still; a few steps per lineage cut.
-
-    Keys that stand still leave the loop, so one long key does not rewrite the others. Every user lowers (or
-    raises) values monotonically towards a bound, which ends the loop.
-    """
-    keys = list(keys)
-
-    def prints(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(mark).alias("_h"))
-
-    cur = cut(start)
-    seen, done = cut(prints(cur)), None
-    while True:
-        for _ in range(STEPS_PER_CUT):
-            cur = step(cur)
-        cur = cut(cur)
-        now = cut(prints(cur))
-        moving = cut(now.join(seen, [*keys, "_n", "_h"], "left_anti").select(*keys))
-        settled = cur.join(moving, keys, "left_anti")
-        done = settled if done is None else done.unionByName(settled)
-        if moving.isEmpty():
-            return done
-        cur = cut(cur.join(moving, keys, "left_semi"))
-        seen = now
-
-
 def _ring(conn: int) -> list[stencil.Span]:
     return box3() if conn == 8 else cross(1)
 
@@ -119,37 +90,14 @@ def basin_assign(df: DataFrame, elevation: str, marker: str, conn: int = 8, keys
             F.when(seeded, F.col(marker).cast("bigint")).alias("_seed"), F.when(seeded, cost).alias("_c"),
         )
     )
-    start = base.drop("_seed")
-
-    offsets = "array(" + ", ".join(f"named_struct('dy', {a}, 'lo', {b}, 'hi', {c})" for a, b, c in _ring(conn)) + ")"
-    # a pixel without a front stays where it is; one with a front also offers it to its neighbours
-    reach = f"explode(if(_c IS NULL, array(named_struct('dy', 0, 'lo', 0, 'hi', 0)), {offsets})) AS _s"
-
-    k = [*keys, *SIZE]
-    taken = "named_struct('level', greatest(_o.level, _e), 'hops', if(_e > _o.level, 0, _o.hops + 1))"
-    open_ = "_o IS NOT NULL AND NOT isnan(_e) AND abs(_e) < double('inf')"
-    best = f"CASE WHEN {open_} AND _c IS NOT NULL THEN least(_c, {taken}) WHEN {open_} THEN {taken} ELSE _c END AS _c"
-
-    def step(cur: DataFrame) -> DataFrame:
-        return (
-            cur.selectExpr(*k, "y", "x", "_e", "_c", reach)
-            .selectExpr(*k, "y + _s.dy AS y", "x", "_s", "_e", "_c").filter("y >= 0 AND y < height")
-            .repartition(*keys, "y")
-            .selectExpr(*k, "y", "x", "_s.dy AS _dy", "_e", "_c", "explode(sequence(x + _s.lo, x + _s.hi)) AS _x")
-            .selectExpr(
-                *k, "y", "_x AS x", "if(_dy = 0 AND _x = x, _e, NULL) AS _e", "if(_dy = 0 AND _x = x, _c, NULL) AS _c",
-                "if(_dy = 0 AND _x = x, NULL, _c) AS _o",
-            )
-            .groupBy(*_px(keys)).agg(F.expr("max(_e) AS _e"), F.expr("max(_c) AS _c"), F.expr("min(_o) AS _o"))
-            .filter("_e IS NOT NULL")  # offers outside the mask meet no elevation
-            .selectExpr(*_px(keys), "_e", best)
-        )
-
-    costs = _fixpoint(start, step, F.xxhash64(*keys, "y", "x", "_c.level", "_c.hops"), keys)
-    flooded = cut(
-        costs.join(base.select(*keys, "y", "x", "_seed"), [*keys, "y", "x"])
-        .withColumn("_at", F.col("y").cast("bigint") * F.col("width") + F.col("x"))
+    sources = base.select(
+        *_px(keys), F.when(finite("_e"), F.col("_e")).alias("_e"), F.col("_c.level").alias("level"), F.col("_c.hops").alias("hops")
     )
+    reached = tileflood.spread(sources, conn, keys)
+    costs = reached.select(
+        *_px(keys), F.when(F.col("level").isNotNull(), F.struct("level", "hops")).alias("_c")
+    ).join(base.select(*keys, "y", "x", "_e", "_seed"), [*keys, "y", "x"])
+    flooded = cut(costs.withColumn("_at", F.col("y").cast("bigint") * F.col("width") + F.col("x")))
     done = _owners(flooded, conn, keys)
     return flooded.join(done, [*keys, "_at"], "left").select(
         *_px(keys), F.col("_e").alias(elevation), "basin", "_c.level", "_c.hops"
@@ -201,13 +149,13 @@ def mark_divides(basins: DataFrame, conn: int, keys: Sequence[str]) -> DataFrame
 def reconstruct_erosion(df: DataFrame, marker: str, mask: str, conn: int = 8, keys: Sequence[str] = REC) -> DataFrame:
     """Repeat max(erosion(J), mask) from J = max(marker, mask) to stability; result column `level`."""
     keys = list(keys)
-    start = df.select(*_px(keys), F.col(mask).alias("_m"), F.greatest(marker, mask).alias("level"))
-
-    def step(cur: DataFrame) -> DataFrame:
-        near = scatter_spans(cur, _ring(conn), keys, ["level"]).groupBy(*_px(keys)).agg(F.min("level").alias("_low"))
-        return cur.join(near, _px(keys)).select(*_px(keys), "_m", F.greatest("_low", "_m").alias("level"))
-
-    return _fixpoint(start, step, F.xxhash64(*keys, "y", "x", "level"), keys).drop("_m")
+    start = F.greatest(marker, mask)
+    # a NaN is above all numbers: such a mask is a wall, such a start is no source; a null mask holds nothing back
+    wall = F.when(F.isnan(mask), F.lit(None)).otherwise(F.coalesce(F.col(mask), F.lit(float("-inf"))))
+    source = F.when(~F.isnan(start), start)
+    base = df.select(*_px(keys), wall.cast("double").alias("_e"), source.cast("double").alias("level"), F.lit(0).alias("hops"), start.alias("_start"))
+    low = tileflood.spread(base, conn, keys, count_hops=False).select(*_px(keys), F.col("level").alias("_low"))
+    return base.select(*_px(keys), "_start").join(low, _px(keys)).select(*_px(keys), F.coalesce("_low", "_start").alias("level"))
 
 
 def impose_minima(df: DataFrame, value: str, at: str, keys: Sequence[str] = REC) -> DataFrame:

@@ -58,26 +58,26 @@ def test_movie_pixels_are_scanned_once(spark, tmp_path):
     heads = plan(project.frame_headers(rows))
     assert "PushedFilters: [IsNotNull(y), EqualTo(y,0)" in heads and "pixels" not in heads.split("ReadSchema")[1]
     # from the pixel scan up to the partial sums nothing is exchanged: the schedule comes to the movie
-    assert exchanges_above_pixels(project.one_scan_sums(rows, sweeps)) == 1
-    general, _ = project.complex_maps(rows, sweeps, rectification="half_wave")
-    assert exchanges_above_pixels(general) >= 1
+    base = project.with_floor(project.rowsums.row_baseline(project.one_scan_sums(rows, sweeps), "rest_mean")).cache()
+    for df in (
+        project.one_scan_sums(rows, sweeps), project.one_scan_sums(rows, sweeps, quality=True), project.one_scan_sums(rows, sweeps, True, "rest"),
+        project.normalized_sums(rows, sweeps, base, "fractional", "half_wave", True),
+    ):
+        assert way_of_pixels(df) == ["MapInArrow", "Exchange", "MapInArrow"]
+        assert "Generate" not in plan(df).split("MapInArrow")[-1].split("pixels")[0]
 
 
-def exchanges_above_pixels(df):
-    """Exchanges that the pixels' own rows pass on their way to the first aggregate, that one included."""
+def way_of_pixels(df):
+    """Exchanges and Python steps that the pixels pass on their way up."""
     lines = plan(df).split("\n")
     at = next(i for i, line in enumerate(lines) if "FileScan" in line and "pixels" in line.split("ReadSchema")[-1])
-    depth, n, first = len(lines[at]) - len(lines[at].lstrip(" :+-")), 0, None
+    depth, way = len(lines[at]) - len(lines[at].lstrip(" :+-")), []
     for line in reversed(lines[:at]):
         d = len(line) - len(line.lstrip(" :+-"))
         if d < depth:
             depth = d
-            if "Exchange" in line:
-                n += 1
-            if "Aggregate" in line:
-                first = "partial" in line
-                return n + 1 if first else n
-    return n
+            way += [step for step in ("Exchange", "MapInArrow") if step in line]
+    return way
 
 
 def test_bucketed_movie_is_joined_in_place(spark, tmp_path, monkeypatch):
@@ -90,13 +90,13 @@ def test_bucketed_movie_is_joined_in_place(spark, tmp_path, monkeypatch):
         "array(1, 2, CAST(id AS INT)) AS pixels",
     )
     sweeps = spark.createDataFrame([("a", 0, "LR", 1.0, 2.0)], "rec_id string, sweep_idx int, label string, start_sec double, end_sec double")
-    want = {tuple(r) for r in project.one_scan_sums(rows, sweeps).collect()}
+    want = {str(r) for r in project.one_scan_sums(rows, sweeps).collect()}
     monkeypatch.setattr(session.join_small, "__defaults__", ("inner", -1))  # as if the schedule were large
     movie = lake.write_movie(rows, "movie_in_buckets", 4)
     try:
         df = project.one_scan_sums(movie, sweeps)
-        assert exchanges_above_pixels(df) == 1
-        assert {tuple(r) for r in df.collect()} == want
+        assert way_of_pixels(df) == ["MapInArrow", "Exchange", "MapInArrow"]
+        assert {str(r) for r in df.collect()} == want
     finally:
         spark.sql("DROP TABLE movie_in_buckets")
 
