@@ -14,9 +14,9 @@ BLOCK_ROWS = 65_536
 HOUR_US = 3_600_000_000
 
 
-def block_of(position: str | Column, size: int | float) -> Column:
+def block_of(position: str | Column, size: int | float | Column) -> Column:
     c = F.col(position) if isinstance(position, str) else position
-    return F.floor(c / F.lit(size)).cast("bigint")
+    return F.floor(c / (size if isinstance(size, Column) else F.lit(size))).cast("bigint")
 
 
 def index_rows(
@@ -95,12 +95,13 @@ def neighbour_rows(
 
 def asof_nearest(
     left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
-    right_index: str, bucket: float, name: str,
+    right_index: str, bucket: float | Column, name: str,
 ) -> DataFrame:
     """For each left row, the index of the right row nearest in time; ties go to the earlier index.
 
     Both sides are cut into time buckets, so a hot key is spread over its own time line; neighbours in
-    other buckets are found through one summary row per (key, bucket).
+    other buckets are found through one summary row per (key, bucket). `bucket` may be a column of both sides that is
+    constant in a key.
     """
     pt = F.struct(
         F.col(right_time).alias("t"), (-F.col(right_index)).alias("n"), F.col(right_index).alias("i")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phasemill.functions.columns import safe_div
 from phasemill.operators import quantiles
 from phasemill.operators.blocks import BLOCK_ROWS, block_of, index_rows, neighbour_rows, running_sum
-from phasemill.operators.timebase import bucket_of, dropped_frames, frame_deltas, sequence_drops, with_sequence_gap
+from phasemill.operators.timebase import bucket_lengths, dropped_frames, frame_deltas, sequence_drops, with_sequence_gap
 from phasemill.session import join_small
 
 REC = ["rec_id"]
@@ -142,11 +142,14 @@ def sweep_intervals(events: DataFrame, bucket_us: float | None = None) -> DataFr
     """Realised intervals from started/completed events (rec_id, ts_us, kind, ord).
 
     A start is closed by the very next event of the two kinds if that is a completion. Events are ordered in
-    buckets of `bucket_us`; by default a bucket holds some thousand events.
+    buckets of `bucket_us`; by default a bucket holds some thousand events of its recording.
     """
     e = events.filter(F.col("kind").isin("started", "completed"))
-    bucket_us = bucket_of(e, "ts_us") if bucket_us is None else bucket_us
-    e = e.withColumn("_b", block_of("ts_us", bucket_us))
+    if bucket_us is None:
+        e = e.join(bucket_lengths(e, "ts_us").select("rec_id", "_bucket"), REC)
+        e = e.withColumn("_b", block_of("ts_us", F.col("_bucket"))).drop("_bucket")
+    else:
+        e = e.withColumn("_b", block_of("ts_us", bucket_us))
     e = index_rows(e, REC, "_b", ["ts_us", "ord"], "frame_idx").drop("_b")
     e = neighbour_rows(
         e, REC, "frame_idx",

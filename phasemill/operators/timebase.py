@@ -100,11 +100,11 @@ def with_direction(sweeps: DataFrame) -> DataFrame:
 FRAMES_PER_BUCKET = 4096
 
 
-def bucket_of(frames: DataFrame, time: str, per_bucket: int = FRAMES_PER_BUCKET) -> float:
-    """Length of a time bucket that holds about `per_bucket` frames of the fastest recording."""
-    span = frames.groupBy("rec_id").agg((F.max(time) - F.min(time)).alias("s"), (F.count(F.lit(1)) - 1).alias("n"))
-    step = span.filter("n > 0 AND s > 0").agg(F.min(F.col("s") / F.col("n"))).first()[0]
-    return float(step) * per_bucket if step else 1.0
+def bucket_lengths(frames: DataFrame, time: str, per_bucket: int = FRAMES_PER_BUCKET) -> DataFrame:
+    """(rec_id, _bucket, _first, _last): time buckets of about `per_bucket` frames of the recording itself."""
+    span = frames.groupBy("rec_id").agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    step = F.try_divide((F.col("_last") - F.col("_first")).cast("double"), (F.col("_n") - 1).cast("double"))
+    return span.select("rec_id", F.coalesce(F.nullif(step, F.lit(0.0)) * per_bucket, F.lit(1.0)).alias("_bucket"), "_first", "_last")
 
 
 def nearest_frame(
@@ -112,10 +112,14 @@ def nearest_frame(
 ) -> DataFrame:
     """As-of nearest frame of each sweep onset; a tie goes to the earlier frame.
 
-    Both sides meet in time buckets of `bucket_sec`; by default a bucket holds some thousand frames.
+    Both sides meet in time buckets of `bucket_sec`; by default a bucket holds some thousand frames of its recording.
     """
-    bucket = bucket_of(frames, "ts_sec") if bucket_sec is None else bucket_sec
-    return asof_nearest(sweeps, frames, REC, "start_sec", "ts_sec", "frame_idx", bucket, name)
+    if bucket_sec is not None:
+        return asof_nearest(sweeps, frames, REC, "start_sec", "ts_sec", "frame_idx", bucket_sec, name)
+    lengths = bucket_lengths(frames, "ts_sec").select("rec_id", "_bucket")
+    timed = frames.select("rec_id", "ts_sec", "frame_idx").join(lengths, REC)
+    known = sweeps.join(lengths, REC, "left").withColumn("_bucket", F.coalesce("_bucket", F.lit(1.0)))
+    return asof_nearest(known, timed, REC, "start_sec", "ts_sec", "frame_idx", F.col("_bucket"), name).drop("_bucket")
 
 
 def frame_summary(frames: DataFrame) -> DataFrame:
@@ -173,20 +177,31 @@ def attach_cycle(frames: DataFrame, windows: DataFrame, block: int = 64) -> Data
     )
 
 
+def busy_blocks(sweeps: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Closed sweep intervals, copied to the time buckets of their recording that they touch.
+
+    What lies outside the recorded time is cut off first: an interval is copied at most as often as its recording has buckets.
+    """
+    s = sweeps.filter("start_sec <= end_sec").select("rec_id", "start_sec", "end_sec").join(lengths, REC)
+    s = s.filter("end_sec >= _first AND start_sec <= _last")
+    first, last = F.greatest("start_sec", "_first"), F.least("end_sec", "_last")
+    cover = F.sequence(block_of(first, F.col("_bucket")), block_of(last, F.col("_bucket")))
+    return s.select("rec_id", "start_sec", "end_sec", F.explode(cover).alias("_b"))
+
+
 def rest_frames(frames: DataFrame, sweeps: DataFrame, bucket_sec: float | None = None) -> DataFrame:
     """Frames in no closed sweep interval (anti interval join through buckets of some thousand frames)."""
-    bucket_sec = bucket_of(frames, "ts_sec") if bucket_sec is None else bucket_sec
-    busy = sweeps.filter("start_sec <= end_sec").select(
-        "rec_id", "start_sec", "end_sec",
-        F.explode(F.sequence(block_of("start_sec", bucket_sec), block_of("end_sec", bucket_sec))).alias("_b"),
-    )
-    f = frames.withColumn("_b", block_of("ts_sec", bucket_sec)).alias("f")
-    s = busy.alias("s")
+    lengths = bucket_lengths(frames, "ts_sec")
+    if bucket_sec is not None:
+        lengths = lengths.withColumn("_bucket", F.lit(float(bucket_sec)))
+    timed = frames.join(lengths.select("rec_id", "_bucket"), REC)
+    f = timed.withColumn("_b", block_of("ts_sec", F.col("_bucket"))).alias("f")
+    s = busy_blocks(sweeps, lengths).alias("s")
     hit = (
         (F.col("f.rec_id") == F.col("s.rec_id")) & (F.col("f._b") == F.col("s._b"))
         & (F.col("f.ts_sec") >= F.col("s.start_sec")) & (F.col("f.ts_sec") <= F.col("s.end_sec"))
     )
-    return f.join(s, hit, "left_anti").drop("_b")
+    return f.join(s, hit, "left_anti").drop("_b", "_bucket")
 
 
 def condition_lookup(stim: DataFrame, conditions: DataFrame) -> DataFrame:
