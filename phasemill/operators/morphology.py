@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phasemill.operators import components
-from phasemill.operators.stencil import REC, SIZE, Span, cross, disk, in_frame_count, scatter_spans
+from phasemill.operators.stencil import REC, SIZE, Span, cross, disk
 from phasemill.session import cut
 
 
@@ -44,21 +46,59 @@ def mask_and(a: DataFrame, b: DataFrame, keys: Sequence[str] = REC) -> DataFrame
 # ---- dilation, erosion, opening, closing ------------------------------------------------------------
 
 
+def runs(mask: DataFrame, keys: Sequence[str] = REC) -> DataFrame:
+    """The mask as runs of an image row: (keys, frame size, y, lo, hi). Windows are bounded by the sensor's width."""
+    row = Window.partitionBy(*keys, "y").orderBy("x")
+    island = mask.select(*_px(keys)).withColumn("_i", F.col("x") - F.dense_rank().over(row))
+    return island.groupBy(*keys, *SIZE, "y", "_i").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).drop("_i")
+
+
+def _covered(intervals: DataFrame, need, keys: Sequence[str]) -> DataFrame:
+    """Pixels that at least `need` of the intervals (y, lo, hi) cover; `need` may depend on y and the frame size."""
+    k = [*keys, *SIZE, "y"]
+    edges = F.array(F.struct(F.col("lo").alias("x"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("x"), F.lit(-1).alias("d")))
+    at = intervals.repartition(*keys, "y").select(*k, F.inline(edges)).groupBy(*k, "x").agg(F.sum("d").alias("_d"))
+    row = Window.partitionBy(*keys, "y").orderBy("x")
+    deep = at.withColumns({"_n": F.sum("_d").over(row), "_next": F.lead("x").over(row)})
+    held = deep.filter((F.col("_n") >= need) & (F.col("_n") > 0))
+    return held.select(*k, F.explode(F.sequence(F.col("x").cast("int"), (F.col("_next") - 1).cast("int"))).alias("x"))
+
+
+def _shifted(mask: DataFrame, spans: Sequence[Span], keys: Sequence[str], lo, hi) -> DataFrame:
+    """One interval per run and span, in the row that the span reaches, clipped to the frame."""
+    offsets = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("a"), F.lit(c).alias("b")) for a, b, c in spans])
+    moved = runs(mask, keys).select(*keys, *SIZE, "y", "lo", "hi", F.explode(offsets).alias("_s"))
+    moved = moved.select(
+        *keys, *SIZE, (F.col("y") + F.col("_s.dy")).cast("int").alias("y"), F.greatest(lo, F.lit(0)).alias("lo"),
+        F.least(hi, F.col("width") - 1).alias("hi"),
+    )
+    return moved.filter("y >= 0 AND y < height AND lo <= hi")
+
+
 def dilate(mask: DataFrame, shape: str, n: int, keys: Sequence[str] = REC) -> DataFrame:
+    """Runs grow by the spans of the shape: 2n+1 intervals a run, whatever the number of its pixels."""
     if n <= 0:
         return mask.select(*_px(keys))
-    return scatter_spans(mask, spans_of(shape, n), keys).distinct()
+    grown = _shifted(mask, spans_of(shape, n), keys, F.col("lo") + F.col("_s.a"), F.col("hi") + F.col("_s.b"))
+    return _covered(grown, F.lit(1), keys)
 
 
 def erode(mask: DataFrame, shape: str, n: int, keys: Sequence[str] = REC) -> DataFrame:
-    """A disk treats the outside of the frame as set, a cross as unset."""
+    """A disk treats the outside of the frame as set, a cross as unset.
+
+    A run shrinks by the span of each row that it has to cover; a pixel stays if it is covered once for every
+    row of the shape. For a disk, rows outside the frame need no cover and runs at its edge go on outside.
+    """
     if n <= 0:
         return mask.select(*_px(keys))
-    spans = spans_of(shape, n)
-    hits = scatter_spans(mask, spans, keys).groupBy(*_px(keys)).agg(F.count(F.lit(1)).alias("_n"))
-    full = sum(hi - lo + 1 for _, lo, hi in spans)
-    need = in_frame_count(spans) if shape == "disk" else F.lit(full)
-    return hits.filter(F.col("_n") == need).drop("_n")
+    spans = [(-dy, lo, hi) for dy, lo, hi in spans_of(shape, n)]
+    lo, hi = F.col("lo") - F.col("_s.a"), F.col("hi") - F.col("_s.b")
+    if shape == "disk":
+        lo, hi = F.when(F.col("lo") == 0, 0).otherwise(lo), F.when(F.col("hi") == F.col("width") - 1, F.col("hi")).otherwise(hi)
+        need = F.least(F.col("y") + n, F.col("height") - 1) - F.greatest(F.col("y") - n, F.lit(0)) + 1
+    else:
+        need = F.lit(len(spans))
+    return _covered(_shifted(mask, spans, keys, lo, hi), need, keys)
 
 
 def opening(mask: DataFrame, shape: str, n: int, keys: Sequence[str] = REC) -> DataFrame:
@@ -183,11 +223,38 @@ def skeletonize(
 # ---- distance ------------------------------------------------------------------------------------
 
 
+def _lower_envelope(g: list[int | None]) -> list[float]:
+    """min over c of g[c]² + (x − c)² for every x, by the lower envelope of these parabolas: linear in the row."""
+    at: list[int] = []  # columns of the envelope's parabolas, and where each begins to be the lowest
+    begins: list[float] = []
+    for c, h in enumerate(g):
+        if h is None:
+            continue
+        start = float("-inf")
+        while at:
+            last = at[-1]
+            start = ((h * h + c * c) - (g[last] * g[last] + last * last)) / (2.0 * (c - last))
+            if start > begins[-1]:
+                break
+            at.pop()
+            begins.pop()
+            start = float("-inf")
+        at.append(c)
+        begins.append(start)
+    if not at:
+        return [float("inf")] * len(g)
+    out, i = [], 0
+    for x in range(len(g)):
+        while i + 1 < len(at) and begins[i + 1] <= x:
+            i += 1
+        out.append(float(g[at[i]] * g[at[i]] + (x - at[i]) * (x - at[i])))
+    return out
+
+
 def distance_to(mask: DataFrame, dims: DataFrame, keys: Sequence[str] = REC, name: str = "dist") -> DataFrame:
     """Exact Euclidean distance of every pixel to the nearest set pixel; inf for an empty mask.
 
-    Separable: nearest set pixel along the column by two windows, then the best column for each pixel,
-    looking no further sideways than the distance already known.
+    Separable: nearest set pixel along the column by two windows, then one pass over each image row.
     """
     keys = list(keys)
     marks = mask.select(*keys, "y", "x", F.lit(True).alias("_set"))
@@ -197,17 +264,14 @@ def distance_to(mask: DataFrame, dims: DataFrame, keys: Sequence[str] = REC, nam
     up = F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     down = F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing))
     col_d = px.select(*_px(keys), F.least(F.col("y") - up, down - F.col("y")).alias("_g"))
-    rows = col_d.groupBy(*keys, *SIZE, "y").agg(
-        F.array_sort(F.collect_list(F.struct("x", "_g"))).alias("_row")  # one image row
-    )
-    cells = rows.select(*keys, *SIZE, "y", "_row", F.explode("_row").alias("_c")).select(
-        *keys, *SIZE, "y", F.col("_c.x").alias("x"), F.col("_c._g").alias("_g"), "_row"
-    )
-    reach = F.coalesce(F.col("_g"), F.col("width"))
-    lo = F.greatest(F.col("x") - reach, F.lit(0))
-    hi = F.least(F.col("x") + reach, F.col("width") - 1)
-    near = F.slice("_row", lo + 1, hi - lo + 1)
-    sq = F.array_min(
-        F.transform(near, lambda c: c["_g"] * c["_g"] + (c["x"] - F.col("x")) * (c["x"] - F.col("x")))
-    )
-    return cells.select(*_px(keys), F.coalesce(F.sqrt(sq.cast("double")), F.lit(float("inf"))).alias(name))
+    cells = F.array_sort(F.collect_list(F.struct("x", "_g")))  # one image row
+    rows = col_d.groupBy(*keys, *SIZE, "y").agg(F.transform(cells, lambda c: c["_g"].cast("int")).alias("_g"))
+
+    def envelope(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            squares = pa.array([_lower_envelope(g) for g in batch.column("_g").to_pylist()], pa.list_(pa.float64()))
+            yield batch.set_column(batch.schema.get_field_index("_g"), "_g", squares)
+
+    kind = T.StructType([*rows.schema.fields[:-1], T.StructField("_g", T.ArrayType(T.DoubleType()))])
+    near = rows.mapInArrow(envelope, kind).select(*keys, *SIZE, "y", F.posexplode("_g").alias("x", "_g"))
+    return near.select(*_px(keys), F.sqrt("_g").alias(name))

@@ -32,10 +32,21 @@ def test_separable_filter_shuffles_twice_and_prunes(spark, tmp_path):
     assert "unused" not in p
 
 
-def test_dilation_and_erosion_shuffle_once(spark, tmp_path):
+def test_dilation_and_erosion_move_each_pixel_once_and_then_runs(spark, tmp_path):
     m = frame(spark, tmp_path).filter("v > 0.5")
-    assert len(re.findall("Exchange hashpartitioning", plan(mo.dilate(m, "disk", 4)))) == 1
-    assert len(re.findall("Exchange hashpartitioning", plan(mo.erode(m, "disk", 4)))) == 1
+    for p in (plan(mo.dilate(m, "disk", 15)), plan(mo.erode(m, "disk", 15))):
+        # from below: the pixels go to their image row, the intervals of runs go to the rows they reach
+        assert len(re.findall("Exchange hashpartitioning", p)) == 2
+        assert "explode" not in p.split("Exchange hashpartitioning")[2]  # nothing is copied below the first
+
+
+def test_rows_of_a_dilation_follow_runs_not_pixels(spark):
+    full = spark.range(64 * 64).selectExpr("'a' AS rec_id", "94 AS height", "94 AS width", "CAST(15 + id div 64 AS INT) AS y", "CAST(15 + id % 64 AS INT) AS x")
+    assert mo.runs(full).count() == 64
+    spans = mo.spans_of("disk", 15)
+    assert mo._shifted(full, spans, ["rec_id"], F.col("lo") + F.col("_s.a"), F.col("hi") + F.col("_s.b")).count() == 64 * 31
+    corners = 2 * sum(64 + 2 * hi for dy, _, hi in spans if dy > 0)  # the rows above and below the square
+    assert mo.dilate(full, "disk", 15).count() == 64 * 94 + corners
 
 
 def test_gradient_shuffles_once_per_axis(spark, tmp_path):
@@ -108,3 +119,12 @@ def test_hot_recording_is_spread(spark):
     d = timebase.frame_deltas(hot.unionByName(hot.limit(100).withColumn("rec_id", F.lit("cold"))))
     assert "hashpartitioning(rec_id" in plan(d) and "_blk" in plan(d)
     assert d.agg(F.count("delta"), F.max("delta")).first()[:] == (200_098, 10_000)
+
+
+def test_distance_in_a_wide_row_is_linear(spark):
+    dims = spark.createDataFrame([("a", 2, 4096)], "rec_id string, height int, width int")
+    marks = spark.createDataFrame([("a", 2, 4096, 0, 0), ("a", 2, 4096, 1, 3000)], "rec_id string, height int, width int, y int, x int")
+    got = {(r.y, r.x): r.dist for r in mo.distance_to(marks, dims).collect()}
+    assert len(got) == 8192
+    for y, x in ((0, 0), (0, 1500), (1, 1499), (0, 4095), (1, 3000), (0, 3000)):
+        assert got[y, x] == min((y * y + x * x) ** 0.5, ((y - 1) ** 2 + (x - 3000) ** 2) ** 0.5)
