@@ -40,7 +40,7 @@ def sampled(rows, sweeps, baseline, normalization, rectification):
 
 def gap(a, b, keys, values):
     j = a.join(b.select(*keys, *[F.col(v).alias(f"_{v}") for v in values]), keys, "full")
-    return j.agg(F.count(F.lit(1)), F.count(values[0]), F.count(f"_{values[0]}"), *[F.max(F.abs(F.col(v) - F.col(f"_{v}"))) for v in values]).first()
+    return j.agg(F.count(F.lit(1)), F.count(values[0]), F.count(f"_{values[0]}"), *[F.max(F.abs(F.col(v) - F.col(f"_{v}")) / F.greatest(F.lit(1.0), F.abs(F.col(v)))) for v in values]).first()
 
 
 @pytest.mark.parametrize(
