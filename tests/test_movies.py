@@ -17,7 +17,7 @@ def movies(spark, frames=120):
     rows, sweeps = [], []
     for rec, h, w in (("a", 3, 4), ("b", 2, 5)):
         for f in range(frames):
-            rows += [(rec, h, w, f, f * 0.1, y, [r.choice([7, 900, 1000, 1013, 65535]) + x for x in range(w)]) for y in range(h)]
+            rows += [(rec, h, w, f, f * 0.1, y, [r.choice([700, 900, 1000, 1013, 1100]) + x for x in range(w)]) for y in range(h)]
         for i in range(8):
             end = 1.05 if rec == "a" else 1.5
             sweeps.append((rec, i, ("LR", "RL", "TB", "BT")[i // 2], i * 1.5, i * 1.5 + end))
