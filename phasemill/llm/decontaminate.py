@@ -239,18 +239,20 @@ def decontaminate(
     found = places.join(hits, ["segment", "slot"], "left")
     none = F.array().cast("array<string>")
     # repeated rows have equal results; one of them is enough for the join
-    by_key = found.groupBy(F.col("d.ids").alias("_did"), F.col("d.keys").alias("_dkey")).agg(
-        F.max("d.lengths").cast("bigint").alias("_n_words"), F.coalesce(F.max("n_hit"), F.lit(0)).alias("_n_hit"),
-        F.coalesce(F.first("items", True), none).alias("_items"),
-        F.coalesce(F.first("spans", True), F.array().cast(hits.schema["spans"].dataType)).alias("_spans"),
+    name = {c: unused(docs, f"_{c}") for c in ("did", "dkey", "n_words", "n_hit", "items", "spans")}
+    by_key = found.groupBy(F.col("d.ids").alias(name["did"]), F.col("d.keys").alias(name["dkey"])).agg(
+        F.max("d.lengths").cast("bigint").alias(name["n_words"]), F.coalesce(F.max("n_hit"), F.lit(0)).alias(name["n_hit"]),
+        F.coalesce(F.first("items", True), none).alias(name["items"]),
+        F.coalesce(F.first("spans", True), F.array().cast(hits.schema["spans"].dataType)).alias(name["spans"]),
     )
     gone = {"n_words", "n_hit", "matched_items", "spans", "contaminated"}
     kept = [c for c in docs.columns if c.lower() not in gone]
     key, own = unused(docs, "_doc_key"), unused(docs, "_doc_id")
     left = docs.select(*kept, F.col(doc_id).cast("bigint").alias(own), F.xxhash64(text).alias(key))
-    out = left.join(by_key, left[own].eqNullSafe(by_key["_did"]) & (left[key] == by_key["_dkey"]), "left")
+    out = left.join(by_key, left[own].eqNullSafe(by_key[name["did"]]) & (left[key] == by_key[name["dkey"]]), "left")
+    n_words, n_hit = F.col(name["n_words"]), F.col(name["n_hit"])
     return out.select(
-        *[left[c] for c in kept], F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"),
-        F.col("_items").alias("matched_items"), F.col("_spans").alias("spans"),
-        ((F.col("_n_hit") > 0) & (F.col("_n_hit") * 100 >= F.col("_n_words") * percent)).alias("contaminated"),
+        *[left[c] for c in kept], n_words.alias("n_words"), n_hit.alias("n_hit"),
+        F.col(name["items"]).alias("matched_items"), F.col(name["spans"]).alias("spans"),
+        ((n_hit > 0) & (n_hit * 100 >= n_words * percent)).alias("contaminated"),
     )

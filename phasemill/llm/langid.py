@@ -2,8 +2,9 @@
 
 A text is a normalised TF-IDF vector of hashed byte n-grams of its ASCII-lower-cased letters. Document
 frequencies come from all training rows; every language's centroids come from spherical k-means over a
-bounded sample of its distinct texts, one task per language. A text gets the language of the centroid of highest
-cosine and is rejected when it lies far below what texts of that language reach that were not learned from.
+bounded sample of its distinct texts, one task per language. Centroids stay in a written table, dealt into blocks
+of bounded size; a text meets one block after another and gets the language of the centroid of highest cosine. It
+is rejected when it lies far below what texts of that language reach that were not learned from.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasemill.llm.texts import as_bytes, cut, put_columns, with_fields
+from phasemill.llm.texts import as_bytes, cut, put_columns, unused, with_fields
 from phasemill.session import join_small
 
 DIMS = 4096
@@ -26,7 +27,7 @@ CENTROIDS = 4
 ROUNDS = 10
 LOW = 0.02  # share of a language's own texts that may lie below its reach
 SLACK = 0.55  # share of a language's reach below which a text is rejected
-MOST_LANGS = 1000  # bound of what the driver gathers: languages x centroids x DIMS
+BLOCK_CENTROIDS = 1000  # centroids that a task compares with at once, about; the driver holds one such block
 BLOCK = 256  # texts that are vectors at once
 UNDETERMINED = "und"
 
@@ -62,12 +63,23 @@ def vectors(texts: list[bytes], idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    langs: list[str]  # of each centroid
-    centroids: np.ndarray
-    reach: np.ndarray  # cosine that all but the share LOW of unseen texts of the centroid's language reach
+    """`centroids` is a written table (lang, reach, center, block). `reach` is the cosine that all but the share LOW
+    of unseen texts of the centroid's language reach; `blocks` counts the blocks."""
+
+    centroids: DataFrame
+    blocks: int
     idf: np.ndarray
 
 
+def _block(model: Model, number: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, centroids and reaches of one block, by language."""
+    got = model.centroids.filter(F.col("block") == number).select("lang", "reach", "center").toArrow()
+    langs, reach = got.column("lang").to_pylist(), got.column("reach").to_numpy()
+    center = got.column("center").combine_chunks().flatten().to_numpy().reshape(len(langs), -1)
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], *center[i, :8].tolist()))
+    return [langs[i] for i in order], np.ascontiguousarray(center[order], np.float32), reach[order]
+
+
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, df = 0, np.zeros(DIMS, np.int64)
     for batch in batches:
@@ -107,8 +119,12 @@ def _reach(x: np.ndarray, k: int) -> float:
 
 def fit(
     rows: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS, text: str = "text", lang: str = "lang",
+    block_centroids: int = BLOCK_CENTROIDS,
 ) -> Model | None:
-    """Learns from all rows that have a language and a letter; None if there are none."""
+    """Learns from all rows that have a language and a letter; None if there are none, as in an empty table.
+
+    Any number of languages is learned. Copies of a text count once. A text is one vector, whatever its length.
+    """
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     made = cut(rows.select("text").mapInArrow(_document_frequencies, "total bigint, df array<bigint>"))
     total = made.agg(F.sum("total")).first()[0] or 0
@@ -142,45 +158,68 @@ def fit(
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "reach": _reach(x, centroids), "center": list(centers)})
 
     got = sample.groupBy("lang").applyInPandas(group, "lang string, reach double, center array<float>")
-    got = got.limit(MOST_LANGS * centroids + 1).collect()
-    if len(got) > MOST_LANGS * centroids:
-        raise ValueError(f"more than {MOST_LANGS} languages: raise the bound or check the label column")
-    # counts has a row per language, as many as gave centroids at most
-    without = {r["lang"] for r in counts.select("lang").limit(MOST_LANGS + 1).collect()} - {r["lang"] for r in got}
+    got = cut(got)
+    without = [r["lang"] for r in counts.join(got, "lang", "left_anti").select("lang").limit(5).collect()]
     if without:
-        raise ValueError(f"no centroid for languages with letters: {sorted(without)[:5]}")
-    if not got:
+        raise ValueError(f"no centroid for languages with letters: {without}")
+    n, least = got.agg(F.count(F.lit(1)), F.min("reach")).first()
+    if not n:
         return None
-    got.sort(key=lambda r: (r["lang"], r["center"]))
-    reach = np.array([np.nan if r["reach"] is None else r["reach"] for r in got])
+    blocks = -(-n // block_centroids)
     # a language of a single text takes the smallest reach of the others
-    known = reach[~np.isnan(reach)]
-    reach[np.isnan(reach)] = known.min() if len(known) else 0.0
-    return Model([r["lang"] for r in got], np.array([r["center"] for r in got], np.float32), reach, idf)
+    dealt = got.withColumn("reach", F.coalesce("reach", F.lit(least), F.lit(0.0))).withColumn(
+        "block", F.pmod(F.xxhash64("lang"), F.lit(blocks))
+    )
+    return Model(cut(dealt), blocks, idf)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """`docs` with `lang_pred`, `score` (cosine, 0 to 1) and `rejected`.
 
     Null, empty and letterless texts are `und` with score 0 and rejected; so is every text if there is no
-    model. Ties go to the language that sorts first. Result columns replace input columns of the same name.
+    model. Ties go to the language that sorts first. Equal texts get equal results; an empty table gives none.
+    Result columns replace input columns of the same name, in either case. A model of several blocks is applied
+    block by block, each pass keeping the better centroid.
     """
+    near = unused(docs, "_reach")
+    kinds = {"lang_pred": "string", "score": "double", near: "double"}
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = as_bytes(batch.column(text))
-            lang, cos = [UNDETERMINED] * len(raw), np.zeros(len(raw))
-            out = np.ones(len(raw), bool)
-            told = [i for i, t in enumerate(raw) if model is not None and has_letter(t)]
-            for b in range(0, len(told), BLOCK):
-                at = told[b : b + BLOCK]
-                all_cos = vectors([raw[i] for i in at], model.idf) @ model.centroids.T
-                best = np.argmax(all_cos, axis=1)
-                value = all_cos[np.arange(len(at)), best]
-                cos[at] = np.clip(value, 0, 1)
-                out[at] = value < SLACK * model.reach[best]
-                for i, c in zip(at, best):
-                    lang[i] = model.langs[c]
-            yield put_columns(batch, lang_pred=pa.array(lang, pa.string()), score=pa.array(cos), rejected=pa.array(out))
-
-    return docs.mapInArrow(score, with_fields(docs, lang_pred="string", score="double", rejected="boolean"))
+            n = batch.num_rows
+            yield put_columns(batch, **{
+                "lang_pred": pa.array([UNDETERMINED] * n, pa.string()), "score": pa.array(np.full(n, -2.0)), near: pa.array(np.zeros(n)),
+            })
+
+    def compare(shared, idf: np.ndarray, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            langs, centroids, reaches = shared.value
+            for batch in batches if not first else begin(batches):
+                raw, lang = as_bytes(batch.column(text)), batch.column("lang_pred").to_pylist()
+                cos, reach = (batch.column(c).to_numpy().copy() for c in ("score", near))
+                told = [i for i, t in enumerate(raw) if has_letter(t)]
+                for b in range(0, len(told), BLOCK):
+                    at = told[b : b + BLOCK]
+                    all_cos = vectors([raw[i] for i in at], idf) @ centroids.T
+                    best = np.argmax(all_cos, axis=1)
+                    for i, c, value in zip(at, best, all_cos[np.arange(len(at)), best].tolist()):
+                        if value > cos[i] or value == cos[i] and langs[c] < lang[i]:
+                            lang[i], cos[i], reach[i] = langs[c], value, reaches[c]
+                yield put_columns(batch, **{"lang_pred": pa.array(lang, pa.string()), "score": pa.array(cos), near: pa.array(reach)})
+
+        return run
+
+    out = with_fields(docs, **kinds)
+    found = docs
+    if model is None:
+        found = docs.mapInArrow(begin, out)
+    else:
+        sc = docs.sparkSession.sparkContext
+        for number in range(model.blocks):  # the driver lets go of a block before it reads the next
+            found = found.mapInArrow(compare(sc.broadcast(_block(model, number)), model.idf, number == 0), out)
+    final = {
+        "lang_pred": F.col("lang_pred"), "score": F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)),
+        "rejected": (F.col("score") == -2.0) | (F.col("score") < SLACK * F.col(near)),
+    }
+    kept = [c for c in found.columns if c != near and c.lower() not in final]
+    return found.select(*kept, *[v.alias(c) for c, v in final.items()])

@@ -84,7 +84,7 @@ def plan_mix(
     repeated rows draw alike. A source of no words has target 0 and no copies of its documents are drawn.
     Result columns replace input columns of the same name.
     """
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    kept = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies", "taken")]
     sized = docs.select(*kept).withColumn("size", count_words(F.col(text).cast("binary")))
     plan = targets(sum_sources(sized.select(source, "size"), source, "size"), weights, share_percent, most)
     name = unused(sized, "_mix_source")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from phasemill.llm.texts import CACHED_WORDS, as_bytes, mix, plain_words, put_columns, with_fields, word_chunks
 
 BITS = 18
-SAMPLE = 20_000  # labelled rows a model is fitted on, at most
+SAMPLE = 20_000  # distinct labelled texts a model is fitted on, about, at most
 SHARDS = 4
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.005, 0.0
@@ -90,17 +90,21 @@ def sample_share(rows: DataFrame, most: int) -> float:
 
 def in_share(share: float, *keys: str) -> Column:
     """The same rows each time, chosen by a hash of the keys."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1_000_000)) < int(share * 1_000_000)
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*keys).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(int(share * (1 << 63)))
 
 
-def bounded_sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
-    return rows.filter(in_share(sample_share(rows, most), *keys))
+def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
+    """About `most` distinct rows at most, the same ones each time: copies of a row count once."""
+    share = sample_share(rows.select(F.xxhash64(*rows.columns).alias("o")).distinct(), most)
+    return rows.filter(in_share(share, *rows.columns)).distinct()
 
 
 def fit(rows: DataFrame, text: str = "text", label: str = "label", sample: int = SAMPLE, shards: int = SHARDS) -> Model:
     """Learns P(label = 1); rows without label are left out. Without rows the model is constant at 1/2."""
     known = rows.select(F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("double").alias("y")).filter("y IS NOT NULL")
-    dealt = bounded_sample(known, sample, "text").withColumn("shard", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(shards)))
+    dealt = bounded_sample(known, sample).withColumn("shard", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(shards)))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["text", "y"])

@@ -381,13 +381,14 @@ def near_duplicates(
         .agg(F.min("n_shingles").alias(name["n"]), F.min("root").alias(name["root"]))
     )
     kept = [c for c in docs.columns if c.lower() not in ("n_shingles", "component_id", "kept")]
-    left = docs.select(*kept, F.col(doc_id).cast("bigint").alias("_left_id"), F.xxhash64(text).alias("_left_key"))
+    own, key = unused(docs, "_left_id"), unused(docs, "_left_key")
+    left = docs.select(*kept, F.col(doc_id).cast("bigint").alias(own), F.xxhash64(text).alias(key))
     out = left.join(
         placed,
-        left["_left_id"].eqNullSafe(placed[name["id"]]) & (left["_left_key"] == placed[name["text_key"]]), "left",
+        left[own].eqNullSafe(placed[name["id"]]) & (left[key] == placed[name["text_key"]]), "left",
     )
-    component = F.when(F.col("_left_id").isNotNull(), F.coalesce(F.col(name["root"]), F.col("_left_id")))
+    component = F.when(F.col(own).isNotNull(), F.coalesce(F.col(name["root"]), F.col(own)))
     return out.select(
         *[left[c] for c in kept], F.col(name["n"]).alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("_left_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col(own) == component, F.lit(True)).alias("kept"),
     )

@@ -129,18 +129,18 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def put_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
-    """The batch with columns replaced or appended."""
+    """The batch with columns replaced, in whichever case they are written, or appended."""
     for name, values in columns.items():
-        at = batch.schema.get_field_index(name)
-        batch = batch.append_column(name, values) if at < 0 else batch.set_column(at, name, values)
+        at = next((i for i, c in enumerate(batch.schema.names) if c.lower() == name.lower()), None)
+        batch = batch.append_column(name, values) if at is None else batch.set_column(at, name, values)
     return batch
 
 
 def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
-    """The schema of `df` with columns of the named types replaced or appended."""
+    """The schema of `df` with columns of the named types replaced, in whichever case, or appended."""
     fields = [f for f in df.schema.fields]
     for name, kind in kinds.items():
         new = T.StructField(name, T._parse_datatype_string(kind))
-        at = next((i for i, f in enumerate(fields) if f.name == name), None)
+        at = next((i for i, f in enumerate(fields) if f.name.lower() == name.lower()), None)
         fields = [*fields, new] if at is None else [*fields[:at], new, *fields[at + 1 :]]
     return T.StructType(fields)

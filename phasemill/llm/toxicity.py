@@ -172,7 +172,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "label", sample: int =
     """Learns P(label = 1). Rows without label are left out; labels of one kind only give a constant model."""
     known = rows.select(F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("double").alias("y")).filter("y IS NOT NULL")
     part = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(8))
-    dealt = cut(bounded_sample(known, sample, "text").withColumn("part", part).withColumn("half", (part % 2).cast("tinyint")))
+    dealt = cut(bounded_sample(known, sample).withColumn("part", part).withColumn("half", (part % 2).cast("tinyint")))
     total, bad = dealt.agg(F.count(F.lit(1)), F.sum("y")).first()
     base = (bad or 0.0) / total if total else 0.0
     if not 0 < base < 1:

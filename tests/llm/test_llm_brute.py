@@ -134,8 +134,7 @@ def test_search_equals_scan(spark, monkeypatch, reach):
         )
 
     want = {(d, str(q)) for d, t in texts for q, p in queries if found(t.split(), p.split())}
-    # proximity starts from the rarest term of the segment, so it may ask more than "around any of the terms"
-    assert got == want if reach is None else got <= want and len(got) > len(want) // 2
+    assert got == want
 
 
 def test_ngram_cover_equals_scan():

@@ -10,7 +10,10 @@ from phasemill.llm import (
 )
 
 WORDS = "the of and river stone light winter garden letter music window market ocean bridge".split()
-CLASH = ["text_key", "keep", "_n", "_root", "_id", "_doc_key", "_copy", "_dense", "_raw", "segment", "rows"]
+CLASH = [
+    "text_key", "keep", "_n", "_root", "_id", "_doc_key", "_copy", "_dense", "_raw", "segment", "rows", "_items", "_n_hit", "_n_words",
+    "_spans", "_did", "_dkey", "_left_id", "_left_key", "_mix_source", "_reach",
+]
 
 
 def sentence(seed, n=40):
@@ -30,7 +33,7 @@ def rows():
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(rows(), "doc_id bigint, text string, lang string, source string").repartition(3)
-    for c in (*CLASH, "n_words", "kept", "score", "size", "target", "n_lines", "cover", "predicted"):
+    for c in (*CLASH, "N_Words", "Kept", "Score", "Size", "Target", "N_LINES", "Cover", "Predicted", "Lang_Pred"):
         df = df.withColumn(c, F.lit("mine"))
     return df
 
