@@ -38,9 +38,10 @@ def _(spark, d):
     )
 
 
-_TC = f"""WITH d AS (SELECT rec_id, frame_idx, hw_us - lag(hw_us) OVER w AS cam, sys_us - lag(sys_us) OVER w AS stim FROM v_stamps WINDOW w AS (PARTITION BY rec_id ORDER BY frame_idx)),
-    s AS (SELECT rec_id, avg(cam) / 1e6 AS tc, avg(stim) FILTER (WHERE frame_idx % 5 <> 0) / 1e6 AS ts, stddev_pop(cam) / 1e6 AS jc,
-          stddev_pop(stim) FILTER (WHERE frame_idx % 5 <> 0) / 1e6 AS js FROM d GROUP BY rec_id),
+_TC = f"""WITH d AS (SELECT rec_id, frame_idx, hw_us - lag(hw_us) OVER w AS cam, shown - lag(shown) OVER w AS stim
+      FROM (SELECT *, sys_us + frame_idx * 60000000 AS shown FROM v_stamps) WINDOW w AS (PARTITION BY rec_id ORDER BY frame_idx)),
+    s AS (SELECT rec_id, avg(cam) / 1e6 AS tc, avg(stim) / 1e6 AS ts, stddev_pop(cam) / 1e6 AS jc,
+          stddev_pop(stim) / 1e6 AS js FROM d GROUP BY rec_id),
     u AS (SELECT rec_id, count(*) AS n, stddev_pop(CAST(sys_us - hw_us AS DOUBLE)) AS unc FROM v_stamps GROUP BY rec_id),
     b AS (SELECT *, 1 / abs(1 / tc - 1 / ts) AS beat, sqrt(power(unc / 1e6, 2) + jc * jc + js * js) AS onset FROM s JOIN u USING (rec_id))
   SELECT rec_id, round(tc, 4) + 0.0 AS t_cam, round(ts, 4) + 0.0 AS t_stim, round(tc / ts, 6) + 0.0 AS rate_ratio, round((ts % tc) / tc, 6) + 0.0 AS phase_increment,
@@ -54,7 +55,9 @@ _TC = f"""WITH d AS (SELECT rec_id, frame_idx, hw_us - lag(hw_us) OVER w AS cam,
 def _(spark, d):
     s = views.stamps(spark, d)
     cam = tb.frame_deltas(s).select("rec_id", "delta")
-    stim = tb.frame_deltas(s, "sys_us").filter("frame_idx % 5 <> 0").select("rec_id", "delta")
+    # a display that falls behind by a minute a frame, so that both clocks differ
+    shown = s.withColumn("show_us", F.col("sys_us") + F.col("frame_idx") * 60_000_000)
+    stim = tb.frame_deltas(shown, "show_us").select("rec_id", "delta")
     n = s.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_trials"))
     unc = tm.clock_offset_uncertainty(s).withColumnRenamed("uncertainty_us", "clock_uncertainty_us")
     params = n.join(unc, "rec_id").withColumn("inter_trial_sec", F.lit(40000.0)).withColumn("session_sec", F.lit(400000.0))

@@ -93,12 +93,12 @@ def _patches(spark, d):
 
 @query(
     "adjacent_patches",
-    f"""WITH d AS (SELECT * FROM {sm.dilate("(SELECT rec_id, label, height, width, y, x FROM v_raster WHERE label > 0 AND det > 0.15)", cross(1), "rec_id, label")})
+    f"""WITH d AS (SELECT * FROM {sm.dilate("(SELECT rec_id, label, height, width, y, x FROM v_raster WHERE label > 0)", cross(1), "rec_id, label")})
         SELECT DISTINCT a.rec_id, a.label AS a, b.label AS b FROM d a JOIN d b ON a.rec_id = b.rec_id AND a.y = b.y AND a.x = b.x AND a.label < b.label""",
     "v_raster",
 )
 def _(spark, d):
-    return areas.adjacent_patches(_patches(spark, d).filter("det > 0.15"), 2)
+    return areas.adjacent_patches(_patches(spark, d), 2)
 
 
 _GRID = """(SELECT rec_id, min(alt) - 2.0 AS a0, min(azi) - 2.0 AS z0, CAST(ceil((max(alt) + 2.0 - (min(alt) - 2.0)) / 2.0) AS INTEGER) AS height,

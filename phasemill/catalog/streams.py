@@ -1,11 +1,14 @@
 """Streaming queries, drained to a table and checked against the SQL of their batch twins."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from phasemill.catalog.quality import _DM
 from phasemill.catalog.registry import query
 from phasemill.functions.columns import r6
 from phasemill.operators import timebase as tb
+from phasemill.session import cut, ensure_checkpoint_dir
 from phasemill.sources import views
 from phasemill.streaming import stateful as st
 from phasemill.streaming import windows as wn
@@ -71,6 +74,55 @@ def _(spark, d):
     return st.run_to_table(st.stream_sweeps(e), "append")
 
 
+def _in_three(spark, rows, order):
+    """A stream of the table in three files that arrive one after another, cut by ranges of `order`."""
+    top = rows.agg(F.max(order)).first()[0] or 0
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    for part in range(3):
+        third = F.least(F.floor(F.col(order) * 3 / (top + 1)), F.lit(2)) == part
+        rows.filter(third).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query(
+    "stream_sessions",
+    """WITH e AS (SELECT user_id AS rec_id, event_type AS state, epoch_us(ts) AS t FROM events),
+       n AS (SELECT *, CASE WHEN t - lag(t) OVER w < 86400000000 THEN 0 ELSE 1 END AS c FROM e WINDOW w AS (PARTITION BY rec_id, state ORDER BY t)),
+       r AS (SELECT *, sum(c) OVER (PARTITION BY rec_id, state ORDER BY t) AS run FROM n)
+       SELECT rec_id, state, min(t) AS start_us, max(t) AS end_us, count(*) AS n_frames FROM r GROUP BY rec_id, state, run
+       HAVING max(t) // 1000 + 86400000 <= (SELECT max(t) // 1000 FROM e) - 3600000""",
+)
+def _(spark, d):
+    # as a stream: sessions that the watermark, an hour behind the newest event, has closed
+    e = views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.select(F.col("user_id").alias("rec_id"), F.col("event_type").alias("state"), "ts", F.unix_micros("ts").alias("us"))
+    day = cut(e.withColumn("day", F.floor((F.col("us") - e.agg(F.min("us")).first()[0]) / 86_400_000_000)))
+    return st.run_to_table(wn.session_windows(_in_three(spark, day, "day"), "24 hours", "1 hour"), "append")
+
+
+@query(
+    "stream_cycles",
+    """WITH w AS (SELECT rec_id, direction, CAST(row_number() OVER (PARTITION BY rec_id, direction ORDER BY sweep_idx) - 1 AS INTEGER) AS cycle, sweep_idx * 16 AS onset, start_sec
+         FROM (SELECT *, CASE label WHEN 'LR' THEN 'azi_fwd' WHEN 'RL' THEN 'azi_rev' WHEN 'TB' THEN 'alt_fwd' ELSE 'alt_rev' END AS direction FROM v_movie_sweeps)
+         WHERE start_sec + 1.15 <= 25.5)
+       SELECT m.rec_id, w.direction, w.cycle, m.y, m.x, count(*) AS n, round(sum(p * cos(-2*pi()*(frame_idx - onset)/12)), 6) + 0.0 AS re, round(sum(p * sin(-2*pi()*(frame_idx - onset)/12)), 6) + 0.0 AS im
+       FROM v_movie m JOIN w ON m.rec_id = w.rec_id AND m.frame_idx >= w.onset AND m.frame_idx < w.onset + 12
+       WHERE start_sec + 1.2 < (SELECT max(frame_idx) * 0.1 FROM v_movie) - 2 GROUP BY m.rec_id, w.direction, w.cycle, m.y, m.x""",
+    "v_movie v_movie_sweeps",
+)
+def _(spark, d):
+    from phasemill.operators import project
+
+    movie = views.stored_movie(spark, d)
+    w = st.cycle_ends(tb.number_cycles(tb.cycle_windows(views.movie_sweeps(spark, d), project.frame_headers(movie))))
+    day = 1_700_000_000  # the movie's clock starts at zero; event times do at some day
+    w = w.withColumn("end_us", F.col("end_us") + day * 1_000_000)
+    rows = movie.withColumn("ts", F.timestamp_micros(F.col("frame_idx") * 100_000 + day * 1_000_000))
+    t = st.run_to_table(st.stream_cycles(_in_three(spark, rows, "frame_idx"), w, lateness_ms=2_000), "append", by=["late"])
+    px = t.filter("NOT late").select("rec_id", "direction", "cycle", "y", "n", F.posexplode(F.arrays_zip("re", "im")).alias("x", "c"))
+    return px.select("rec_id", "direction", "cycle", "y", "x", "n", r6("c.re").alias("re"), r6("c.im").alias("im"))
+
+
 @query(
     "session_windows",
     """WITH e AS (SELECT user_id AS rec_id, event_type AS state, epoch_us(ts) AS t FROM events),
@@ -79,7 +131,7 @@ def _(spark, d):
        SELECT rec_id, state, min(t) AS start_us, max(t) AS end_us, count(*) AS n_frames FROM r GROUP BY rec_id, state, run""",
 )
 def _(spark, d):
-    # the batch form; as a stream the same function runs in append mode
+    # the batch form; `stream_sessions` runs it as a stream
     e = views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     e = e.withColumnRenamed("user_id", "rec_id").withColumnRenamed("event_type", "state")
     return wn.session_windows(e, "24 hours")

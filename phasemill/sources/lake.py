@@ -126,9 +126,13 @@ def write_movie(rows: DataFrame, table: str, buckets: int) -> DataFrame:
 
 
 def write_maps(df: DataFrame, path: str) -> None:
-    """One folder per recording; writing a recording again replaces it and nothing else."""
+    """One folder per recording; writing a recording again replaces it and nothing else.
+
+    Rows are dealt by ranges: a recording is written by one task, or by neighbouring ones if it is large, not
+    by all of them.
+    """
     (
-        df.repartition("rec_id", "y").write.mode("overwrite")
+        df.repartitionByRange("rec_id", "y").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("rec_id").parquet(path)
     )
 

@@ -9,12 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from phasemill.operators import project, timebase
 from phasemill.operators.telemetry import CATASTROPHIC_FRACTION, CATASTROPHIC_GAP
-from phasemill.session import ensure_checkpoint_dir
+from phasemill.session import ensure_checkpoint_dir, join_small
 
 
 # ---- frame loss ---------------------------------------------------------------------------------------
@@ -152,13 +153,87 @@ def stream_bin1(
     return g.withColumn("start_us", F.unix_micros("_w.start")).drop("_w")
 
 
+def cycle_ends(windows: DataFrame) -> DataFrame:
+    """Cycle windows with `end_us`, the time behind their last frame, on the clock of the frames."""
+    return windows.withColumn("end_us", F.round((F.col("start_sec") + F.col("chunk") * F.col("frame_dur")) * 1e6).cast("bigint"))
+
+
+CYCLE_ROW = (
+    "late boolean, direction string, cycle int, y int, height int, width int, chunk bigint, end_us bigint, n bigint, "
+    "frame_idx bigint, re array<double>, im array<double>"
+)
+
+
+def stream_cycles(
+    rows: DataFrame, windows: DataFrame, value: str = "pixels", lateness_ms: int = 600_000, side_ms: int = 86_400_000
+) -> DataFrame:
+    """The first Fourier bin of every cycle, given out whole and once, when frames `lateness_ms` behind its end were seen.
+
+    `rows` is a stream of image rows (rec_id, ts, frame_idx, height, width, y, value array); `windows` a static table
+    of `cycle_ends`. State is one image row of sums per open cycle; it is dropped when the cycle is given out, with
+    `n` image rows summed of the `chunk` it should have (fewer where frames were lost). Frames that arrive out of
+    order count as long as their cycle is open. A frame of a cycle that was given out changes nothing any more:
+    it comes out as a row of its own with `late` set and its `frame_idx`, for a side table (`run_to_table(by=["late"])`).
+    Frames that lag by `side_ms` more are beyond the watermark: Spark drops and counts them (`dropped_by_watermark`).
+    Each frame counts as often as it is delivered.
+    """
+    src = rows.withWatermark("ts", f"{lateness_ms + side_ms} milliseconds")
+    spans = windows.select("rec_id", "direction", "cycle", "onset_idx", "chunk")
+    ends = windows.select("rec_id", "direction", "cycle", "end_us")
+    s = join_small(timebase.attach_cycle(src, spans), ends, ["rec_id", "direction", "cycle"])
+    key = ["rec_id", "direction", "cycle", "y", "end_us"]
+    s = s.select(*key, "ts", "frame_idx", "k", "chunk", "height", "width", F.col(value).cast("array<double>").alias("v"))
+
+    def fold(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rec, direction, cycle, y, end_us = own
+        # the watermark lags by both times, so a cycle is over `side_ms` before the watermark reaches its end
+        end_ms, mark = -(-int(end_us) // 1000) - side_ms, state.getCurrentWatermarkMs()
+        head = {"rec_id": rec, "direction": direction, "cycle": cycle, "y": y, "end_us": end_us}
+
+        def whole() -> pd.DataFrame:
+            re, im, n, height, width, chunk = state.get
+            state.remove()
+            return pd.DataFrame(
+                [{**head, "late": False, "height": height, "width": width, "chunk": chunk, "n": n, "re": re, "im": im}]
+            ).reindex(columns=names)
+
+        if state.hasTimedOut:
+            yield whole()
+            return
+        if end_ms < mark:  # given out before, or now, in front of the late rows
+            if state.exists:
+                yield whole()
+            for pdf in batches:
+                late = pdf[["height", "width", "chunk", "frame_idx"]].assign(**head, late=True, n=1, re=None, im=None)
+                yield late.reindex(columns=names)
+            return
+        re, im, n, height, width, chunk = state.get if state.exists else (None, None, 0, 0, 0, 0)
+        for pdf in batches:
+            v = np.stack(pdf["v"].to_numpy()).astype(float)
+            height, width, chunk = (int(pdf[c].iloc[0]) for c in ("height", "width", "chunk"))
+            a = -2 * np.pi * pdf["k"].to_numpy() / chunk
+            sums = np.cos(a) @ v, np.sin(a) @ v
+            re, im = sums if re is None else (np.asarray(re) + sums[0], np.asarray(im) + sums[1])
+            n += len(pdf)
+        state.update((re.tolist(), im.tolist(), n, height, width, chunk))
+        state.setTimeoutTimestamp(max(end_ms, mark + 1))
+
+    out = f"rec_id {rows.schema['rec_id'].dataType.simpleString()}, {CYCLE_ROW}"
+    names = [part.split()[0] for part in out.split(", ")]
+    return s.groupBy(*key).applyInPandasWithState(
+        fold, out, "re array<double>, im array<double>, n bigint, height int, width int, chunk bigint", "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 # ---- running ---------------------------------------------------------------------------------------------
 
 
-def run_to_table(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str, keys: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """Drain what is available into a table of the checkpoint folder and read it back.
 
-    In update mode the newest row per key is returned. Rows go straight from the tasks to files.
+    In update mode the newest row per key is returned. Rows go straight from the tasks to files, those of each value
+    of `by` to folders of their own, so that a side table is read without the rest.
     """
     spark = stream.sparkSession
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -166,14 +241,16 @@ def run_to_table(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> Data
 
     def write(batch: DataFrame, number: int) -> None:
         # a repeated batch replaces its own folder, so a restart does not double rows
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch_no={number}")
+        placed = batch.withColumn("_batch", F.lit(number)).write.mode("overwrite")
+        (placed.partitionBy(*by) if by else placed).parquet(f"{table}/batch_no={number}")
 
     q = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True).foreachBatch(write).start()
     )
     q.awaitTermination()
-    out = spark.read.parquet(table).drop("batch_no")
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
+    out = spark.read.schema(schema).parquet(table).drop("batch_no")
     if mode == "update":
         cols = [c for c in out.columns if c not in (*keys, "_batch")]
         newest = F.max_by(F.struct(*cols), "_batch").alias("_r")

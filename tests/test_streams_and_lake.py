@@ -74,6 +74,60 @@ def test_session_stream_emits_closed_sessions(spark, feed):
     assert len(want - got) <= 4  # the sessions still open at the end
 
 
+def movie_feed(spark, folder, order, frames=200, chunk=12):
+    """Image rows of two recordings in one file per list of frames; a last frame an hour later ends every cycle."""
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    rng = random.Random(5)
+    of = {(r, f, y): [rng.randrange(100) for _ in range(3)] for r in ("a", "b") for f in range(frames) for y in range(2)}
+    schema = "rec_id string, ts timestamp, frame_idx bigint, height int, width int, y int, pixels array<int>"
+    row = lambda r, f, y: (r, start + dt.timedelta(seconds=f * 0.1), f, 2, 3, y, of.get((r, f, y), [0, 0, 0]))
+    for part in [*order, [36_000]]:
+        df = spark.createDataFrame([row(r, f, y) for f in part for r in ("a", "b") for y in range(2)], schema)
+        df.coalesce(1).write.mode("append").parquet(folder)
+    zero = int(start.replace(tzinfo=dt.timezone.utc).timestamp())
+    cycles = [
+        (r, d, c, onset, chunk, zero + onset * 0.1, 0.1)
+        for r in ("a", "b") for d, at in (("azi_fwd", 0), ("alt_fwd", 100)) for c, onset in enumerate(range(at, at + 100 - chunk, 16))
+    ]
+    w = spark.createDataFrame(cycles, "rec_id string, direction string, cycle int, onset_idx bigint, chunk bigint, start_sec double, frame_dur double")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream, w, of, cycles
+
+
+def test_stream_cycles_are_whole_once_and_late_rows_go_aside(spark, tmp_path):
+    import cmath
+
+    # frames 5 and 60 are held back: 60 comes while its cycle is open, 5 long after its cycle was given out
+    order = [[f for f in range(70) if f not in (5, 60)], [60, *range(70, 130)], [5, *range(130, 200)]]
+    stream, w, of, cycles = movie_feed(spark, str(tmp_path / "feed"), order)
+    t = stateful.run_to_table(stateful.stream_cycles(stream, stateful.cycle_ends(w), lateness_ms=2_000, side_ms=1_000_000), "append", by=["late"])
+    late = t.filter("late").collect()
+    assert {(r.rec_id, r.direction, r.cycle, r.frame_idx, r.y) for r in late} == {(r, "azi_fwd", 0, 5, y) for r in "ab" for y in (0, 1)}
+    got = {(r.rec_id, r.direction, r.cycle, r.y): r for r in t.filter("NOT late").collect()}
+    assert len(got) == t.filter("NOT late").count() == 2 * len(cycles)
+    for rec, direction, cycle, onset, chunk, *_ in cycles:
+        for y in range(2):
+            r = got[(rec, direction, cycle, y)]
+            told = [f for f in range(onset, onset + chunk) if f != 5]
+            assert (r.n, r.chunk) == (len(told), chunk)
+            for x in range(3):
+                want = sum(of[(rec, f, y)][x] * cmath.exp(-2j * cmath.pi * (f - onset) / chunk) for f in told)
+                assert r.re[x] == pytest.approx(want.real, abs=1e-6) and r.im[x] == pytest.approx(want.imag, abs=1e-6)
+
+
+def test_stream_cycles_keep_no_state_behind_them(spark, tmp_path):
+    stream, w, *_ = movie_feed(spark, str(tmp_path / "feed"), [range(0, 100), range(100, 200)])
+    q = (
+        stateful.stream_cycles(stream, stateful.cycle_ends(w), lateness_ms=2_000, side_ms=1_000_000).writeStream.format("memory").queryName("cycles_done")
+        .outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "at")).start()
+    )
+    q.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(held) > 0 and held[-1] == 0
+
+
 def test_late_rows_and_loss(spark):
     rows = [("a", 0, 100), ("a", 1, 300), ("a", 2, 150), ("b", 3, 40), ("a", 4, 301), ("a", 5, 290)]
     df = spark.createDataFrame(rows, "rec_id string, n bigint, t bigint")
