@@ -269,7 +269,7 @@ def _(spark, d):
     return rnd(mo.distance_to(r.filter("v > 0.15"), dims), PX, ["dist"])
 
 
-@query("skeletonize")
+@query("skeletonize", f"SELECT rec_id, y, x FROM {sm.thin(sm.dilate('v_mask', cross(1)))}", "v_mask")
 def _(spark, d):
     return mo.skeletonize(mo.dilate(_m(spark, d), "cross", 1)).select(*PX)
 

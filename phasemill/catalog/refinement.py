@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from phasemill.catalog import sqlmask as sm
 from phasemill.catalog.registry import query
-from phasemill.catalog.regions import smooth
+from phasemill.catalog.regions import SMOOTH, smooth
 from phasemill.functions.columns import r6
 from phasemill.operators import areas, refine, stencil
 from phasemill.operators.stencil import box3, cross
@@ -94,28 +94,28 @@ def _(spark, d):
     return refine.basin_assign(r, "v", "m").select(*PX, "basin")
 
 
-_MINIMA_4 = f"""s AS MATERIALIZED {_STEP}, zone AS MATERIALIZED (SELECT * FROM {sm.roots("s", 4, "rec_id", "e")}),
+def _divides(surface: str) -> str:
+    """The SQL twin of `basin_lines` over a surface (rec_id, height, width, y, x, e)."""
+    minima = f"""s AS MATERIALIZED {surface}, zone AS MATERIALIZED (SELECT * FROM {sm.roots("s", 4, "rec_id", "e")}),
         low AS (SELECT rec_id, y, x, min(e) AS low FROM ({sm.scatter("s", cross(1), "p.e")}) GROUP BY ALL),
         mins AS MATERIALIZED (SELECT rec_id, height, width, y, x FROM
           (SELECT zone.*, bool_or(low < e) OVER (PARTITION BY zone.rec_id, root) AS down FROM zone JOIN low USING (rec_id, y, x)) WHERE NOT down)"""
-
-
-@query(
-    "basin_divides",
-    f"""WITH RECURSIVE {_MINIMA_4}, {_basins(f'SELECT s.rec_id, s.y, s.x, s.e AS v, m.label AS seed FROM s LEFT JOIN {sm.labels("mins", 4, "col")} m USING (rec_id, y, x)', 4)},
+    seeded = f"SELECT s.rec_id, s.y, s.x, s.e AS v, m.label AS seed FROM s LEFT JOIN {sm.labels('mins', 4, 'col')} m USING (rec_id, y, x)"
+    return f"""WITH RECURSIVE {minima}, {_basins(seeded, 4)},
        d AS MATERIALIZED (SELECT t.*, b.basin FROM t JOIN b USING (rec_id, y, x)),
        line AS (SELECT q.rec_id, q.y, q.x FROM d q JOIN d o ON o.rec_id = q.rec_id AND abs(o.y - q.y) + abs(o.x - q.x) = 1
          WHERE (o.l, o.h, o.y, o.x) < (q.l, q.h, q.y, q.x) GROUP BY ALL HAVING min(o.basin) <> max(o.basin))
-       SELECT rec_id, y, x, CASE WHEN line.rec_id IS NULL THEN CAST(basin AS BIGINT) ELSE 0 END AS basin FROM d LEFT JOIN line USING (rec_id, y, x)""",
-    "v_raster",
-)
+       SELECT rec_id, y, x, CASE WHEN line.rec_id IS NULL THEN CAST(basin AS BIGINT) ELSE 0 END AS basin FROM d LEFT JOIN line USING (rec_id, y, x)"""
+
+
+@query("basin_divides", _divides(_STEP), "v_raster")
 def _(spark, d):
     return refine.basin_lines(_stepped(spark, d), "e").select(*PX, F.col("basin").cast("bigint").alias("basin"))
 
 
-@query("basin_lines")
+@query("basin_lines", _divides(f"(SELECT rec_id, height, width, y, x, v AS e FROM ({SMOOTH}))"), "v_raster")
 def _(spark, d):
-    return refine.basin_lines(smooth(spark, d), "vfs_smooth").select(*PX, "basin")
+    return refine.basin_lines(smooth(spark, d), "vfs_smooth").select(*PX, F.col("basin").cast("bigint").alias("basin"))
 
 
 @query(
@@ -146,14 +146,57 @@ def _(spark, d):
     return refine.impose_minima(r, "v", "at").select(*PX, F.col("level"))
 
 
-@query("coverage")
+_PATCH = "rec_id, patch"
+
+
+def _fill_box(src: str) -> str:
+    """Holes filled inside the box around the pixels; outside it nothing blocks the way to the frame's edge."""
+    box = f"SELECT {_PATCH}, height, width, min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM {src} GROUP BY ALL"
+    rows = f"SELECT *, CAST(unnest(range(y0, y1 + 1)) AS INTEGER) AS y FROM ({box})"
+    cells = f"SELECT *, CAST(unnest(range(x0, x1 + 1)) AS INTEGER) AS x FROM ({rows})"
+    return (
+        f"(WITH RECURSIVE cell AS MATERIALIZED (SELECT c.* FROM ({cells}) c ANTI JOIN {src} m ON m.rec_id = c.rec_id AND m.patch = c.patch AND m.y = c.y AND m.x = c.x), "
+        f"air AS (SELECT {_PATCH}, y, x FROM cell WHERE y IN (y0, y1) OR x IN (x0, x1) "
+        "UNION SELECT c.rec_id, c.patch, c.y, c.x FROM air r JOIN cell c ON c.rec_id = r.rec_id AND c.patch = r.patch AND abs(c.y - r.y) + abs(c.x - r.x) = 1) "
+        f"SELECT {_PATCH}, height, width, y, x FROM {src} UNION ALL SELECT c.rec_id, c.patch, c.height, c.width, c.y, c.x FROM cell c "
+        "ANTI JOIN air r ON c.rec_id = r.rec_id AND c.patch = r.patch AND c.y = r.y AND c.x = r.x)"
+    )
+
+
+@query(
+    "coverage",
+    f"""WITH p AS MATERIALIZED (SELECT *, avg(v) OVER (PARTITION BY rec_id, label) AS mj FROM v_raster WHERE label > 0),
+        k AS MATERIALIZED (SELECT rec_id, label AS patch, abs(v) / 4 AS share, CAST(round(alt) AS INTEGER) + 90 AS y, CAST(round(azi) AS INTEGER) + 90 AS x
+          FROM p WHERE sign(v) = sign(mj) AND v <> 0),
+        c AS MATERIALIZED (SELECT DISTINCT rec_id, patch, 181 AS height, 181 AS width, y, x FROM k WHERE y BETWEEN 0 AND 180 AND x BETWEEN 0 AND 180),
+        a AS MATERIALIZED (SELECT * FROM {_fill_box("c")}), b AS MATERIALIZED (SELECT * FROM {sm.erode(sm.dilate("a", cross(1), _PATCH), cross(1), False, _PATCH)}),
+        f AS MATERIALIZED (SELECT * FROM {_fill_box("b")}), n AS (SELECT rec_id, patch, count(*) AS n FROM f GROUP BY ALL),
+        s AS (SELECT rec_id, patch, sum(share) AS share, count(*) FILTER (WHERE NOT (y BETWEEN 0 AND 180 AND x BETWEEN 0 AND 180)) AS n_outside FROM k GROUP BY ALL)
+        SELECT d.rec_id, d.patch, round(coalesce(share, 0), 6) + 0.0 AS jac_coverage, CAST(coalesce(n, 0) AS DOUBLE) AS actual_coverage, coalesce(n_outside, 0) AS n_outside
+        FROM (SELECT DISTINCT rec_id, label AS patch FROM p) d LEFT JOIN s USING (rec_id, patch) LEFT JOIN n USING (rec_id, patch)""",
+    "v_raster",
+)
 def _(spark, d):
     p = views.raster(spark, d).filter("label > 0").withColumnRenamed("label", "patch")
     s, _ = refine.coverage(p, "azi", "alt", "v", 2.0)
-    return s.select("rec_id", "patch", r6("jac_coverage").alias("jac_coverage"), "actual_coverage")
+    return s.select("rec_id", "patch", r6("jac_coverage").alias("jac_coverage"), "actual_coverage", "n_outside")
 
 
-@query("greedy_pairs")
+@query(
+    "greedy_pairs",
+    """WITH RECURSIVE e AS (SELECT l_linenumber AS rec_id, least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, min(row(l_extendedprice, -l_quantity)) AS m
+         FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY ALL),
+       t(rec_id, a, b, n, won) AS (SELECT rec_id, a, b, row_number() OVER (PARTITION BY rec_id ORDER BY m, a, b), false FROM e
+         UNION ALL
+         (WITH p AS (SELECT rec_id, n, unnest([a, b]) AS p FROM t WHERE NOT won),
+            low AS (SELECT rec_id, p, min(n) AS n FROM p GROUP BY ALL),
+            f AS (SELECT rec_id, n FROM low GROUP BY rec_id, n HAVING count(*) = 2),
+            used AS (SELECT p.rec_id, p.p FROM p JOIN f USING (rec_id, n))
+          SELECT t.rec_id, a, b, t.n, f.n IS NOT NULL FROM t LEFT JOIN f ON f.rec_id = t.rec_id AND f.n = t.n
+            LEFT JOIN used ua ON ua.rec_id = t.rec_id AND ua.p = a LEFT JOIN used ub ON ub.rec_id = t.rec_id AND ub.p = b
+          WHERE NOT won AND (f.n IS NOT NULL OR (ua.p IS NULL AND ub.p IS NULL))))
+       SELECT rec_id, a, b FROM t WHERE won""",
+)
 def _(spark, d):
     li = views.table(spark, d, "lineitem").filter("l_partkey <> l_suppkey")
     c = li.select(

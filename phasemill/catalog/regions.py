@@ -226,7 +226,25 @@ def _(spark, d):
     return areas.threshold_sweep(r, r.filter("det > 0.02"), "v", 8, 1).drop("threshold")
 
 
-@query("extract_patches")
+def patches_sql(least: int, dilation: int) -> str:
+    """CTEs `s` (smoothed surface) and `patch` (rec_id, height, width, y, x, patch, sign) of `extract_patches`."""
+    c = cross(1)
+    kept = f"SELECT l.* FROM {sm.labels('split')} l SEMI JOIN (SELECT DISTINCT m.rec_id, m.label FROM {sm.labels('split')} m SEMI JOIN raw USING (rec_id, y, x)) USING (rec_id, label)"
+    return f"""s AS MATERIALIZED ({SMOOTH}), g AS MATERIALIZED (SELECT rec_id, height, width, y, x FROM s WHERE abs(v) > 0.02),
+        one AS MATERIALIZED (SELECT * FROM {sm.roots("g")}),
+        raw AS MATERIALIZED (SELECT DISTINCT rec_id, height, width, y, x FROM {sm.erode(sm.dilate("one", c, "rec_id, root"), c, False, "rec_id, root")}),
+        total AS MATERIALIZED (SELECT * FROM {sm.dilate("raw", cross(dilation))}),
+        halo AS MATERIALIZED (SELECT * FROM total ANTI JOIN raw USING (rec_id, y, x)), line AS MATERIALIZED (SELECT * FROM {sm.thin("halo")}),
+        split AS MATERIALIZED (SELECT * FROM total ANTI JOIN line USING (rec_id, y, x)),
+        kept AS MATERIALIZED (SELECT rec_id, height, width, y, x FROM ({kept})),
+        area AS MATERIALIZED (SELECT * FROM (SELECT l.rec_id, l.height, l.width, l.y, l.x, label AS patch, count(*) OVER w AS n,
+          CASE WHEN sum(v) OVER w >= 0 THEN 1 ELSE -1 END AS sign FROM {sm.labels('kept')} l JOIN s USING (rec_id, y, x) WINDOW w AS (PARTITION BY rec_id, label)) WHERE n >= {least}),
+        wide AS MATERIALIZED (SELECT * FROM {sm.dilate("(SELECT rec_id, patch, height, width, y, x FROM area)", c, "rec_id, patch")}),
+        patch AS MATERIALIZED (SELECT rec_id, height, width, y, x, patch, sign FROM area SEMI JOIN
+          (SELECT a.rec_id, a.patch FROM wide a JOIN wide b ON a.rec_id = b.rec_id AND a.y = b.y AND a.x = b.x AND a.patch <> b.patch) USING (rec_id, patch))"""
+
+
+@query("extract_patches", f"WITH {patches_sql(4, 2)} SELECT rec_id, y, x, patch, sign FROM patch", "v_raster")
 def _(spark, d):
     s = smooth(spark, d)
     mask = s.filter("abs(vfs_smooth) > 0.02").select("rec_id", "height", "width", "y", "x")

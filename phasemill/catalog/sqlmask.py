@@ -104,3 +104,24 @@ def fill(src: str, keys: str = "rec_id") -> str:
         f"(SELECT {cols}, height, width, y, x FROM {src} UNION ALL SELECT {cols}, height, width, y, x FROM "
         f"(SELECT *, bool_or(y = 0 OR x = 0 OR y = height - 1 OR x = width - 1) OVER (PARTITION BY {cols}, root) AS e FROM {r}) WHERE NOT e)"
     )
+
+
+def thin(src: str, keys: str = "rec_id") -> str:
+    """Zhang-Suen sub-passes, one per step of the recursion, until a key has lost nothing in two of them."""
+    cols = ", ".join(c.strip() for c in keys.split(","))
+    ring = {"n": (-1, 0), "ne": (-1, 1), "e": (0, 1), "se": (1, 1), "s": (1, 0), "sw": (1, -1), "w": (0, -1), "nw": (-1, -1)}
+    seen = ", ".join(
+        f"CAST(count(*) FILTER (WHERE q.y = p.y + ({dy}) AND q.x = p.x + ({dx})) AS INTEGER) AS {c}" for c, (dy, dx) in ring.items()
+    )
+    names = list(ring)
+    steps = " + ".join(f"(1 - {a}) * {b}" for a, b in zip(names, names[1:] + names[:1]))
+    return (
+        f"(WITH RECURSIVE t AS (SELECT DISTINCT {cols}, height, width, y, x, 0 AS k, 0 AS still FROM {src} "
+        f"UNION ALL SELECT {cols}, height, width, y, x, k + 1, CASE WHEN lost THEN 0 ELSE still + 1 END FROM "
+        f"(SELECT *, bool_or(gone) OVER (PARTITION BY {cols}) AS lost FROM "
+        f"(SELECT *, {' + '.join(names)} BETWEEN 2 AND 6 AND {steps} = 1 AND "
+        "(CASE WHEN k % 2 = 0 THEN n * e * s + e * s * w ELSE n * e * w + n * s * w END) = 0 AS gone FROM "
+        f"(SELECT {_k(keys, 'p')}, p.height, p.width, p.y, p.x, p.k, p.still, {seen} FROM t p JOIN t q ON {_on(keys, 'p', 'q')} "
+        "AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 WHERE p.still < 2 GROUP BY ALL))) WHERE NOT gone) "
+        f"SELECT {cols}, height, width, y, x FROM t WHERE still = 2)"
+    )

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phasemill.functions.columns import ecc_alt, finite
 from phasemill.operators import areas, maps, quantiles, stats, stencil, tileflood
@@ -179,50 +181,86 @@ def coverage(
 ) -> tuple[DataFrame, DataFrame]:
     """(statistics, cells) of the visual field each patch covers on a 1° grid.
 
-    Only pixels whose Jacobian has the sign of the patch's mean Jacobian count.
+    Only pixels whose Jacobian has the sign of the patch's mean Jacobian count. Those that lie beyond ±90°, or have no
+    position, fill no cell: `n_outside` counts them.
     """
     keys = list(keys)
     scale = px_per_mm if isinstance(px_per_mm, Column) else F.lit(float(px_per_mm))
     p = stencil.frame_stats(df, {"_mj": F.avg(jac)}, keys)
     kept = p.filter((F.signum(jac) == F.signum("_mj")) & (F.col(jac) != 0))
+    last = SPHERE_MIN + SPHERE_CELLS - 1
+    inside = F.coalesce(F.round(alt).between(SPHERE_MIN, last) & F.round(azi).between(SPHERE_MIN, last), F.lit(False))
     s = kept.groupBy(*keys).agg(
-        F.sum(F.abs(jac) / (scale * scale)).alias("jac_coverage"), F.count(F.lit(1)).alias("_kept")
+        F.sum(F.abs(jac) / (scale * scale)).alias("jac_coverage"), F.count(F.lit(1)).alias("_kept"),
+        F.count_if(~inside).alias("_outside"),
     )
-    cell = kept.select(
+    cell = kept.filter(inside).select(
         *keys, F.lit(SPHERE_CELLS).alias("height"), F.lit(SPHERE_CELLS).alias("width"),
         (F.round(alt).cast("int") - SPHERE_MIN).alias("y"), (F.round(azi).cast("int") - SPHERE_MIN).alias("x"),
-    ).filter("y >= 0 AND x >= 0 AND y < height AND x < width").distinct()
+    ).distinct()
     cells = cut(mo.fill_holes(cut(mo.closing(mo.fill_holes(cut(cell), keys), "cross", 1, keys)), keys))
     n = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     out = df.select(*keys).distinct().join(s, keys, "left").join(n, keys, "left")
     actual = F.coalesce("_n", F.lit(0)).cast("double")
     return out.select(
         *keys, F.coalesce("jac_coverage", F.lit(0.0)).alias("jac_coverage"), actual.alias("actual_coverage"),
-        F.try_divide(actual, "_kept").alias("mag_factor"),
+        F.try_divide(actual, "_kept").alias("mag_factor"), F.coalesce("_outside", F.lit(0)).alias("n_outside"),
     ), cells
 
 
 # ---- pairs -------------------------------------------------------------------------------------------
 
 
-def greedy_pairs(candidates: DataFrame, order: Sequence[str] = ("ratio", "neg_area")) -> DataFrame:
-    """Take pairs in ascending order, each patch at most once.
+HEAD_PAIRS, HEAD_PARTS = 20_000, 64
 
-    A pair that ranks first at both of its ends is taken in any case, so all of those go in one round;
-    (a, b) closes the order, which makes it total.
+
+def _take_in_order(pairs: pa.Table) -> pa.Table:
+    """The pairs of one recording that are taken when they are met in the order of their rank."""
+    used, keep = set(), []
+    rows = pairs.sort_by("_n")
+    for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()):
+        free = a not in used and b not in used
+        keep.append(free)
+        if free:
+            used.update((a, b))
+    return rows.filter(pa.array(keep, pa.bool_())).drop_columns(["_n"])
+
+
+def _not_used(pairs: DataFrame, taken: DataFrame) -> DataFrame:
+    used = taken.select("rec_id", F.explode(F.array("a", "b")).alias("_p"))
+    for end in ("a", "b"):
+        pairs = pairs.join(used.withColumnRenamed("_p", end), ["rec_id", end], "left_anti")
+    return pairs
+
+
+def greedy_pairs(
+    candidates: DataFrame, order: Sequence[str] = ("ratio", "neg_area"), head: int = HEAD_PAIRS
+) -> DataFrame:
+    """Take pairs in ascending order, each patch at most once. (a, b) closes the order, which makes it total.
+
+    A round settles the first `head` pairs of every recording in order, which is exact for a prefix of the order,
+    whatever chains of pairs it holds. If pairs are left, those that rank first at both of their ends follow, all
+    at once. `head` bounds the rows of a task and changes no result: the first pairs are picked in parts of
+    a recording before they are ranked together.
     """
     left = cut(candidates)
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(HEAD_PARTS))
+    in_part = Window.partitionBy("rec_id", part).orderBy(*order, "a", "b")
+    rank = Window.partitionBy("rec_id").orderBy(*order, "a", "b")
+    pairs = T.StructType([left.schema["rec_id"], left.schema["a"], left.schema["b"]])
     taken = None
-    rank = F.struct(*order, "a", "b")
     while left.take(1):
-        ends = left.select("rec_id", "a", "b", rank.alias("_r"), F.explode(F.array("a", "b")).alias("_p"))
-        first = ends.groupBy("rec_id", "_p").agg(F.min("_r").alias("_r"))
-        won = first.groupBy("rec_id", "_r").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 2")
-        won = cut(won.select("rec_id", F.col("_r.a").alias("a"), F.col("_r.b").alias("b")))
+        first = left.withColumn("_n", F.row_number().over(in_part)).filter(F.col("_n") <= head)
+        first = first.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= head).select("rec_id", "a", "b", "_n")
+        won = cut(first.groupBy("rec_id").applyInArrow(_take_in_order, pairs))
         taken = won if taken is None else taken.unionByName(won)
-        used = won.select("rec_id", F.explode(F.array("a", "b")).alias("_p"))
-        left = left.join(used.withColumnRenamed("_p", "a"), ["rec_id", "a"], "left_anti")
-        left = cut(left.join(used.withColumnRenamed("_p", "b"), ["rec_id", "b"], "left_anti"))
+        left = cut(_not_used(left, won))
+        ends = left.select("rec_id", F.struct(*order, "a", "b").alias("_r"), F.explode(F.array("a", "b")).alias("_p"))
+        best = ends.groupBy("rec_id", "_p").agg(F.min("_r").alias("_r"))
+        both = best.groupBy("rec_id", "_r").agg(F.count(F.lit(1)).alias("_k")).filter("_k = 2")
+        won = cut(both.select("rec_id", F.col("_r.a").alias("a"), F.col("_r.b").alias("b")))
+        taken = taken.unionByName(won)
+        left = cut(_not_used(left, won))
     return candidates.limit(0).select("rec_id", "a", "b") if taken is None else taken
 
 

@@ -125,6 +125,20 @@ def test_skeletonize(spark):
     assert (got == brute_thin(m, *map(set, own))).all()
 
 
+def test_skeletonize_across_bands(spark):
+    """Frames taller than a band and blocks thicker than one round of sub-passes equal thinning in one piece."""
+    rng = np.random.default_rng(4)
+    m = rng.random((150, 90)) < 0.97
+    m[20:120, 5:85] = True  # 100 pixels thick: several rounds, over two band borders
+    thin = rng.random((140, 12)) < 0.6
+    df = mask_df(spark, m).unionByName(mask_df(spark, thin).withColumn("rec_id", F.lit("thin")))
+    got = mo.skeletonize(df)
+    codes = [set(c) for c in mo.thinning_codes()]
+    assert (to_mask(got.filter("rec_id <> 'thin'"), m.shape) == brute_thin(m, *codes)).all()
+    assert (to_mask(got.filter("rec_id = 'thin'"), thin.shape) == brute_thin(thin, *codes)).all()
+    assert mo.skeletonize(df.limit(0)).count() == 0
+
+
 def test_distance_exact_and_empty(spark):
     m = rand_mask(8, 0.05)
     pts = np.argwhere(m)
@@ -269,6 +283,16 @@ def test_greedy_pairs_equals_sequential(spark):
             want.add((a, b))
             used |= {a, b}
     assert {(r.a, r.b) for r in refine.greedy_pairs(df).collect()} == want
+    # rounds that settle three pairs in order, then the leaders, give the same
+    assert {(r.a, r.b) for r in refine.greedy_pairs(df, head=3).collect()} == want
+    assert refine.greedy_pairs(df.limit(0)).count() == 0
+
+
+def test_greedy_pairs_along_a_path(spark):
+    """10,000 pairs of which each waits for the one before it: one round."""
+    df = spark.range(10_000).selectExpr("'r' AS rec_id", "id AS a", "id + 1 AS b", "double(id) AS ratio", "0.0D AS neg_area")
+    got = sorted(r.a for r in refine.greedy_pairs(df).collect())
+    assert got == list(range(0, 10_000, 2))
 
 
 def test_flooding_covers_the_mask_and_keeps_minimax_levels(spark):
@@ -415,7 +439,9 @@ def test_coverage_against_loops(spark):
     g = fill(g)
     dil = np.any([shift(g, d) for d in cross], axis=0)
     g = fill(np.all([shift(dil, d) for d in cross], axis=0))
-    assert r.actual_coverage == g.sum()
+    assert r.actual_coverage == g.sum() and r.n_outside == 0
+    far = df.withColumn("alt", F.when(F.col("y") == 0, 200.0).when(F.col("y") == 1, float("nan")).otherwise(F.col("alt")))
+    assert refine.coverage(far, "azi", "alt", "jac", 2.0)[0].first().n_outside == keep[:2].sum()
 
 
 def test_adjacency_refuses_degenerate_width(spark):
