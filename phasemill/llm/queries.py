@@ -126,18 +126,35 @@ TOOLS = {
 
 
 def as_tool_log(conversations: DataFrame) -> DataFrame:
-    """Conversations as a tool log: an assistant turn is a call that follows the one two turns before, the
-    user turn after it is its result; other roles stay as they are."""
-    own = F.concat_ws("-", "conv_id", "turn")
-    call = F.to_json(F.struct(
-        own.alias("id"), F.lit("reply").alias("name"), F.struct("text", F.length("text").alias("chars")).alias("arguments"),
-        F.array(F.concat_ws("-", "conv_id", F.col("turn") - 2)).alias("after"),
-    ))
-    result = F.to_json(F.struct(F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("id"), F.col("text").alias("content")))
+    """Conversations as a tool log, one event per turn: an assistant turn is a call, a user turn the result of the call before it.
+
+    The length of a text says what its event is like, so that every case of the operator arises and no turn is dropped.
+    Calls name the call behind them, the one before, the next and the second before, or none; so some conversations
+    have to be ordered and some hold cycles. Some calls have no id or the id of the call before, some state their length as
+    a string, and some results answer the call that still follows. Other roles stay as they are.
+    """
+    n, turn = F.length("text"), F.col("turn")
+
+    def name(at: Column) -> Column:
+        return F.concat_ws("-", "conv_id", at)
+
+    own = F.when(n % 17 == 0, F.lit(None)).when(n % 11 == 5, name(turn - 2)).otherwise(name(turn))
+    after = (
+        F.when(n % 4 == 0, F.array(name(turn + 2))).when(n % 4 == 1, F.array(name(turn - 2)))
+        .when(n % 4 == 2, F.array(name(turn + 2), name(turn - 4))).otherwise(F.array().cast("array<string>"))
+    )
+
+    def call(chars: Column) -> Column:
+        arguments = F.struct("text", chars.alias("chars"))
+        return F.to_json(F.struct(own.alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"), after.alias("after")))
+
+    calls = F.when(n % 7 == 3, call(n.cast("string"))).otherwise(call(n))
+    answered = name(F.when(n % 13 == 2, turn + 1).otherwise(turn - 1))
+    result = F.to_json(F.struct(answered.alias("id"), F.col("text").alias("content")))
     asks = F.col("role") == "assistant"
     return conversations.select(
         "conv_id", "turn", F.when(F.col("role") == "user", "tool").otherwise(F.col("role")).alias("role"),
-        F.when(asks, F.concat(F.lit("<tool_call>"), call, F.lit("</tool_call>")))
+        F.when(asks, F.concat(F.lit("<tool_call>"), calls, F.lit("</tool_call>")))
         .when(F.col("role") == "user", result).otherwise(F.col("text")).alias("text"),
     )
 

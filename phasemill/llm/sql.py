@@ -203,19 +203,46 @@ FROM t LEFT JOIN dup ON dup.doc_id = t.doc_id {joins}"""
 
 def tool_calls(most_chars: int) -> str:
     return f"""
-WITH c AS (
-  SELECT conv_id, turn, text, conv_id || '-' || turn AS id FROM conversations WHERE role = 'assistant'
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, length(text) AS n, conv_id || '-' AS k FROM conversations),
+a AS (
+  SELECT conv_id, turn, text, n, CASE WHEN n % 17 = 0 THEN NULL WHEN n % 11 = 5 THEN k || (turn - 2) ELSE k || turn END AS id,
+         CASE n % 4 WHEN 0 THEN [k || (turn + 2)] WHEN 1 THEN [k || (turn - 2)] WHEN 2 THEN [k || (turn + 2), k || (turn - 4)] ELSE [] END AS after
+  FROM m WHERE role = 'assistant'
+),
+b AS (SELECT conv_id, turn, text AS content, k || (turn + CASE WHEN n % 13 = 2 THEN 1 ELSE -1 END) AS id FROM m WHERE role = 'user'),
+calls AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn) AS nth FROM a),
+results AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn) AS nth FROM b),
+c AS MATERIALIZED (SELECT * FROM calls WHERE nth = 1 AND id IS NOT NULL),
+known AS MATERIALIZED (
+  SELECT c.conv_id, c.id, d.id AS dep, d.turn >= c.turn AS ahead
+  FROM (SELECT conv_id, id, turn, unnest(after) AS dep FROM c) c JOIN c d ON d.conv_id = c.conv_id AND d.id = c.dep
+),
+sizes AS (SELECT conv_id, count(*) AS n FROM c GROUP BY conv_id),
+walk(conv_id, id, tip, steps) AS (
+  SELECT conv_id, id, id, 0 FROM c
+  UNION
+  SELECT w.conv_id, w.id, k.dep, steps + 1 FROM walk w JOIN known k ON k.conv_id = w.conv_id AND k.id = w.tip
+  JOIN sizes s ON s.conv_id = w.conv_id WHERE steps < s.n
+),
+depth AS (
+  SELECT w.conv_id, w.id, CASE WHEN w.conv_id NOT IN (SELECT conv_id FROM known WHERE ahead) THEN 0 WHEN max(steps) < any_value(s.n) THEN max(steps) END AS level
+  FROM walk w JOIN sizes s ON s.conv_id = w.conv_id GROUP BY w.conv_id, w.id
+),
+linked AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, level, coalesce(c.turn, r.turn) AS turn, coalesce(c.id, r.id) AS id, text, c.n, content, c.turn IS NOT NULL AS called,
+         CASE WHEN c.turn IS NULL THEN 'orphan' WHEN level IS NULL THEN 'cyclic' WHEN r.turn IS NULL THEN 'unanswered'
+              WHEN r.turn < c.turn THEN 'misplaced' ELSE 'linked' END AS status
+  FROM (SELECT * FROM c JOIN depth USING (conv_id, id)) c FULL JOIN (SELECT * FROM results WHERE nth = 1) r ON r.conv_id = c.conv_id AND r.id = c.id
 ),
-r AS (SELECT conv_id, turn AS r_turn, text AS content, conv_id || '-' || (turn - 1) AS id FROM conversations WHERE role = 'user'),
 e AS (
-  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.r_turn) AS turn, id, c.text, content, c.turn IS NOT NULL AS called,
-         CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status
-  FROM c FULL JOIN r USING (id)
+  SELECT * FROM linked
+  UNION ALL SELECT conv_id, NULL, turn, id, text, n, NULL, true, CASE WHEN id IS NULL THEN 'nameless' ELSE 'repeated' END FROM calls WHERE nth > 1 OR id IS NULL
+  UNION ALL SELECT conv_id, NULL, turn, id, NULL, NULL, content, false, 'repeated' FROM results WHERE nth > 1
 )
-SELECT conv_id, CASE WHEN called THEN 0 ELSE -1 END AS level, turn, id, status,
-       CASE WHEN called THEN length(text) BETWEEN 1 AND {most_chars} END AS valid,
-       sha256('{{' || CASE WHEN called THEN '"arguments":{{"chars":' || length(text) || ',"text":' || to_json(text) || '}},' ELSE '' END
-         || '"id":' || to_json(id) || CASE WHEN called THEN ',"name":"reply"' ELSE '' END
+SELECT conv_id, CAST(coalesce(level, -1) AS INTEGER) AS level, turn, id, status,
+       CASE WHEN called THEN n % 7 <> 3 AND n BETWEEN 1 AND {most_chars} END AS valid,
+       sha256('{{' || CASE WHEN called THEN '"arguments":{{"chars":' || CASE WHEN n % 7 = 3 THEN '"' || n || '"' ELSE n::VARCHAR END || ',"text":' || to_json(text) || '}},' ELSE '' END
+         || '"id":' || coalesce(to_json(id)::VARCHAR, 'null') || CASE WHEN called THEN ',"name":"reply"' ELSE '' END
          || CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content) ELSE '' END
          || ',"status":"' || status || '"}}') AS line_sha256
 FROM e"""
