@@ -30,3 +30,11 @@ def test_scored_query_returns_every_document_again_and_again(spark, name):
     assert len(one) == n
     assert one == {tuple(r) for r in QUERIES[name](spark, str(SF)).collect()}
     assert all(0 <= r[2 if name != "op5_language" else 3] <= 1 for r in one)
+
+
+def test_tool_log_holds_every_case(spark):
+    """The ordering decides: levels above 0 and cycles arise, as does every status and both verdicts on arguments."""
+    rows = QUERIES["op3_tool_calls"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.status for r in rows} == {"linked", "unanswered", "misplaced", "cyclic", "repeated", "orphan", "nameless"}
+    assert {0, 1, 2} <= {r.level for r in rows}
+    assert {r.valid for r in rows} == {True, False, None}
