@@ -27,8 +27,9 @@ def _(spark, d):
     path = f"{ensure_checkpoint_dir(spark)}/movie-{uuid.uuid4().hex}"
     views.movie_rows(spark, d).write.partitionBy("rec_id").parquet(path)
     f = lake.load_frames(spark, path)
-    total = F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, p: a + p)
-    return f.select(F.col("rec_id").cast("bigint").alias("rec_id"), "frame_idx", "y", F.size("pixels").cast("bigint").alias("n_px"), total.alias("total"))
+    there = F.array_compact("pixels")  # a null is a pixel that the frame does not have
+    total = F.aggregate(there, F.lit(0).cast("bigint"), lambda a, p: a + p)
+    return f.select(F.col("rec_id").cast("bigint").alias("rec_id"), "frame_idx", "y", F.size(there).cast("bigint").alias("n_px"), total.alias("total"))
 
 
 @query("write_read_map", "SELECT rec_id, y, x, round(alt, 6) + 0.0 AS alt FROM v_raster", "v_raster")

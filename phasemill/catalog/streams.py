@@ -119,7 +119,7 @@ def _(spark, d):
     w = w.withColumn("end_us", F.col("end_us") + day * 1_000_000)
     rows = movie.withColumn("ts", F.timestamp_micros(F.col("frame_idx") * 100_000 + day * 1_000_000))
     t = st.run_to_table(st.stream_cycles(_in_three(spark, rows, "frame_idx"), w, lateness_ms=2_000), "append", by=["late"])
-    px = t.filter("NOT late").select("rec_id", "direction", "cycle", "y", "n", F.posexplode(F.arrays_zip("re", "im")).alias("x", "c"))
+    px = t.filter("NOT late").select("rec_id", "direction", "cycle", "y", "n", F.posexplode(F.arrays_zip("re", "im")).alias("x", "c")).filter("c.re IS NOT NULL")
     return px.select("rec_id", "direction", "cycle", "y", "x", "n", r6("c.re").alias("re"), r6("c.im").alias("im"))
 
 

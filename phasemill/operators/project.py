@@ -26,9 +26,9 @@ MAP = ["rec_id", "direction", "height", "width", "y", "x"]
 
 
 def pixels_long(rows: DataFrame) -> DataFrame:
-    """One row per pixel of each image row."""
+    """One row per pixel of each image row; a null is a pixel that the frame does not have."""
     rest = [c for c in rows.columns if c != "pixels"]
-    return rows.select(*rest, F.posexplode("pixels").alias("x", "v")).withColumn("v", F.col("v").cast("double"))
+    return rows.select(*rest, F.posexplode("pixels").alias("x", "v")).filter("v IS NOT NULL").withColumn("v", F.col("v").cast("double"))
 
 
 def frame_headers(rows: DataFrame) -> DataFrame:
@@ -38,8 +38,9 @@ def frame_headers(rows: DataFrame) -> DataFrame:
 
 def frame_intensity(rows: DataFrame) -> DataFrame:
     """Mean pixel value per frame; 0 for an empty frame."""
-    tot = F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, p: a + p)
-    g = rows.groupBy("rec_id", "frame_idx").agg(F.sum(tot).alias("_s"), F.sum(F.size("pixels")).alias("_n"))
+    there = F.array_compact("pixels")
+    tot = F.aggregate(there, F.lit(0).cast("bigint"), lambda a, p: a + p)
+    g = rows.groupBy("rec_id", "frame_idx").agg(F.sum(tot).alias("_s"), F.sum(F.size(there)).alias("_n"))
     return g.select(
         "rec_id", "frame_idx", F.coalesce(F.try_divide(F.col("_s").cast("double"), "_n"), F.lit(0.0)).alias("mean_intensity")
     )
@@ -274,7 +275,7 @@ def with_floor(base: DataFrame) -> DataFrame:
 def movie_baseline(rows: DataFrame, sweeps: DataFrame, method: str = "rest_mean") -> DataFrame:
     """Baseline per pixel: all_mean, all_median, rest_mean or rest_median."""
     base = rowsums.row_baseline(_baseline_sums(rows, sweeps, method), method)
-    return base.select("rec_id", "height", "width", "y", F.posexplode("f0").alias("x", "f0"))
+    return base.select("rec_id", "height", "width", "y", F.posexplode("f0").alias("x", "f0")).filter("f0 IS NOT NULL")
 
 
 def _baseline_sums(rows: DataFrame, sweeps: DataFrame, method: str, quality: bool = False) -> DataFrame:

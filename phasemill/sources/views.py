@@ -72,13 +72,11 @@ def movie_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A camera movie, one image row per record, laid out as 16 blocks of 16 frames at 10 Hz."""
     t = trace(spark, sf_dir)
     idx = movie_frame_index()
-    cell = F.struct("x", F.round("v").cast("int").alias("p"))
-    rows = t.groupBy("rec_id", idx.alias("frame_idx"), "y", "height", "width").agg(
-        F.array_sort(F.collect_list(cell)).alias("c")  # one image row: bounded by the sensor width
-    )
+    # one image row, every count at its place; null where the table ends inside a frame
+    cells = F.array(*[F.max(F.when(F.col("x") == x, F.round("v").cast("int"))) for x in range(TRACE_W)])
+    rows = t.groupBy("rec_id", idx.alias("frame_idx"), "y", "height", "width").agg(cells.alias("pixels"))
     return rows.select(
-        "rec_id", "frame_idx", (F.col("frame_idx") * 0.1).alias("ts_sec"), "y", "height", "width",
-        F.col("c.p").alias("pixels"),
+        "rec_id", "frame_idx", (F.col("frame_idx") * 0.1).alias("ts_sec"), "y", "height", "width", "pixels"
     )
 
 

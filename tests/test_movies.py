@@ -79,3 +79,26 @@ def test_empty_movie(spark):
     rows, sweeps = movies(spark)
     cycles, quality = project.movie_maps(rows.limit(0), sweeps)
     assert cycles.count() == 0 and quality.count() == 0
+
+
+def test_missing_pixels_are_not_counted(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(rowsums, "HELD_CELLS", 40)
+    rows, sweeps = movies(spark)
+    r, holed = random.Random(4), []
+    for row in rows.collect():
+        pixels = [None if r.random() < 0.1 else p for p in row["pixels"]]
+        if row["rec_id"] == "b" and row["y"] == 1:  # one pixel is in no frame, one only in those of two directions
+            pixels = [pixels[0], None, pixels[2], pixels[3] if row["frame_idx"] < 60 else None][: 4 if row["frame_idx"] < 60 else 3]
+        holed.append((*row[:-1], pixels))
+    rows = spark.createDataFrame(holed, ROWS).repartition(6)
+    for baseline, rectification in (("rest_mean", "none"), ("all_median", "none"), ("rest_median", "half_wave")):
+        f0, samples = sampled(rows, sweeps, baseline, "fractional", rectification)
+        n, left, right, worst = gap(project.movie_baseline(rows, sweeps, baseline), f0, ["rec_id", "y", "x"], ["f0"])
+        assert n == left == right == 20 and worst < 1e-9
+        cycles, quality = project.movie_maps(rows, sweeps, baseline, "fractional", rectification)
+        n, left, right, *worst = gap(cycles, project.bin1_projection(samples), ["rec_id", "direction", "cycle", "y", "x"], ["re", "im"])
+        assert n == left == right and max(worst) < 1e-6
+        n, left, right, *worst = gap(quality, project.responsiveness(samples), ["rec_id", "orientation", "y", "x"], ["zscore", "snr"])
+        assert n == left == right and max(worst) < 1e-6
