@@ -141,6 +141,8 @@ def component_roots(
     `same` restricts connections to pixels that agree in these columns (flat zones, labels).
     """
     keys = list(keys)
+    own = [f"_key{i}" for i in range(len(keys))]  # a key may be called like an end of an edge
+    plain = [F.col(k).alias(o) for k, o in zip(keys, own)]
     runs = _runs(mask, keys, same)
     up = Window.partitionBy(*keys, "x").orderBy("y")
     touch = F.col("y") - F.lag("y").over(up) == 1
@@ -149,23 +151,23 @@ def component_roots(
     above = F.lag("node").over(up)
     edges = (
         runs.withColumn("_up", F.when(touch, above)).filter("_up IS NOT NULL")
-        .select(*keys, F.col("node").alias("a"), F.col("_up").alias("b"), "y", (F.col("y") - 1).alias("_y2")).distinct()
+        .select(*plain, F.col("node").alias("a"), F.col("_up").alias("b"), "y", (F.col("y") - 1).alias("_y2")).distinct()
     )
     if conn == 8:
         sel = [*keys, "y", "x", *same]
         down = runs.select(
             *keys, (F.col("y") + 1).alias("y"), F.explode(F.array(F.col("x") - 1, F.col("x") + 1)).alias("x"),
-            *same, F.col("node").alias("b"), F.col("y").alias("_y2"),
+            *same, F.col("node").alias("_to"), F.col("y").alias("_y2"),
         )
         on = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in (*keys, "y", "x")]
         on += [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in same]
         diag = (
-            runs.select(*sel, F.col("node").alias("a")).alias("p").join(down.alias("q"), on)
-            .select(*[F.col(f"p.{c}").alias(c) for c in keys], "a", "b", F.col("p.y").alias("y"), F.col("q._y2").alias("_y2")).distinct()
+            runs.select(*sel, F.col("node").alias("_from")).alias("p").join(down.alias("q"), on)
+            .select(*[F.col(f"p.{k}").alias(o) for k, o in zip(keys, own)], F.col("_from").alias("a"), F.col("_to").alias("b"), F.col("p.y").alias("y"), F.col("q._y2").alias("_y2")).distinct()
         )
         edges = edges.union(diag)
-    tiled = edges.select(*keys, "a", "b", *[F.floor(F.col(y) / tile_rows).alias(t) for y, t in (("y", "ta"), ("_y2", "tb"))])
-    roots = tile_roots(tiled, keys)
+    tiled = edges.select(*own, "a", "b", *[F.floor(F.col(y) / tile_rows).alias(t) for y, t in (("y", "ta"), ("_y2", "tb"))])
+    roots = tile_roots(tiled, own).withColumnsRenamed(dict(zip(own, keys)))
     out = runs.join(roots, [*keys, "node"], "left")
     return out.withColumn("root", F.coalesce("root", "node")).drop("node")
 
