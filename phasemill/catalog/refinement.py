@@ -49,7 +49,7 @@ def _(spark, d):
     """WITH RECURSIVE e AS MATERIALIZED (SELECT rec_id, y, x, round(v, 1) AS e, w > 0.2 AS seed FROM v_raster),
        f(rec_id, y, x, e, l) AS (SELECT rec_id, y, x, e, e FROM e WHERE seed
          UNION SELECT q.rec_id, q.y, q.x, q.e, greatest(f.l, q.e) FROM f JOIN e q ON q.rec_id = f.rec_id AND abs(q.y - f.y) <= 1 AND abs(q.x - f.x) <= 1)
-       SELECT rec_id, y, x, round(min(l), 6) + 0.0 AS level FROM f GROUP BY rec_id, y, x""",
+       SELECT rec_id, e.y, e.x, round(min(l), 6) + 0.0 AS level FROM e LEFT JOIN f USING (rec_id, y, x) GROUP BY rec_id, e.y, e.x""",
     "v_raster",
 )
 def _(spark, d):
@@ -85,7 +85,7 @@ def _basins(source: str, conn: int) -> str:
 
 
 _SEEDED = "SELECT rec_id, y, x, v, CASE WHEN w > 0.2 THEN y * 25 + x + 1 END AS seed FROM v_raster"
-_BASINS = f"WITH RECURSIVE {_basins(_SEEDED, 8)} SELECT rec_id, y, x, CAST(basin AS BIGINT) AS basin FROM b"
+_BASINS = f"WITH RECURSIVE {_basins(_SEEDED, 8)} SELECT rec_id, y, x, CAST(basin AS BIGINT) AS basin FROM e LEFT JOIN b USING (rec_id, y, x)"
 
 
 @query("basin_assign", _BASINS, "v_raster")
