@@ -181,7 +181,7 @@ def v1_center_pixel_sample(df: DataFrame, alt: str, azi: str, label: str = "labe
     """Position at the snapped centroid of the largest component of the opened area mask."""
     mask = df.filter(F.col(label) > 0).select(*PIX)
     main = cc.largest_component(cut(mo.opening(mask, "disk", radius)))
-    at = stats.patch_centroid_snap(main.withColumn("_l", F.lit(1)), "_l").select(
+    at = stats.patch_centroid_snap(main.withColumn("_l", F.lit(1)), "_l", digits=None).select(
         "rec_id", F.col("snap_y").alias("y"), F.col("snap_x").alias("x")
     )
     return df.join(at, ["rec_id", "y", "x"]).select("rec_id", F.col(alt).alias("alt_c"), F.col(azi).alias("azi_c"))

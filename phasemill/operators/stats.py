@@ -147,8 +147,13 @@ def sigma_area(df: DataFrame, det: str, label: str = "label", keys: Sequence[str
     )
 
 
-def patch_centroid_snap(df: DataFrame, label: str = "label", keys: Sequence[str] = REC, ties: str = "row") -> DataFrame:
-    """Rounded centroid of each area, or the nearest area pixel when the centroid lies off the area."""
+def patch_centroid_snap(
+    df: DataFrame, label: str = "label", keys: Sequence[str] = REC, ties: str = "row", digits: int | None = 9
+) -> DataFrame:
+    """Rounded centroid of each area, or the nearest area pixel when the centroid lies off the area.
+
+    Distances that agree in `digits` digits tie, whatever the last bits of the centroid are; None compares all bits.
+    """
     a = df.filter(F.col(label) > 0)
     c = a.groupBy(*keys, label).agg(F.avg("y").alias("_cy"), F.avg("x").alias("_cx"))
     j = a.join(c, [*keys, label])
@@ -156,6 +161,7 @@ def patch_centroid_snap(df: DataFrame, label: str = "label", keys: Sequence[str]
     ry, rx = F.floor(F.col("_cy") + 0.5), F.floor(F.col("_cx") + 0.5)
     on = (F.col("y") == ry) & (F.col("x") == rx)
     dist = (F.col("y") - F.col("_cy")) * (F.col("y") - F.col("_cy")) + (F.col("x") - F.col("_cx")) * (F.col("x") - F.col("_cx"))
+    dist = dist if digits is None else F.round(dist, digits)
     order = ("y", "x") if ties == "row" else ("x", "y")
     best = F.min_by(
         F.struct("y", "x"), F.struct((~on).alias("off"), F.when(on, 0.0).otherwise(dist).alias("d"), *order)
