@@ -285,7 +285,7 @@ def _(spark, d):
 
     store = manifest.StageStore(spark, f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}")
     for run, edited in ((1, True), (2, False)):
-        manifest.restore(store, manifest.stage_fingerprints(_params(spark, d, edited)), stages(run))
+        manifest.restore(store, manifest.stage_keys(_params(spark, d, edited)), stages(run))
     kept = [st for st in manifest.STAGES if st != "baseline" and st not in manifest.NOT_STORED]
     parts = [store.read(st, st).select("rec_id", F.lit(st).alias("stage"), "made_in", "v") for st in kept]
     return reduce(DataFrame.unionByName, parts)

@@ -284,7 +284,7 @@ def analyze_stale(
         "eccentricity": lambda of: {"centric": _centric(labelled(of), s)},
         "derived_maps": lambda of: {"derived": _derived(labelled(of), of("cortex_source", "cortex"), of("patch_threshold", "threshold"), s)},
     }
-    ran = manifest.restore(store, manifest.stage_fingerprints(parameters(recordings, s) if params is None else params), compute)
+    ran = manifest.restore(store, manifest.stage_keys(parameters(recordings, s) if params is None else params), compute)
 
     def read(stage: str, name: str) -> DataFrame:
         return store.read(stage, name, recordings.select("rec_id"))

@@ -74,10 +74,10 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _width(kind: T.DataType) -> int:
+def row_width(kind: T.DataType) -> int:
     """Bytes that a value of the type is taken to need in memory."""
     if isinstance(kind, T.StructType):
-        return 8 + sum(_width(f.dataType) for f in kind.fields)
+        return 8 + sum(row_width(f.dataType) for f in kind.fields)
     if isinstance(kind, (T.ArrayType, T.MapType)):
         return 1024
     return 64 if isinstance(kind, (T.StringType, T.BinaryType)) else 16
@@ -90,5 +90,5 @@ def join_small(left: DataFrame, small: DataFrame, on, how: str = "inner", limit:
     joined like any other table.
     """
     s = cut(small)
-    fits = s.count() * _width(s.schema) <= limit
+    fits = s.count() * row_width(s.schema) <= limit
     return left.join(F.broadcast(s) if fits else s, on, how)
