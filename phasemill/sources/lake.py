@@ -214,15 +214,21 @@ def migrate_params(
     means the record holds root keys that are neither stages nor known leftovers and must be rejected.
     """
     renames = renames or {}
-    root = F.from_json(F.col(params), "map<string,string>")
     known = [*stages, *dropped]
-    unknown = F.array_except(F.map_keys(root), F.array(*[F.lit(k) for k in known]))
-    rows = []
-    for stage, (default, trees) in stages.items():
-        old = F.from_json(root[stage], "map<string,string>")
+    unknown = F.array_except(F.map_keys("_root"), F.array(*[F.lit(k) for k in known]))
+    # each step is a projection of its own, so that no text is parsed again where its parts are used
+    roots = df.select("rec_id", F.from_json(F.col(params), "map<string,string>").alias("_root"))
+    olds = {stage: f"_old_{i}" for i, stage in enumerate(stages)}
+    opened = roots.select(
+        "rec_id", unknown.alias("unknown"),
+        *[F.from_json(F.col("_root")[stage], "map<string,string>").alias(old) for stage, old in olds.items()],
+    )
+    empty = F.create_map().cast("map<string,double>")
+    named, parts, rows = [], [], []
+    for i, (stage, (default, trees)) in enumerate(stages.items()):
+        old, method, nested, over = F.col(olds[stage]), F.col(f"_method_{i}"), F.col(f"_nested_{i}"), F.col(f"_over_{i}")
         table = renames.get(stage, {})
-        given = old["method"]
-        method = F.coalesce(_lookup(given, table), F.lit(default))
+        named.append(F.coalesce(_lookup(old["method"], table), F.lit(default)).alias(f"_method_{i}"))
         entries = F.filter(F.map_entries(old), lambda e: e["key"] != "method")
         flat = F.map_from_entries(
             F.transform(
@@ -230,19 +236,19 @@ def migrate_params(
                 lambda e: F.struct(e["key"].alias("key"), e["value"].cast("double").alias("value")),
             )
         )
-        nested = _subtree(entries, method, table)
-        base = F.create_map().cast("map<string,double>")
+        parts.append(_subtree(entries, method, table).alias(f"_nested_{i}"))
+        parts.append(F.coalesce(F.when(old["method"].isNotNull(), flat), empty).alias(f"_over_{i}"))
+        base = empty
         for name, tree in trees.items():
             pairs = [x for k, v in tree.items() for x in (F.lit(k), F.lit(float(v)))]
             base = F.when(method == name, F.create_map(*pairs)).otherwise(base)
-        kept = F.coalesce(nested, base)
-        over = F.when(given.isNotNull(), flat).otherwise(F.create_map().cast("map<string,double>"))
-        over = F.coalesce(over, F.create_map().cast("map<string,double>"))
-        below = _without(kept, over)
+        below = _without(F.coalesce(nested, base), over)
         rows.append(
             F.struct(F.lit(stage).alias("stage"), method.alias("method"), F.map_concat(below, over).alias("tunables"))
         )
-    return df.select("rec_id", unknown.alias("unknown"), F.explode(F.array(*rows)).alias("_r")).select(
+    methods = [f"_method_{i}" for i in range(len(stages))]
+    split = opened.select("*", *named).select("rec_id", "unknown", *methods, *parts)
+    return split.select("rec_id", "unknown", F.explode(F.array(*rows)).alias("_r")).select(
         "rec_id", "_r.stage", "_r.method", "_r.tunables", "unknown"
     )
 

@@ -181,3 +181,13 @@ def test_a_folder_of_part_files_is_streamed_like_one_file(spark, tmp_path):
     n = spark.read.parquet(str(tmp_path / "one.parquet")).count()
     assert stateful.run_to_table(stateful.stream_table(spark, str(tmp_path), "parts"), "append").count() == 10
     assert stateful.run_to_table(stateful.stream_table(spark, str(tmp_path), "one"), "append").count() == n
+
+
+def test_migration_parses_every_text_once(spark):
+    df = spark.createDataFrame([("a", '{"cortex": {"method": "k", "w": 2}, "odd": 1}'), ("b", "{}"), ("c", None)], "rec_id string, p string")
+    stages = {"cortex": ("k", {"k": {"w": 1.0, "z": 3.0}}), "smoothing": ("g", {"g": {"s": 60.0}})}
+    out = lake.migrate_params(df, "p", stages)
+    got = {(r.rec_id, r.stage): (r.method, r.tunables, r.unknown) for r in out.collect()}
+    assert got["a", "cortex"] == ("k", {"z": 3.0, "w": 2.0}, ["odd"]) and got["b", "smoothing"] == ("g", {"s": 60.0}, []) and len(got) == 6
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("from_json") + plan.lower().count("jsontostructs") <= 1 + 2 * len(stages)
