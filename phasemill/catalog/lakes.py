@@ -25,7 +25,7 @@ def _(spark, d):
 @query("load_frames", "SELECT rec_id, frame_idx, y, count(*) AS n_px, sum(p)::BIGINT AS total FROM v_movie GROUP BY ALL", "v_movie")
 def _(spark, d):
     path = f"{ensure_checkpoint_dir(spark)}/movie-{uuid.uuid4().hex}"
-    views.movie_rows(spark, d).write.partitionBy("rec_id").parquet(path)
+    lake.write_frames(views.movie_rows(spark, d), path)
     f = lake.load_frames(spark, path)
     there = F.array_compact("pixels")  # a null is a pixel that the frame does not have
     total = F.aggregate(there, F.lit(0).cast("bigint"), lambda a, p: a + p)

@@ -42,6 +42,14 @@ def load_frames(spark: SparkSession, path: str, rec_ids: Sequence | None = None)
     return df if rec_ids is None else df.filter(F.col("rec_id").isin(list(rec_ids)))
 
 
+def write_frames(rows: DataFrame, path: str) -> None:
+    """Movie rows as `load_frames` reads them, a folder per recording.
+
+    Ranges keep the frames of a recording together: few files each, and a large recording still gets several.
+    """
+    rows.repartitionByRange("rec_id", "frame_idx").write.partitionBy("rec_id").parquet(path)
+
+
 def parse_schedule(df: DataFrame) -> DataFrame:
     """Sweeps from a JSON label list and two time arrays, cut to the shortest of the three."""
     labels = F.from_json("sweep_sequence", "array<string>")

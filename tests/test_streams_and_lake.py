@@ -191,3 +191,11 @@ def test_migration_parses_every_text_once(spark):
     assert got["a", "cortex"] == ("k", {"z": 3.0, "w": 2.0}, ["odd"]) and got["b", "smoothing"] == ("g", {"s": 60.0}, []) and len(got) == 6
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("from_json") + plan.lower().count("jsontostructs") <= 1 + 2 * len(stages)
+
+
+def test_frames_of_a_recording_lie_in_few_files(spark, tmp_path):
+    rows = spark.range(240).select((F.col("id") % 3).alias("rec_id"), F.col("id").alias("frame_idx"), F.lit(0).alias("y")).repartition(8)
+    lake.write_frames(rows, str(tmp_path / "m"))
+    got = lake.load_frames(spark, str(tmp_path / "m"))
+    assert {(r.rec_id, r.frame_idx) for r in got.collect()} == {(i % 3, i) for i in range(240)}
+    assert len(got.inputFiles()) <= 3 + 4  # recordings and ranges; a file per task and recording would be 24
