@@ -75,13 +75,20 @@ def _(spark, d):
 
 
 def _in_three(spark, rows, order):
-    """A stream of the table in three files that arrive one after another, cut by ranges of `order`."""
+    """A stream of the table in three equal numbers of files that arrive one third after another, cut by ranges of `order`."""
     top = rows.agg(F.max(order)).first()[0] or 0
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    third = F.least(F.floor(F.col(order) * 3 / (top + 1)), F.lit(2))
+    counts = dict(rows.groupBy(third).count().collect())
+    least, most = min(counts.get(i, 0) for i in range(3)), max([0, *counts.values()])
+    # a trigger takes one third, so every third has as many files; each gets rows enough that none stays empty
+    files = max(min(least // 10_000, max(spark.sparkContext.defaultParallelism, most // 1_000_000)), 1)
     for part in range(3):
-        third = F.least(F.floor(F.col(order) * 3 / (top + 1)), F.lit(2)) == part
-        rows.filter(third).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        some = rows.filter(third == part)
+        (some.repartition(files) if files > 1 else some.coalesce(1)).write.mode("append").parquet(folder)
+        if files > 1 and len(spark.read.schema(rows.schema).parquet(folder).inputFiles()) != files * (part + 1):
+            raise RuntimeError(f"third {part} is not in {files} files")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query(

@@ -199,3 +199,18 @@ def test_frames_of_a_recording_lie_in_few_files(spark, tmp_path):
     got = lake.load_frames(spark, str(tmp_path / "m"))
     assert {(r.rec_id, r.frame_idx) for r in got.collect()} == {(i % 3, i) for i in range(240)}
     assert len(got.inputFiles()) <= 3 + 4  # recordings and ranges; a file per task and recording would be 24
+
+
+def test_a_feed_in_thirds_is_written_by_several_tasks(spark, tmp_path):
+    from phasemill.catalog.streams import _in_three
+
+    seen = []
+
+    def note(batch, number):
+        r = batch.withColumn("f", F.input_file_name()).agg(F.min("id"), F.max("id"), F.count("id"), F.count_distinct("f")).first()
+        seen.append(tuple(r))
+
+    q = _in_three(spark, spark.range(90_000), "id").writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path)).foreachBatch(note).start()
+    q.awaitTermination()
+    assert [s[:3] for s in seen] == [(0, 29_999, 30_000), (30_000, 59_999, 30_000), (60_000, 89_999, 30_000)]
+    assert {s[3] for s in seen} == {3}
