@@ -19,7 +19,7 @@ from phasemill.operators import areas, maps, quantiles, stats, stencil, tilefloo
 from phasemill.operators import components as cc
 from phasemill.operators import morphology as mo
 from phasemill.operators.stencil import REC, SIZE, box3, cross, scatter_spans
-from phasemill.session import cut, join_small
+from phasemill.session import BROADCAST_BYTES, cut, join_small, row_width
 
 def _ring(conn: int) -> list[stencil.Span]:
     return box3() if conn == 8 else cross(1)
@@ -211,7 +211,7 @@ def coverage(
 # ---- pairs -------------------------------------------------------------------------------------------
 
 
-HEAD_PAIRS, HEAD_PARTS = 20_000, 64
+HEAD_PAIRS = 20_000
 
 
 def _take_in_order(pairs: pa.Table) -> pa.Table:
@@ -227,9 +227,11 @@ def _take_in_order(pairs: pa.Table) -> pa.Table:
 
 
 def _not_used(pairs: DataFrame, taken: DataFrame) -> DataFrame:
-    used = taken.select("rec_id", F.explode(F.array("a", "b")).alias("_p"))
+    used = cut(taken.select("rec_id", F.explode(F.array("a", "b")).alias("_p")))
+    fits = used.count() * row_width(used.schema) <= BROADCAST_BYTES
     for end in ("a", "b"):
-        pairs = pairs.join(used.withColumnRenamed("_p", end), ["rec_id", end], "left_anti")
+        at = used.withColumnRenamed("_p", end)
+        pairs = pairs.join(F.broadcast(at) if fits else at, ["rec_id", end], "left_anti")
     return pairs
 
 
@@ -238,27 +240,35 @@ def greedy_pairs(
 ) -> DataFrame:
     """Take pairs in ascending order, each patch at most once. (a, b) closes the order, which makes it total.
 
-    A round settles the first `head` pairs of every recording in order, which is exact for a prefix of the order,
-    whatever chains of pairs it holds. If pairs are left, those that rank first at both of their ends follow, all
-    at once. `head` bounds the rows of a task and changes no result: the first pairs are picked in parts of
-    a recording before they are ranked together.
+    A pair that is given more than once counts where it comes first. The pairs are sorted once, by ranges, and go by
+    a number from then on. A round settles the first pairs of every recording in order, which is exact for a prefix
+    of the order, whatever chains of pairs it holds. If pairs are left, those that rank first at both of their ends
+    follow, all at once. `head` bounds the rows of a task and changes no result: a prefix ends with the block of
+    numbers, a quarter of `head` or less, in which it holds that many pairs.
     """
-    left = cut(candidates)
-    part = F.pmod(F.xxhash64("a", "b"), F.lit(HEAD_PARTS))
-    in_part = Window.partitionBy("rec_id", part).orderBy(*order, "a", "b")
-    rank = Window.partitionBy("rec_id").orderBy(*order, "a", "b")
+    ranked = candidates.select("rec_id", "a", "b", *order).sort("rec_id", *order, "a", "b")
+    left = cut(ranked.select("rec_id", "a", "b", F.monotonically_increasing_id().alias("_n")))
+    block = F.shiftright("_n", max(head.bit_length() - 3, 0))  # numbers of one task are consecutive
+    before = Window.partitionBy("rec_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     pairs = T.StructType([left.schema["rec_id"], left.schema["a"], left.schema["b"]])
     taken = None
     while left.take(1):
-        first = left.withColumn("_n", F.row_number().over(in_part)).filter(F.col("_n") <= head)
-        first = first.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= head).select("rec_id", "a", "b", "_n")
-        won = cut(first.groupBy("rec_id").applyInArrow(_take_in_order, pairs))
+        blocks = left.groupBy("rec_id", block.alias("_block")).agg(F.count(F.lit(1)).alias("_k"))
+        blocks = blocks.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).filter(F.col("_before") < head)
+        first = join_small(left, blocks.groupBy("rec_id").agg(F.max("_block").alias("_last")), REC).filter(block <= F.col("_last"))
+        won = cut(first.select("rec_id", "a", "b", "_n").groupBy("rec_id").applyInArrow(_take_in_order, pairs))
         taken = won if taken is None else taken.unionByName(won)
         left = cut(_not_used(left, won))
-        ends = left.select("rec_id", F.struct(*order, "a", "b").alias("_r"), F.explode(F.array("a", "b")).alias("_p"))
-        best = ends.groupBy("rec_id", "_p").agg(F.min("_r").alias("_r"))
-        both = best.groupBy("rec_id", "_r").agg(F.count(F.lit(1)).alias("_k")).filter("_k = 2")
-        won = cut(both.select("rec_id", F.col("_r.a").alias("a"), F.col("_r.b").alias("b")))
+        # the number and the end in one, so that the least of a patch is a plain number
+        side = F.posexplode(F.array("a", "b")).alias("_end", "_p")
+        ends = left.select("rec_id", "_n", side).select("rec_id", "_p", (F.col("_n") * 2 + F.col("_end")).alias("_r"))
+        # moved before they are grouped: a task that reads them meets nearly as many patches as rows
+        best = ends.repartition("rec_id", "_p").groupBy("rec_id", "_p").agg(F.min("_r").alias("_r"))
+        is_b = F.col("_r") % 2 == 1
+        both = best.groupBy("rec_id", F.shiftright("_r", 1).alias("_n")).agg(
+            F.count(F.lit(1)).alias("_k"), F.max(F.when(~is_b, F.col("_p"))).alias("a"), F.max(F.when(is_b, F.col("_p"))).alias("b")
+        )
+        won = cut(both.filter("_k = 2").select("rec_id", "a", "b"))
         taken = taken.unionByName(won)
         left = cut(_not_used(left, won))
     return candidates.limit(0).select("rec_id", "a", "b") if taken is None else taken

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from phasemill.operators import morphology as mo
-from phasemill.operators import project, stencil
+from phasemill.operators import project, refine, stencil
 from phasemill.session import size_broadcasts_at_runtime
 
 
@@ -128,3 +128,24 @@ def test_distance_in_a_wide_row_is_linear(spark):
     assert len(got) == 8192
     for y, x in ((0, 0), (0, 1500), (1, 1499), (0, 4095), (1, 3000), (0, 3000)):
         assert got[y, x] == min((y * y + x * x) ** 0.5, ((y - 1) ** 2 + (x - 3000) ** 2) ** 0.5)
+
+
+def test_greedy_pairs_are_sorted_once_and_grouped_by_numbers(spark, monkeypatch):
+    size_broadcasts_at_runtime(spark)
+    plans, cut = [], refine.cut
+    monkeypatch.setattr(refine, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    # pairs that are there more than once, and more of them than a prefix of the order holds
+    c = spark.range(3_000).selectExpr(
+        "'r' AS rec_id", "CAST(id * 7919 % 1500 % 211 AS INT) AS a", "CAST(211 + id * 104729 % 1500 % 307 AS INT) AS b",
+        "CAST(id * 31 % 97 AS DOUBLE) AS ratio", "CAST(-(id % 13) AS DOUBLE) AS neg_area",
+    )
+    want, used = set(), set()
+    for r in sorted(c.collect(), key=lambda r: (r.ratio, r.neg_area, r.a, r.b)):
+        if r.a not in used and r.b not in used:
+            want.add((r.a, r.b))
+            used |= {r.a, r.b}
+    got = [(r.a, r.b) for r in refine.greedy_pairs(c, head=100).collect()]
+    assert set(got) == want and len(got) == len(want)
+    # a SortAggregate sorts what its task reads before anything moves, so its memory follows the size of a task's files
+    assert plans and not any("SortAggregate" in p for p in plans)
+    assert sum("rangepartitioning" in p for p in plans) == 1
