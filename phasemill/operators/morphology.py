@@ -124,19 +124,42 @@ def closing(mask: DataFrame, shape: str, n: int, keys: Sequence[str] = REC) -> D
     return back.filter("y >= 0 AND y < height AND x >= 0 AND x < width")
 
 
+def gaps(mask: DataFrame, keys: Sequence[str] = REC) -> DataFrame:
+    """What lies between two runs of an image row: (keys, frame size, y, lo, hi, _closed).
+
+    What lies before the first run or behind the last one reaches the frame edge along its row. A gap is closed if both rows
+    next to it have pixels on either side of it; otherwise a step up or down leads to such a place, or out of the frame.
+    """
+    row = Window.partitionBy(*keys, "y").orderBy("lo")  # bounded by the sensor's width
+    whole = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    r = runs(mask, keys).withColumns(
+        {"_next": F.lead("lo").over(row), "_x0": F.min("lo").over(whole), "_x1": F.max("hi").over(whole)}
+    )
+    k = [*keys, *SIZE, "y"]
+    between = r.filter("_next IS NOT NULL").select(*k, (F.col("hi") + 1).alias("lo"), (F.col("_next") - 1).alias("hi"))
+    beside = r.filter("lo = _x0").select(*keys, *SIZE, F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"), "_x0", "_x1")
+    met = between.join(beside, k, "left").groupBy(*k, "lo", "hi")
+    return met.agg((F.count_if((F.col("lo") >= F.col("_x0")) & (F.col("hi") <= F.col("_x1"))) == 2).alias("_closed"))
+
+
 def fill_holes(mask: DataFrame, keys: Sequence[str] = REC) -> DataFrame:
-    """Background components that do not reach the frame edge become set."""
+    """Background components that do not reach the frame edge become set.
+
+    A hole consists of closed gaps of image rows, so only their pixels are spread and labelled, whatever the area that
+    the mask is scattered over.
+    """
     keys = list(keys)
     mask = mask.select(*_px(keys))
-    # beyond the mask's bounding box nothing blocks the way to the frame edge, so the box is enough
-    box = mask.groupBy(*keys, *SIZE).agg(
-        F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1")
-    )
-    rows = box.withColumn("y", F.explode(F.sequence("_y0", "_y1"))).repartition(*keys, "y")
-    cells = rows.withColumn("x", F.explode(F.sequence("_x0", "_x1")))
-    roots = components.component_roots(mask_minus(cells, mask, keys), 4, keys)
-    edge = roots.filter("y = _y0 OR x = _x0 OR y = _y1 OR x = _x1").select(*keys, "root").distinct()
-    holes = roots.join(edge, [*keys, "root"], "left_anti").select(*_px(keys))
+    between = cut(gaps(mask, keys))
+    closed = between.filter("_closed")
+    if closed.isEmpty():
+        return mask
+    across = F.explode(F.sequence("lo", "hi")).alias("x")
+    roots = cut(components.component_roots(closed.select(*keys, *SIZE, "y", across), 4, keys))
+    beside = F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y")
+    out = between.filter("NOT _closed").select(*keys, beside, "lo", "hi").select(*keys, "y", across)
+    air = roots.join(out, [*keys, "y", "x"], "left_semi").select(*keys, "root").distinct()
+    holes = roots.join(air, [*keys, "root"], "left_anti").select(*_px(keys))
     return mask.union(holes)
 
 

@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures, with block sizes and limits forced down."""
 
+import functools
 import math
 import random
 
@@ -150,6 +151,29 @@ def test_distance_exact_and_empty(spark):
     assert all(math.isinf(v) for (rec, _, _), v in got.items() if rec == "b")
 
 
+def test_fill_holes_labels_closed_gaps_only(spark, monkeypatch):
+    """Masks of several densities against labelled backgrounds; what lies between far pixels is never spread."""
+    masks = {f"m{i}": rand_mask(40 + i, p, (14, 17)) for i, p in enumerate((0.3, 0.5, 0.6, 0.7, 0.8, 0.9))}
+    deep = np.zeros((14, 17), bool)  # a spiral: closed gaps that lead out by way of others
+    deep[1:12, 1] = deep[11, 1:14] = deep[1, 3:14] = deep[1:12, 13] = deep[3:10, 3] = deep[9, 3:12] = deep[3:10, 11] = deep[3, 5:12] = True
+    masks |= {"deep": deep, "none": np.eye(14, 17, dtype=bool)}
+    df = functools.reduce(lambda a, b: a.union(b), [mask_df(spark, m, rec) for rec, m in masks.items()])
+    got = {rec: np.zeros((14, 17), bool) for rec in masks}
+    for r in mo.fill_holes(df).collect():
+        assert not got[r.rec_id][r.y, r.x]
+        got[r.rec_id][r.y, r.x] = True
+    for rec, m in masks.items():
+        lab = brute_labels(~m, 4)
+        edge = {*lab[0], *lab[-1], *lab[:, 0], *lab[:, -1]}
+        assert (got[rec] == (m | ((lab > 0) & ~np.isin(lab, list(edge))))).all(), rec
+    spread, roots = [], cc.component_roots
+    monkeypatch.setattr(cc, "component_roots", lambda px, *a, **k: spread.append(px.count()) or roots(px, *a, **k))
+    far = [(5, 5), (5, 6), (5, 7), (6, 5), (6, 7), (7, 5), (7, 6), (7, 7), (700, 2), (7, 900), (700, 900)]
+    px = spark.createDataFrame([("a", 1000, 1000, y, x) for y, x in far], df.schema)
+    assert {(r.y, r.x) for r in mo.fill_holes(px).collect()} == {*far, (6, 6)}
+    assert spread == [1]
+
+
 def test_fill_holes_with_and_without_hole(spark):
     m = np.ones((6, 6), bool)
     m[2:4, 2:4] = False
