@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasemill.functions.columns import finite
+from phasemill.functions.columns import finite, safe_div
 from phasemill.operators import quantiles
 from phasemill.operators.stencil import frame_stats
 
@@ -59,11 +59,13 @@ def _det3(rows) -> Column:
     return a1 * (b2 * c3 - b3 * c2) - a2 * (b1 * c3 - b3 * c1) + a3 * (b1 * c2 - b2 * c1)
 
 
-def phase_plane_fit(df: DataFrame, re: str, im: str, keys: Sequence[str] = REC) -> DataFrame:
+def phase_plane_fit(df: DataFrame, re: str, im: str, keys: Sequence[str] = REC, guarded: bool = True) -> DataFrame:
     """Is the phase a smooth plane? Amplitude-weighted fit a + b·x + c·y to the residual phase.
 
     Uses pixels above 0.2 of the largest amplitude, with the mean phasor subtracted. The 3x3 normal
     equations are sums, so the fit is two aggregations. Returns spread, r2, phase_range, n_px.
+    Guarded, fewer than 8 pixels give zeros, and a determinant below 1e-9 gives zero r2 and phase_range;
+    otherwise every map is solved, and r2 and phase_range are NaN where its pixels determine no plane.
     """
     keys = list(keys)
     amp = F.sqrt(F.col(re) * F.col(re) + F.col(im) * F.col(im))
@@ -96,17 +98,21 @@ def phase_plane_fit(df: DataFrame, re: str, im: str, keys: Sequence[str] = REC)
             "dc": _det3([["s1", "sx", "sr"], ["sx", "sxx", "sxr"], ["sy", "sxy", "syr"]]),
         }
     )
-    solvable = (F.col("n") >= 8) & (F.abs("d") >= 1e-9)
-    fit = fit.withColumns({k: F.when(solvable, F.try_divide(f"d{k}", "d")) for k in ("a", "b", "c")})
+    if guarded:
+        solvable = (F.col("n") >= 8) & (F.abs("d") >= 1e-9)
+        fit = fit.withColumns({k: F.when(solvable, F.try_divide(f"d{k}", "d")) for k in ("a", "b", "c")})
+    else:
+        fit = fit.withColumns({k: safe_div(f"d{k}", "d") for k in ("a", "b", "c")})
     second = s.join(fit.select(*keys, "a", "b", "c", (F.col("sr") / F.col("s1")).alias("rbar")), keys)
     off = F.col("_r") - (F.col("a") + F.col("b") * F.col("_x") + F.col("c") * F.col("_y"))
     dev = F.col("_r") - F.col("rbar")
     err = second.groupBy(*keys).agg(
         F.sum(F.col("_a") * off * off).alias("ssr"), F.sum(F.col("_a") * dev * dev).alias("sst")
     )
-    few = F.col("n") < 8
+    few = (F.col("n") < 8) & F.lit(guarded)
     spread = F.sqrt(F.log(resultant(F.col("zr"), F.col("zi"), F.col("s1"))) * -2.0)
-    r2 = F.greatest(F.lit(1.0) - F.try_divide("ssr", F.when(F.col("sst") > 0, F.col("sst"))), F.lit(0.0))
+    part = F.try_divide("ssr", F.when(F.col("sst") > 0, F.col("sst"))) if guarded else safe_div("ssr", "sst")
+    r2 = F.greatest(F.lit(1.0) - part, F.lit(0.0))
     reach = F.abs("b") * (F.col("w") - 1.0) + F.abs("c") * (F.col("h") - 1.0)
     return fit.join(err, keys).select(
         *keys, F.when(few, 0.0).otherwise(spread).alias("spread"),
